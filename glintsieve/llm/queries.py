@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glintsieve.llm import op2_bpe, op5_warc, op7_tokens, op9_topk
+from glintsieve.llm import op2_bpe, op4_decontaminate, op5_warc, op6_html, op7_tokens, op8_suffix, op9_topk, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe.op2_bpe,
+    "op4_decontaminate": op4_decontaminate.op4_decontaminate,
     "op5_warc": op5_warc.op5_warc,
+    "op6_html": op6_html.op6_html,
     "op7_tokens": op7_tokens.op7_tokens,
+    "op8_suffix": op8_suffix.op8_suffix,
     "op9_topk": op9_topk.op9_topk,
+    "op10_quality": op10_quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
