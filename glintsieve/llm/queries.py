@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glintsieve.llm import op2_bpe, op3_secrets, op4_decontaminate, op5_warc, op6_html, op7_tokens, op8_suffix, op9_topk, op10_quality
+from glintsieve.llm import op1_jaccard, op2_bpe, op3_secrets, op4_decontaminate, op5_warc, op6_html, op7_tokens, op8_suffix, op9_topk, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard.op1_jaccard,
     "op2_bpe": op2_bpe.op2_bpe,
     "op3_secrets": op3_secrets.op3_secrets,
     "op4_decontaminate": op4_decontaminate.op4_decontaminate,
