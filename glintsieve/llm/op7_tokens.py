@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintsieve.llm.common import by_size, fresh_path, local_file, only, table, wide, written
-from glintsieve.llm.pretoken import chunks, plain_pieces
+from glintsieve.llm.pretoken import LATIN_WORD, Generations, plain_pieces, words
 
 MAGIC = b"DAC1"
 FILE_IDS = 4_000_000
@@ -125,7 +125,7 @@ class Reader:
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them; pieces of about a word are encoded once."""
+    """Ids of texts as the tokenizers library gives them; words are encoded once and kept."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -133,28 +133,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
+        self.words: Generations[bytes] = Generations(CACHE_ENTRIES // 2)
+        # a token's string has one character a byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _strung(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each: strung together they are cut just there, so that many are encoded in one call."""
+        out: list[bytes] = []
+        rows = [words[at : at + 400] for at in range(0, len(words), 400)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in row])
+            at = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *at], at)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Puts the ids of words, each with a space before it, into the cache."""
+        known = self.words.young
+        plain = [w for w in new if LATIN_WORD.match(w)]
+        known.update(zip(plain, self._strung(plain)))
+        split = {w: plain_pieces(w) for w in new.difference(plain)}
+        inner = {p[1:] for x in split.values() if x for p in x if p[0] == " "}.difference(known)
+        known.update(zip(inner, self._strung(list(inner))))
+        bare = list({p for x in split.values() if x for p in x if p[0] != " "})
+        ids = dict(zip(bare, self._many(bare)))
+        odd = [w for w, x in split.items() if not x]
+        known.update(zip(odd, self._many([" " + w for w in odd])))
+        for w, x in split.items():
+            if x:
+                known[w] = b"".join([known[p[1:]] if p[0] == " " else ids[p] for p in x])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32."""
-        cut = [chunks(t) for t in texts]
-        wanted = set().union(*[x for x in cut if x is not None])
-        if len(self.known) + len(wanted.difference(self.known)) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        known = self.known
-        new = wanted.difference(known)
-        split = {c: plain_pieces(c) or [c] for c in new}
-        lone = list({p for x in split.values() for p in x}.difference(known))
-        for at in range(0, len(lone), 5000):
-            known.update(zip(lone[at : at + 5000], self._many(lone[at : at + 5000])))
-        for c, x in split.items():
-            if len(x) != 1:
-                known[c] = b"".join([known[p] for p in x])
+        cut = [words(t) if t else [] for t in texts]
+        heads = iter(self._many([x[0] for x in cut if x]))
         whole = iter(self._many([t for t, x in zip(texts, cut) if x is None]))
-        return [next(whole) if x is None else b"".join(map(known.__getitem__, x)) for x in cut]
+        tails = [x[1:] for x in cut if x]
+        new = self.words.missing(set().union(*tails))
+        if new:
+            self._learn(new)
+        get = self.words.young.__getitem__
+        rest = iter(tails)
+        return [next(whole) if x is None else next(heads) + b"".join(map(get, next(rest))) if x else b"" for x in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
