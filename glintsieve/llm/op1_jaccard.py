@@ -41,6 +41,8 @@ BITS = 1024
 FREQUENT = 16
 FREQUENT_MOST = 2_000_000
 BLOCK = 8192
+#: Rows of (set, document) that are broadcast at most: 16 MB.
+BROADCAST_ROWS = 1_000_000
 LEAF = 32
 _FLIP = np.uint64(1 << 63)
 
@@ -68,12 +70,20 @@ def set_hash(x: np.ndarray) -> int:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """The set's bitmap of BITS bits."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(x >> np.uint64(20)) % np.uint64(BITS)] = 1
+    """The set's bitmap of BITS bits, doubled until it has 0.8 bits a shingle: a fuller one would tell nothing apart."""
+    width = BITS
+    while width < 0.8 * len(x):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(x >> np.uint64(20)) % np.uint64(width)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(data: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap (as 64-bit words) of fewer words: a bit's place in a narrow map is that in a wide one modulo the width."""
+    return np.bitwise_or.reduce(data.reshape(-1, words), axis=0)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -167,9 +177,31 @@ def possible(maps_a: np.ndarray, sizes_a: np.ndarray, maps_b: np.ndarray, sizes_
     return np.minimum(sizes_a - only_a, sizes_b - only_b) >= least_overlap(sizes_a, sizes_b, percent)
 
 
-def maps_of(column: pa.Array) -> np.ndarray:
-    _, data = text_buffer(column)
-    return data.view(np.uint64).reshape(-1, BITS // 64) if len(data) else np.zeros((0, BITS // 64), np.uint64)
+def maps_of(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """The bitmaps folded to BITS bits, a row each, and the wide ones as they are."""
+    offsets, data = text_buffer(column)
+    words = np.ascontiguousarray(data).view(np.uint64)
+    ends = offsets // 8
+    narrow = BITS // 64
+    if len(words) == narrow * (len(ends) - 1):
+        return words.reshape(-1, narrow), [None] * (len(ends) - 1)
+    out, wide_maps = np.zeros((len(ends) - 1, narrow), np.uint64), []
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        out[k] = folded(words[a:b], narrow) if b - a > narrow else words[a:b]
+        wide_maps.append(words[a:b] if b - a > narrow else None)
+    return out, wide_maps
+
+
+def still_possible(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, others: np.ndarray, wide_a: list, wide_b: list) -> np.ndarray:
+    """possible() by the wide bitmaps, for pairs of row numbers a and b that both have one."""
+    keep = np.ones(len(a), bool)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = wide_a[i], wide_b[j]
+        if x is not None and y is not None:
+            words = min(len(x), len(y))
+            x, y = folded(x, words), folded(y, words)
+            keep[k] = possible(x[None], sizes[i : i + 1], y[None], others[j : j + 1])[0]
+    return keep
 
 
 # --- the passes ----------------------------------------------------------------------------------
@@ -326,7 +358,10 @@ def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            keep = possible(maps_of(batch.column("sa")), na, maps_of(batch.column("sb")), nb) if batch.num_rows else np.zeros(0, bool)
+            (ma, wa), (mb, wb) = maps_of(batch.column("sa")), maps_of(batch.column("sb"))
+            keep = possible(ma, na, mb, nb) if batch.num_rows else np.zeros(0, bool)
+            left = np.flatnonzero(keep)
+            keep[left] = still_possible(left, left, na, nb, wa, wb)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], ["a", "b"])
 
     return x.filter(f"na * 100L >= nb * {PERCENT}L and nb * 100L >= na * {PERCENT}L").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -345,7 +380,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 own = [k for k, (h, x) in enumerate(zip(batch.column("h").to_pylist(), sets)) if set_hash(x) == h]
                 yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary())], ["h", "s"])
 
-    texts = only(docs, "doc_id", "text").join(wanted, "doc_id").select("h", "text")
+    wanted = written(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # two longs a row; beyond it both sides are shuffled
+    texts = only(docs, "doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("h", "text")
     sets = texts.mapInArrow(build, "h long, s binary").dropDuplicates(["h"])
     x = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -383,7 +420,7 @@ def _tree_pairs(lists: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFra
         def solved(group: pa.Table) -> pa.RecordBatch | None:
             group = group.combine_chunks()
             h, n, part, own = (group.column(c).to_numpy() for c in ("h", "n", "part", "own"))
-            n, maps = n.astype(np.int64), maps_of(group.column("sig"))
+            n, (maps, wides) = n.astype(np.int64), maps_of(group.column("sig"))
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             if len(h) == 2:
                 some = bool((part[0] != part[1]) and possible(maps[:1], n[:1], maps[1:], n[1:])[0])
@@ -401,6 +438,9 @@ def _tree_pairs(lists: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFra
                     right = tree(np.flatnonzero(own == j))
                     a, b = candidates(left[1], right[1])
                     a, b = left[0][a], right[0][b]
+            if len(a):
+                some = still_possible(a, b, n, n, wides, wides)
+                a, b = a[some], b[some]
             if not len(a):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(h[a], h[b])), pa.array(np.maximum(h[a], h[b]))], ["a", "b"])
