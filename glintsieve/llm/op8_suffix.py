@@ -66,13 +66,8 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_a", F.min("doc_id").over(by)).withColumn("_b", F.max("doc_id").over(by)).filter("_a <> _b").drop("_a", "_b")
 
 
-def shared_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that two documents have, by a partial aggregation."""
-    return rows.groupBy(key).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a <> _b").select(key)
-
-
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
-    """doc_id, first_word, n_words, start_char and end_char (bytes of the UTF-8 text) of every maximal passage of at least min_words words that other documents hold run by run."""
+    """doc_id, first_word and n_words of every maximal passage of at least min_words words that other documents hold run by run."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     seeds = repeated(suffixes(docs, min_words, head), "head")
     seeds = written(seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("seeds")), "seeds")
@@ -82,32 +77,35 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text"):
-                words, starts, ends, first = words_of(*text_buffer(batch.column("text")))
-                offsets, _ = text_buffer(batch.column("text"))
+                words, _, _, first = words_of(*text_buffer(batch.column("text")))
                 out = []
                 for k, (doc, own) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("seeds"))):
-                    a, b = int(first[k]), int(first[k + 1])
-                    runs = windows_of(words[a:b], min_words)
+                    runs = windows_of(words[first[k] : first[k + 1]], min_words)
                     cover = np.zeros(len(runs) + 1, np.int64)
                     for at in np.asarray(own.values, np.int64) if len(runs) else []:
                         cover[max(0, at - back)] += 1
                         cover[min(at, len(runs) - 1) + 1] -= 1
                     at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
                     if len(at):
-                        chars = np.stack([starts[a + at], ends[a + at + min_words - 1]]) - offsets[k]
-                        out.append((runs[at].view(np.int64), np.full(len(at), doc), at, *chars))
+                        out.append((runs[at].view(np.int64), np.full(len(at), doc), at))
                 if out:
-                    columns = [np.concatenate(x).astype(t) for x, t in zip(zip(*out), (np.int64, np.int64, np.int32, np.int64, np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["run", "doc_id", "at", "start_char", "end_char"])
-
-    runs = repeated(near.mapInArrow(run, "run long, doc_id long, at int, start_char long, end_char long"), "run").drop("run").distinct()
-    # runs that overlap or touch in a document make one passage
-    order = Window.partitionBy("doc_id").orderBy("at", "start_char")
-    reach = F.max("at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = runs.withColumn("new", (F.coalesce(F.col("at") - reach > min_words, F.lit(True))).cast("int"))
-    parts = marked.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = parts.groupBy("doc_id", "part").agg(F.min("at").alias("first_word"), F.max("at").alias("last"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
-    return found.select("doc_id", F.col("first_word").cast("long").alias("first_word"), (F.col("last") - F.col("first_word") + min_words).cast("long").alias("n_words"), "start_char", "end_char")
+                    columns = [np.concatenate(x).astype(t) for x, t in zip(zip(*out), (np.int64, np.int64, np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["run", "doc_id", "at"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs that overlap or touch in a document make one passage."""
+        for batch in batches:
+            out = []
+            for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("at")):
+                at = np.sort(np.asarray(own.values, np.int64))
+                cut = np.flatnonzero(np.diff(at) > min_words) + 1
+                first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
+                out.append((np.full(len(first), doc), first, last - first + min_words))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["doc_id", "first_word", "n_words"])
+
+    runs = repeated(near.mapInArrow(run, "run long, doc_id long, at int"), "run")
+    return runs.groupBy("doc_id").agg(F.collect_set("at").alias("at")).mapInArrow(join, "doc_id long, first_word long, n_words long")
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
