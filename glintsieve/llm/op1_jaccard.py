@@ -504,3 +504,18 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by the similarity of their shingle sets."""
     return joined(table(spark, sf_dir, "documents"))
+
+
+#: Pairs of documents by their shared shingles, then reachability: for the sizes that the oracle runs at.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x)
+SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
+"""

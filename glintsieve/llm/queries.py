@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard": op1_jaccard.ORACLE_SQL,
     "op5_warc": op5_warc.ORACLE_SQL,
+    "op6_html": op6_html.ORACLE_SQL,
     "op9_topk": op9_topk.ORACLE_SQL,
 }
