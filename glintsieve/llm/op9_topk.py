@@ -14,14 +14,12 @@ bounded so that sums fit 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import only, table, wide
+from glintsieve.llm.common import only, table
 
 SCALE = 256
 K = 5
@@ -90,20 +88,17 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec
     candidates = v.select("vec_id", "w", F.lit(False).alias("query"), slot(c_blocks).alias("cb"), every_block(q_blocks).alias("qb"))
     queries = v.filter(is_query).select("vec_id", "w", F.lit(True).alias("query"), every_block(c_blocks).alias("cb"), slot(q_blocks).alias("qb"))
 
-    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(frames)
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
         q, c = frame[frame["query"]], frame[~frame["query"]]
-        ids, out = c["vec_id"].to_numpy(), []
+        ids, out = c["vec_id"].to_numpy(), [pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "vec_id", "score")})]
         for at in range(0, len(q), 128):
             part = q.iloc[at : at + 128]
             for own, scores in zip(part["vec_id"].to_numpy(), accumulate(part["w"], c["w"])):
                 i, s = best(scores, ids, own, k)
                 out.append(pd.DataFrame({"query_id": own, "vec_id": i, "score": s}))
-        if out:
-            yield pd.concat(out)
+        return pd.concat(out)
 
-    both = candidates.unionByName(queries)
-    partial = both.groupBy("cb", "qb").applyInPandas(lambda f: next(block(iter([f])), pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})), "query_id long, vec_id long, score long")
+    partial = candidates.unionByName(queries).groupBy("cb", "qb").applyInPandas(block, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
