@@ -9,7 +9,7 @@ from glintsieve.functions import text as T
 from glintsieve.functions import versions as V
 from glintsieve.functions.globs import to_regex
 from glintsieve.functions.predicates import QUOTES, java
-from glintsieve.queries.registry import LABELS, PATHS, new_findings, paths, query, table
+from glintsieve.queries.registry import PATHS, new_findings, paths, query, table
 
 
 def _pick(values: list[str], key: str):
