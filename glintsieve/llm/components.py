@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from glintsieve.llm.common import written
 
 
+#: Edges (16 bytes each) that one task may finish; a chunk of _thinned() is as large.
+ONE_TASK = 1_000_000
+
+
 def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node with the smallest node of its component, for the edges of one chunk; the smallest nodes are left out."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -47,7 +51,7 @@ def _thinned(edges: DataFrame) -> DataFrame:
         for batch in batches:
             held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
             rows += batch.num_rows
-            if rows > 1_000_000:
+            if rows > ONE_TASK:
                 yield flush()
                 held, rows = [], 0
         if held:
@@ -56,10 +60,16 @@ def _thinned(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def labels(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component, for every node of an edge (columns a and b, long)."""
+def labels(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node and label, the smallest node of its component, for every node of an edge (columns a and b, long).
+
+    Up to one_task edges of the thinned forest are finished by a single task, more of them by alternating stars.
+    """
     e = written(_thinned(edges.filter("a <> b")), "edges")
-    for _ in range(64):
+    few = e.count() <= one_task
+    if few:
+        e = written(_thinned(e.coalesce(1)), "stars")
+    for _ in range(0 if few else 64):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: each node's larger neighbours go to the smallest node around it
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
