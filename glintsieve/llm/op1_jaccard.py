@@ -38,6 +38,7 @@ from glintsieve.llm.common import by_size, grams_of, mixed, only, table, text_bu
 SHINGLE = 5
 PERCENT = 80
 BITS = 1024
+SPREAD = 3
 FREQUENT = 16
 FREQUENT_MOST = 2_000_000
 BLOCK = 8192
@@ -70,9 +71,9 @@ def set_hash(x: np.ndarray) -> int:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """The set's bitmap of BITS bits, doubled until it has 0.8 bits a shingle: a fuller one would tell nothing apart."""
+    """The set's bitmap of BITS bits, doubled until it has SPREAD bits a shingle: the emptier it is, the closer is the bound of the overlap."""
     width = BITS
-    while width < 0.8 * len(x):
+    while width < SPREAD * len(x):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(x >> np.uint64(20)) % np.uint64(width)] = 1
