@@ -38,7 +38,7 @@ from glintsieve.llm.common import by_size, grams_of, mixed, only, table, text_bu
 SHINGLE = 5
 PERCENT = 80
 BITS = 1024
-SPREAD = 3
+SPREAD = 6
 FREQUENT = 16
 FREQUENT_MOST = 2_000_000
 BLOCK = 8192
