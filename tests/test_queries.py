@@ -39,3 +39,17 @@ def test_oracle(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() >= 0
+
+
+def test_findings_are_not_cut_at_larger_sizes(spark):
+    """sf0.01 has more findings than the default budget of a scan."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet'")
+    for name in ("g04_by_rule", "o01_report_order", "w05_finding_budget"):
+        frame = QUERIES[name](spark, folder)
+        result = con.execute(ORACLE_SQL[name])
+        columns = sorted(d[0] for d in result.description)
+        order = [[d[0] for d in result.description].index(c) for c in columns]
+        expected = sorted(tuple(norm(r[k]) for k in order) for r in result.fetchall())
+        assert sorted(tuple(norm(r[c]) for c in columns) for r in frame.collect()) == expected
