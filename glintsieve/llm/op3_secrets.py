@@ -1,7 +1,7 @@
 """Operator 3: secret scans with DataFrame functions only.
 
-One regular expression finds candidates in every whole text: values assigned to a credential name, private key
-blocks and long runs with a digit. Texts are split at the candidates, which gives each one's offset and
+One regular expression finds candidates in every whole text: values assigned to a credential name (in quotes, or bare up to white space or
+a delimiter), private key blocks and long runs with a digit. Texts are split at the candidates, which gives each one's offset and
 its neighbouring words. A random forest over the candidate's length, character transitions, dictionary coverage,
 path context and neighbouring words removes false positives. It is grown from labelled findings (FINDINGS, a bounded set
 made by rule with a fixed seed) whose features come from the same expressions, and is applied as nested CASE expressions.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +29,13 @@ THRESHOLD = 0.5
 FINDINGS = 1600
 
 _NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential"
-_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 _PEM = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}+-----END [A-Z ]{0,32}PRIVATE KEY-----"
-_NAMED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"'][^\"'\s]{{8,256}}+[\"']"
+_ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}"
+_NAMED = rf"{_ASSIGNED}(?:[\"'][^\"'\s]{{8,256}}+[\"']|(?!-----BEGIN )[^\s\"'`,;&<>(){{}}\[\]|]{{8,}}+)"
+#: A run with an assignment to a credential name in it is left to _NAMED, which starts at the name.
+_RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,64}}+[0-9])(?=[A-Za-z0-9+/_=-]{{16}})(?![A-Za-z0-9+/_=-]*?{_NAMED})[A-Za-z0-9+/_=-]{{16,}}+"
 CANDIDATE = f"{_PEM}|{_NAMED}|{_RUN}"
-_VALUE = r"[\"']([^\"'\s]{8,256})[\"']$"
+_VALUE = rf"^{_ASSIGNED}[\"']?([^\"'\s]+)[\"']?$"
 _PROVIDERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36})"
 _HINT = rf"(?i)({_NAMES}|auth|bearer)[^A-Za-z0-9]{{0,6}}$|(?i)({_NAMES}|auth|bearer)[\"' ]{{0,3}}[:=]"
 _HARMLESS = r"(?i)\b(sha-?\d*|md5|checksum|commit|digest|hash|uuid|guid|example|sample|dummy|placeholder|test|integrity|revision|version|build|order|invoice|card|phone|tel|iban|isbn|id)\b"
@@ -46,9 +49,13 @@ def _share(c: Column, pattern: str) -> Column:
     return (F.length(c) - kept) / F.greatest(F.length(c), F.lit(1))
 
 
+def _quoted(hit: Column) -> Column:
+    return hit.rlike("[\"']$")
+
+
 def features(hit: Column, left: Column, right: Column) -> list[Column]:
     """The features of a candidate as doubles, in the order of FEATURES."""
-    named = hit.rlike(rf"^(?i:{_NAMES})[\"']?\s{{0,3}}[:=]")
+    named = hit.rlike(f"^{_ASSIGNED}")
     v = F.when(named, F.regexp_extract(hit, _VALUE, 1)).otherwise(hit)
     n = F.greatest(F.length(v), F.lit(1))
     turns = n - F.length(F.regexp_replace(v, r"(?<=[A-Za-z])(?=[0-9])[0-9]|(?<=[0-9])(?=[A-Za-z])[A-Za-z]|(?<=[a-z])[A-Z]", ""))
@@ -71,10 +78,13 @@ def labelled() -> list[tuple[str, str, str, int]]:
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "API_KEY", "TOKEN", "client_secret", "auth token", "Authorization: Bearer"]
     prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
     case = lambda s: s.upper() if rng.random() < 0.15 else s
+    chunks = lambda: "".join(pick(digits, rng.randint(1, 10)) + pick(rng.choice([hexa[10:], alnum[26:52]]), rng.randint(3, 7)) for _ in range(rng.randint(2, 4))) + pick(digits, rng.randint(1, 8))
     positive = [
+        lambda: (f'{case(rng.choice(["token", "secret", "api_key", "password", "apikey", "access_key"]))}{rng.choice([" = ", "=", ": "])}"{case(chunks())}"', prose() + " ", " " + prose()),
         lambda: (case(pick(hexa, rng.choice([32, 40, 40, 64]))), f'{prose()} {case(rng.choice(names))} = "', f'" {prose()}'),
         lambda: (f'{case(rng.choice(["token", "secret", "api_key", "password", "apikey", "access_key"]))}{rng.choice([" = ", "=", ": "])}"{case(pick(hexa, rng.choice([32, 40, 40, 64])))}"', prose() + " ", " " + prose()),
         lambda: (f'{rng.choice(["token", "secret", "api_key", "password", "passwd", "pwd"])}{rng.choice([" = ", "=", ": "])}"{pick(alnum + "!#%&", rng.randint(10, 40))}"', prose() + " ", " " + prose()),
+        lambda: (f'{rng.choice(["token", "secret", "api_key", "password", "passwd", "API_KEY", "TOKEN", "client_secret", "DB_PASSWORD"])}{rng.choice(["=", "=", ": "])}{rng.choice([pick(rng.choice([hexa, alnum, alnum + "!#%@$*"]), rng.randint(7, 48)) + pick(digits, 1), chunks()])}', prose() + rng.choice([" ", "\n", "?", "&"]), rng.choice([" ", "\n", "&"]) + prose()),
         lambda: (pick(b64, rng.choice([32, 40, 44])) + "1", f"{prose()} {rng.choice(names)}={rng.choice(['', chr(34)])}", " " + prose()),
         lambda: ("AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "7", prose() + " ", " " + prose()),
         lambda: ("ghp_" + pick(alnum, 35) + "3", prose() + " ", " " + prose()),
@@ -91,6 +101,7 @@ def labelled() -> list[tuple[str, str, str, int]]:
         lambda: ("/" + "/".join(rng.choice(words) for _ in range(4)) + pick(digits, 2), prose() + rng.choice([" https://www.example.org", " see ", " "]), rng.choice([".html ", " "]) + prose()),
         lambda: ("".join(rng.choice(words).title() for _ in range(4)) + pick(digits, 2), prose() + " ", "( " + prose()),
         lambda: (f'{rng.choice(["password", "token", "secret", "api_key"])} = "{rng.choice(["changeme", "your-key-here", "placeholder", "example-token", "xxxxxxxxxxxx", "00000000000000", "************", "your_password_here", "<your-secret>", "${API_KEY_VALUE}", "{{token_value}}"])}"', prose() + " ", " " + prose()),
+        lambda: (f'{rng.choice(["password", "token", "secret", "api_key", "credential"])}{rng.choice(["=", ": ", ": "])}{rng.choice(["changeme", "your-key-here", "placeholder", "example-token", "your_password_here", "xxxxxxxxxxxx", "$API_KEY_VALUE", "".join(rng.choice(words) for _ in range(3)), "_".join(rng.choice(words) for _ in range(3)), ".".join(rng.choice(words) for _ in range(3))])}', prose() + " ", rng.choice([" ", ". ", "\n"]) + prose()),
         lambda: (rng.choice("=-_") * rng.randint(16, 40) + pick(digits, 1), prose() + " ", " " + prose()),
         lambda: (pick("0aAx1", 1) * rng.randint(16, 32) + "1", prose() + " ", " " + prose()),
         lambda: (rng.choice(words) + "".join(rng.choice(words) for _ in range(3)) + pick(digits, 2), prose() + " ", " " + prose()),
@@ -98,8 +109,11 @@ def labelled() -> list[tuple[str, str, str, int]]:
     out = []
     for k in range(FINDINGS):
         group, label = (positive, 1) if k % 2 else (negative, 0)
-        hit, left, right = group[k // 2 % len(group)]()
-        out.append((hit, left[-CONTEXT:], right[:CONTEXT], label))
+        found = None
+        while not found:  # the candidate as the scan cuts it out of the words around; not every draw makes one
+            hit, left, right = group[k // 2 % len(group)]()
+            found = next((m for m in re.finditer(CANDIDATE, left + hit + right, re.ASCII) if m.end() >= len(left) + len(hit) and m.start() < len(left) + len(hit)), None)
+        out.append((found[0], found.string[: found.start()][-CONTEXT:], found.string[found.end() :][:CONTEXT], label))
     return out
 
 
@@ -137,7 +151,7 @@ def with_findings(docs: DataFrame) -> DataFrame:
 
     def judged(c: Column) -> Column:
         value = F.when(c["named"] > 0, F.regexp_extract(c["hit"], _VALUE, 1)).otherwise(c["hit"])
-        lead = F.when(c["named"] > 0, F.length(c["hit"]) - F.length(value) - 1).otherwise(F.lit(0))
+        lead = F.when(c["named"] > 0, F.length(c["hit"]) - F.length(value) - _quoted(c["hit"]).cast("int")).otherwise(F.lit(0))
         rule = F.when(c["pem"] > 0, "private_key").when(c["provider"] > 0, "provider_token").when(c["hint"] > 0, "assigned_secret").otherwise("high_entropy")
         return F.struct(value.alias("value"), (c["at"] + lead).alias("start"), lead.alias("lead"), c["hit"].alias("hit"), rule.alias("rule"), forest.score(grown, [c[n] for n in FEATURES]).alias("score"))
 
@@ -158,8 +172,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = docs.columns
     d = with_findings(docs)
     part = lambda p, f: F.concat(p, F.when(f["score"] >= THRESHOLD, F.concat(F.left(f["hit"], f["lead"]), F.lit(MARK), F.expr("''"))).otherwise(f["hit"]))
-    # a named hit ends with its quote, which stays
-    tail = lambda f: F.when((f["score"] >= THRESHOLD) & (f["lead"] > 0), F.right(f["hit"], F.lit(1))).otherwise(F.lit(""))
+    # a quoted hit ends with its quote, which stays
+    tail = lambda f: F.when((f["score"] >= THRESHOLD) & (f["lead"] > 0) & _quoted(f["hit"]), F.right(f["hit"], F.lit(1))).otherwise(F.lit(""))
     joined = F.concat(F.array_join(F.zip_with(F.slice("_pieces", F.lit(1), F.size("_hits")), "_found", lambda p, f: F.concat(part(p, f), tail(f))), ""), F.element_at("_pieces", -1))
     any_secret = (F.size("_hits") > 0) & F.exists("_found", lambda f: f["score"] >= THRESHOLD)
     d = d.withColumn("_text", F.when(any_secret, joined).otherwise(F.col("text")))

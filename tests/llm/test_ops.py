@@ -142,6 +142,24 @@ def test_op3_finds_secrets_and_leaves_the_rest(spark, empty):
     assert op3_secrets.findings(empty).count() == 0
 
 
+def test_op3_bare_values_go_and_names_stay(spark):
+    lines = [
+        "token=9f8e7d6c5b4a39281706f5e4d3c2b1a0", "API_KEY=0123abcd4567ef890123abcd4567ef89", "password=hunter2hunter2hunter2", "DB_PASSWORD=tr0ub4dor9x",
+        "MY_SERVICE_2_API_TOKEN=9f8e7d6c5b4a39281706f5e4d3c2b1a0", "secret: q8W2e9R4t7Y1u6I3",
+    ]
+    plain = ["password=changeme", "the secret: everything is configuration", "token: documentation."]
+    rows = [(k, f"first {x}\nlast") for k, x in enumerate(lines + plain)] + [(20, f"GET http://h/p?x=1&{lines[0]}&y=2 done")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op3_secrets.redacted(frame).collect()}
+    for k, x in enumerate(lines):
+        name, value = re.split(r"[=:]\s*", x)
+        assert clean[k] == f"first {x[: -len(value)]}{op3_secrets.MARK}\nlast"
+    assert all(clean[len(lines) + k] == f"first {x}\nlast" for k, x in enumerate(plain))
+    assert clean[20] == f"GET http://h/p?x=1&token={op3_secrets.MARK}&y=2 done"
+    values = {r.doc_id: (r.start_char, r.n_chars, r.value_sha256) for r in op3_secrets.findings(frame).collect()}
+    assert values[0] == (12, 32, hashlib.sha256(lines[0][6:].encode()).hexdigest())
+
+
 def test_op3_forest_is_the_same_on_the_driver_and_in_sql(spark):
     from glintsieve.llm import forest
 
