@@ -1,7 +1,7 @@
 """Operator 3: secret scans with DataFrame functions only.
 
 One regular expression finds candidates in every whole text: values assigned to a credential name (in quotes, or bare up to white space or
-a delimiter), private key blocks and long runs with a digit. Texts are split at the candidates, which gives each one's offset and
+a delimiter), private key blocks (with header lines or escaped line ends too), JSON web tokens and long runs with a digit, each of any length. Texts are split at the candidates, which gives each one's offset and
 its neighbouring words. A random forest over the candidate's length, character transitions, dictionary coverage,
 path context and neighbouring words removes false positives. It is grown from labelled findings (FINDINGS, a bounded set
 made by rule with a fixed seed) whose features come from the same expressions, and is applied as nested CASE expressions.
@@ -29,14 +29,16 @@ THRESHOLD = 0.5
 FINDINGS = 1600
 
 _NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential"
-_PEM = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}+-----END [A-Z ]{0,32}PRIVATE KEY-----"
+#: Possessive groups are loops in the regex engine, not recursion, so bodies may be of any length.
+_PEM = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,32}PRIVATE KEY(?: BLOCK)?-----"
+_JWT = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{5,}+(?:[.][A-Za-z0-9_-]*+){2,4}+"
 _ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}"
-_NAMED = rf"{_ASSIGNED}(?:[\"'][^\"'\s]{{8,256}}+[\"']|(?!-----BEGIN )[^\s\"'`,;&<>(){{}}\[\]|]{{8,}}+)"
+_NAMED = rf"{_ASSIGNED}(?:[\"'][^\"'\s]{{8,}}+[\"']|(?!-----BEGIN )[^\s\"'`,;&<>(){{}}\[\]|]{{8,}}+)"
 #: A run with an assignment to a credential name in it is left to _NAMED, which starts at the name.
-_RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,64}}+[0-9])(?=[A-Za-z0-9+/_=-]{{16}})(?![A-Za-z0-9+/_=-]*?{_NAMED})[A-Za-z0-9+/_=-]{{16,}}+"
-CANDIDATE = f"{_PEM}|{_NAMED}|{_RUN}"
+_RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Za-z0-9+/_=-]{{16}})(?![A-Za-z0-9+/_=-]*?{_NAMED})[A-Za-z0-9+/_=-]{{16,}}+"
+CANDIDATE = f"{_PEM}|{_NAMED}|{_JWT}|{_RUN}"
 _VALUE = rf"^{_ASSIGNED}[\"']?([^\"'\s]+)[\"']?$"
-_PROVIDERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36})"
+_PROVIDERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{5,}[.][A-Za-z0-9_-]*[.])"
 _HINT = rf"(?i)({_NAMES}|auth|bearer)[^A-Za-z0-9]{{0,6}}$|(?i)({_NAMES}|auth|bearer)[\"' ]{{0,3}}[:=]"
 _HARMLESS = r"(?i)\b(sha-?\d*|md5|checksum|commit|digest|hash|uuid|guid|example|sample|dummy|placeholder|test|integrity|revision|version|build|order|invoice|card|phone|tel|iban|isbn|id)\b"
 #: Word parts that candidates of ordinary text are made of (fixed values).
@@ -90,6 +92,9 @@ def labelled() -> list[tuple[str, str, str, int]]:
         lambda: ("ghp_" + pick(alnum, 35) + "3", prose() + " ", " " + prose()),
         lambda: ("sk_live_" + pick(alnum, 23) + "5", prose() + " ", " " + prose()),
         lambda: (f"-----BEGIN {rng.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{pick(b64, 120)}\n-----END PRIVATE KEY-----", prose() + " ", " " + prose()),
+        lambda: (f"-----BEGIN {rng.choice(['', 'RSA ', 'EC ', 'ENCRYPTED '])}PRIVATE KEY-----{rng.choice(['', chr(92) + 'n', chr(10) + 'Proc-Type: 4,ENCRYPTED' + chr(10)])}{pick(b64, rng.choice([120, 800, 2400]))}-----END PRIVATE KEY-----", prose() + " ", " " + prose()),
+        lambda: ("eyJ" + ".".join(pick(alnum + "_-", n) for n in (rng.randint(17, 60), rng.randint(40, 900), rng.randint(43, 342))), f"{prose()} {rng.choice(['', 'Bearer ', 'token=', 'token = ' + chr(34)])}", rng.choice([" ", chr(34) + " "]) + prose()),
+        lambda: (f'{rng.choice(["token", "secret", "api_key"])}{rng.choice([" = ", "=", ": "])}"{pick(alnum, rng.randint(41, 900))}"', prose() + " ", " " + prose()),
     ]
     negative = [
         lambda: (case(pick(hexa, rng.choice([32, 40, 64]))), f"{prose()} {rng.choice(['commit', 'sha1', 'sha256', 'md5', 'checksum', 'digest', 'hash', 'revision'])}{rng.choice([' ', ': ', ' = ', '='])}", " " + prose()),
