@@ -261,6 +261,17 @@ def test_op6_main_text(spark):
     assert op6_html.extract(frame.limit(0)).count() == 0
 
 
+def test_op6_words_do_not_cut_the_article():
+    text = lambda page: [t for main, t in op6_html.lines(page) if main]
+    inner = "<div id='article-header'>A</div><h2 id='related-work'>B</h2><h2 id='search-results'>C</h2><section id='menu-design'><p>D</p></section><p class='notice'>E</p>"
+    for start in ("<article>", "<article class='post comments-open'>", "<article class='teaser-large related-post'>", "<main class='search'>"):
+        end = f"</{start[1:].split()[0].rstrip('>')}>"
+        for body in ("<body>", "<body class='comments-open'>", "<body><div id='search-layout'>"):
+            assert text(f"{body}<div class='menu'>m</div>{start}{inner}{end}</body>") == list("ABCDE")
+    extra = "<p>A</p><div class='ad'>x</div><section id='comments'><article class='comment'>y</article></section><div class='share social'>z</div><nav>n</nav>"
+    assert text(f"<article>{extra}</article><div id='comments'><article class='comment-body'>q</article></div>") == ["A"]
+
+
 def test_op6_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
