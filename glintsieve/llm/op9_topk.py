@@ -6,14 +6,19 @@ weight). Then, term by term, the sparse query rows with that term scatter their
 score arrays. Partition selection keeps the k best of each array, and a window over (block, query) winners
 merges them. Memory of a task is bounded by the two block sizes; every pair of a query and a row is scored.
 
+Equal rows (id and vector) are one with a number, so a vector that a third of the rows repeat is scored once a query.
+
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id; an
-empty vector scores 0; missing dimensions count as 0; rows that repeat an id are one vector, the smallest by value; no row
-of the query's own id is a candidate; ties go to the smaller id; other columns are ignored. Component sizes are
-bounded so that sums fit 64 bits.
+empty vector scores 0; missing dimensions count as 0; rows that repeat an id are rows of their own, each a candidate and, if
+the id is divisible, a query of its own, that leaves out itself alone; ties go to the smaller id; other columns are ignored.
+Products that may pass 64 bits are summed as Python integers: ranks are exact for any finite component; a score
+beyond a long is given as the nearest long.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +31,11 @@ K = 5
 EVERY = 50
 CANDIDATES = 4096
 QUERIES = 2048
+#: Integer components under NARROW in vectors of up to LONGEST dimensions have products whose sums fit 64 bits.
+NARROW, LONGEST = 1 << 24, 1 << 14
+#: Digits of the largest product sum of doubles.
+DIGITS = 640
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
 
 
 def ragged(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +49,7 @@ def ragged(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def accumulate(queries: pd.Series, candidates: pd.Series) -> np.ndarray:
-    """Scores of all queries and candidates, term at a time."""
+    """Scores of all queries and candidates, term at a time; sums must fit 64 bits."""
     scores = np.zeros((len(queries), len(candidates)), np.int64)
     q, c = ragged(queries), ragged(candidates)
     q_order, c_order = np.argsort(q[1], kind="stable"), np.argsort(c[1], kind="stable")
@@ -57,50 +67,94 @@ def accumulate(queries: pd.Series, candidates: pd.Series) -> np.ndarray:
     return scores
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best candidates but the query's own, in order; ties to the smaller id."""
-    keep = ids != own
-    ids, scores = ids[keep], scores[keep]
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = scores >= least
-        ids, scores = ids[some], scores[some]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def scaled(vector: np.ndarray) -> list[int]:
+    """floor(SCALE * x) of each component, for any finite double."""
+    return [math.floor(x) * SCALE if abs(x) >= 1 << 53 else math.floor(SCALE * x) for x in map(float, vector)]
+
+
+def split(vectors: pd.Series) -> tuple[pd.Series, dict[int, list[int]]]:
+    """The integer vectors, those with large components empty, and the latter by their place as Python integers."""
+    narrow, large = [], {}
+    for k, v in enumerate(vectors):
+        v = np.asarray(v, np.float64)
+        if len(v) and (np.abs(v).max() * SCALE >= NARROW or len(v) > LONGEST):
+            large[k] = scaled(v)
+            narrow.append(np.zeros(0, np.int64))
+        else:
+            narrow.append(np.floor(SCALE * v).astype(np.int64))
+    return pd.Series(narrow, dtype=object), large
+
+
+def exact(x: list[int], y: list[int]) -> int:
+    return sum(a * b for a, b in zip(x, y))
+
+
+def best(scores: np.ndarray, ids: np.ndarray, numbers: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best candidates in order, each as often as its number says; ties to the smaller id."""
+    at = np.flatnonzero(numbers > 0)
+    if len(at) > k:
+        least = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= least]
+    if scores.dtype == object:
+        order = at[sorted(range(len(at)), key=lambda i: (-scores[at[i]], ids[at[i]]))]
+    else:
+        order = at[np.lexsort((ids[at], -scores[at]))]
+    return np.repeat(order[:k], numbers[order[:k]])[:k]
+
+
+def as_long(score: int) -> tuple[int, str]:
+    """A score as a long, and for one beyond a text that orders such scores as their values."""
+    if -(1 << 63) < score < 1 << 63:
+        return score, ""
+    text = str(abs(score)).zfill(DIGITS)
+    return ((1 << 63) - 1, text) if score > 0 else (-(1 << 63), text.translate(_COMPLEMENT))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and the integer vector of the rows that take part, one row an id."""
-    finite = "forall({c}, x -> x is not null and not isnan(x) and abs(cast(x as double)) < 4294967296D)"
-    v = only(vectors, id_col, vector_col).toDF("vec_id", "v").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.expr(finite.format(c="v")))
-    v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(v, x -> cast(floor({SCALE} * cast(x as double)) as bigint))").alias("w"))
-    return v.groupBy("vec_id").agg(F.min("w").alias("w"))
+    """vec_id and vector v of the rows that take part, equal rows as one with their number m."""
+    finite = "forall(v, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
+    v = only(vectors, id_col, vector_col).toDF("vec_id", "v").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.expr(finite))
+    return v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("m"))
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each row whose id is divisible by `every`."""
-    v = usable(vectors, id_col, vector_col)
+    v = usable(vectors, id_col, vector_col).withColumn("key", F.xxhash64("v"))
     is_query = F.col("vec_id") % every == 0
     rows, n_queries = v.select(F.count(F.lit(1)), F.count_if(is_query)).first()
     c_blocks, q_blocks = max(1, -(-rows // CANDIDATES)), max(1, -(-n_queries // QUERIES))
-    slot = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    slot = lambda blocks: F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int")
     every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = v.select("vec_id", "w", F.lit(False).alias("query"), slot(c_blocks).alias("cb"), every_block(q_blocks).alias("qb"))
-    queries = v.filter(is_query).select("vec_id", "w", F.lit(True).alias("query"), every_block(c_blocks).alias("cb"), slot(q_blocks).alias("qb"))
+    own = ["vec_id", "v", "m", "key"]
+    candidates = v.select(*own, F.lit(False).alias("query"), slot(c_blocks).alias("cb"), every_block(q_blocks).alias("qb"))
+    queries = v.filter(is_query).select(*own, F.lit(True).alias("query"), every_block(c_blocks).alias("cb"), slot(q_blocks).alias("qb"))
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
         q, c = frame[frame["query"]], frame[~frame["query"]]
-        ids, out = c["vec_id"].to_numpy(), [pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "vec_id", "score")})]
+        ids, keys, numbers = (c[n].to_numpy() for n in ("vec_id", "key", "m"))
+        narrow, large = split(c["v"])
+        out: list[tuple] = []
         for at in range(0, len(q), 128):
             part = q.iloc[at : at + 128]
-            for own, scores in zip(part["vec_id"].to_numpy(), accumulate(part["w"], c["w"])):
-                i, s = best(scores, ids, own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": i, "score": s}))
-        return pd.concat(out)
-
-    partial = candidates.unionByName(queries).groupBy("cb", "qb").applyInPandas(block, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            own_narrow, own_large = split(part["v"])
+            table_of_scores = accumulate(own_narrow, narrow)
+            for row, (own_id, own_key, m) in enumerate(zip(part["vec_id"], part["key"], part["m"])):
+                scores = table_of_scores[row]
+                if large or row in own_large:
+                    scores = scores.astype(object)
+                    mine = own_large.get(row) or [int(x) for x in own_narrow.iloc[row]]
+                    for i in range(len(ids)) if row in own_large else large:
+                        scores[i] = exact(mine, large[i] if i in large else [int(x) for x in narrow.iloc[i]])
+                left = numbers - ((ids == own_id) & (keys == own_key))
+                out += [(own_id, own_key, m, ids[i], *as_long(int(scores[i]))) for i in best(scores, ids, left, k)]
+        columns = ["query_id", "key", "m", "vec_id", "score", "beyond"]
+        return pd.DataFrame(out, columns=columns).astype({n: "int64" for n in columns[:-1]})
+
+    partial = candidates.unionByName(queries).groupBy("cb", "qb").applyInPandas(block, "query_id long, key long, m long, vec_id long, score long, beyond string")
+    order = Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
+    found = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    each = F.explode(F.expr("sequence(1L, m)"))  # equal queries have equal results
+    return found.withColumn("copy", each).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
