@@ -1,6 +1,7 @@
 """Operator 10: quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms of a text are pairs of adjacent character classes and marks of repetition (a word equal to one of the last two
+Terms of a text, each group as shares of its own sum: words (WORDS hash buckets), sequences of three characters (BYTES buckets, over
+UTF-8 bytes), pairs of adjacent character classes, and marks of repetition (a word equal to one of the last two
 before it). Weighted term vectors (square roots of shares times inverse document frequency) of a bounded sample of
 labelled rows give, by singular value decomposition, a latent space. The labelled vectors are broadcast; every
 document is projected, its cosines with all labelled vectors come from exact blocked products, and its NEIGHBOURS
@@ -10,7 +11,8 @@ The sample: TRAIN_ROWS labelled rows at most, those with the smallest hash of do
 doc_id as text modulo 5 is 0). The broadcast is bounded by TRAIN_ROWS * DIMENSIONS numbers. Only the text is an input.
 
 Defined results: null and empty texts, and texts without latent direction, score the share of label 1 in the sample (or 0.5 without any
-labelled row); rows with equal doc_id score alike for equal texts; of several labels of one id the smallest counts, null labels and
+labelled row); cosines count to five decimals, and labelled rows that tie with the last neighbour all vote; rows with equal doc_id score alike
+for equal texts; texts of any length are counted whole; of several labels of one id the smallest counts, null labels and
 labels of unknown ids are ignored; null doc_ids are not held out; other columns are ignored.
 """
 
@@ -40,29 +42,42 @@ _CLASS = np.full(256, _OTHER, np.int64)
 _CLASS[128:] = 0
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[[ord(c) for c in _chars]] = _k
-N_TERMS = N_CLASSES * N_CLASSES + 2
+WORDS = BYTES = 512
+N_PAIRS = N_CLASSES * N_CLASSES
+N_TERMS = N_PAIRS + 2 + WORDS + BYTES
+#: Weights of the groups of terms, chosen with NEIGHBOURS.
+WEIGHTS = np.concatenate([np.full(N_PAIRS + 2, 1.0), np.full(WORDS, 0.6), np.full(BYTES, 0.6)]).astype(np.float32)
 
 
-def shares(column: pa.Array) -> np.ndarray:
-    """Square roots of the shares of the terms, a row a text; zeros for an empty one."""
+def counted(column: pa.Array) -> np.ndarray:
+    """Weighted square roots of the shares of the terms, a row a text; zeros for an empty one."""
     offsets, data = text_buffer(column)
     n, lengths = len(offsets) - 1, np.diff(offsets)
     counts = np.zeros((n, N_TERMS), np.float32)
+
+    def put(first: int, kinds: int, row: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
+        flat = np.bincount(row * kinds + kind, minlength=n * kinds)
+        counts[:, first : first + kinds] = flat.reshape(n, kinds) / np.maximum(total, 1)[:, None]
+
     if len(data) > 1:
         kind = _CLASS[data]
-        pair = kind[:-1] * N_CLASSES + kind[1:]
         row = np.repeat(np.arange(n), lengths)
         same = row[:-1] == row[1:]
-        flat = np.bincount((row[:-1] * (N_TERMS - 2) + pair)[same], minlength=n * (N_TERMS - 2))
-        counts[:, :-2] = flat.reshape(n, -1) / np.maximum(lengths - 1, 1)[:, None]
+        put(0, N_PAIRS, row[:-1][same], (kind[:-1] * N_CLASSES + kind[1:])[same], lengths - 1)
         words, _, _, first = words_of(offsets, data)
         per = np.diff(first)
         owner = np.repeat(np.arange(n), per)
         for back in (1, 2):
             again = np.zeros(len(words), bool)
             again[back:] = (words[back:] == words[:-back]) & (owner[back:] == owner[:-back])
-            counts[:, N_TERMS - 3 + back] = np.bincount(owner[again], minlength=n) / np.maximum(per, 1)
-    return np.sqrt(counts)
+            counts[:, N_PAIRS - 1 + back] = np.bincount(owner[again], minlength=n) / np.maximum(per, 1)
+        put(N_PAIRS + 2, WORDS, owner, (words >> np.uint64(16)).astype(np.int64) % WORDS, per)
+        if len(data) > 2:
+            x = data.astype(np.int64)
+            three = (x[:-2] * 0x9E37 + x[1:-1] * 0x79B9 + x[2:] * 0x85EB) >> 5
+            same = row[:-2] == row[2:]
+            put(N_PAIRS + 2 + WORDS, BYTES, row[:-2][same], three[same] % BYTES, lengths - 2)
+    return np.sqrt(counts) * WEIGHTS
 
 
 class Model:
@@ -73,8 +88,8 @@ class Model:
         seen = (terms > 0).sum(axis=0)
         self.idf = np.log((1 + len(terms)) / (1 + seen)).astype(np.float32) + 1
         weighted = terms * self.idf
-        _, _, axes = np.linalg.svd(weighted, full_matrices=False) if len(terms) else (0, 0, np.zeros((0, N_TERMS)))
-        self.axes = axes[:DIMENSIONS].T.astype(np.float32)
+        # right singular vectors, as eigenvectors of the terms' products
+        self.axes = np.linalg.eigh(weighted.T.astype(np.float64) @ weighted)[1][:, ::-1][:, : min(DIMENSIONS, len(terms))].astype(np.float32)
         self.vectors, self.labels = self.latent(terms), labels.astype(np.float32)
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
@@ -91,11 +106,12 @@ class Model:
         for at in range(0, len(terms), block):
             x = self.latent(terms[at : at + block])
             cosine = x @ self.vectors.T
-            near = np.argpartition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k :]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
+            cosine = np.round(cosine.astype(np.float64), 5)
+            last = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            weight = np.where(cosine >= last, np.maximum(cosine, 0), 0)
             total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1)
-            out[at : at + block] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
+            vote = weight @ self.labels
+            out[at : at + block] = np.where(total > 1e-9, np.minimum(vote / np.maximum(total, 1e-9), 1), self.prior)
         return out
 
 
@@ -113,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text"):
-                terms = pa.array([x.tobytes() for x in shares(batch.column("text"))], pa.binary())
+                terms = pa.array([x.tobytes() for x in counted(batch.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), terms], ["doc_id", "quality", "terms"])
 
     found = texts.mapInArrow(run, "doc_id long, quality int, terms binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("terms").alias("terms"))
@@ -122,35 +138,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(terms, np.array([r["quality"] for r in got], np.float32))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score; the documents' other columns stay."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score in a column of its own; all other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text", 2 << 20):
                 for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
-                    score = shared.value.score(shares(part.column("text")))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(counted(part.column(at))))], [*names, name])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text of documents for quality, as labels.quality marks it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    # texts go to the workers, scores come back without them
-    slim = only(docs, "doc_id", "text")
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_size(whole, "text", 2 << 20):
-                for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(shares(part.column("text"))))], ["doc_id", "score"])
-
-    out = slim.mapInArrow(run, "doc_id long, score double")
+    # the texts come back from the workers with the scores, but go no further
+    out = scored(docs, model).drop("text")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
