@@ -9,8 +9,8 @@ File (little-endian): magic `DAC1`, uint32 number of documents, uint64 number of
 (int64; null: the smallest int64), ends of the documents (uint64); then for each level uint64 length, its bytes, its bitmap
 (uint64 words, one spare) and its rank directory (uint64 each). The last level has no bitmap.
 
-Defined results: a null or empty text has only the end id; rows with equal doc_id are separate documents, those with
-a null doc_id come first; other columns are ignored. An empty table gives no file and no row. Spark sorts the
+Defined results: a null or empty text has only the end id; the string of a special token is that token, as the library has it; rows with
+equal doc_id are separate documents in the order of their texts' hashes and texts, those with a null doc_id come first; other columns are ignored. An empty table gives no file and no row. Spark sorts the
 documents into ranges, each task writes files of at most FILE_IDS ids (a document is never cut) under names of its
 own, and the table of files that it returns names only what a successful task has written.
 """
@@ -25,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintsieve.llm.common import by_size, fresh_path, local_file, only, table, wide, written
-from glintsieve.llm.pretoken import LATIN_WORD, Generations, plain_pieces, words
+from glintsieve.llm.pretoken import can_split
 
 MAGIC = b"DAC1"
 FILE_IDS = 4_000_000
 BLOCK = 512
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
+#: Words that are encoded in one string.
+STRUNG = 400
 _NULL_ID = -(1 << 63)
 
 
@@ -125,64 +128,84 @@ class Reader:
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them; words are encoded once and kept."""
+    """Ids of texts as the tokenizers library gives them; words are encoded once and kept.
+
+    Texts are cut into words by Arrow, equal words are found by dictionary encoding, and the ids of all words of a batch
+    are gathered from one pool by numpy. Texts with a special token's string or with odd white space go to the library whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: Generations[bytes] = Generations(CACHE_ENTRIES // 2)
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a token's string has one character a byte
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _strung(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space before each: strung together they are cut just there, so that many are encoded in one call."""
-        out: list[bytes] = []
-        rows = [words[at : at + 400] for at in range(0, len(words), 400)]
-        for row, e in zip(rows, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in rows], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in row])
-            at = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip([0, *at], at)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and their numbers."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learned(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each, one after the other, and their numbers.
+
+        Strung together words are cut just there, so that many are encoded in one call; the bytes of the tokens tell where.
+        """
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        names = words.to_pylist()
+        ids, _ = self._encoded([" " + " ".join(names[at : at + STRUNG]) for at in range(0, len(names), STRUNG)])
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        return ids, np.diff(last, prepend=0)
+
+    def _entries(self, words: pa.Array) -> np.ndarray:
+        """The place in the pool of each of some distinct words."""
+        if len(self.known) + len(words) > CACHE_ENTRIES:
+            self.forget()
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        out[out < 0] = len(self.starts) + np.arange(len(new))
+        self._put(*self._learned(new))
+        self.known = pa.concat_arrays([self.known, new])
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Puts the ids of words, each with a space before it, into the cache."""
-        known = self.words.young
-        plain = [w for w in new if LATIN_WORD.match(w)]
-        known.update(zip(plain, self._strung(plain)))
-        split = {w: plain_pieces(w) for w in new.difference(plain)}
-        inner = {p[1:] for x in split.values() if x for p in x if p[0] == " "}.difference(known)
-        known.update(zip(inner, self._strung(list(inner))))
-        bare = list({p for x in split.values() if x for p in x if p[0] != " "})
-        ids = dict(zip(bare, self._many(bare)))
-        odd = [w for w, x in split.items() if not x]
-        known.update(zip(odd, self._many([" " + w for w in odd])))
-        for w, x in split.items():
-            if x:
-                known[w] = b"".join([known[p[1:]] if p[0] == " " else ids[p] for p in x])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian uint32."""
-        cut = [words(t) if t else [] for t in texts]
-        heads = iter(self._many([x[0] for x in cut if x]))
-        whole = iter(self._many([t for t, x in zip(texts, cut) if x is None]))
-        tails = [x[1:] for x in cut if x]
-        new = self.words.missing(set().union(*tails))
-        if new:
-            self._learn(new)
-        get = self.words.young.__getitem__
-        rest = iter(tails)
-        return [next(whole) if x is None else next(heads) + b"".join(map(get, next(rest))) if x else b"" for x in cut]
+    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def encode(self, column: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column (null: empty), with those of `end` after each, and their numbers by text."""
+        texts = column.to_pylist()
+        plain = [bool(t) and can_split(t) and not any(s in t for s in self.special) for t in texts]
+        cut = pc.split_pattern(pc.if_else(pa.array(plain), column, ""), pattern=" ")
+        first = cut.offsets.to_numpy().astype(np.int64)
+        first, words = first - first[0], cut.flatten().dictionary_encode()
+        place = self._entries(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        # the first word of a text has no space before it; other texts are one piece
+        kept = len(self.starts), len(self.pool)
+        self._put(*self._encoded([t.partition(" ")[0] if p else t or "" for t, p in zip(texts, plain)]))
+        self._put(np.array(end, np.uint32), np.array([len(end)]))
+        place[first[:-1]] = kept[0] + np.arange(len(texts))
+        place = np.insert(place, first[1:], len(self.starts) - 1)
+        lengths = self.lengths[place]
+        ends = np.cumsum(lengths)
+        ids = self.pool[np.repeat(self.starts[place] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], first[1:] + np.arange(1, len(first))])])
+        self.starts, self.lengths, self.pool = self.starts[: kept[0]], self.lengths[: kept[0]], self.pool[: kept[1]]
+        return ids, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -198,36 +221,42 @@ def encoder(path: str) -> Encoder:
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes the token files into a folder and returns the table of files: file, first_doc, part, seq, n_docs, n_ids."""
+    """Writes the token files into a folder and returns the table of files: file, first_doc, first_key, task, seq, n_docs, n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         encode = encoder(tokenizer).encode
-        end = np.array([end_id], "<u4").tobytes()
         filesystem, root = local_file(folder)
-        task, seq, held, docs_held, counts = uuid.uuid4().hex, 0, [], [], []
+        task, seq, first_key = uuid.uuid4().hex, 0, 0
+        held: list[np.ndarray] = []
+        docs_held: list[int] = []
+        counts: list[int] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, docs_held, counts, total
+            nonlocal seq, total
             name = f"{root}/{task}-{seq:05d}.dac"
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             data = pack(np.array(docs_held, np.int64), np.array(counts, np.int64), ids)
             with filesystem.open_output_stream(name + ".tmp") as out:
                 out.write(data)
             filesystem.move(name + ".tmp", name)
-            row = {"file": [f"{folder}/{task}-{seq:05d}.dac"], "first_doc": [docs_held[0]], "task": [task], "seq": [seq], "n_docs": [len(docs_held)], "n_ids": [len(ids)]}
-            seq, held, docs_held, counts, total = seq + 1, [], [], [], 0
+            row = {"file": [f"{folder}/{task}-{seq:05d}.dac"], "first_doc": [docs_held[0]], "first_key": [first_key], "task": [task], "seq": [seq], "n_docs": [len(docs_held)], "n_ids": [len(ids)]}
+            seq, total = seq + 1, 0
+            for x in (held, docs_held, counts):
+                x.clear()
             return pa.RecordBatch.from_pydict(row, schema=_FILES)
 
         for whole in batches:
-            for batch in by_size(whole, "text", 2 << 20):
-                got = encode([t or "" for t in batch.column("text").to_pylist()])
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), got):
-                    held += [ids, end]
+            for batch in by_size(whole, "text", 8 << 20):
+                ids, numbers = encode(batch.column("text"), [end_id])
+                at = 0
+                for doc, key, n in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), numbers.tolist()):
+                    first_key = key if not docs_held else first_key
+                    held.append(ids[at : at + n])
                     docs_held.append(_NULL_ID if doc is None else doc)
-                    counts.append(len(ids) // 4 + 1)
-                    total += counts[-1]
+                    counts.append(n)
+                    at, total = at + n, total + n
                     if total >= FILE_IDS:
                         yield flush()
         if docs_held:
@@ -235,19 +264,21 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
 
     filesystem, root = local_file(folder)
     filesystem.create_dir(root, recursive=True)
-    ordered = only(docs, "doc_id", "text").repartitionByRange(4 * wide(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ordered.mapInArrow(run, "file string, first_doc long, task string, seq int, n_docs long, n_ids long")
+    keyed = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    ordered = keyed.repartitionByRange(4 * wide(docs.sparkSession), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return ordered.mapInArrow(run, "file string, first_doc long, first_key long, task string, seq int, n_docs long, n_ids long")
 
 
-_FILES = pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("task", pa.string()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+_FILES = pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("first_key", pa.int64()), ("task", pa.string()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, out of the files.
 
-    Files are ordered by first document, task and number; the window is over one row a file.
+    Files are ordered by first document, its key, task and number; the window is over one row a file.
     """
-    before = Window.orderBy("first_doc", "task", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_doc", "first_key", "task", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

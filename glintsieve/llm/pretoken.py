@@ -7,60 +7,19 @@ white space, a pre-token always begins, and no look-ahead crosses it. Texts are
 from __future__ import annotations
 
 import re
-from typing import Generic, TypeVar
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: White space other than the space and the line feed.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: A word without its space: one pre-token.
-LATIN_WORD = re.compile(rf"[{_LATIN}]+\Z")
-_PLAIN = re.compile(rf"[{_LATIN}0-9,.]+(?:\n[{_LATIN}0-9,.]+)*\Z")
-_PLAIN_PIECES = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[,.]+|\n")
 
-V = TypeVar("V")
 
-
-def words(text: str) -> list[str] | None:
-    """The text split at its spaces, or None where a space stands beside other white space or at an end.
-
-    All but the first word belong to the space before them.
-    """
-    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
-        return None
-    return text.split(" ")
+def can_split(text: str) -> bool:
+    """Whether a text may be split at its spaces: none stands beside other white space or at an end."""
+    return not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text))
 
 
 def chunks(text: str) -> list[str] | None:
-    """words(), each but the first with its space."""
-    parts = words(text)
-    return parts if parts is None else [parts[0], *[" " + x for x in parts[1:]]]
-
-
-def plain_pieces(word: str) -> list[str] | None:
-    """The pre-tokens of a space and a word of Latin letters, digits, commas, stops and single line ends; None for any other."""
-    return _PLAIN_PIECES.findall(" " + word) if _PLAIN.match(word) else None
-
-
-class Generations(Generic[V]):
-    """A cache in two generations: when the young one is full it becomes the old one, and what is used again comes back."""
-
-    def __init__(self, entries: int) -> None:
-        self.entries, self.young, self.old = entries, {}, {}
-
-    def missing(self, wanted: set[str]) -> set[str]:
-        """Makes room, brings back what the old generation has, and returns the rest."""
-        new = wanted.difference(self.young)
-        if len(self.young) + len(new) > self.entries:
-            self.old, self.young = self.young, {}
-            new = wanted
-        if self.old:
-            get, put = self.old.get, self.young
-            rest = set()
-            for k in new:
-                v = get(k)
-                if v is None:
-                    rest.add(k)
-                else:
-                    put[k] = v
-            new = rest
-        return new
+    """The text split at its spaces, each of which goes with what follows it, or None where it may not be split so."""
+    if not can_split(text):
+        return None
+    parts = text.split(" ")
+    return [parts[0], *[" " + x for x in parts[1:]]]
