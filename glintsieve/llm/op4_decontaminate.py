@@ -9,7 +9,7 @@ Items are handled in blocks of at most BLOCK_CHARS characters, each block a pass
 that a worker holds are bounded however many items there are.
 
 Defined results: null and empty texts hold no passage; empty items are ignored; equal items are separate items; rows with equal doc_id
-are separate documents; a null id stays null; other columns are ignored. A row is an item's best occurrence in
+are separate documents; a null id stays null; other columns are ignored by the search and kept by clean(). A row is an item's best occurrence in
 a document: the least distance, then the first end.
 """
 
@@ -123,15 +123,21 @@ class Matcher:
         return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, start_char, end_char (in the normalised text) and distance of every passage found."""
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The items that hold text, normalised, in blocks of about BLOCK_CHARS characters; one block is on the driver at a time."""
     items = only(benchmark, "item_id", "text").filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        own = docs.sparkSession.sparkContext.broadcast([(r["item_id"], normal(r["text"])) for r in part.collect()])
+        yield [(r["item_id"], normal(r["text"])) for r in part.toLocalIterator()]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, start_char, end_char (in the normalised text) and distance of every passage found."""
+    out = None
+    for block in blocks_of(benchmark):
+        own = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(own.value, rate)
@@ -146,7 +152,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                     if rows:
                         yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(_FOUND.names)}, schema=_FOUND)
 
-        found = only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start_char long, end_char long, distance int")
+        found = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start_char long, end_char long, distance int")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -155,9 +161,20 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_cha
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents in which no item occurs. Documents with a null doc_id that hold one go as well, and so do all rows of an id of which one does."""
-    leaks = matches(docs, benchmark, rate).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    """The rows in whose text no item occurs, each judged for itself: a filter in the workers, block after block, without a join."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    at = docs.columns.index("text")
+    for block in blocks_of(benchmark):
+        own = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(own.value, rate)
+            for whole in batches:
+                for batch in by_size(whole, "text"):
+                    yield batch.filter(pa.array([not (text and matcher.find(normal(text))) for text in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
