@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glintsieve.llm import op1_jaccard, op2_bpe, op3_secrets, op4_decontaminate, op10_quality
-from glintsieve.llm.common import fresh_path, table
+from glintsieve.llm.common import fresh_name, fresh_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -15,11 +16,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, learned from the labels of documents that are not held out."""
     model = op10_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return op10_quality.scored(docs, model).filter(f"score >= {op10_quality.THRESHOLD}").select(*[f"`{n}`" for n in docs.columns])
+    score = fresh_name(docs, "score")
+    return op10_quality.scored(docs, model, score).filter(F.col(score) >= op10_quality.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id."""
+    """One row of each group of linked ones: that with the smallest doc_id."""
     return op1_jaccard.first_of_each(docs)
 
 

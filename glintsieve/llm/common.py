@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         context = spark.sparkContext.getCheckpointDir()
         if context is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(context)
         named = context
@@ -54,6 +56,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def fresh_name(df: DataFrame, label: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {n.lower() for n in df.columns}
+    name = f"_{label}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 # --- numpy views ---------------------------------------------------------------------------------
 
 

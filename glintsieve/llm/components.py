@@ -69,6 +69,7 @@ def labels(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     few = e.count() <= one_task
     if few:
         e = written(_thinned(e.coalesce(1)), "stars")
+    done = few
     for _ in range(0 if few else 64):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: each node's larger neighbours go to the smallest node around it
@@ -82,6 +83,9 @@ def labels(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         e = written(stars.unionByName(split).distinct(), "small")
         # done when every node has one edge and no centre is itself a leaf
         if e.groupBy("a").count().filter("count > 1").isEmpty() and e.join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
+            done = True
             break
+    if not done:
+        raise RuntimeError("the components have not settled after 64 rounds")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

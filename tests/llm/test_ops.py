@@ -83,17 +83,68 @@ def test_op1_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found) == [(0, 26, 7), (7, 26, 7), (7, 26, 7), (9, 0, 9)]
 
 
-def test_op1_tree_loses_no_pair():
+def test_op1_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, text), (7, text), (None, text + " x"), (9, None), (9, None), (7, "other words are here now"), (None, "alone in this place here"), (None, "alone in this place here")]
+    kept = op1_jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"later": F.lit(1), "key": F.lit(2), "_id": F.lit(3), "_keep": F.lit(4)}))
+    assert kept.columns == ["doc_id", "text", "later", "key", "_id", "_keep"]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [(7, text), (9, None), (9, None), (7, "other words are here now"), (None, "alone in this place here")]))
+
+
+def near_sets(copies=15):
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (40, 300, 3000)]
-    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > cut], rng.integers(0, 1 << 63, int(cut * len(b)) + 1, dtype=np.uint64)])) for b in base for cut in (0, 0.02, 0.05, 0.1, 0.3) for _ in range(15)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > cut], rng.integers(0, 1 << 63, int(cut * len(b)) + 1, dtype=np.uint64)])) for b in base for cut in (0, 0.02, 0.05, 0.1, 0.3) for _ in range(copies)]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if op1_jaccard.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))]
+    return sets, linked
+
+
+def components_by(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        label = [min(x, y) if k in (x, y) else k for k in label]
+    return label
+
+
+def test_op1_trees_lose_no_link():
+    sets, links = near_sets()
     sizes, parts = np.array([len(s) for s in sets]), np.arange(len(sets))
-    maps = np.stack([op1_jaccard.folded(np.frombuffer(op1_jaccard.bitmap(s), np.uint64), 16) for s in sets])
-    order = np.lexsort((maps[:, 0], sizes))
-    a, b = op1_jaccard.candidates(op1_jaccard.SignatureTree(maps[order], sizes[order], parts[order]))
-    got = {tuple(sorted((int(order[i]), int(order[j])))) for i, j in zip(a, b)}
-    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if op1_jaccard.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))}
-    assert true and true <= got and len(got) < len(sets) * (len(sets) - 1) // 4
+    maps = [op1_jaccard.bitmap(s) for s in sets]
+    assert len({len(m) for m in maps}) > 1 and links
+    verify = lambda i, j: op1_jaccard.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))
+    a, b = op1_jaccard.connect(maps, sizes, parts, verify=verify)
+    assert components_by(len(sets), zip(a, b)) == components_by(len(sets), links) and len(a) < len(sets)
+    may = components_by(len(sets), zip(*op1_jaccard.connect(maps, sizes, parts)))
+    assert all(may[i] == may[j] for i, j in links) and len(set(may)) > 10
+    sides = np.arange(len(sets)) % 2  # only pairs of two sides
+    a, b = op1_jaccard.connect(maps, sizes, parts, sides, verify)
+    assert components_by(len(sets), zip(a, b)) == components_by(len(sets), [(i, j) for i, j in links if (i + j) % 2])
+    # node pairs of unrelated sets are pruned above the leaves
+    rng = np.random.default_rng(1)
+    groups = [np.unique(np.concatenate([base[i:], rng.integers(0, 1 << 63, i, dtype=np.uint64)])) for base in rng.integers(0, 1 << 63, (32, 300), dtype=np.uint64) for i in range(op1_jaccard.LEAF)]
+    tree = op1_jaccard.SignatureTree(np.stack([op1_jaccard.bitmap(x) for x in groups]), np.array([len(x) for x in groups]))
+    i, j = op1_jaccard.leaf_pairs(tree)
+    assert (i == j).sum() == 32 and len(i) < 32 * 8 and len(tree.levels) == 6
+
+
+def test_op1_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(160):  # a chain of copies: neighbours link, distant ones do not
+        w = base[k : k + 120] if k % 3 else [*base[k : k + 119], f"x{k}"]
+        rows.append((k, " ".join(w)))
+    rows += [(500 + k, " ".join(base[:100] + [f"y{k}-{i}" for i in range(40)])) for k in range(30)]  # near, but no link
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_jaccard.joined(docs).collect()}
+    assert found == brute_components(dict(rows))
+    whole = op1_jaccard._connected
+    monkeypatch.setattr(op1_jaccard, "_connected", lambda *a, **b: whole(*a, **b, block=16))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op1_jaccard.joined(docs).collect()} == found
+    monkeypatch.setattr(op1_jaccard, "HOT", 20)
+    monkeypatch.setattr(op1_jaccard, "FREQUENT", 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op1_jaccard.joined(docs).collect()} == found
 
 
 def test_components_of_a_long_path(spark):
@@ -289,7 +340,6 @@ def test_op7_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(op7_tokens.default_tokenizer())
-    library.encode_special_tokens = True
     folder = op7_tokens.fresh_path(spark, "tokens-test")
     rows = op7_tokens.read_files(op7_tokens.written(op7_tokens.write_files(docs.repartition(5), folder, op7_tokens.default_tokenizer()), "files-test")).orderBy("doc_id").collect()
     start = 0
@@ -297,6 +347,13 @@ def test_op7_files(spark, docs, empty):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    odd = [(3, "hello <|endoftext|> world"), (3, "<|endoftext|>"), (1, None), (None, " a  b\u3000c \n"), (3, "don't, x.\ny"), (3, "don't, x.\ny"), (2, "日本語 テスト é!!")]
+    frame = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"key": F.lit("clash"), "file": F.lit(1)}).repartition(4)
+    got = op7_tokens.read_files(op7_tokens.written(op7_tokens.write_files(frame, folder, op7_tokens.default_tokenizer()), "files-test")).collect()
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 0]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((k or 0, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for k, t in odd)
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 3, 3] and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
     assert op7_tokens.read_files(op7_tokens.written(op7_tokens.write_files(empty, folder, op7_tokens.default_tokenizer()), "files-test")).count() == 0
 
 
@@ -335,14 +392,18 @@ def test_op8_equals_all_runs(spark, docs, empty):
 def test_op9_equals_sorting(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.normal(size=8).round(1)]) for k in range(130)] + [(130, None), (150, [1.0, float("nan")] + [0.0] * 6), (200, [0.5] * 8), (250, [0.5] * 8), (251, [0.5] * 8), (252, [])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("query", F.lit(1))
+    rows += [(50, [2.0] * 8), (50, [2.0] * 8), (7, [2.0]), (7, [3.0]), (7, [3.0]), (None, [9.0] * 8), (300, [4e9, 4e9] + [0.0] * 6), (301, [4e9, 5e9]), (302, [3e30, -3e30]), (303, [-3e30, 2e30]), (350, [1e38])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "query": F.lit(1), "m": F.lit(1), "key": F.lit(1)})
     got = collections.defaultdict(list)
-    for r in op9_topk.top_k(frame).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    usable = {k: np.floor(256 * np.array(v, np.float32).astype(float)) for k, v in rows if v is not None and all(np.isfinite(v))}
-    for q in (k for k in usable if k % 50 == 0):
-        score = {k: int((usable[q][: len(v)] * v[: len(usable[q])]).sum()) for k, v in usable.items() if k != q}
-        assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+    for r in op9_topk.top_k(frame).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    usable = [(k, op9_topk.scaled(np.array(v, np.float32))) for k, v in rows if k is not None and v is not None and all(np.isfinite(v))]
+    expected = collections.defaultdict(list)
+    for i, (q, x) in enumerate(usable):
+        if q % 50 == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(x, y)), k) for j, (k, y) in enumerate(usable) if j != i))[:5]
+            expected[q] += [(rank, k, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, k) in enumerate(scores, 1)]
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in expected.items()}
     assert op9_topk.top_k(frame.limit(0)).count() == 0
 
 
@@ -353,11 +414,22 @@ def test_op10_held_out_accuracy(spark):
     assert len(held) > 40 and np.mean([r.predicted == r.quality for r in held]) > 0.95
 
 
+def test_op10_ties_all_vote():
+    import pyarrow as pa
+
+    terms = op10_quality.counted(pa.array(["aa bb cc"] * 6 + ["!! 12 !!"] * 2))
+    labels = np.array([1, 0, 1, 0, 0, 1, 0, 0], np.float32)
+    for order in (np.arange(8), np.arange(8)[::-1]):
+        model = op10_quality.Model(terms[order], labels[order])
+        assert np.allclose(model.score(terms[[0, 6]]), [0.5, 0.0])
+    assert op10_quality.counted(pa.array([None, "", "x"])).shape == (3, op10_quality.N_TERMS)
+
+
 def test_op10_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(6, 1), (7, 0), (8, None), (None, 1), (999, 0)], "doc_id long, quality int")
-    model = op10_quality.fit(docs.drop("score"), labels)
-    rows = op10_quality.scored(docs.drop("score"), model).collect()
-    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    model = op10_quality.fit(docs, labels)
+    rows = op10_quality.scored(docs, model, "own").collect()
+    assert len(rows) == docs.count() and all(0 <= r.own <= 1 and r.score == 1.0 for r in rows)
     none = op10_quality.fit(empty, labels)
     assert {r.score for r in op10_quality.scored(docs.drop("score"), none).collect()} == {0.5}
-    assert op10_quality.scored(empty.drop("score"), model).count() == 0
+    assert op10_quality.scored(empty, model, "own").count() == 0
