@@ -83,7 +83,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data
 
 
-def by_size(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, name: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of the column each: bounds memory with long texts."""
     offsets, _ = text_buffer(batch.column(name))
     at = 0

@@ -38,7 +38,7 @@ FOLDS = 5
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t\v\f", ".", ",", "!", "|", "*", "#", "$", "%", "&", "-_", "\"'`", "()[]{}<>", "?", ":;", "=+/\\@^~"]
 _OTHER = len(_CLASSES)
 N_CLASSES = _OTHER + 1
-_CLASS = np.full(256, _OTHER, np.int64)
+_CLASS = np.full(256, _OTHER, np.int32)
 _CLASS[128:] = 0
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[[ord(c) for c in _chars]] = _k
@@ -56,25 +56,25 @@ def counted(column: pa.Array) -> np.ndarray:
     counts = np.zeros((n, N_TERMS), np.float32)
 
     def put(first: int, kinds: int, row: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
-        flat = np.bincount(row * kinds + kind, minlength=n * kinds)
+        flat = np.bincount(row * np.int32(kinds) + kind, minlength=n * kinds)
         counts[:, first : first + kinds] = flat.reshape(n, kinds) / np.maximum(total, 1)[:, None]
 
     if len(data) > 1:
         kind = _CLASS[data]
-        row = np.repeat(np.arange(n), lengths)
+        row = np.repeat(np.arange(n, dtype=np.int32), lengths)
         same = row[:-1] == row[1:]
         put(0, N_PAIRS, row[:-1][same], (kind[:-1] * N_CLASSES + kind[1:])[same], lengths - 1)
         words, _, _, first = words_of(offsets, data)
         per = np.diff(first)
-        owner = np.repeat(np.arange(n), per)
+        owner = np.repeat(np.arange(n, dtype=np.int32), per)
         for back in (1, 2):
             again = np.zeros(len(words), bool)
             again[back:] = (words[back:] == words[:-back]) & (owner[back:] == owner[:-back])
             counts[:, N_PAIRS - 1 + back] = np.bincount(owner[again], minlength=n) / np.maximum(per, 1)
-        put(N_PAIRS + 2, WORDS, owner, (words >> np.uint64(16)).astype(np.int64) % WORDS, per)
+        put(N_PAIRS + 2, WORDS, owner, ((words >> np.uint64(16)) % np.uint64(WORDS)).astype(np.int32), per)
         if len(data) > 2:
-            x = data.astype(np.int64)
-            three = (x[:-2] * 0x9E37 + x[1:-1] * 0x79B9 + x[2:] * 0x85EB) >> 5
+            x = data.astype(np.int32)
+            three = (x[:-2] * 0x9E37 + x[1:-1] * 0x79B9 + x[2:] * 0x85EB) >> 5  # under 2**31
             same = row[:-2] == row[2:]
             put(N_PAIRS + 2 + WORDS, BYTES, row[:-2][same], three[same] % BYTES, lengths - 2)
     return np.sqrt(counts) * WEIGHTS
@@ -146,8 +146,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_size(whole, "text", 2 << 20):
-                for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
+            for batch in by_size(whole, "text"):
+                for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(counted(part.column(at))))], [*names, name])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)

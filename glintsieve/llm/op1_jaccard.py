@@ -313,14 +313,14 @@ def _first_pass(keyed: DataFrame) -> DataFrame:
                 for h, x in zip(hashes, sets):
                     new = len(x) and (h, len(x)) not in seen
                     if new:
-                        if len(seen) < 200_000:
+                        if len(seen) < 100_000:
                             seen.add((h, len(x)))
                         held.append(x)
                         size += len(x)
                     sigs.append(bitmap(x).tobytes() if new else None)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(hashes, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int64())], ["doc_id", "key", "h", "n", "sig", "c"])
-                if size > 6_000_000:
+                if size > 3_000_000:
                     yield recurring()
         if held:
             yield recurring()
@@ -353,7 +353,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, hot: bo
                     h = set_hash(x)
                     if (h, len(x)) in seen:
                         continue
-                    if len(seen) < 200_000:
+                    if len(seen) < 100_000:
                         seen.add((h, len(x)))
                     p, c = prefix_length(len(x)), count[start:end]
                     order = x[:p]
@@ -402,7 +402,7 @@ def _lists(prefixes: DataFrame) -> DataFrame:
                 name = int(names[k])
                 if name in given:
                     keep[k] = False
-                elif len(given) < 200_000:
+                elif len(given) < 100_000:
                     given.add(name)
             some = np.repeat(keep, lengths)
             if some.any():
