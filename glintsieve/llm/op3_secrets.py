@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintsieve.llm import forest
-from glintsieve.llm.common import only, table
+from glintsieve.llm.common import fresh_name, only, table
 
 MARK = "[SECRET]"
 CONTEXT = 48
 THRESHOLD = 0.5
 FINDINGS = 1600
+SUMMED = 128
 
 _NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential"
 #: Possessive groups are loops in the regex engine, not recursion, so bodies may be of any length.
@@ -43,7 +44,7 @@ _HINT = rf"(?i)({_NAMES}|auth|bearer)[^A-Za-z0-9]{{0,6}}$|(?i)({_NAMES}|auth|bea
 _HARMLESS = r"(?i)\b(sha-?\d*|md5|checksum|commit|digest|hash|uuid|guid|example|sample|dummy|placeholder|test|integrity|revision|version|build|order|invoice|card|phone|tel|iban|isbn|id)\b"
 #: Word parts that candidates of ordinary text are made of (fixed values).
 _DICTIONARY = "the|and|ing|tion|ment|able|ness|ation|user|name|file|path|data|test|example|config|value|default|index|page|image|style|module|class|function|service|account|number|order|version|build|release|package|placeholder|change|your|here|key|secret|password|token"
-FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "turns", "repeats", "distinct", "dictionary", "hexadecimal", "decimal", "uuid", "provider", "pem", "named", "hint", "harmless", "path", "url", "assigned"]
+FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "turns", "repeats", "distinct", "dictionary", "hexadecimal", "decimal", "uuid", "provider", "pem", "named", "hint", "harmless", "path", "url", "assigned", "trial", "settings"]
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -55,8 +56,8 @@ def _quoted(hit: Column) -> Column:
     return hit.rlike("[\"']$")
 
 
-def features(hit: Column, left: Column, right: Column) -> list[Column]:
-    """The features of a candidate as doubles, in the order of FEATURES."""
+def features(hit: Column, left: Column, right: Column, origin: Column) -> list[Column]:
+    """The features of a candidate as doubles, in the order of FEATURES. origin: the path or name of where the text comes from."""
     named = hit.rlike(f"^{_ASSIGNED}")
     v = F.when(named, F.regexp_extract(hit, _VALUE, 1)).otherwise(hit)
     n = F.greatest(F.length(v), F.lit(1))
@@ -64,6 +65,7 @@ def features(hit: Column, left: Column, right: Column) -> list[Column]:
     flags = [
         v.rlike(r"^[0-9a-fA-F]+$"), v.rlike(r"^[0-9+-]+$"), v.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), v.rlike(_PROVIDERS), hit.startswith("-----BEGIN"),
         named, left.rlike(_HINT) | named, left.rlike(_HARMLESS) | right.rlike(r"(?i)^\W{0,3}\b(checksum|commit|hash|digest)\b"), left.rlike(r"[/\\.][^\s\"']{0,40}$") | v.rlike(r"^/|/.*/.*/"), left.rlike(r"(?i)(https?:|www\.)\S{0,48}$"), left.rlike(r"[:=]\s{0,3}[\"']?$") | named,
+        origin.rlike(r"(?i)(^|[/_.-])(tests?|examples?|samples?|fixtures?|mocks?|docs?|locks?)([/_.-]|$)"), origin.rlike(r"(?i)[.](env|ya?ml|ini|conf|cfg|toml|properties|pem|key|tfvars)([.]|$)|(^|/)(config|deploy|secrets?)/"),
     ]
     return [
         F.length(v).cast("double"), _share(v, "[0-9]"), _share(v, "[A-Z]"), _share(v, "[a-z]"), _share(v, "[^A-Za-z0-9]"), turns / n, _share(v, r"(.)(?=\1)"),
@@ -71,9 +73,9 @@ def features(hit: Column, left: Column, right: Column) -> list[Column]:
     ]
 
 
-def labelled() -> list[tuple[str, str, str, int]]:
-    """Labelled findings: candidate, words before, words after, and 1 for a secret."""
-    rng = random.Random(20240517)
+def labelled(seed: int = 20240517) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings: candidate, words before, words after, path, and 1 for a secret."""
+    rng = random.Random(seed)
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexa, alnum, b64, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789"
     words = _DICTIONARY.split("|") + ["river", "house", "thing", "other", "about", "where", "there", "water", "people", "little"]
@@ -118,41 +120,57 @@ def labelled() -> list[tuple[str, str, str, int]]:
         while not found:  # the candidate as the scan cuts it out of the words around; not every draw makes one
             hit, left, right = group[k // 2 % len(group)]()
             found = next((m for m in re.finditer(CANDIDATE, left + hit + right, re.ASCII) if m.end() >= len(left) + len(hit) and m.start() < len(left) + len(hit)), None)
-        out.append((found[0], found.string[: found.start()][-CONTEXT:], found.string[found.end() :][:CONTEXT], label))
+        # most texts have no telling path; trials hold more false positives, settings more secrets
+        telling = rng.choice(["src12", "", "en", *(["config/prod.env", "deploy/values.yaml", "tests/data/a.json"] if label else ["tests/test_a.py", "docs/example.md", "a/package-lock.json", "settings.ini"])])
+        out.append((found[0], found.string[: found.start()][-CONTEXT:], found.string[found.end() :][:CONTEXT], telling, label))
     return out
 
 
 _TREES: list[list[forest.Tree]] = []
 
 
+def examples(spark: SparkSession, found: list[tuple[str, str, str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that Spark computes of labelled findings, and their labels."""
+    rows = json.dumps([{"h": h, "l": a, "r": b, "p": p, "y": y} for h, a, b, p, y in found])
+    frame = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<h:string,l:string,r:string,p:string,y:int>>")))
+    columns = features(*[F.col(n) for n in "hlrp"])
+    got = frame.select("y", *[c.alias(n) for n, c in zip(FEATURES, columns)]).collect()
+    return np.array([[r[n] for n in FEATURES] for r in got], float), np.array([r["y"] for r in got], float)
+
+
 def trees(spark: SparkSession) -> list[forest.Tree]:
-    """The forest, grown once a process from the features that Spark computes of the labelled findings."""
+    """The forest, grown once a process."""
     if not _TREES:
-        rows = json.dumps([{"h": h, "l": a, "r": b, "y": y} for h, a, b, y in labelled()])
-        frame = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<h:string,l:string,r:string,y:int>>")))
-        columns = features(F.col("h"), F.col("l"), F.col("r"))
-        got = frame.select("y", *[c.alias(n) for n, c in zip(FEATURES, columns)]).collect()
-        x = np.array([[r[n] for n in FEATURES] for r in got], float)
-        _TREES.append(forest.grow(x, np.array([r["y"] for r in got], float)))
+        _TREES.append(forest.grow(*examples(spark, labelled())))
     return _TREES[0]
 
 
-def with_findings(docs: DataFrame) -> DataFrame:
-    """docs with findings, an array of (first, text, start, size, rule, score, secret) in text order, empty where nothing is found, and pieces, the text between the candidates."""
+def with_findings(docs: DataFrame, hits: str, pieces: str, found: str) -> DataFrame:
+    """docs with the candidates, the texts between them and the judged candidates (value, start, lead, hit, rule, score), in columns of the given names.
+
+    Each step is a column that later ones use more than once, so that the optimizer keeps it and the texts are searched once. Offsets are
+    sums within groups of SUMMED candidates and before them, so the cost of many candidates is not that of their pairs.
+    """
     grown = trees(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    hits = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    d = docs.withColumn("_hits", hits)
-    d = d.withColumn("_pieces", F.when(F.size("_hits") > 0, F.split(text, CANDIDATE, -1)))
-    sizes = F.transform(F.sequence(F.lit(1), F.size("_hits")), lambda i: F.length(F.element_at("_pieces", i)) + F.length(F.element_at("_hits", i)))
+    sizes, groups, before = (fresh_name(docs, n) for n in ("sizes", "groups", "before"))
+    origin = F.coalesce(docs["source"].cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    n = F.size(hits)
+    total = lambda c, first, count: F.aggregate(F.slice(c, first, count), F.lit(0), lambda a, b: a + b)
+    d = docs.withColumn(hits, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    d = d.withColumn(pieces, F.when(n > 0, F.split(text, CANDIDATE, -1)))
+    d = d.withColumn(sizes, F.when(n > 0, F.zip_with(F.slice(pieces, F.lit(1), n), hits, lambda p, h: F.length(p) + F.length(h))))
+    d = d.withColumn(groups, F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SUMMED).cast("int")), lambda k: total(sizes, k * SUMMED + 1, F.lit(SUMMED)))))
+    d = d.withColumn(before, F.when(n > 0, F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda k: total(groups, F.lit(1), k))))
 
     def candidate(i: Column) -> Column:
-        hit, left, right = F.element_at("_hits", i), F.element_at("_pieces", i), F.element_at("_pieces", i + 1)
-        before = F.aggregate(F.slice(sizes, F.lit(1), i - 1), F.lit(0), lambda a, b: a + b)
-        return F.struct(hit.alias("hit"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right"), (before + F.length(left)).alias("at"))
+        hit, left, right = F.element_at(hits, i), F.element_at(pieces, i), F.element_at(pieces, i + 1)
+        k = F.floor((i - 1) / SUMMED).cast("int")
+        at = F.element_at(before, k + 1) + total(sizes, k * SUMMED + 1, i - 1 - k * SUMMED)
+        return F.struct(hit.alias("hit"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right"), (at + F.length(left)).alias("at"))
 
     def measured(c: Column) -> Column:
-        return F.struct(c["hit"].alias("hit"), c["at"].alias("at"), *[f.alias(n) for n, f in zip(FEATURES, features(c["hit"], c["left"], c["right"]))])
+        return F.struct(c["hit"].alias("hit"), c["at"].alias("at"), *[f.alias(n) for n, f in zip(FEATURES, features(c["hit"], c["left"], c["right"], origin))])
 
     def judged(c: Column) -> Column:
         value = F.when(c["named"] > 0, F.regexp_extract(c["hit"], _VALUE, 1)).otherwise(c["hit"])
@@ -160,29 +178,31 @@ def with_findings(docs: DataFrame) -> DataFrame:
         rule = F.when(c["pem"] > 0, "private_key").when(c["provider"] > 0, "provider_token").when(c["hint"] > 0, "assigned_secret").otherwise("high_entropy")
         return F.struct(value.alias("value"), (c["at"] + lead).alias("start"), lead.alias("lead"), c["hit"].alias("hit"), rule.alias("rule"), forest.score(grown, [c[n] for n in FEATURES]).alias("score"))
 
-    found = F.transform(F.transform(F.transform(F.sequence(F.lit(1), F.size("_hits")), candidate), measured), judged)
+    all_found = F.transform(F.transform(F.transform(F.sequence(F.lit(1), n), candidate), measured), judged)
     none = F.expr("cast(array() as array<struct<value:string,start:int,lead:int,hit:string,rule:string,score:double>>)")
-    return d.withColumn("_found", F.when(F.size("_hits") > 0, found).otherwise(none))
+    return d.withColumn(found, F.when(n > 0, all_found).otherwise(none)).drop(sizes, groups, before)
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, start_char, n_chars, rule, score and value_sha256 of every secret (score of THRESHOLD or more); the value itself is not given."""
-    d = with_findings(only(docs, "doc_id", "text")).filter(F.size("_hits") > 0)
-    f = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("_found").alias("f"))
+    d = with_findings(only(docs, "doc_id", "text", *[n for n in docs.columns if n == "source"]), "hits", "pieces", "found")
+    # explode_outer: for explode the optimizer adds a filter on the array, below the columns it is made of, and computes these in it again and again
+    f = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode_outer("found").alias("f"))
     return f.filter(F.col("f.score") >= THRESHOLD).select("doc_id", F.col("f.start").cast("long").alias("start_char"), F.length("f.value").cast("long").alias("n_chars"), F.col("f.rule").alias("rule"), F.round("f.score", 6).alias("score"), F.sha2("f.value", 256).alias("value_sha256"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with secrets replaced by MARK in text, and n_chars counted anew where something was replaced."""
     names = docs.columns
-    d = with_findings(docs)
-    part = lambda p, f: F.concat(p, F.when(f["score"] >= THRESHOLD, F.concat(F.left(f["hit"], f["lead"]), F.lit(MARK), F.expr("''"))).otherwise(f["hit"]))
+    hits, pieces, found, text = (fresh_name(docs, n) for n in ("hits", "pieces", "found", "text"))
+    d = with_findings(docs, hits, pieces, found)
+    part = lambda p, f: F.concat(p, F.when(f["score"] >= THRESHOLD, F.concat(F.left(f["hit"], f["lead"]), F.lit(MARK))).otherwise(f["hit"]))
     # a quoted hit ends with its quote, which stays
     tail = lambda f: F.when((f["score"] >= THRESHOLD) & (f["lead"] > 0) & _quoted(f["hit"]), F.right(f["hit"], F.lit(1))).otherwise(F.lit(""))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("_pieces", F.lit(1), F.size("_hits")), "_found", lambda p, f: F.concat(part(p, f), tail(f))), ""), F.element_at("_pieces", -1))
-    any_secret = (F.size("_hits") > 0) & F.exists("_found", lambda f: f["score"] >= THRESHOLD)
-    d = d.withColumn("_text", F.when(any_secret, joined).otherwise(F.col("text")))
-    out = {"text": F.col("_text")} | ({"n_chars": F.when(any_secret, F.length("_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
+    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), found, lambda p, f: F.concat(part(p, f), tail(f))), ""), F.element_at(pieces, -1))
+    any_secret = (F.size(hits) > 0) & F.exists(found, lambda f: f["score"] >= THRESHOLD)
+    d = d.withColumn(text, F.when(any_secret, joined).otherwise(F.col("text")))
+    out = {"text": F.col(text)} | ({"n_chars": F.when(any_secret, F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
     return d.select(*[out[n].alias(n) if n in out else F.col(f"`{n}`") for n in names])
 
 

@@ -233,6 +233,29 @@ def test_op3_long_secrets_go_whole(spark):
     assert candidate.search("x " + "a" * 100 + "1 y")[0] == "a" * 100 + "1"
 
 
+def test_op3_many_candidates_are_found_in_order(spark):
+    rng = random.Random(3)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(700)]
+    text = " and ".join(f'token = "{v}"' for v in values)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = sorted((r.start_char, r.n_chars) for r in op3_secrets.findings(frame).collect())
+    assert [text[a : a + n] for a, n in found] == values
+    clash = frame.withColumns({n: F.lit(1) for n in ("_hits", "_pieces", "_found", "_text", "_sizes", "hits", "found", "source")})
+    row = op3_secrets.redacted(clash).first()
+    assert row.text == " and ".join([f'token = "{op3_secrets.MARK}"'] * len(values)) and row._hits == row.hits == 1
+
+
+def test_op3_held_out_findings(spark):
+    from glintsieve.llm import forest
+
+    x, y = op3_secrets.examples(spark, op3_secrets.labelled(seed=7))
+    grown = op3_secrets.trees(spark)
+    said = np.array([forest.predict(grown, row) >= op3_secrets.THRESHOLD for row in x])
+    precision, recall = (said & (y > 0)).sum() / said.sum(), (said & (y > 0)).sum() / (y > 0).sum()
+    print(f"op3 held out: precision {precision:.4f} recall {recall:.4f} of {len(y)}")
+    assert precision > 0.95 and recall > 0.95
+
+
 def test_op3_forest_is_the_same_on_the_driver_and_in_sql(spark):
     from glintsieve.llm import forest
 
