@@ -37,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
-    return op2_bpe.digest_table(docs, *op2_bpe.default_vocabulary(), keep=("lang", "source"))
+    return op2_bpe.digest_table(docs, *op2_bpe.default_vocabulary(), keep=("lang", "source"), release=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -63,10 +63,14 @@ def _thinned(edges: DataFrame) -> DataFrame:
 def labels(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node and label, the smallest node of its component, for every node of an edge (columns a and b, long).
 
-    Up to one_task edges of the thinned forest are finished by a single task, more of them by alternating stars.
+    Up to one_task edges are finished by a single task; more of them are thinned to a forest of each chunk first, and
+    those by alternating stars if they are still more.
     """
-    e = written(_thinned(edges.filter("a <> b")), "edges")
+    e = written(edges.filter("a <> b").select("a", "b"), "edges")
     few = e.count() <= one_task
+    if not few:
+        e = written(_thinned(e), "thinned")
+        few = e.count() <= one_task
     if few:
         e = written(_thinned(e.coalesce(1)), "stars")
     done = few

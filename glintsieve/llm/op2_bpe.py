@@ -13,7 +13,6 @@ in a bounded cache per worker.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import by_size, only, table
+from glintsieve.llm.common import by_size, lean, only, table
 from glintsieve.llm.pretoken import chunks
 
 #: Entries of the cache of a worker; beyond it is emptied. Bounds memory, changes no result.
@@ -211,8 +210,7 @@ class Codec:
         """Brings all the pieces of some texts into the cache; single: each is one pre-token."""
         wanted = set().union(*cut) if cut else set()
         if len(self.written) + len(wanted.difference(self.written)) > CACHE_ENTRIES:
-            self.written.clear()
-            self.decoded.clear()
+            self.forget()
         new = wanted.difference(self.written)
         if single:
             return self.learn(new)
@@ -227,6 +225,10 @@ class Codec:
                 decoded[c] = b"".join([decoded[p] for p in x])
         return None
 
+    def forget(self) -> None:
+        self.written.clear()
+        self.decoded.clear()
+
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         cut = [self.find(t) for t in texts]
         self.prepare(cut, True)
@@ -267,11 +269,11 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        gc.disable()  # the caches are large and hold no cycles
-        for whole in batches:
-            for batch in by_size(whole, "text"):
-                ids = c.encode_many([t or "" for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "tokens"])
+        with lean():
+            for whole in batches:
+                for batch in by_size(whole, "text"):
+                    ids = c.encode_many([t or "" for t in batch.column("text").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "tokens"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>")
 
@@ -288,18 +290,18 @@ def decode_table(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return only(tokens, "doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
 
 
-def digest_table(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; keep: further columns to carry along."""
+def digest_table(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (), release: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; keep: further columns to carry along; release: workers empty their caches after each task."""
     names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        gc.disable()  # the caches are large and hold no cycles
-        for whole in batches:
-            for batch in by_size(whole, "text", 2 << 20):
-                got = c.digests([t or "" for t in batch.column("text").to_pylist()])
-                columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with lean(c.forget if release else None):
+            for whole in batches:
+                for batch in by_size(whole, "text", 2 << 20):
+                    got = c.digests([t or "" for t in batch.column("text").to_pylist()])
+                    columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -17,7 +17,6 @@ own, and the table of files that it returns names only what a successful task ha
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 import zlib
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import by_size, fresh_path, local_file, only, table, wide, written
+from glintsieve.llm.common import by_size, fresh_path, lean, local_file, only, table, wide, written
 from glintsieve.llm.pretoken import can_split
 
 MAGIC = b"DAC1"
@@ -224,7 +223,6 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
     """Writes the token files into a folder and returns the table of files: file, first_doc, first_key, task, seq, n_docs, n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         encode = encoder(tokenizer).encode
         filesystem, root = local_file(folder)
         task, seq, first_key = uuid.uuid4().hex, 0, 0
@@ -247,18 +245,19 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
                 x.clear()
             return pa.RecordBatch.from_pydict(row, schema=_FILES)
 
-        for whole in batches:
-            for batch in by_size(whole, "text", 8 << 20):
-                ids, numbers = encode(batch.column("text"), [end_id])
-                at = 0
-                for doc, key, n in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), numbers.tolist()):
-                    first_key = key if not docs_held else first_key
-                    held.append(ids[at : at + n])
-                    docs_held.append(_NULL_ID if doc is None else doc)
-                    counts.append(n)
-                    at, total = at + n, total + n
-                    if total >= FILE_IDS:
-                        yield flush()
+        with lean():
+            for whole in batches:
+                for batch in by_size(whole, "text", 8 << 20):
+                    ids, numbers = encode(batch.column("text"), [end_id])
+                    at = 0
+                    for doc, key, n in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), numbers.tolist()):
+                        first_key = key if not docs_held else first_key
+                        held.append(ids[at : at + n])
+                        docs_held.append(_NULL_ID if doc is None else doc)
+                        counts.append(n)
+                        at, total = at + n, total + n
+                        if total >= FILE_IDS:
+                            yield flush()
         if docs_held:
             yield flush()
 
