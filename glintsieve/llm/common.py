@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -178,6 +179,9 @@ def lean(release: Callable[[], None] | None = None) -> Iterator[None]:
             release()
         gc.enable()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
 
 
 def local_file(uri: str):

@@ -201,7 +201,10 @@ class Encoder:
         place = np.insert(place, first[1:], len(self.starts) - 1)
         lengths = self.lengths[place]
         ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.starts[place] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        small = np.int32 if max(len(self.pool), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+        from_pool = np.repeat((self.starts[place] - (ends - lengths)).astype(small), lengths)
+        from_pool += np.arange(len(from_pool), dtype=small)
+        ids = self.pool[from_pool]
         counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], first[1:] + np.arange(1, len(first))])])
         self.starts, self.lengths, self.pool = self.starts[: kept[0]], self.lengths[: kept[0]], self.pool[: kept[1]]
         return ids, counts
@@ -247,7 +250,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
 
         with lean():
             for whole in batches:
-                for batch in by_size(whole, "text", 8 << 20):
+                for batch in by_size(whole, "text", 4 << 20):
                     ids, numbers = encode(batch.column("text"), [end_id])
                     at = 0
                     for doc, key, n in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), numbers.tolist()):
