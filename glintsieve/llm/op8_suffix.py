@@ -2,16 +2,22 @@
 
 Of each text's word sequence (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) only the suffixes at content-selected
 positions are kept: where the hash of the HEAD words that follow is the smallest of a window of MIN_WORDS - HEAD + 1
-positions. Any MIN_WORDS words that two texts share select the same position in both. The kept suffixes are sorted
-by their heads; suffixes with an equal neighbour of another document are seeds. Around a seed the match is
-extended left and right: every run of MIN_WORDS words over the head is looked up among those of the other seeds,
-again by sorting and comparing neighbours, and the runs that another document shares are joined into passages of maximal length.
-
-Only words around seeds are handled in the second pass; both sorts spill and no group is collected.
-
-Defined results: null, empty and short texts (under MIN_WORDS words) hold no passage; repetition inside one document is no repeat;
-rows with equal doc_id are one document; a null doc_id takes no part; other columns are ignored. Equality is that of 64-bit hashes
-of the words and of their sequence.
+positions. Any MIN_WORDS words that two texts share select the same position in both.
+
+1. Suffixes whose head another document has are seeds. Heads are dealt by head and a salt of the document first, so that most of a
+   common head's rows are settled in many tasks; one row of each salt and the rest meet by head.
+2. Each seed gets its context: the words after the head and, backwards, those before it, MIN_WORDS - HEAD of each. Equal contexts of a
+   task are one row with its smallest and largest document, so a passage that many documents hold costs one row a task.
+3. The contexts of a head are sorted by the words that follow (its part of the suffix array) and by those before. Lengths of the common
+   prefixes of neighbours extend the match right and left: contexts whose neighbours agree in b words to the right and in a words to the
+   left, with a + HEAD + b = MIN_WORDS, share a run of MIN_WORDS words. Every such a is tried, so no run is lost.
+4. Runs that another document shares and that overlap or touch are joined into passages of maximal length.
+
+A head with more than GROUP contexts is not sorted in one task: its runs are keyed by hash and counted by an aggregation instead.
+
+Defined results: null, empty and short texts (under MIN_WORDS words) hold no passage; repetition inside one document is no repeat, unless
+`within` is set, when it is one; rows with equal doc_id are one document, but passages are given for each of its texts (for equal ones once); a null doc_id
+takes no part; other columns are ignored. Equality is that of 64-bit hashes of the words and of heads.
 """
 
 from __future__ import annotations
@@ -20,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import by_size, only, table, text_buffer, windows_of, words_of, written
+from glintsieve.llm.common import by_size, mixed, only, table, text_buffer, wide, windows_of, words_of, written
 
 MIN_WORDS = 50
 HEAD = 25
+SALTS = 16
+#: Contexts of a head (400 bytes each) that one task sorts.
+GROUP = 100_000
 
 
 def selected(heads: np.ndarray, span: int) -> np.ndarray:
@@ -41,71 +50,192 @@ def selected(heads: np.ndarray, span: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, min_words: int, head: int) -> DataFrame:
-    """head, doc_id and word position of the kept suffixes."""
+    """head, doc_id, key and word position of the kept suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text"):
                 words, _, _, first = words_of(*text_buffer(batch.column("text")))
-                out = []
-                for doc, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                row, heads, at = [], [], []
+                for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     if b - a >= min_words:
-                        heads = windows_of(words[a:b], head)
-                        at = selected(heads, min_words - head + 1)
-                        out.append((np.full(len(at), doc), heads[at].view(np.int64), at))
-                if out:
-                    doc, heads, at = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32))], ["head", "doc_id", "at"])
-
-    return only(docs, "doc_id", "text").filter("doc_id is not null").mapInArrow(run, "head long, doc_id long, at int")
-
-
-def repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key a row of another document has: sorted by key and document, the first or the last of the key's documents differs."""
-    by = Window.partitionBy(key)
-    return rows.withColumn("_a", F.min("doc_id").over(by)).withColumn("_b", F.max("doc_id").over(by)).filter("_a <> _b").drop("_a", "_b")
-
-
-def passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
-    """doc_id, first_word and n_words of every maximal passage of at least min_words words that other documents hold run by run."""
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    seeds = repeated(suffixes(docs, min_words, head), "head")
-    seeds = written(seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("seeds")), "seeds")
-    near = docs.join(seeds, "doc_id").select("doc_id", "text", "seeds")
-    back = min_words - head
+                        own = windows_of(words[a:b], head)
+                        places = selected(own, min_words - head + 1)
+                        row.append(np.full(len(places), k))
+                        heads.append(own[places].view(np.int64))
+                        at.append(places.astype(np.int32))
+                if row:
+                    row = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), batch.column("doc_id").take(row), batch.column("key").take(row), pa.array(np.concatenate(at))], ["head", "doc_id", "key", "at"])
+
+    return docs.mapInArrow(run, "head long, doc_id long, key long, at int")
+
+
+def owner(within: bool) -> Column:
+    """What has to differ for a repeat: the document, or the place too."""
+    return F.xxhash64("doc_id", "key", "at") if within else F.col("doc_id")
+
+
+def seeds_of(rows: DataFrame, within: bool) -> DataFrame:
+    """key and at of the suffixes whose head a suffix of another owner has."""
+    rows = rows.withColumn("owner", owner(within)).withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int"))
+    by = Window.partitionBy("head", "salt")
+    first = written(rows.withColumn("lo", F.min("owner").over(by)).withColumn("hi", F.max("owner").over(by)).select("head", "key", "at", "owner", (F.col("lo") != F.col("hi")).alias("settled")), "heads")
+    settled = first.filter("settled").select("key", "at")
+    # of a settled salt one row, for the others of its head
+    marks = first.filter("settled").groupBy("head").agg(F.min("owner").alias("owner")).select("head", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("at"), "owner")
+    by = Window.partitionBy("head")
+    rest = first.filter("not settled").select("head", "key", "at", "owner").unionByName(marks)
+    rest = rest.withColumn("lo", F.min("owner").over(by)).withColumn("hi", F.max("owner").over(by)).withColumn("many", F.max(F.col("key").isNull()).over(by))
+    # a mark stands for two owners, so its head is repeated whatever the others are
+    return settled.unionByName(rest.filter("key is not null and (lo <> hi or many)").select("key", "at"))
+
+
+def contexts_of(near: DataFrame, min_words: int, head: int, within: bool) -> DataFrame:
+    """Of every seed ctx, doc_id, key and at, and of every context (once a slice) ctx, head, the words around it and the smallest and largest owner."""
+    reach = min_words - head
+    names = ["ctx", "doc_id", "key", "at", "head", "left", "right", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text"):
                 words, _, _, first = words_of(*text_buffer(batch.column("text")))
-                out = []
-                for k, (doc, own) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("seeds"))):
-                    runs = windows_of(words[first[k] : first[k + 1]], min_words)
-                    cover = np.zeros(len(runs) + 1, np.int64)
-                    for at in np.asarray(own.values, np.int64) if len(runs) else []:
-                        cover[max(0, at - back)] += 1
-                        cover[min(at, len(runs) - 1) + 1] -= 1
-                    at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-                    if len(at):
-                        out.append((runs[at].view(np.int64), np.full(len(at), doc), at))
-                if out:
-                    columns = [np.concatenate(x).astype(t) for x, t in zip(zip(*out), (np.int64, np.int64, np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["run", "doc_id", "at"])
+                seeds = batch.column("seeds")
+                lengths = np.diff(seeds.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), lengths)
+                at = seeds.flatten().to_numpy().astype(np.int64)
+                places, ends = first[row] + at, first[row + 1]
+                span = np.arange(reach)
+                n_left, n_right = np.minimum(at, reach), np.minimum(ends - places - head, reach)
+                padded = np.concatenate([words, np.zeros(1, np.uint64)])
+                left = np.where(span < n_left[:, None], padded[np.maximum(places[:, None] - 1 - span, 0)], 0)
+                right = np.where(span < n_right[:, None], padded[np.minimum(places[:, None] + head + span, len(words))], 0)
+                power = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 2 * reach + 1, dtype=np.uint64)
+                heads = np.array([windows_of(words[p : p + head], head)[0] for p in places.tolist()], np.uint64)
+                ctx = mixed((np.concatenate([left, right], axis=1) * power).sum(axis=1, dtype=np.uint64) + mixed(heads + n_left.astype(np.uint64) * np.uint64(reach + 1) + n_right.astype(np.uint64))).view(np.int64)
+                doc, key = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "key"))
+                n = len(ctx)
+                yield pa.RecordBatch.from_arrays([pa.array(ctx), doc, key, pa.array(at.astype(np.int32)), *[pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())]], names)
+                own = batch.column("owners").flatten().to_numpy() if within else doc.to_numpy()
+                order = np.argsort(ctx, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(ctx[order]) != 0])) if n else np.zeros(0, np.int64)
+                one = order[starts]
+                if len(one):
+                    lo, hi = (f.reduceat(own[order], starts) for f in (np.minimum, np.maximum))
+                    around = [pa.array([x[: 8 * m] for x, m in zip(map(bytes, side[one]), number[one].tolist())], pa.binary()) for side, number in ((left, n_left), (right, n_right))]
+                    m = len(one)
+                    yield pa.RecordBatch.from_arrays([pa.array(ctx[one]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(heads[one].view(np.int64)), *around, pa.array(lo), pa.array(hi)], names)
+
+    return near.mapInArrow(run, "ctx long, doc_id long, key long, at int, head long, left binary, right binary, lo long, hi long")
+
+
+def prefix_runs(sides: list[bytes], reach: int) -> np.ndarray:
+    """For every length 0 to reach and each sequence of words, a number that those with the same first words share (-1 if it is shorter).
+
+    The sequences are sorted; neighbours that agree in so many words are in one run.
+    """
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    words = np.zeros((len(sides), reach), np.uint64)
+    lengths = np.array([len(sides[k]) // 8 for k in order], np.int64)
+    for i, k in enumerate(order):
+        words[i, : lengths[i]] = np.frombuffer(sides[k], np.uint64)
+    agree = (words[1:] == words[:-1]) & (np.arange(reach) < np.minimum(lengths[1:], lengths[:-1])[:, None])
+    common = np.concatenate([np.zeros(1, np.int64), np.where(agree.all(axis=1), reach, np.argmin(agree, axis=1)) if reach else np.zeros(len(sides) - 1, np.int64)])
+    out = np.zeros((reach + 1, len(sides)), np.int64)
+    for length in range(reach + 1):
+        runs = np.cumsum(common < length) if length else np.zeros(len(sides), np.int64)
+        out[length, order] = np.where(lengths >= length, runs, -1)
+    return out
+
+
+def shared_runs(left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, reach: int) -> np.ndarray:
+    """Of each context of a head a bit for every a: the run from a words before the head on is one of another owner, too."""
+    before, after = prefix_runs(left, reach), prefix_runs(right, reach)
+    out = np.zeros(len(left), np.int64)
+    for a in range(reach + 1):
+        x, y = before[a], after[reach - a]
+        some = np.flatnonzero((x >= 0) & (y >= 0))
+        if not len(some):
+            continue
+        order = some[np.lexsort((y[some], x[some]))]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]))
+        repeated = np.minimum.reduceat(lo[order], starts) != np.maximum.reduceat(hi[order], starts)
+        out[order[np.repeat(repeated, np.diff(np.append(starts, len(order))))]] |= 1 << a
+    return out
+
+
+def matched(contexts: DataFrame, reach: int, group: int) -> DataFrame:
+    """ctx and mask of the contexts that share runs with other owners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved(data: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+            ctx, lo, hi = (data.column(c).to_numpy() for c in ("ctx", "lo", "hi"))
+            left, right = (data.column(c).to_pylist() for c in ("left", "right"))
+            masks = [shared_runs(left[a:b], right[a:b], lo[a:b], hi[a:b], reach) for a, b in zip(cuts, cuts[1:])]
+            if masks:
+                mask = np.concatenate(masks)
+                some = mask != 0
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[: len(mask)][some]), pa.array(mask[some])], ["ctx", "mask"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if len(held) > 1 and batch.column("head")[-1] == held[0].column("head")[0]:
+                    continue
+                data = pa.concat_batches(held)
+                cuts = [0, *(np.flatnonzero(np.diff(data.column("head").to_numpy())) + 1).tolist()]
+                yield from solved(data, cuts)
+                held = [data.slice(cuts[-1])]
+        if held:
+            data = pa.concat_batches(held)
+            yield from solved(data, [0, *(np.flatnonzero(np.diff(data.column("head").to_numpy())) + 1).tolist(), data.num_rows])
+
+    spark = contexts.sparkSession
+    sizes = written(contexts.groupBy("head").count().filter(F.col("count") > group).select("head"), "common-heads")
+    plain = contexts
+    if not sizes.isEmpty():
+        plain = contexts.join(sizes, "head", "left_anti")
+    dealt = plain.repartition(4 * wide(spark), "head").sortWithinPartitions("head", "right", "left")
+    found = dealt.select("head", "ctx", "left", "right", "lo", "hi").mapInArrow(run, "ctx long, mask long").distinct()
+    if sizes.isEmpty():
+        return found
+    large = contexts.join(sizes, "head").select("*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("a"))
+    large = large.filter((F.length("left") >= 8 * F.col("a")) & (F.length("right") >= 8 * (reach - F.col("a"))))
+    around = F.xxhash64("head", "a", F.expr("substring(left, 1, 8 * a)"), F.expr(f"substring(right, 1, 8 * ({reach} - a))"))
+    large = written(large.select("ctx", "a", "lo", "hi", around.alias("run")), "runs")
+    repeated = large.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("run")
+    return found.unionByName(large.join(repeated, "run", "left_semi").groupBy("ctx").agg(F.bit_or(F.expr("shiftleft(1L, a)")).alias("mask")))
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD, within: bool = False, group: int = GROUP) -> DataFrame:
+    """doc_id, first_word and n_words of every maximal passage of at least min_words words that other documents hold run by run."""
+    docs = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    seeds = seeds_of(suffixes(docs, min_words, head), within).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("seeds"))
+    near = docs.join(written(seeds, "seeds"), "key")
+    if within:
+        near = near.withColumn("owners", F.transform("seeds", lambda at: F.xxhash64(F.col("doc_id"), F.col("key"), at)))
+    found = written(contexts_of(near, min_words, head, within), "contexts")
+    contexts = found.filter("head is not null").select("ctx", "head", "left", "right", "lo", "hi")
+    masks = matched(contexts, min_words - head, group)
+    members = found.filter("head is null").select("ctx", "doc_id", "key", "at").join(masks, "ctx").groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "mask")).alias("runs"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs that overlap or touch in a document make one passage."""
+        shifts = np.arange(min_words - head + 1)
         for batch in batches:
             out = []
-            for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("at")):
-                at = np.sort(np.asarray(own.values, np.int64))
-                cut = np.flatnonzero(np.diff(at) > min_words) + 1
-                first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
+            for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("runs")):
+                at, mask = (own.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                starts = np.unique((at[:, None] - shifts)[(mask[:, None] >> shifts & 1) > 0])
+                cut = np.flatnonzero(np.diff(starts) > min_words) + 1
+                first, last = starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
                 out.append((np.full(len(first), doc), first, last - first + min_words))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["doc_id", "first_word", "n_words"])
 
-    runs = repeated(near.mapInArrow(run, "run long, doc_id long, at int"), "run")
-    return runs.groupBy("doc_id").agg(F.collect_set("at").alias("at")).mapInArrow(join, "doc_id long, first_word long, n_words long")
+    return members.select("doc_id", "runs").mapInArrow(join, "doc_id long, first_word long, n_words long")
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,42 @@ def test_op8_equals_all_runs(spark, docs, empty):
                     spans.append([i, i + 50])
         assert sorted(found.get(k, [])) == [(a, b - a) for a, b in spans]
     assert found and op8_suffix.passages(empty).count() == 0
+    by_hash = op8_suffix.passages(docs, group=0).collect()  # every head as a common one
+    assert sorted((r.doc_id, r.first_word, r.n_words) for r in by_hash) == sorted((k, *x) for k, v in found.items() for x in v)
+
+
+def test_op8_random_texts_and_repeats_inside(spark):
+    rng = random.Random(8)
+    pool = [[f"p{i}-{rng.randrange(10**6)}" for _ in range(rng.randint(20, 90))] for i in range(12)]
+    rows = []
+    for k in range(60):
+        w = []
+        for _ in range(rng.randint(1, 6)):
+            piece = rng.choice(pool)
+            a = rng.randrange(len(piece) // 2)
+            w += piece[a:] if rng.random() < 0.7 else [f"own{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((k % 50, " ".join(w)))  # ids 0 to 9 have two texts each
+    rows += [(None, rows[0][1]), (70, "one two " * 60), (80, rows[1][1]), (80, rows[1][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("c"), "at": F.lit("c"), "head": F.lit("c")})
+    for within in (False, True):
+        owners = collections.defaultdict(set)
+        texts_of = {(k, t) for k, t in rows if k is not None}
+        for k, t in texts_of:
+            w = words(t)
+            for i in range(len(w) - 49):
+                owners[tuple(w[i : i + 50])].add((k, t, i) if within else k)
+        expected = []
+        for k, t in texts_of:
+            w, spans = words(t), []
+            for i in range(len(w) - 49):
+                if len(owners[tuple(w[i : i + 50])]) > 1:
+                    if spans and i <= spans[-1][1]:
+                        spans[-1][1] = i + 50
+                    else:
+                        spans.append([i, i + 50])
+            expected += [(k, a, b - a) for a, b in spans]
+        got = op8_suffix.passages(frame, within=within).collect()
+        assert sorted((r.doc_id, r.first_word, r.n_words) for r in got) == sorted(expected) and expected
 
 
 def test_op9_equals_sorting(spark):
