@@ -111,7 +111,7 @@ def contexts_of(near: DataFrame, min_words: int, head: int, within: bool) -> Dat
                 left = np.where(span < n_left[:, None], padded[np.maximum(places[:, None] - 1 - span, 0)], 0)
                 right = np.where(span < n_right[:, None], padded[np.minimum(places[:, None] + head + span, len(words))], 0)
                 power = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 2 * reach + 1, dtype=np.uint64)
-                heads = np.array([windows_of(words[p : p + head], head)[0] for p in places.tolist()], np.uint64)
+                heads = windows_of(words, head)[places] if len(places) else np.zeros(0, np.uint64)
                 ctx = mixed((np.concatenate([left, right], axis=1) * power).sum(axis=1, dtype=np.uint64) + mixed(heads + n_left.astype(np.uint64) * np.uint64(reach + 1) + n_right.astype(np.uint64))).view(np.int64)
                 doc, key = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "key"))
                 n = len(ctx)
@@ -129,36 +129,39 @@ def contexts_of(near: DataFrame, min_words: int, head: int, within: bool) -> Dat
     return near.mapInArrow(run, "ctx long, doc_id long, key long, at int, head long, left binary, right binary, lo long, hi long")
 
 
-def prefix_runs(sides: list[bytes], reach: int) -> np.ndarray:
-    """For every length 0 to reach and each sequence of words, a number that those with the same first words share (-1 if it is shorter).
+def prefix_runs(group: np.ndarray, sides: list[bytes], reach: int) -> np.ndarray:
+    """For every length 0 to reach and each sequence of words, a number that those of its group with the same first words share (-1 if it is shorter).
 
-    The sequences are sorted; neighbours that agree in so many words are in one run.
+    The sequences of all groups are sorted; neighbours of a group that agree in so many words are in one run.
     """
-    order = sorted(range(len(sides)), key=sides.__getitem__)
+    keys = [k + x for k, x in zip(map(bytes, group.astype(">u8")[:, None].view("V8").ravel().tolist()), sides)]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    lengths = np.fromiter(map(len, sides), np.int64, len(sides)) // 8
     words = np.zeros((len(sides), reach), np.uint64)
-    lengths = np.array([len(sides[k]) // 8 for k in order], np.int64)
-    for i, k in enumerate(order):
-        words[i, : lengths[i]] = np.frombuffer(sides[k], np.uint64)
+    words[np.arange(reach) < lengths[:, None]] = np.frombuffer(b"".join(sides), np.uint64)
+    words, lengths, group = words[order], lengths[order], group[order]
     agree = (words[1:] == words[:-1]) & (np.arange(reach) < np.minimum(lengths[1:], lengths[:-1])[:, None])
-    common = np.concatenate([np.zeros(1, np.int64), np.where(agree.all(axis=1), reach, np.argmin(agree, axis=1)) if reach else np.zeros(len(sides) - 1, np.int64)])
+    common = np.where(agree.all(axis=1), reach, np.argmin(agree, axis=1)) if reach else np.zeros(len(sides) - 1, np.int64)
+    common = np.concatenate([[-1], np.where(group[1:] == group[:-1], common, -1)])  # the longest prefix shared with the one before
     out = np.zeros((reach + 1, len(sides)), np.int64)
     for length in range(reach + 1):
-        runs = np.cumsum(common < length) if length else np.zeros(len(sides), np.int64)
-        out[length, order] = np.where(lengths >= length, runs, -1)
+        out[length, order] = np.where(lengths >= length, np.cumsum(common < length), -1)
     return out
 
 
-def shared_runs(left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, reach: int) -> np.ndarray:
-    """Of each context of a head a bit for every a: the run from a words before the head on is one of another owner, too."""
-    before, after = prefix_runs(left, reach), prefix_runs(right, reach)
+def shared_runs(group: np.ndarray, left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, reach: int) -> np.ndarray:
+    """Of each context of some heads a bit for every a: the run from a words before the head on is one of another owner, too."""
+    before, after = prefix_runs(group, left, reach), prefix_runs(group, right, reach)
     out = np.zeros(len(left), np.int64)
     for a in range(reach + 1):
         x, y = before[a], after[reach - a]
         some = np.flatnonzero((x >= 0) & (y >= 0))
         if not len(some):
             continue
-        order = some[np.lexsort((y[some], x[some]))]
-        starts = np.flatnonzero(np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]))
+        both = x[some] * np.int64(len(left) + 2) + y[some]
+        place = np.argsort(both)
+        order, both = some[place], both[place]
+        starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
         repeated = np.minimum.reduceat(lo[order], starts) != np.maximum.reduceat(hi[order], starts)
         out[order[np.repeat(repeated, np.diff(np.append(starts, len(order))))]] |= 1 << a
     return out
@@ -170,27 +173,26 @@ def matched(contexts: DataFrame, reach: int, group: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solved(data: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-            ctx, lo, hi = (data.column(c).to_numpy() for c in ("ctx", "lo", "hi"))
-            left, right = (data.column(c).to_pylist() for c in ("left", "right"))
-            masks = [shared_runs(left[a:b], right[a:b], lo[a:b], hi[a:b], reach) for a, b in zip(cuts, cuts[1:])]
-            if masks:
-                mask = np.concatenate(masks)
-                some = mask != 0
-                yield pa.RecordBatch.from_arrays([pa.array(ctx[: len(mask)][some]), pa.array(mask[some])], ["ctx", "mask"])
+        def solved(data: pa.RecordBatch) -> pa.RecordBatch:
+            head, ctx, lo, hi = (data.column(c).to_numpy() for c in ("head", "ctx", "lo", "hi"))
+            group = np.cumsum(np.concatenate([[False], head[1:] != head[:-1]]))
+            mask = shared_runs(group, data.column("left").to_pylist(), data.column("right").to_pylist(), lo, hi, reach)
+            some = mask != 0
+            return pa.RecordBatch.from_arrays([pa.array(ctx[some]), pa.array(mask[some])], ["ctx", "mask"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if len(held) > 1 and batch.column("head")[-1] == held[0].column("head")[0]:
-                    continue
-                data = pa.concat_batches(held)
-                cuts = [0, *(np.flatnonzero(np.diff(data.column("head").to_numpy())) + 1).tolist()]
-                yield from solved(data, cuts)
-                held = [data.slice(cuts[-1])]
+                head = batch.column("head").to_numpy()
+                last = int(np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))[-1])  # the head from here may go on
+                if last or head[0] != held[0].column("head")[0].as_py():
+                    data = pa.concat_batches(held)
+                    end = data.num_rows - (len(head) - last)
+                    if end:
+                        yield solved(data.slice(0, end))
+                    held = [data.slice(end)]
         if held:
-            data = pa.concat_batches(held)
-            yield from solved(data, [0, *(np.flatnonzero(np.diff(data.column("head").to_numpy())) + 1).tolist(), data.num_rows])
+            yield solved(pa.concat_batches(held))
 
     spark = contexts.sparkSession
     sizes = written(contexts.groupBy("head").count().filter(F.col("count") > group).select("head"), "common-heads")
