@@ -62,6 +62,10 @@ class Predicate:
     def test(self, line) -> bool:
         raise NotImplementedError
 
+    def words(self) -> set[tuple[str, str]] | None:
+        """(view, word) pairs, one of which every matching line has; None if none are known. The view flag names a flag, literal a string literal's least length."""
+        return None
+
     def __and__(self, other: Predicate) -> Predicate:
         return Both(self, other)
 
@@ -83,6 +87,11 @@ class Both(Predicate):
     def test(self, line) -> bool:
         return self.a.test(line) and self.b.test(line)
 
+    def words(self) -> set[tuple[str, str]] | None:
+        # either side's will do: words rather than literals, a few rather than many
+        known = [x for x in (self.a.words(), self.b.words()) if x is not None]
+        return min(known, key=lambda x: (any(view == "literal" for view, _ in x), len(x))) if known else None
+
 
 @dataclass(frozen=True)
 class Either(Predicate):
@@ -95,6 +104,10 @@ class Either(Predicate):
     def test(self, line) -> bool:
         return self.a.test(line) or self.b.test(line)
 
+    def words(self) -> set[tuple[str, str]] | None:
+        a, b = self.a.words(), self.b.words()
+        return None if a is None or b is None else a | b
+
 
 @dataclass(frozen=True)
 class Without(Predicate):
@@ -113,6 +126,10 @@ class Match(Predicate):
 
     view: str
     pattern: str
+    texts: tuple[str, ...] = ()  # every match holds one of these
+
+    def words(self) -> set[tuple[str, str]] | None:
+        return {("compact" if self.view == "compact" else "text", x) for x in self.texts} or None
 
     @cached_property
     def compiled(self) -> re.Pattern:
@@ -167,18 +184,25 @@ class Flag(Predicate):
     def test(self, line) -> bool:
         return bool(getattr(line, self.name))
 
+    def words(self) -> set[tuple[str, str]]:
+        return {("flag", self.name)}
+
 
 def calls(*names: str) -> Predicate:
-    return Match("code", call_pattern(names))
+    return Match("code", call_pattern(names), names)
 
 
 def tokens(*texts: str) -> Predicate:
-    return Match("code", token_pattern(texts))
+    return Match("code", token_pattern(texts), texts)
 
 
 def flag(name: str, value: str) -> Predicate:
-    return Match("code", flag_pattern(name, value))
+    return Match("code", flag_pattern(name, value), (name,))
 
 
 def holds(view: str, *texts: str) -> Predicate:
-    return Match(view, any_of(texts))
+    return Match(view, any_of(texts), texts)
+
+
+def commands(*names: str) -> Predicate:
+    return Match("code", command_pattern(names), names)

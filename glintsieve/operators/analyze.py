@@ -11,17 +11,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glintsieve.functions.predicates import call_pattern, python
+from glintsieve.functions.predicates import any_of, call_pattern, python
 from glintsieve.operators import facts as syntax
 from glintsieve.operators import lexer, taint
 from glintsieve.operators.lexer import Line
-from glintsieve.operators.rules import CSHARP_FORMATTERS, CSHARP_REACH, PATH_APIS
+from glintsieve.operators.rules import CSHARP_FORMATTERS, CSHARP_REACH, PATH_APIS, RULES
 from glintsieve.sources.components import script_source
 
 _PATH_CALL = re.compile(python(call_pattern(PATH_APIS)))
 _LITERAL_START = re.compile(r"\s*(?:[rb]?['\"]|`|@\")")
 _LETTER = re.compile(r"[^\W\d]|\$")
 
+#: What a line that some rule matches has at least: a word of the rules in its text, or without white space, a flag, or a literal of a credential's length.
+_NEEDED = {pair for rule in RULES for pair in rule.predicate.words()}
+_TEXT, _COMPACT = (re.compile(any_of(word for view, word in _NEEDED if view == kind)) for kind in ("text", "compact"))
+_LITERAL = min(int(n) for view, n in _NEEDED if view == "literal")
+
 STEP = pa.struct([("line", pa.int32()), ("kind", pa.string())])
 FLOW = pa.struct([("rule_id", pa.string()), ("steps", pa.list_(STEP)), ("depth", pa.int32()), ("remote", pa.bool_())])
 SCHEMA = pa.schema([
@@ -73,45 +78,72 @@ def prepared(text: str, language: str) -> tuple[list[Line], bool]:
     return lines, complete
 
 
-def analyse_file(path: str, language: str, content: str, between_functions: bool) -> tuple[list[Line], bool, syntax.Facts, dict]:
+def telling(lines: list[Line]) -> set[int]:
+    """The numbers of the lines that a rule may match; of the others none does."""
+    return {
+        number
+        for number, x in enumerate(lines, 1)
+        if x.path_call or x.formatter_near or _TEXT.search(x.text) or _COMPACT.search(x.compact) or any(len(v) >= _LITERAL or not v.isascii() for v in x.literals)
+    }
+
+
+def analyse_file(path: str, language: str, content: str, between_functions: bool) -> tuple[list[Line], bool, syntax.Facts, dict, set[int]]:
     script = script_source(path, content)
     content = content if script is None else script
     lines, complete = prepared(content, language)
     facts = syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
-    found = taint.flows(lines, facts, language, between_functions) if facts.parsed else {}
-    return lines, complete, facts, found
-
-
-def _rows(path: str, language: str, content: str, between_functions: bool) -> list[dict]:
-    lines, complete, facts, found = analyse_file(path, language, content, between_functions)
-    evidence: dict[int, list[dict]] = {}
-    for (number, rule), trail in sorted(found.items()):
-        evidence.setdefault(number, []).append({"rule_id": rule, "steps": [{"line": s.line, "kind": s.kind} for s in trail.steps], "depth": trail.depth, "remote": trail.remote})
-    out = []
-    for number, x in enumerate(lines, 1):
-        scope = facts.scope(number) if facts.parsed else syntax.MODULE
-        out.append({
-            "path": path, "language": language, "line": number, "text": x.text, "code": x.code, "visible": x.visible, "masked": x.masked, "compact": x.compact, "literals": x.literals, "comments": x.comments,
-            "path_call": x.path_call, "formatter_near": x.formatter_near, "classes": sorted(facts.classes.get(number, ())), "reliable": facts.parsed and facts.reliable(number), "scope_start": scope[0], "scope_end": scope[1],
-            "shell": facts.command_calls.get(number), "shadowed": number in facts.shadowed, "flows": evidence.get(number, []), "parsed": facts.parsed, "complete": complete, "error_nodes": facts.error_nodes,
-        })
-    return out
-
-
-def line_rows(files: DataFrame, between_functions: bool = False) -> DataFrame:
-    """One row a line of the files (path, language, content)."""
+    some = telling(lines)
+    found = taint.flows(lines, facts, language, between_functions, some) if facts.parsed else {}
+    return lines, complete, facts, found, some
+
+
+class Columns:
+    """Line rows, gathered by column."""
+
+    def __init__(self) -> None:
+        self.values: list[list] = [[] for _ in SCHEMA]
+
+    def __len__(self) -> int:
+        return len(self.values[0])
+
+    def add(self, path: str, language: str, content: str, between_functions: bool, matching: bool) -> None:
+        """The rows of a file; matching: only those of lines that a rule may match."""
+        lines, complete, facts, found, some = analyse_file(path, language, content, between_functions)
+        evidence: dict[int, list[dict]] = {}
+        for (number, rule), e in sorted(found.items()):
+            evidence.setdefault(number, []).append({"rule_id": rule, "steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote})
+        wanted = sorted(some.union(evidence, facts.command_calls)) if matching else range(1, len(lines) + 1)
+        rows = []
+        for number in wanted:
+            x = lines[number - 1]
+            scope = facts.scope(number) if facts.parsed else syntax.MODULE
+            rows.append((
+                path, language, number, x.text, x.code, x.visible, x.masked, x.compact, x.literals, x.comments, x.path_call, x.formatter_near, sorted(facts.classes.get(number, ())),
+                facts.parsed and facts.reliable(number), scope[0], scope[1], facts.command_calls.get(number), number in facts.shadowed, evidence.get(number, []), facts.parsed, complete, facts.error_nodes,
+            ))
+        for column, values in zip(self.values, zip(*rows)):
+            column.extend(values)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(self.values, SCHEMA)], schema=SCHEMA)
+        self.values = [[] for _ in SCHEMA]
+        return out
+
+
+def line_rows(files: DataFrame, between_functions: bool = False, matching: bool = False) -> DataFrame:
+    """One row a line of the files (path, language, content); matching: only the lines that a rule may match, which leaves the findings as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Columns()
         for batch in batches:
-            rows: list[dict] = []
-            for x in batch.to_pylist():
-                if x["language"] is not None:
-                    rows += _rows(x["path"], x["language"], x["content"] or "", between_functions)
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+            for k in range(batch.num_rows):  # one file's text at a time
+                path, language, content = (batch.column(c)[k].as_py() for c in ("path", "language", "content"))
+                if language is not None:
+                    held.add(path, language, content or "", between_functions, matching)
+                if len(held) > 20_000:
+                    yield held.batch()
+        if len(held):
+            yield held.batch()
 
     return files.select("path", "language", "content").mapInArrow(run, SQL_SCHEMA)
 
@@ -127,7 +159,7 @@ def fact_rows(files: DataFrame) -> DataFrame:
             for x in batch.to_pylist():
                 if x["language"] in (None, "config"):
                     continue
-                _, _, facts, _ = analyse_file(x["path"], x["language"], x["content"] or "", False)
+                _, _, facts, _, _ = analyse_file(x["path"], x["language"], x["content"] or "", False)
                 rows += [dict(zip(names, (x["path"], "function", f.name, f.name, f.params, None, f.start, f.start, f.end))) for f in facts.functions]
                 rows += [dict(zip(names, (x["path"], "call", c.name, c.qualified, c.args, c.first, c.line, min(c.scope[0], 1 << 30), min(c.scope[1], 1 << 30)))) for c in facts.calls]
                 rows += [dict(zip(names, (x["path"], "interpolation", None, None, [], t, k, k, k))) for k, texts in sorted(facts.interpolations.items()) for t in texts]

@@ -63,10 +63,16 @@ class Facts:
     def mark(self, line: int, kind: str) -> None:
         self.classes.setdefault(line, set()).add(kind)
 
+    inner: list[tuple[int, int]] = field(default_factory=list)
+
     def scope(self, line: int) -> tuple[int, int]:
         """The innermost function around a line."""
-        around = [s for s in self.scopes if s[0] <= line <= s[1]]
-        return min(around, key=lambda s: (s[1] - s[0], s[0])) if around else MODULE
+        if self.scopes and not self.inner:
+            # smaller scopes are put over larger ones, line by line
+            self.inner = [MODULE] * (max(s[1] for s in self.scopes) + 1)
+            for s in sorted(self.scopes, key=lambda s: (s[1] - s[0], s[0]), reverse=True):
+                self.inner[s[0] : s[1] + 1] = [s] * (s[1] + 1 - s[0])
+        return self.inner[line] if 0 <= line < len(self.inner) else MODULE
 
     def reliable(self, line: int) -> bool:
         return not any(a <= line <= b for a, b in self.uncertain)
@@ -97,16 +103,24 @@ def read(path: str, text: str, language: str, lines: list[Line], complete: bool)
 
 def _names(node: ast.AST) -> str:
     """The first identifier in a node, '' if there is none."""
-    found = [(n.lineno, n.col_offset, n.id if isinstance(n, ast.Name) else n.attr) for n in ast.walk(node) if isinstance(n, ast.Name)]
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Constant):
+        return ""
+    found = [(n.lineno, n.col_offset, n.id) for n in ast.walk(node) if isinstance(n, ast.Name)]
     return min(found)[2] if found else ""
 
 
 def _python(text: str) -> Facts:
     tree = ast.parse(text)
     facts = Facts()
-    starts = [0]
-    for x in text.encode().split(b"\n"):
-        starts.append(starts[-1] + len(x) + 1)
+    # lines as the parser counts them; columns are in bytes
+    data = text.encode()
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
+
+    def segment(node: ast.AST) -> str:
+        return data[starts[node.lineno - 1] + node.col_offset : starts[node.end_lineno - 1] + node.end_col_offset].decode()
+
     count = 0
     for node in ast.walk(tree):
         count += 1
@@ -119,10 +133,9 @@ def _python(text: str) -> Facts:
             facts.functions.append(Function(node.name, params, node.lineno, node.end_lineno))
         elif isinstance(node, ast.Call):
             facts.mark(line, "C")
-            qualified = ast.get_source_segment(text, node.func) or ""
-            qualified = re.sub(r"\s+", "", qualified)
+            qualified = node.func.id if isinstance(node.func, ast.Name) else "".join(segment(node.func).split())
             given = [*node.args, *[k.value for k in node.keywords]]
-            first = ast.get_source_segment(text, given[0]) or "" if given else ""
+            first = segment(given[0]) if given else ""
             facts.calls.append(Call(qualified.rsplit(".", 1)[-1], qualified, [_names(x) for x in given], first, line))
             for k in node.keywords:
                 facts.mark(k.lineno, "S")
@@ -138,7 +151,7 @@ def _python(text: str) -> Facts:
         elif isinstance(node, (ast.Name, ast.Attribute, ast.arg)):
             facts.mark(node.end_lineno, "I")
         elif isinstance(node, ast.FormattedValue):
-            inner = ast.get_source_segment(text, node.value)
+            inner = segment(node.value)
             if inner:
                 facts.interpolations.setdefault(node.value.lineno, []).append("{" + inner + "}")
     return facts
@@ -305,5 +318,6 @@ def _is_import(line: Line) -> bool:
 
 
 def _innermost(facts: Facts, line: int) -> tuple[int, int]:
-    around = [(f.start, f.end) for f in facts.functions if f.start <= line <= f.end]
-    return min(around, key=lambda s: (s[1] - s[0], s[0])) if around else MODULE
+    if not facts.scopes:
+        facts.scopes = sorted({(f.start, f.end) for f in facts.functions})
+    return facts.scope(line)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintsieve.functions.credentials import SecretAssignment
-from glintsieve.functions.predicates import Flag, In, Literal, Match, Predicate, calls, command_pattern, flag, holds, tokens
+from glintsieve.functions.predicates import Flag, In, Literal, Match, Predicate, calls, commands, flag, holds, tokens
 
 RANKS = {"info": 0, "medium": 1, "high": 2}
 SARIF_LEVELS = {"info": "note", "medium": "warning", "high": "error"}
@@ -90,19 +90,19 @@ _JOINED = Match("code", r"[+%]") | Match("visible", r"\$\{|f\"|f'|\$\"") | (In((
 _WEAK = tokens(*WEAK_CRYPTO) | (calls(*CRYPTO_FACTORIES) & Literal(r"(?i)(?:^|/)(?:MD5|SHA1|SHA-1|DES|TripleDES|3DES|RC4|ECB|MODE_ECB)(?:/|$)"))
 _WEAK = (_WEAK & ~(In(("python",)) & flag("usedforsecurity", "False"))) | tokens("crypto.createCipher")
 _JWT = ((holds("code", "jwt") | holds("visible", "verify_signature")) & (Match("compact", r"verify(?:=False|:false)") | (holds("visible", "verify_signature") & Match("compact", "[Ff]alse")))) | (holds("visible", "algorithms") & Literal("^none$"))
-_CORS = Match("visible", "Access-Control-Allow-Origin|origin") & Literal(r"^\*$") & holds("compact", "credentials:true", "supports_credentials=True")
+_CORS = holds("visible", "Access-Control-Allow-Origin", "origin") & Literal(r"^\*$") & holds("compact", "credentials:true", "supports_credentials=True")
 _COOKIE = (Match("code", "(?i)cookie") | holds("code", "session")) & holds("compact", *COOKIE_FLAGS)
 _HTML = holds("compact", ".innerHTML=", "dangerouslySetInnerHTML", "v-html") | calls("render_template_string", "document.write")
 _FORMATTER = In(("csharp",)) & Flag("formatter_near") & calls("Deserialize")
-_DESERIALIZE = _FORMATTER | _by_language(DESERIALIZERS) | (In(("ruby",)) & Match("code", command_pattern(["Marshal.load"]))) | (calls("torch.load") & holds("compact", "weights_only=False"))
+_DESERIALIZE = _FORMATTER | _by_language(DESERIALIZERS) | (In(("ruby",)) & commands(*["Marshal.load"])) | (calls("torch.load") & holds("compact", "weights_only=False"))
 
 WEB = "web sources and configuration"
 RULES = [
     Rule("SR001", "unbounded-string-copy", "high", "A C string function without a length can write past its buffer; pass and check the size of the destination.", "C, C++", ("C",), In(("c",)) & calls(*C_STRINGS)),
     Rule("SR002", "raw-memory-copy", "info", "A raw memory copy needs its length, the capacity of the destination and overlap looked at.", "C, C++", ("C",), In(("c",)) & calls(*C_COPIES)),
     Rule("SR003", "unsafe-block", "medium", "Unsafe Rust needs a written invariant and tests of its own.", "Rust", ("U",), In(("rust",)) & tokens("unsafe")),
-    Rule("SR004", "dynamic-evaluation", "high", "Text is run as code; check who can influence it.", "JavaScript, TypeScript, Python, PHP, Ruby", ("C",), _by_language(EVALS) | (In(("ruby",)) & Match("code", command_pattern(RUBY_EVALS))), sink=True),
-    Rule("SR005", "command-execution", "medium", "An operating-system command is started; check the separation of arguments, the shell and the input.", "all but configuration", ("C",), _by_language(COMMANDS) | (In(("ruby",)) & Match("code", command_pattern(RUBY_COMMANDS))), sink=True),
+    Rule("SR004", "dynamic-evaluation", "high", "Text is run as code; check who can influence it.", "JavaScript, TypeScript, Python, PHP, Ruby", ("C",), _by_language(EVALS) | (In(("ruby",)) & commands(*RUBY_EVALS)), sink=True),
+    Rule("SR005", "command-execution", "medium", "An operating-system command is started; check the separation of arguments, the shell and the input.", "all but configuration", ("C",), _by_language(COMMANDS) | (In(("ruby",)) & commands(*RUBY_COMMANDS)), sink=True),
     Rule("SR006", "object-deserialization", "high", "Objects are built from data that may come from outside; use a plain format or an allowlist.", "Python, Java, Kotlin, C#, PHP, Ruby", ("C",), _DESERIALIZE, sink=True),
     Rule("SR007", "embedded-credential", "high", "A credential is written in the source; store it elsewhere and rotate it. The line is not shown.", "all", ("S",), _SECRET, config=True),
     Rule("SR008", "weak-cryptography", "medium", "A weak cryptographic primitive; check what it protects.", "all", ("C", "I", "S"), _WEAK),
@@ -118,7 +118,7 @@ RULES = [
     Rule("SR018", "open-cors", "high", "Any origin may send credentials.", WEB, ("C", "S"), _CORS, config=True),
     Rule("SR019", "cookie-flags-off", "high", "A cookie's protection is switched off.", WEB, ("C", "S"), _COOKIE, config=True),
     Rule("SR020", "service-role-key", "high", "A service-role credential is written in the source.", WEB, ("C", "S"), Match("code", "(?i)service_role") & _SECRET, config=True),
-    Rule("SR021", "nosql-from-input", "high", "Input reaches a raw NoSQL query; validate its shape.", WEB, ("C", "S"), Match("visible", r"\$where") | calls(*NOSQL), flow_only=True, sink=True),
+    Rule("SR021", "nosql-from-input", "high", "Input reaches a raw NoSQL query; validate its shape.", WEB, ("C", "S"), holds("visible", "$where") | calls(*NOSQL), flow_only=True, sink=True),
     Rule("SR022", "agent-code-tool", "high", "A tool that runs code is given to an agent; confine and authorize it.", WEB, ("C",), calls(*AGENT_TOOLS)),
 ]
 BY_ID = {rule.rule_id: rule for rule in RULES}

@@ -53,13 +53,18 @@ TEMPLATES: list[tuple[str, str, str | None, str | None]] = [
     ("java", "Object o_@ = in_@.readObject();", "SR006", "high"),
     ("cs", "var x_@ = Process.Start(name_@);", "SR005", "medium"),
     ("swift", "let task_@ = Process()", "SR005", "medium"),
+    ("js", "const sharing_@ = cors({ origin: \"*\", credentials: true });", "SR018", "high"),
+    ("js", "const SERVICE_ROLE_TOKEN = \"role-@-token-value\";", "SR020", "high"),
+    ("js", "collection.find({ $where: req.query.w@ });", "SR021", "high"),
 ]
 #: Rules that fire beside the labelled one: a cross-check that the labels state everything.
 ALSO = {
     "claims_@ = jwt.decode(body_@, verify=False)": [("SR010", "high"), ("SR017", "high")],
     "const NEXT_PUBLIC_TOKEN = \"public-@-token-value\";": [("SR007", "high"), ("SR013", "high")],
+    "const SERVICE_ROLE_TOKEN = \"role-@-token-value\";": [("SR007", "high"), ("SR020", "high")],
 }
-FOLDERS = 40
+#: Keys of a folder: files have a bounded size however many rows there are.
+KEYS = 1000
 
 
 def labels() -> list[tuple[int, str, str]]:
@@ -75,7 +80,7 @@ def path(template: Column, key: Column) -> Column:
     """The file of a row: its extension is the template's, its folder depends on the row's key."""
     extensions = F.array(*[F.lit(t[0]) for t in TEMPLATES])
     extension = F.get(extensions, template)
-    return F.concat(F.lit("src/m"), (key % FOLDERS).cast("string"), F.when(extension == "env", "/.env.").otherwise("/file."), extension)
+    return F.concat(F.lit("src/m"), F.floor(key / KEYS).cast("string"), F.when(extension == "env", "/.env.").otherwise("/file."), extension)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +111,7 @@ def labels_sql() -> str:
     templates(template, extension, pattern) AS (VALUES {templates}),
     fires(template, rule_id, severity, n) AS (VALUES {fires}),
     placed AS (
-      SELECT o_orderkey, t.template, 'src/m' || CAST(o_orderkey % {FOLDERS} AS VARCHAR) || CASE WHEN extension = 'env' THEN '/.env.' ELSE '/file.' END || extension AS path,
+      SELECT o_orderkey, t.template, 'src/m' || CAST(o_orderkey // {KEYS} AS VARCHAR) || CASE WHEN extension = 'env' THEN '/.env.' ELSE '/file.' END || extension AS path,
              replace(pattern, '@', CAST(o_orderkey AS VARCHAR)) AS text
       FROM orders JOIN templates t ON o_orderkey % {len(TEMPLATES)} = t.template),
     corpus AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY o_orderkey) AS INTEGER) AS line FROM placed),

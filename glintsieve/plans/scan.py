@@ -138,7 +138,7 @@ def scan(files: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Findings of files (path, content); unsupported files have none."""
     settings = settings or Settings()
     known = files.select("path", languages.language(F.col("path")).alias("language"), "content").filter("language is not null")
-    return findings(analyze.line_rows(known, settings.between_functions), settings)
+    return findings(analyze.line_rows(known, settings.between_functions, matching=True), settings)
 
 
 def report(lines: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:

@@ -109,10 +109,10 @@ def a12(spark, sf_dir):
 _one("a13_components", "javascript", "a.vue", "<template><p>eval(x)</p></template>\n<script>\nconst a = req.query.x;\neval(a);\n</script>\n", lambda f: scan.matched(analyze.line_rows(f)).select("line", "rule_id"))
 
 
-@query("t01_scope_environment", f"SELECT {_PATH}, 4 AS line FROM customer WHERE false")
+@query("t01_scope_environment", f"SELECT {_PATH}, line, CASE WHEN line = 6 AND c_custkey % 4 IN (0, 2) THEN 1 ELSE 0 END AS n_flows FROM customer, (VALUES (4), (6)) AS l(line)")
 def t01(spark, sf_dir):
-    """A function's parameter hides what the module knows: no evidence inside without following calls."""
-    return _chain_flows(spark, sf_dir).filter("line = 4").select("path", "line")
+    """A function's parameter hides what the module knows: evidence outside of the function, none inside without following calls."""
+    return chains(spark, sf_dir).filter("line in (4, 6)").select("path", "line", F.size("flows").alias("n_flows"))
 
 
 _SOURCES = [*taint.REMOTE, *taint.LOCAL]
@@ -147,7 +147,7 @@ def t05(spark, sf_dir):
 _one("t06_sql_argument", "python", "a.py", "name = request.args['n']\nq = 'SELECT ' + name\ndb.execute(q)\ndb.execute('SELECT 1', (name,))\n", lambda f: scan.matched(analyze.line_rows(f)).filter("rule_id = 'SR011'").select("line"))
 
 
-@query("t07_sinks", f"{LABELS} SELECT path, line, rule_id FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016')")
+@query("t07_sinks", f"{LABELS} SELECT path, line, rule_id FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016', 'SR021')")
 def t07(spark, sf_dir):
     return source_lines(spark, sf_dir).select("path", "line", F.explode("flows").alias("f")).select("path", "line", F.col("f.rule_id").alias("rule_id"))
 
@@ -165,7 +165,7 @@ def t09(spark, sf_dir):
     return x
 
 
-@query("t10_confidence", f"{LABELS} SELECT CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016') THEN 'tainted' ELSE 'candidate' END AS confidence, count(*) AS n FROM expected GROUP BY 1")
+@query("t10_confidence", f"{LABELS} SELECT CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END AS confidence, count(*) AS n FROM expected GROUP BY 1")
 def t10(spark, sf_dir):
     return new_findings(spark, sf_dir).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 

@@ -39,7 +39,7 @@ def k04(spark, sf_dir):
     return rules.table(spark).select("rule_id", F.format_string("%s [%s] %s", "rule_id", "severity", "name").alias("body"))
 
 
-@query("k05_markdown", f"{LABELS} SELECT path, line, rule_id, '| ' || severity || ' | ' || rule_id || ' | ' || path || ':' || CAST(line AS VARCHAR) || ' | ' || CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016') THEN 'tainted' ELSE 'candidate' END || ' |' AS body FROM expected")
+@query("k05_markdown", f"{LABELS} SELECT path, line, rule_id, '| ' || severity || ' | ' || rule_id || ' | ' || path || ':' || CAST(line AS VARCHAR) || ' | ' || CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END || ' |' AS body FROM expected")
 def k05(spark, sf_dir):
     return reports.markdown_rows(new_findings(spark, sf_dir))
 
@@ -82,7 +82,7 @@ def k10(spark, sf_dir):
     return reports.baseline(new_findings(spark, sf_dir)).select(F.from_json("body", "schema string, fingerprints array<string>")["fingerprints"].alias("fingerprints"))
 
 
-@query("k11_cases", f"{LABELS} SELECT 'CASE-' || upper(substr(sha256(rule_id || chr(0) || path || chr(0) || sha256(text)), 1, 16)) AS case_id, path, line, rule_id FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016')")
+@query("k11_cases", f"{LABELS} SELECT 'CASE-' || upper(substr(sha256(rule_id || chr(0) || path || chr(0) || sha256(text)), 1, 16)) AS case_id, path, line, rule_id FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016', 'SR021')")
 def k11(spark, sf_dir):
     return cases.records(new_findings(spark, sf_dir), "repository", "revision").select("case_id", "path", "line", "rule_id")
 

@@ -13,12 +13,12 @@ SHA = "sha256(rule_id || chr(0) || path || chr(0) || sha256(text))"
 
 # --- joins ---------------------------------------------------------------------------------------
 
-_SELECTED = "SELECT DISTINCT 'src/m' || CAST(c_custkey % 30 AS VARCHAR) || '/file.py' AS path FROM customer WHERE c_custkey % 3 = 0"
+_SELECTED = "SELECT DISTINCT 'src/m' || CAST(c_custkey * 3 % 30 AS VARCHAR) || '/file.py' AS path FROM customer"
 
 
 def _selected(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
-    return c.select(F.concat(F.lit("src/m"), (F.col("c_custkey") % 30).cast("string"), F.lit("/file.py")).alias("path")).distinct()
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("src/m"), (F.col("c_custkey") * 3 % 30).cast("string"), F.lit("/file.py")).alias("path")).distinct()
 
 
 @query("j01_selection", f"{LABELS}, chosen AS ({_SELECTED}) SELECT DISTINCT path, path IN (SELECT path FROM chosen) AS selected FROM corpus")
@@ -49,15 +49,23 @@ def j04(spark, sf_dir):
     return scan.matched(x).filter("rule_id = 'SR004'").join(calls, ["path", "line"], "left_semi").select("path", "line")
 
 
-@query("j05_ranges", "SELECT o.o_orderkey, r.lo FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 25 AS hi FROM customer WHERE c_custkey % 50 = 0) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN r.lo AND r.hi")
+@query("j05_ranges", "SELECT o.o_orderkey, r.lo FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 25 AS hi FROM customer) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN r.lo AND r.hi")
 def j05(spark, sf_dir):
-    """Lines in ranges: an equi-join on the file with the range as a residual."""
-    r = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 25 as hi")
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_custkey % 7 as k")
-    return o.join(r, "k").filter("o_custkey between lo and hi").select("o_orderkey", "lo")
+    """Lines in ranges: an equi-join on the file and a bucket of lines, with the range as a residual."""
+    r = _bucketed(table(spark, sf_dir, "customer").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 25 as hi"))
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_custkey % 7 as k", f"o_custkey div {BUCKET} as bucket")
+    return o.join(r, ["k", "bucket"]).filter("o_custkey between lo and hi").select("o_orderkey", "lo")
 
 
-@query("j06_evidence", f"{LABELS} SELECT path, line, rule_id, CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016') THEN 'tainted' ELSE 'candidate' END AS confidence FROM expected")
+#: Lines of a bucket: a range meets the few buckets that it reaches into, not all lines of its file.
+BUCKET = 32
+
+
+def _bucketed(ranges):
+    return ranges.withColumn("bucket", F.explode(F.expr(f"sequence(lo div {BUCKET}, hi div {BUCKET})")))
+
+
+@query("j06_evidence", f"{LABELS} SELECT path, line, rule_id, CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END AS confidence FROM expected")
 def j06(spark, sf_dir):
     x = source_lines(spark, sf_dir)
     evidence = x.select("path", "line", F.explode("flows").alias("f")).select("path", "line", F.col("f.rule_id").alias("rule_id"), F.col("f.remote").alias("remote"))
@@ -83,22 +91,23 @@ def j10(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    """Labels by rule, path and line: every second line of the corpus is spoken of."""
-    x = corpus.rows(spark, sf_dir).filter("o_orderkey % 2 = 0")
-    fires = values(spark, corpus.labels(), "template int, rule_id string, s string").drop("s")
-    asked = fires.select("rule_id").distinct().crossJoin(values(spark, [(0,)], "z int")).drop("z")
-    pairs = x.filter("o_orderkey % 6 = 0").select("path", "line", "template").crossJoin(asked.filter("rule_id in ('SR004', 'SR005')"))
-    return pairs.join(fires.withColumn("positive", F.lit(True)), ["template", "rule_id"], "left").select("rule_id", "path", "line", F.coalesce("positive", F.lit(False)).alias("positive"))
+    """Labels of every line of the corpus for each rule that has labels: a row grows by that fixed number."""
+    fires = {r: [t for t, rule, _ in corpus.labels() if rule == r] for r in LABELLED}
+    asked = F.explode(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col("template").isin(*fires[r]).alias("positive")) for r in LABELLED]))
+    return corpus.rows(spark, sf_dir).select("path", "line", asked.alias("l")).select("l.rule_id", "path", "line", "l.positive")
 
 
-_SCORES = f"""{LABELS}, asked(rule_id) AS (VALUES ('SR004'), ('SR005')),
-labels AS (SELECT rule_id, path, line, template IN (SELECT template FROM fires f WHERE f.rule_id = a.rule_id) AS positive FROM corpus, asked a WHERE o_orderkey % 6 = 0),
-hits AS (SELECT DISTINCT rule_id, path, line FROM expected WHERE line % 5 <> 0),
+#: The rules that labels are kept for; findings of the others stay unscored.
+LABELLED = sorted({r for _, r, _ in corpus.labels()} - {"SR010", "SR017", "SR022"})
+_SCORES = f"""{LABELS}, asked(rule_id) AS (VALUES {', '.join(f"('{r}')" for r in LABELLED)}),
+labels AS (SELECT rule_id, path, line, template IN (SELECT template FROM fires f WHERE f.rule_id = a.rule_id) AS positive FROM corpus, asked a),
+hits AS (SELECT DISTINCT rule_id, path, line FROM expected WHERE severity <> 'info'),
 judged AS (SELECT l.*, h.rule_id IS NOT NULL AS predicted FROM labels l LEFT JOIN hits h ON l.rule_id = h.rule_id AND l.path = h.path AND l.line = h.line)"""
 
 
 def _hits(spark, sf_dir):
-    return new_findings(spark, sf_dir).filter("line % 5 <> 0")
+    """What a scan that reports from medium severity on says; the labels know of more."""
+    return new_findings(spark, sf_dir).filter("severity <> 'info'")
 
 
 @query("j11_labels", f"{_SCORES} SELECT rule_id, path, line, positive, predicted FROM judged")
@@ -207,12 +216,13 @@ def w01(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(w) - 1).alias("ordinal"))
 
 
-@query("w02_innermost", "SELECT o_orderkey, lo, hi FROM (SELECT o.o_orderkey, r.lo, r.hi, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY hi - lo, lo) AS k FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 10 + c_custkey % 40 AS hi FROM customer WHERE c_custkey % 10 = 0) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN lo AND hi) WHERE k = 1")
+@query("w02_innermost", "SELECT o_orderkey, lo, hi FROM (SELECT o.o_orderkey, r.lo, r.hi, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY hi - lo, lo) AS k FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 10 + c_custkey % 40 AS hi FROM customer) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN lo AND hi) WHERE k = 1")
 def w02(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 10 + c_custkey % 40 as hi")
-    x = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_custkey % 7 as k").join(r, "k").filter("o_custkey between lo and hi")
-    w = Window.partitionBy("o_orderkey").orderBy(F.col("hi") - F.col("lo"), "lo")
-    return x.withColumn("n", F.row_number().over(w)).filter("n = 1").select("o_orderkey", "lo", "hi")
+    r = _bucketed(table(spark, sf_dir, "customer").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 10 + c_custkey % 40 as hi"))
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_custkey % 7 as k", f"o_custkey div {BUCKET} as bucket")
+    x = o.join(r, ["k", "bucket"]).filter("o_custkey between lo and hi")
+    inner = F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "lo", "hi")).alias("inner")  # combined before the shuffle
+    return x.groupBy("o_orderkey").agg(inner).select("o_orderkey", "inner.lo", "inner.hi")
 
 
 @query("w03_proximity", "SELECT l_orderkey, l_linenumber, coalesce(l_linenumber - max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS UNBOUNDED PRECEDING) <= 2, false) AS near FROM lineitem")
