@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -56,6 +57,17 @@ def provider(value: Column) -> Column:
     return value.rlike(r"^AKIA[0-9A-Z]{16}$") | value.rlike(r"^sk_live_[0-9A-Za-z]{24,}$") | value.rlike(r"^xox[abprs]-[0-9A-Za-z-]{20,}$") | value.rlike(r"^AIza[0-9A-Za-z_-]{35}$") | value.rlike(r"^[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@$<{]+@") | checksum_valid(value)
 
 
+#: What provider shapes and private keys begin with or hold.
+_SHAPES = re.compile(r"AKIA|sk_live_|xox|AIza|://|gh[pousr]_|npm_|-----BEGIN ")
+LEAST_VALUE = 8
+
+
+def may_assign(visible: str, literals: list[str]) -> bool:
+    """Whether a line can assign a credential: a literal long enough, and a target for it or a shape of its own."""
+    long = [x for x in literals if len(x) >= LEAST_VALUE or not x.isascii()]
+    return bool(long) and ("=" in visible or ":" in visible or any(map(_SHAPES.search, long)))
+
+
 def secret_assignment(visible: Column, literals: Column) -> Column:
     """Whether a line assigns a credential: a provider's shape, a named target with a literal of its own, or a private key header."""
     by_equals = F.instr(visible, "=") > 0
@@ -66,7 +78,7 @@ def secret_assignment(visible: Column, literals: Column) -> Column:
     def one(raw: Column) -> Column:
         value = F.btrim(raw, F.lit(QUOTES))
         tail = F.substring(right, F.length(raw) + 1, F.length(right))
-        named = secret_name(target) & right.startswith(raw) & tail.rlike(r"^\s*(?:$|[;,}])") & (F.octet_length(value) >= 8) & ~placeholder(value)
+        named = secret_name(target) & right.startswith(raw) & tail.rlike(r"^\s*(?:$|[;,}])") & (F.octet_length(value) >= LEAST_VALUE) & ~placeholder(value)
         return provider(value) | named | (value.contains("-----BEGIN ") & value.contains("PRIVATE KEY-----"))
 
     return F.exists(literals, one)
@@ -78,7 +90,7 @@ class SecretAssignment(Predicate):
         return secret_assignment(F.col("visible"), F.col("literals"))
 
     def words(self) -> set[tuple[str, str]]:
-        return {("literal", "8")}  # no credential is shorter
+        return {("flag", "may_assign")}
 
     def test(self, line) -> bool:  # no sink, so never asked inside a file pass
         raise NotImplementedError

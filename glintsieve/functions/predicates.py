@@ -63,7 +63,7 @@ class Predicate:
         raise NotImplementedError
 
     def words(self) -> set[tuple[str, str]] | None:
-        """(view, word) pairs, one of which every matching line has; None if none are known. The view flag names a flag, literal a string literal's least length."""
+        """(view, word) pairs, one of which every matching line has; None if none are known. The view flag names a flag."""
         return None
 
     def __and__(self, other: Predicate) -> Predicate:
@@ -88,9 +88,9 @@ class Both(Predicate):
         return self.a.test(line) and self.b.test(line)
 
     def words(self) -> set[tuple[str, str]] | None:
-        # either side's will do: words rather than literals, a few rather than many
+        # either side's will do: words rather than credentials, a few rather than many
         known = [x for x in (self.a.words(), self.b.words()) if x is not None]
-        return min(known, key=lambda x: (any(view == "literal" for view, _ in x), len(x))) if known else None
+        return min(known, key=lambda x: (("flag", "may_assign") in x, len(x))) if known else None
 
 
 @dataclass(frozen=True)

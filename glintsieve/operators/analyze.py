@@ -11,21 +11,24 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glintsieve.functions.credentials import may_assign
 from glintsieve.functions.predicates import any_of, call_pattern, python
 from glintsieve.operators import facts as syntax
 from glintsieve.operators import lexer, taint
 from glintsieve.operators.lexer import Line
-from glintsieve.operators.rules import CSHARP_FORMATTERS, CSHARP_REACH, PATH_APIS, RULES
+from glintsieve.operators.rules import CSHARP_FORMATTERS, CSHARP_REACH, PATH_APIS, RULES, SQL_QUALIFIED
 from glintsieve.sources.components import script_source
 
 _PATH_CALL = re.compile(python(call_pattern(PATH_APIS)))
 _LITERAL_START = re.compile(r"\s*(?:[rb]?['\"]|`|@\")")
 _LETTER = re.compile(r"[^\W\d]|\$")
 
-#: What a line that some rule matches has at least: a word of the rules in its text, or without white space, a flag, or a literal of a credential's length.
+#: What a line that some rule matches has at least: a word of the rules in its text or in its code without white space, or a flag.
 _NEEDED = {pair for rule in RULES for pair in rule.predicate.words()}
-_TEXT, _COMPACT = (re.compile(any_of(word for view, word in _NEEDED if view == kind)) for kind in ("text", "compact"))
-_LITERAL = min(int(n) for view, n in _NEEDED if view == "literal")
+#: Calls that flows reach beside the rules' own words, and the module whose imported names start commands.
+_FLOW_WORDS = {("text", word) for word in SQL_QUALIFIED}
+_TEXT, _COMPACT = (re.compile(any_of(word for view, word in _NEEDED | _FLOW_WORDS if view == kind)) for kind in ("text", "compact"))
+_COMMAND_MODULE = "child_process"
 
 STEP = pa.struct([("line", pa.int32()), ("kind", pa.string())])
 FLOW = pa.struct([("rule_id", pa.string()), ("steps", pa.list_(STEP)), ("depth", pa.int32()), ("remote", pa.bool_())])
@@ -83,16 +86,22 @@ def telling(lines: list[Line]) -> set[int]:
     return {
         number
         for number, x in enumerate(lines, 1)
-        if x.path_call or x.formatter_near or _TEXT.search(x.text) or _COMPACT.search(x.compact) or any(len(v) >= _LITERAL or not v.isascii() for v in x.literals)
+        if x.path_call or x.formatter_near or _TEXT.search(x.text) or _COMPACT.search(x.compact) or may_assign(x.visible, x.literals)
     }
 
 
-def analyse_file(path: str, language: str, content: str, between_functions: bool) -> tuple[list[Line], bool, syntax.Facts, dict, set[int]]:
+def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, set[int]]:
+    """Lines, whether the file ends outside of strings and comments, facts, evidence by line and rule, and the telling lines.
+
+    matching: a file without a telling line is not parsed, as nothing can be found in it.
+    """
     script = script_source(path, content)
     content = content if script is None else script
     lines, complete = prepared(content, language)
-    facts = syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
     some = telling(lines)
+    if matching and not some and _COMMAND_MODULE not in content:
+        return lines, complete, syntax.Facts(parsed=False), {}, some
+    facts = syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
     found = taint.flows(lines, facts, language, between_functions, some) if facts.parsed else {}
     return lines, complete, facts, found, some
 
@@ -108,7 +117,7 @@ class Columns:
 
     def add(self, path: str, language: str, content: str, between_functions: bool, matching: bool) -> None:
         """The rows of a file; matching: only those of lines that a rule may match."""
-        lines, complete, facts, found, some = analyse_file(path, language, content, between_functions)
+        lines, complete, facts, found, some = analyse_file(path, language, content, between_functions, matching)
         evidence: dict[int, list[dict]] = {}
         for (number, rule), e in sorted(found.items()):
             evidence.setdefault(number, []).append({"rule_id": rule, "steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote})

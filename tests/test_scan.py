@@ -2,7 +2,9 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from glintsieve.operators import analyze
 from glintsieve.plans import corpus, dependencies, scan
+from glintsieve.sources import languages
 
 
 def run(spark, files, **settings):
@@ -80,3 +82,19 @@ def test_withdrawn_advisories_hit_nothing(spark):
     packages = spark.createDataFrame([("npm", "lodash", "4.17.20", None), ("npm", "lodash", "4.17.12", None)], "ecosystem string, name string, version string, error string")
     rows = dependencies.vulnerable(packages, records(spark)).collect()
     assert [(r.id, r.version) for r in rows] == [("ADV-2", "4.17.20")]
+
+
+def test_lines_that_are_left_out_match_no_rule(spark):
+    """All lines and only telling ones give the same findings, with and without calls followed."""
+    files = corpus.files(spark, SMALL)
+    extra = [
+        ("a.js", "const {exec: go} = require('child_process');\ngo(name);\n"), ("b.js", "import * as cp from 'node:child_process';\ncp.spawn(x)\n"), ("c.py", "name = request.args['n']\ndb.run(name)\n"),
+        ("d.py", "x = DEBUG  =  True\nkey = 'sk_live_0123456789abcdefghijklmn'\n"), ("e.py", "def f(a):\n    eval(a)\nf(request.args['x'])\n"), ("f.env", "export API_TOKEN=abcdefgh1\n"), ("g.py", "total = 1\n'quiet'\n"),
+        ("h.cs", "var f = new BinaryFormatter();\nvar x = f.Deserialize(s);\n"), ("i.ts", "el . innerHTML = req.query.a;\n"), ("j.py", "u = {'url': 'postgres://u:passw0rd@h/d'}\n"),
+    ]
+    files = files.unionByName(spark.createDataFrame(extra, "path string, content string")).withColumn("language", languages.language(F.col("path")))
+    for between in (False, True):
+        every, some = (analyze.line_rows(files, between, matching) for matching in (False, True))
+        rows = [sorted(map(str, scan.judged(x).collect())) for x in (every, some)]
+        assert rows[0] == rows[1] and len(rows[0]) > 1000
+        assert some.count() < every.count()
