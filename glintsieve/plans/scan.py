@@ -31,7 +31,7 @@ class Settings:
     fail_on: str | None = None
     between_functions: bool = False
     snippets: bool = True
-    max_findings: int = 10_000
+    max_findings: int | None = 10_000  # None: no budget
     keyword: str = "glintsieve:ignore"
 
 
@@ -96,16 +96,19 @@ def severity(settings: Settings) -> Column:
 
 
 def judged(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Every match with its ordinal, fingerprint and state: new, disabled, suppressed or truncated."""
+    """Every match with its ordinal, fingerprint and state: new, disabled, suppressed or truncated.
+
+    Matches are dealt by path once; all windows and the counts for the budget start from that exchange.
+    """
     settings = settings or Settings()
-    x = matched(lines)
+    state = F.when(~rule_enabled(F.col("rule_id"), F.col("path"), settings), "disabled").when(T.suppressed(F.col("comments"), F.col("rule_id"), settings.keyword), "suppressed").otherwise("new")
+    dealt = matched(lines).select("path", "language", "line", "text", "compact", "reliable", "shell", "emit_ord", "rule_id", "evidence", state.alias("state")).repartition("path")
     same = Window.partitionBy("path", "rule_id", "_digest").orderBy("line", "emit_ord")
-    x = x.withColumn("_digest", F.sha2("text", 256)).withColumn("ordinal", F.row_number().over(same) - 1)
+    x = dealt.withColumn("_digest", F.sha2("text", 256)).withColumn("ordinal", F.row_number().over(same) - 1)
     x = x.withColumn("fingerprint", T.fingerprint(F.col("rule_id"), F.col("path"), F.col("text"), F.col("ordinal")))
-    secret_line = F.max(F.col("rule_id") == "SR007").over(Window.partitionBy("path", "line"))
-    state = F.when(~rule_enabled(F.col("rule_id"), F.col("path"), settings), "disabled").when(T.suppressed(F.col("comments"), F.col("rule_id"), settings.keyword), "suppressed").otherwise("new")
-    x = x.withColumn("state", state).withColumn("sensitive", secret_line)
-    x = budgeted(x, settings.max_findings)
+    x = x.withColumn("sensitive", F.max(F.col("rule_id") == "SR007").over(Window.partitionBy("path", "line")))
+    if settings.max_findings is not None:
+        x = budgeted(x, settings.max_findings, dealt)
     shown = F.when(F.lit(settings.snippets) & ~F.col("sensitive"), T.snippet(F.col("text")))
     confidence = F.when(F.col("evidence").isNull(), "candidate").when(F.col("evidence.remote"), "tainted").otherwise("reachable")
     return x.select(
@@ -115,18 +118,20 @@ def judged(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
     )
 
 
-def budgeted(x: DataFrame, most: int) -> DataFrame:
+def budgeted(x: DataFrame, most: int, counted: DataFrame | None = None) -> DataFrame:
     """The first `most` new matches in discovery order (by path components) stay new, the others are truncated.
 
     Only counts by path meet in one task: a row's rank is the count of the paths before its own plus its rank in the path.
+    counted: the rows to count, if x has been made of them. All their columns are read, so that both sides have the same exchange, which is run once.
     """
-    counts = x.filter("state = 'new'").groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.split("path", "/")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = x if counted is None else counted
+    counts = counted.groupBy("path").agg(F.count_if(F.col("state") == "new").alias("_n"), F.max(F.hash(*counted.columns)).alias("_all")).filter("_all is not null").select(F.col("path").alias("_path"), "_n")
+    before = Window.orderBy(F.split("_path", "/")).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("path", "state").orderBy("line", "emit_ord")
-    x = x.withColumn("_rank", F.row_number().over(inside)).join(bases, "path", "left")
+    x = x.withColumn("_rank", F.row_number().over(inside)).join(bases, F.col("path").eqNullSafe(F.col("_path")), "left")
     cut = (F.col("state") == "new") & (F.col("_base") + F.col("_rank") > most)
-    return x.withColumn("state", F.when(cut, "truncated").otherwise(F.col("state"))).drop("_rank", "_base")
+    return x.withColumn("state", F.when(cut, "truncated").otherwise(F.col("state"))).drop("_rank", "_base", "_path")
 
 
 def findings(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
