@@ -335,6 +335,35 @@ def test_op6_main_text(spark):
     assert op6_html.extract(frame.limit(0)).count() == 0
 
 
+def test_op6_every_page_meets_its_neighbours(spark):
+    """Blocks and partitions do not change what a page is compared with."""
+    rng = random.Random(4)
+    menu = ["Home", "News", "About us", "All rights reserved"]
+    rows = []
+    for k in range(120):
+        host = f"h{k % 3}" if k < 90 else "one"
+        body = [f"text {k} {rng.randrange(10**9)} " * 8 for _ in range(4)]
+        if k % 10 == 9:
+            body = last  # a copy of the page before
+        last = body
+        block = "".join(f"<div>{x}</div>" for x in [*menu[:2], *body, *menu[2:]])
+        rows.append((k, f"http://{host}/{k:04d}/x", f"<!-- <article> --><body>{block}</body>"))
+    rows += [(200 + k, None, "<p>same</p>") for k in range(4)] + [(300, "http://alone/x", "<p>kept</p>"), (301, "http://h0/0000/x", rows[0][2]), (301, "http://h0/0000/x", rows[0][2])]
+    rows.append((400, "http://long/x", "<p>a</p><p>b</p>" * 4000))
+    rows.append((401, "http://long/y", "<p>b</p><p>a</p>" * 4000))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("clash") for n in ("host", "path", "part", "at", "block", "lines", "own", "to")})
+    lines_of = {id(r): [t for _, t in op6_html.lines(r[2])] for r in rows}
+    key = lambda r: (re.sub("^http://([^/]*).*", r"\1", r[1] or ""), re.sub("^http://[^/]*", "", r[1] or ""), r[0])
+    ordered = sorted(rows, key=key)
+    hosts, texts_of = [key(r)[0] for r in ordered], [lines_of[id(r)] for r in ordered]
+    expected = sorted((r[0], op6_html.unshared(texts_of, k, hosts)) for k, r in enumerate(ordered))
+    pages = op6_html.parsed(frame)
+    assert sorted((r.page_id, r.text) for r in op6_html.extract(frame).collect()) == expected
+    for group in (4, 7):
+        assert sorted((r.page_id, r.text) for r in op6_html.differenced(pages.filter("lines is not null"), group).collect()) == expected
+    assert all("Home" not in t and "All rights" not in t for k, t in expected if k < 100) and dict(expected)[300] == "kept"
+
+
 def test_op6_words_do_not_cut_the_article():
     text = lambda page: [t for main, t in op6_html.lines(page) if main]
     inner = "<div id='article-header'>A</div><h2 id='related-work'>B</h2><h2 id='search-results'>C</h2><section id='menu-design'><p>D</p></section><p class='notice'>E</p>"
