@@ -3,14 +3,18 @@
 A page is cut into lines: the text of a block element, character references decoded, white space folded. Lines in
 elements that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
 are left out by tag, role and class or id word. Words never judge html, body, main and headings, nor an element that holds all of the marked
-article; inside it a class has to be such a word as a whole, and an id only counts for comments. Where a page marks its article (article, main, role=main), the
-lines inside are its text, as the parsed tree has it. Every other page is differenced: pages are ordered by host and URL path, and each one is
-paired with its nearest neighbours of the same host, before and after it; lines are aligned by longest common subsequence (one
-bit-parallel method at every size), and lines shared with a neighbour are deleted. A neighbour that shares more than half of a page's text is a copy of
-the article, not a template, and the next one out is tried, REACH of them at most.
+article; inside it a class has to be such a word as a whole, and an id only counts for comments.
 
-Pages are range-partitioned by (host, path, page_id), numbered in that order and cut into blocks of GROUP neighbours; the REACH pages on
-either side of a block come with it. So no host, however large, meets in one task, and every page meets its neighbours.
+Every page is then differenced: pages are ordered by host and URL path, and each one is paired with its nearest neighbours of the same host, before and
+after it; lines are aligned by longest common subsequence (one bit-parallel method at every size), and lines shared with a neighbour are deleted. A neighbour
+that shares more than half of a page's text is a copy of the article, not a template, and the next one out is tried, REACH of them at most. Last, a check
+against the parsed tree: shared lines inside a marked article (article) come back, as neighbours may quote or mirror each other's articles, and where a page
+marks its text (article, main, role=main), lines outside go. main only bounds the text (it also holds share bars and lists of other pages), so what no
+article in it holds is text if the neighbours do not share it.
+
+The order by (host, path, page_id, url) is cut into ranges of at least GROUP pages, by a pass over the URLs alone; the REACH pages on either side of a range
+come with it. So texts are shuffled once, no host, however large, meets in one task, and every page meets its neighbours. A range is read in order and
+holds 2 * REACH + 1 pages at a time.
 
 Defined results: null and empty html give an empty text; a null URL belongs to the empty host; repeated rows and page_ids give a row each; other columns
 are ignored.
@@ -20,18 +24,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import by_size, only, table, wide, written
+from glintsieve.llm.common import by_size, only, table, wide
 
 GROUP = 256
 REACH = 3
 STORED = 256
 COPY = 0.5
+MAIN, ARTICLE = 1, 2
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.DOTALL)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
@@ -82,8 +89,8 @@ def _unwanted(name: str, attributes: str, inside: bool, words: bool = True) -> b
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attributes, re.I))
 
 
-def lines(page: str) -> list[tuple[bool, str]]:
-    """The lines of a page that may be article text; with each, whether it stands in the marked article."""
+def lines(page: str) -> list[tuple[int, str]]:
+    """The lines of a page that may be article text; with each, whether it stands in a marked ARTICLE, in MAIN only, or in neither (0)."""
     found = _lines(page, True)
     if not any(main for main, _ in found) and re.search(_MARKED, page):
         # the article may stand in an element that was left out by a word
@@ -92,26 +99,27 @@ def lines(page: str) -> list[tuple[bool, str]]:
     return found
 
 
-def _lines(page: str, words: bool) -> list[tuple[bool, str]]:
+def _lines(page: str, words: bool) -> list[tuple[int, str]]:
     """lines, with or without elements outside the marked article judged by words."""
-    out: list[tuple[bool, str]] = []
+    out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, unwanted, marks the article
-    skipping = marked = at = 0
+    stack: list[tuple[str, bool, int]] = []  # name, unwanted, marks the text as
+    skipping = at = 0
+    marked = [0, 0, 0]  # open elements by mark
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((marked > 0, text))
+                out.append((ARTICLE if marked[ARTICLE] else MAIN if marked[MAIN] else 0, text))
 
     def leave(to: int) -> None:
-        nonlocal skipping, marked
+        nonlocal skipping
         while len(stack) > to:
-            _, bad, main = stack.pop()
+            _, bad, mark = stack.pop()
             skipping -= bad
-            marked -= main
+            marked[mark] -= 1
 
     while at < len(page):
         start = page.find("<", at)
@@ -153,11 +161,12 @@ def _lines(page: str, words: bool) -> list[tuple[bool, str]]:
                 leave(depth)
         elif name == "li" and stack and stack[-1][0] == "li":
             leave(len(stack) - 1)
-        bad = _unwanted(name, attributes, marked > 0, words or marked > 0 or name == "article")
-        main = not bad and not skipping and (name in ("article", "main") or 'role="main"' in attributes)
-        stack.append((name, bad, main))
+        inside = marked[MAIN] + marked[ARTICLE] > 0
+        bad = _unwanted(name, attributes, inside, words or inside or name == "article")
+        mark = 0 if bad or skipping else ARTICLE if name == "article" else MAIN if name == "main" or 'role="main"' in attributes else 0
+        stack.append((name, bad, mark))
         skipping += bad
-        marked += main
+        marked[mark] += 1
     flush()
     return out
 
@@ -166,8 +175,22 @@ def shared(own: list[str], other: list[str]) -> set[int]:
     """Line numbers of own in a longest common subsequence of lines with other.
 
     A row of the table of lengths is one integer: bit j is 0 where one line more of other lengthens the subsequence. Every STORED-th
-    row is kept; going back, the rows between are made again, so memory is that of a few rows at any size.
+    row is kept; going back, the rows between are made again, so memory is that of a few rows at any size. Lines that only one side has
+    are in no common subsequence, and equal ends are in a longest one: both are left out before.
     """
+    both = set(own).intersection(other)
+    if not both:
+        return set()
+    kept = [i for i, line in enumerate(own) if line in both]
+    own, other = [own[i] for i in kept], [line for line in other if line in both]
+    most, head, tail = min(len(own), len(other)), 0, 0
+    while head < most and own[head] == other[head]:
+        head += 1
+    while tail < most - head and own[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    to = len(own) - tail
+    out = {*kept[:head], *kept[to:]}
+    kept, own, other = kept[head:to], own[head:to], other[head : len(other) - tail]
     places: dict[str, int] = {}
     for j, line in enumerate(other):
         places[line] = places.get(line, 0) | 1 << j
@@ -182,7 +205,6 @@ def shared(own: list[str], other: list[str]) -> set[int]:
         row = row_after(row, line)
         if i % STORED == 0:
             stored.append(row)
-    out: set[int] = set()
     i, j = len(own), len(other)
     while i and j:
         first = (i - 1) // STORED * STORED
@@ -192,7 +214,7 @@ def shared(own: list[str], other: list[str]) -> set[int]:
         while i > first and j:
             if own[i - 1] == other[j - 1]:
                 i, j = i - 1, j - 1
-                out.add(i)
+                out.add(kept[i])
             elif rows[i - first] >> j - 1 & 1:
                 j -= 1
             else:
@@ -200,8 +222,8 @@ def shared(own: list[str], other: list[str]) -> set[int]:
     return out
 
 
-def unshared(pages: list[list[str]], k: int, hosts: list[str]) -> str:
-    """The text of page k among its neighbours in URL order: lines that the nearest ones of its host share are deleted."""
+def unshared(pages: list[list[str]], k: int, hosts: list[str], marks: list[int] | None = None) -> str:
+    """The text of page k among its neighbours in URL order: lines that the nearest ones of its host share are deleted; the page's marks are checked then."""
     own = pages[k]
     gone: set[int] = set()
     total = sum(map(len, own)) or 1
@@ -214,6 +236,8 @@ def unshared(pages: list[list[str]], k: int, hosts: list[str]) -> str:
             if sum(len(own[i]) for i in same) <= COPY * total:
                 gone |= same
                 break
+    if marks and any(marks):
+        gone = {i for i, mark in enumerate(marks) if mark != ARTICLE and (i in gone or not mark)}
     return "\n".join(x for i, x in enumerate(own) if i not in gone)
 
 
@@ -221,65 +245,120 @@ _MARKED = r"(?i)<(article|main)[\s>]|role=\"main\""
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url and, of a page with a marked article, its text, of any other its lines."""
+    """page_id, url, lines and their marks, of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "html"):
-                texts, rest = [], []
-                for page in batch.column("html").to_pylist():
-                    found = lines(page or "")
-                    inside = [t for main, t in found if main]
-                    texts.append("\n".join(inside) if inside or not found else None)
-                    rest.append(None if texts[-1] is not None else [t for _, t in found])
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "text", "lines"])
+                found = [lines(page or "") for page in batch.column("html").to_pylist()]
+                texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
+                marks = pa.array([[m for m, _ in page] for page in found], pa.list_(pa.int8()))
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, marks], ["page_id", "url", "lines", "marks"])
+
+    return only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, lines array<string>, marks array<tinyint>")
 
-    return only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, lines array<string>")
 
+_ORDER = ("host", "path", "page_id", "url")
+_KEY = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string())])
 
-def differenced(pages: DataFrame, group: int = GROUP) -> DataFrame:
-    """page_id, url and text of pages given as lines, each differenced with its nearest neighbours by URL."""
-    spark = pages.sparkSession
-    url = F.coalesce("url", F.lit(""))
+
+def _placed(pages: DataFrame, *others: str) -> DataFrame:
+    """The columns of the URL order, and others."""
+    url: Column = F.coalesce(pages["url"], F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    order = ["host", "path", "page_id", "url"]
-    ordered = pages.select("page_id", "url", "lines", host.alias("host"), path.alias("path")).repartitionByRange(4 * wide(spark), *order[:3]).sortWithinPartitions(*order, F.hash("lines"))
-    # numbered once and kept: numbers are those of the written rows
-    ordered = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    bases = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    x = ordered.join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("at"))
-    block, place = F.floor(F.col("at") / group), F.col("at") % group
-    near = F.array(block, F.when((place < REACH) & (block > 0), block - 1), F.when(place >= group - REACH, block + 1))
-    dealt = x.withColumn("own", block).select("page_id", "url", "lines", "host", "at", "own", F.explode(F.filter(near, lambda b: b.isNotNull())).alias("block"))
+    return pages.select(host.alias("host"), path.alias("path"), pages["page_id"].cast("long").alias("page_id"), pages["url"], *(pages[x] for x in others))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
 
-        def solved() -> pa.RecordBatch:
-            texts, hosts = [r["lines"] for r in held], [r["host"] for r in held]
-            out = [(r["page_id"], r["url"], unshared(texts, k, hosts)) for k, r in enumerate(held) if r["own"] == r["block"]]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "text"])
+def _key(host: str, path: str, page_id: int | None, url: str | None) -> tuple:
+    """Sorts as Spark does: nulls first, strings by code points."""
+    return host, path, page_id is not None, page_id or 0, url is not None, url or ""
+
+
+def ranges(pages: DataFrame, group: int = GROUP) -> list[tuple[int, list[tuple], list[tuple]]]:
+    """Ranges of the URL order, of at least `group` pages: the number of pages, the first REACH keys, the last REACH keys. Reads page_id and url only."""
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, last = 0, [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["block"] != row["block"]:
-                    yield solved()
-                held.append(row)
-        if held:
-            yield solved()
+            n += batch.num_rows
+            first += batch.slice(0, REACH - len(first)).to_pylist() if len(first) < REACH else []
+            last = (last + batch.slice(max(0, batch.num_rows - REACH)).to_pylist())[-REACH:]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([first], pa.list_(_KEY)), pa.array([last], pa.list_(_KEY))], ["n", "first", "last"])
+
+    keys = "array<struct<host string, path string, page_id long, url string>>"
+    cut = _placed(pages).repartitionByRange(2 * wide(pages.sparkSession), *_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(ends, f"n long, first {keys}, last {keys}")
+    found = sorted((([_key(*x) for x in r.first], r.n, [_key(*x) for x in r.last]) for r in cut.collect()), key=lambda x: x[0][0])
+    out: list[tuple[int, list[tuple], list[tuple]]] = []
+    least = max(group, REACH)  # a page's neighbours are in its own range or in the next one
+    left = sum(n for _, n, _ in found)
+    for first, n, last in found:
+        if out and (out[-1][0] < least or left < least):
+            before = out.pop()
+            out.append((before[0] + n, (before[1] + first)[:REACH], (before[2] + last)[-REACH:]))
+        else:
+            out.append((n, first, last))
+        left -= n
+    return out
+
+
+def differenced(pages: DataFrame, group: int = GROUP, cut: list[tuple[int, list[tuple], list[tuple]]] | None = None) -> DataFrame:
+    """page_id, url and text of pages given as lines and marks, each differenced with its nearest neighbours by URL."""
+    cut = ranges(pages, group) if cut is None else cut
+    starts, heads, tails = [first[0] for _, first, _ in cut[1:]], [first[-1] for _, first, _ in cut], [last[0] for _, _, last in cut]
 
-    return dealt.repartition(4 * wide(spark), "block").sortWithinPartitions("block", "at").mapInArrow(run, "page_id long, url string, text string")
+    def blocks(host: pa.Array, path: pa.Array, page_id: pa.Array, url: pa.Array) -> pa.Array:
+        out = []
+        for row in zip(*(x.to_pylist() for x in (host, path, page_id, url)), strict=True):
+            key = _key(*row)
+            own = bisect_right(starts, key)
+            out.append([own, *([own - 1] if own and key <= heads[own] else []), *([own + 1] if own < len(starts) and key >= tails[own] else [])])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # the page at `at`, REACH before it and REACH after it
+        out: list[tuple] = []
+        at = 0
+
+        def solve(upto: int) -> None:
+            nonlocal at
+            while at < upto:
+                r = held[at]
+                if r["own"]:
+                    from_ = max(0, at - REACH)
+                    near = held[from_ : at + REACH + 1]
+                    out.append((r["page_id"], r["url"], unshared([x["lines"] for x in near], at - from_, [x["host"] for x in near], r["marks"])))
+                at += 1
+            del held[: max(0, at - REACH)]
+            at = min(at, REACH)
+
+        def solved() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "text"])
+            out.clear()
+            return batch
+
+        for row in chain.from_iterable(part.to_pylist() for whole in batches for part in (whole.slice(k, GROUP) for k in range(0, whole.num_rows, GROUP))):
+            if held and held[-1]["block"] != row["block"]:
+                solve(len(held))
+                held.clear()
+                at = 0
+            held.append(row)
+            solve(len(held) - REACH)
+            if len(out) >= GROUP:
+                yield solved()
+        solve(len(held))
+        yield solved()
+
+    # never empty; outer, as Spark would ask for the blocks twice to filter empty ones
+    near = F.arrow_udf(blocks, "array<int>")(*_ORDER)
+    dealt = _placed(pages, "lines", "marks").withColumn("blocks", near).select(*_ORDER, "lines", "marks", F.posexplode_outer("blocks").alias("place", "block")).withColumn("own", F.col("place") == 0).drop("place")
+    return dealt.repartitionById(max(1, len(cut)), "block").sortWithinPartitions("block", *_ORDER, F.hash("lines")).mapInArrow(run, "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
-    both = written(parsed(pages), "parsed")
-    rest = both.filter("lines is not null")
-    first = both.filter("lines is null").select("page_id", "url", "text")
-    return first if rest.isEmpty() else first.unionByName(differenced(rest))
+    return differenced(parsed(pages), cut=ranges(pages))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

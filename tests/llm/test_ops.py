@@ -364,6 +364,40 @@ def test_op6_every_page_meets_its_neighbours(spark):
     assert all("Home" not in t and "All rights" not in t for k, t in expected if k < 100) and dict(expected)[300] == "kept"
 
 
+def test_op6_marked_pages_are_differenced(spark):
+    """Pages that mark their text meet their neighbours, too: lines that main holds are deleted if shared, those of an article come back."""
+    own = "Page {k} has a text of its own that is longer than all that it shares."
+    quote = "Both quote this."
+    forms = {
+        "main": (f"<nav>Home</nav><main><p>Read next</p><p>{own}</p><p>Write to us</p></main>", own),
+        "both": (f"<p>Home</p><div role=\"main\"><h1>Title {{k}}</h1><p>Read next</p><article><p>{own}</p><p>{quote}</p></article></div>", f"Title {{k}}\n{own}\n{quote}"),
+        "article": (f"<p>Home {{k}}</p><article><p>{quote}</p><p>{own}</p></article><p>All rights</p>", f"{quote}\n{own}"),
+    }
+    rows = [(10 * n + k, f"http://{host}/{k}", html.replace("{k}", str(k)), text.replace("{k}", str(k))) for n, (host, (html, text)) in enumerate(forms.items()) for k in range(5)]
+    rows.append((90, "http://alone/x", forms["main"][0], f"Read next\n{own}\nWrite to us"))
+    frame = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in op6_html.extract(frame).collect()} == {r[0]: r[3] for r in rows}
+    pages = op6_html.parsed(frame)
+    assert pages.filter("lines is null").count() == 0 and op6_html.differenced(pages).count() == len(rows)
+
+
+def test_op6_ranges_of_the_url_order(spark):
+    """Nulls, ties and one hot URL: each row is in one range, and every page meets its neighbours."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 0, k]), rng.choice([None, "", "http://H/a?x", f"http://h/{k % 7}", "http://é/z"]), f"<main><p>{rng.choice('abc') * 9}</p><p>{rng.choice('defg') * 9}</p><p>{rng.randrange(10**9)}</p></main>") for k in range(300)]
+    rows += [(7, "http://hot/x", "<p>same</p>")] * 200
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = op6_html.parsed(frame)
+    ordered = op6_html._placed(pages, "lines", "marks").orderBy(*op6_html._ORDER, F.hash("lines")).collect()
+    lines, hosts = [r.lines for r in ordered], [r.host for r in ordered]
+    key = lambda x: tuple(y or "" for y in map(str, x))
+    expected = sorted(((r.page_id, r.url, op6_html.unshared(lines, k, hosts, r.marks)) for k, r in enumerate(ordered)), key=key)
+    for group in (1, 20, 10_000):
+        cut = op6_html.ranges(frame, group)
+        assert sum(n for n, _, _ in cut) == len(rows) and (len(cut) > 3 if group < 100 else len(cut) == 1) and all(n >= group for n, _, _ in cut[:-1])
+        assert sorted((tuple(r) for r in op6_html.differenced(pages, group).collect()), key=key) == expected
+
+
 def test_op6_words_do_not_cut_the_article():
     text = lambda page: [t for main, t in op6_html.lines(page) if main]
     inner = "<div id='article-header'>A</div><h2 id='related-work'>B</h2><h2 id='search-results'>C</h2><section id='menu-design'><p>D</p></section><p class='notice'>E</p>"
