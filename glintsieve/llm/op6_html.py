@@ -10,7 +10,7 @@ after it; lines are aligned by longest common subsequence (one bit-parallel meth
 that shares more than half of a page's text is a copy of the article, not a template, and the next one out is tried, REACH of them at most. Last, a check
 against the parsed tree: shared lines inside a marked article (article) come back, as neighbours may quote or mirror each other's articles, and where a page
 marks its text (article, main, role=main), lines outside go. main only bounds the text (it also holds share bars and lists of other pages), so what no
-article in it holds is text if the neighbours do not share it.
+article in it holds is text if the neighbours do not share it; if they share all of it between them, all of it is text.
 
 The order by (host, path, page_id, url) is cut into ranges of at least GROUP pages, by a pass over the URLs alone; the REACH pages on either side of a range
 come with it. So texts are shuffled once, no host, however large, meets in one task, and every page meets its neighbours. A range is read in order and
@@ -238,6 +238,8 @@ def unshared(pages: list[list[str]], k: int, hosts: list[str], marks: list[int]
                 break
     if marks and any(marks):
         gone = {i for i, mark in enumerate(marks) if mark != ARTICLE and (i in gone or not mark)}
+        if len(gone) == len(own):
+            gone = {i for i, mark in enumerate(marks) if not mark}
     return "\n".join(x for i, x in enumerate(own) if i not in gone)
 
 

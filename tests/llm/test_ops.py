@@ -375,6 +375,7 @@ def test_op6_marked_pages_are_differenced(spark):
     }
     rows = [(10 * n + k, f"http://{host}/{k}", html.replace("{k}", str(k)), text.replace("{k}", str(k))) for n, (host, (html, text)) in enumerate(forms.items()) for k in range(5)]
     rows.append((90, "http://alone/x", forms["main"][0], f"Read next\n{own}\nWrite to us"))
+    rows += [(91 + k, f"http://between/{k}", f"<p>Home {k}</p><main><p>{a}</p><p>{b}</p></main>", f"{a}\n{b}" if k == 1 else text) for k, (a, b, text) in enumerate([("aaaa", "bbbbb", "bbbbb"), ("aaaa", "cccc", ""), ("ddddd", "cccc", "ddddd")])]
     frame = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in op6_html.extract(frame).collect()} == {r[0]: r[3] for r in rows}
     pages = op6_html.parsed(frame)
