@@ -28,15 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import by_size, fresh_path, lean, local_file, only, table, wide, written
-from glintsieve.llm.pretoken import can_split
+from glintsieve.llm.common import by_size, fresh_path, lean, local_file, only, table, text_buffer, wide, written
+from glintsieve.llm.pretoken import cuts, strung
 
 MAGIC = b"DAC1"
 FILE_IDS = 4_000_000
 BLOCK = 512
 CACHE_ENTRIES = 600_000
-#: Words that are encoded in one string.
+#: Pieces that are encoded in one string, and bytes of the longest that is kept.
 STRUNG = 400
+LONGEST = 64
 _NULL_ID = -(1 << 63)
 
 
@@ -127,86 +128,123 @@ class Reader:
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them; words are encoded once and kept.
+    """Ids of texts as the tokenizers library gives them; pieces of texts are encoded once and kept.
 
-    Texts are cut into words by Arrow, equal words are found by dictionary encoding, and the ids of all words of a batch
-    are gathered from one pool by numpy. Texts with a special token's string or with odd white space go to the library whole.
+    Texts are cut into pieces by numpy where a pre-token always begins, equal pieces are found by dictionary encoding, and
+    the ids of all pieces of a batch are gathered from one pool. Texts with a special token's string are one piece.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.most = most
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a token's string has one character a byte
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known, self.again = pa.array([], pa.string()), np.zeros(0, bool)
         self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        """Keeps the pieces that came again since the last time, no more than half of what may be kept."""
+        kept = np.flatnonzero(self.again)[: self.most // 2]
+        self.known = self.known.take(pa.array(kept))
+        self.again = np.zeros(len(kept), bool)
+        self.pool = self._gathered(kept)
+        self.lengths = self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _gathered(self, place: np.ndarray) -> np.ndarray:
+        """The ids at some places of the pool, one after the other."""
+        lengths = self.lengths[place]
+        ends = np.cumsum(lengths)
+        small = np.int32 if max(len(self.pool), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+        from_pool = np.repeat((self.starts[place] - (ends - lengths)).astype(small), lengths)
+        from_pool += np.arange(len(from_pool), dtype=small)
+        return self.pool[from_pool]
+
+    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, ids])
+
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after the other, and their numbers."""
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _learned(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words with a space before each, one after the other, and their numbers.
+    def _joined(self, pieces: pa.Array, between: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and their numbers, with those of `between` (a byte or none), which follows each.
 
-        Strung together words are cut just there, so that many are encoded in one call; the bytes of the tokens tell where.
+        Pieces strung together are cut just there, so that many are encoded in one call; the bytes of the tokens tell where.
         """
-        if not len(words):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        names = words.to_pylist()
-        ids, _ = self._encoded([" " + " ".join(names[at : at + STRUNG]) for at in range(0, len(names), STRUNG)])
-        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
-        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        offsets, data = text_buffer(pieces)
+        if between:
+            data = np.insert(data, offsets[1:], between[0])
+            offsets = offsets + np.arange(len(offsets))
+        bounds = [*offsets[:-1:STRUNG].tolist(), len(data)]
+        ids, _ = self._encoded([data[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])])
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), offsets[1:]) + 1
         return ids, np.diff(last, prepend=0)
 
-    def _entries(self, words: pa.Array) -> np.ndarray:
-        """The place in the pool of each of some distinct words."""
-        if len(self.known) + len(words) > CACHE_ENTRIES:
-            self.forget()
-        at = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(at))
-        out = at.fill_null(-1).to_numpy().astype(np.int64)
-        out[out < 0] = len(self.starts) + np.arange(len(new))
-        self._put(*self._learned(new))
-        self.known = pa.concat_arrays([self.known, new])
-        return out
-
-    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, ids])
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, int]:
+        """Puts distinct pieces into the pool; their order there, and how many of the first are to be kept."""
+        offsets, data = text_buffer(pieces)
+        spaced, bare = strung(offsets, data)
+        for special in self.special:
+            plain = ~pc.match_substring(pieces, special).to_numpy(zero_copy_only=False)
+            spaced, bare = spaced & plain, bare & plain
+        short = np.diff(offsets) <= LONGEST
+        order = []
+        for few in (short, ~short):
+            groups = [np.flatnonzero(few & x) for x in (spaced, bare, ~spaced & ~bare)]
+            spaced_few, bare_few, other_few = (pieces.take(pa.array(x)) for x in groups)
+            if len(spaced_few):
+                self._put(*self._joined(spaced_few, b""))
+            if len(bare_few):
+                ids, numbers = self._joined(bare_few, b"\n")
+                breaks = np.zeros(len(ids), bool)
+                breaks[np.cumsum(numbers) - 1] = True
+                self._put(ids[~breaks], numbers - 1)
+            if len(other_few):
+                self._put(*self._encoded(other_few.to_pylist()))
+            order += groups
+        return np.concatenate(order), int(short.sum())
 
     def encode(self, column: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column (null: empty), with those of `end` after each, and their numbers by text."""
-        texts = column.to_pylist()
-        plain = [bool(t) and can_split(t) and not any(s in t for s in self.special) for t in texts]
-        cut = pc.split_pattern(pc.if_else(pa.array(plain), column, ""), pattern=" ")
-        first = cut.offsets.to_numpy().astype(np.int64)
-        first, words = first - first[0], cut.flatten().dictionary_encode()
-        place = self._entries(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        # the first word of a text has no space before it; other texts are one piece
-        kept = len(self.starts), len(self.pool)
-        self._put(*self._encoded([t.partition(" ")[0] if p else t or "" for t, p in zip(texts, plain)]))
+        offsets, data = text_buffer(column)
+        begins = cuts(offsets, data)
+        for special in self.special:
+            for row in pc.indices_nonzero(pc.match_substring(column, special).fill_null(False)).to_pylist():
+                begins[offsets[row] + 1 : offsets[row + 1]] = False
+        at = np.flatnonzero(begins)
+        first = np.searchsorted(at, offsets)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        if len(self.known) + len(pieces.dictionary) > self.most:
+            self._forget()
+        entry = pc.index_in(pieces.dictionary, value_set=self.known)
+        new = pieces.dictionary.filter(pc.is_null(entry))
+        entry = entry.fill_null(-1).to_numpy().astype(np.int64)
+        self.again[entry[entry >= 0]] = True
+        before = len(self.starts)
+        order, keep = self._learn(new)
+        absent = np.flatnonzero(entry < 0)
+        entry[absent[order]] = before + np.arange(len(order))
         self._put(np.array(end, np.uint32), np.array([len(end)]))
-        place[first[:-1]] = kept[0] + np.arange(len(texts))
-        place = np.insert(place, first[1:], len(self.starts) - 1)
-        lengths = self.lengths[place]
-        ends = np.cumsum(lengths)
-        small = np.int32 if max(len(self.pool), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
-        from_pool = np.repeat((self.starts[place] - (ends - lengths)).astype(small), lengths)
-        from_pool += np.arange(len(from_pool), dtype=small)
-        ids = self.pool[from_pool]
-        counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], first[1:] + np.arange(1, len(first))])])
-        self.starts, self.lengths, self.pool = self.starts[: kept[0]], self.lengths[: kept[0]], self.pool[: kept[1]]
+        place = np.insert(entry[pieces.indices.to_numpy()], first[1:], len(self.starts) - 1)
+        ids = self._gathered(place)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[place])])
+        counts = np.diff(ends[np.concatenate([[0], first[1:] + np.arange(1, len(first))])])
+        # long pieces and the end leave the pool
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order[:keep]))])
+        self.again = np.concatenate([self.again, np.zeros(keep, bool)])
+        self.starts, self.lengths = self.starts[: len(self.known)], self.lengths[: len(self.known)]
+        self.pool = self.pool[: int(self.lengths.sum())]
         return ids, counts
 
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -455,6 +456,43 @@ def test_op7_random_access():
     assert len(empty.all()) == 0
 
 
+def test_op7_encodes_a_word_once_whatever_stands_beside_it():
+    encoder = op7_tokens.Encoder(op7_tokens.default_tokenizer())
+    plain, given = encoder._encoded, []
+    encoder._encoded = lambda t: (given.extend(t), plain(t))[1]
+    names = ["w" + "".join(chr(97 + (k * 7919 >> b) % 26) for b in range(0, 12, 2)) for k in range(500)]
+    encoder.encode(pa.array([" ".join(["a", *names])]), [0])
+    assert sum(map(len, given)) > 3000
+    given.clear()
+    encoder.encode(pa.array([" ".join(["a", *(x + end for x in names for end in (",", ".", "!!", "'s", " \t1", ".\n\n" + "1"))])]), [0])
+    assert 0 < sum(map(len, given)) < 100
+
+
+def test_op7_keeps_pieces_that_come_again():
+    encoder = op7_tokens.Encoder(op7_tokens.default_tokenizer(), most=100)
+    often = ["alpha", "beta", "gamma"]
+    for k in range(30):
+        encoder.encode(pa.array([" ".join(["a", *often, *(f"{chr(97 + k % 26)}{chr(97 + j)}q" for j in range(20))])]), [0])
+        assert len(encoder.known) == len(encoder.starts) == len(encoder.again) <= 100
+    assert {f" {x}" for x in often} <= set(encoder.known.to_pylist())
+    encoder.encode(pa.array(["x" * 1000]), [0])
+    assert max(map(len, encoder.known.to_pylist())) <= op7_tokens.LONGEST
+
+
+def test_op7_pieces_give_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(op7_tokens.default_tokenizer())
+    rng = random.Random(3)
+    parts = "a|bc|Don|'|'s|'re|1|23|!|...| |  |\n|\n\n|\t|\r\n|\x00|\x1c|\x7f|\x85|\xa0|\u1680|\u180e|\u2003|\u2028|\u3000|\u200b|é|ß|×|÷|Ж|日|。|“|—|²|½|🎉|e\u0301|<|endoftext|>".split("|") + ["<|endoftext|>", "<|", "|>"]
+    encoder = op7_tokens.Encoder(op7_tokens.default_tokenizer(), most=500)
+    for end in ([0], [], [0], [7, 8]):
+        column = pa.array([None, "", *("".join(rng.choices(rng.sample(parts, rng.randint(2, 9)), k=rng.randint(0, 14))) for _ in range(3000))]).slice(rng.randint(0, 2))
+        ids, counts = encoder.encode(column, end)
+        want = [library.encode(t or "", add_special_tokens=False).ids + end for t in column.to_pylist()]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_op8_equals_all_runs(spark, docs, empty):
     found = collections.defaultdict(list)
     for r in op8_suffix.passages(docs).collect():
