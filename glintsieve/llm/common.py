@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,41 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from glintsieve.sinks.shared import fresh_path, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests on one machine) is a local folder set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        context = spark.sparkContext.getCheckpointDir()
-        if context is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            context = "file://" + tempfile.mkdtemp(prefix="shared-")
-            spark.sparkContext.setCheckpointDir(context)
-        named = context
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def wide(spark: SparkSession) -> int:
     """Number of partitions for an explicit repartition."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
