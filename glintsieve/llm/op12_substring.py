@@ -326,8 +326,8 @@ def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS s, words FROM d),
-h AS (SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS window FROM w),
-r AS (SELECT doc_id, s FROM h QUALIFY row_number() OVER (PARTITION BY window ORDER BY doc_id, s) > 1),
+h AS (SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS span FROM w),
+r AS (SELECT doc_id, s FROM h QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, s) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM r),
 each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d),
 kept AS (
