@@ -4,16 +4,18 @@ A window is WINDOW consecutive words (`[^\\x20\\x09-\\x0D]+`, unchanged) of one
 earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the input.
 
 1. The minimiser of a window is the (leftmost) smallest hash of MINIMISER words in it. Consecutive windows with one minimiser at one
-   place are a super-k-mer: they travel as one packed string, every word followed by a space, to the bucket of the minimiser. Equal
-   windows have equal minimisers, so they meet there.
-2. Equal strings of a slice of texts travel once, for their earliest place; the later ones are repeats already.
-3. A bucket sorts its windows by hash and place and compares the words of those that stand together: counts are exact, hashes only order.
+   place are a super-k-mer. Equal windows have equal minimisers.
+2. Minimisers are counted over all texts, by their upper halves. Super-k-mers of minimisers that occur once stay where they are: no window
+   of theirs can be anywhere else.
+3. The others travel, each as one packed string, every word followed by a space, to the bucket of the minimiser. Equal
+   strings of a slice of texts travel once, for their earliest place; the later ones are repeats already.
+4. A bucket sorts its windows by hash and place and compares the words of those that stand together: counts are exact, hashes only order.
    All windows of a run but the earliest are repeats, given as (key, at, mask): bit j is the window that starts at word at + j.
-4. Repeats meet their texts by key, and covered words are taken out.
+5. Repeats meet their texts by key, and covered words are taken out.
 
-Hot buckets: strings are counted by minimiser over all texts beforehand. Windows of a minimiser with more than `bucket` strings travel
-one by one, to a bucket of their own, and equal ones are combined over a whole task first: the rows of one bucket are then at most those
-of its tasks. At most MOST_HOT minimisers can be hot (4 bytes each in the workers), as the bound grows with the strings / MOST_HOT.
+Hot minimisers: what recurs within a batch is known to recur, so it goes to the count as one number a batch. Windows of a minimiser
+of more than `bucket` strings travel one by one, to a bucket of their own, and equal ones are combined over a whole task first: the rows of one
+bucket are then at most those of its tasks. At most MOST_HOT minimisers can be hot (4 bytes each in the workers), as the bound grows with the strings / MOST_HOT.
 
 Defined results: null and empty texts have no words, texts under WINDOW words lose none; kept words are joined by one space; rows with
 equal doc_id are one document, whose texts come in the order of their hash; equal rows are one, each with the same result; a null doc_id comes before all others;
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from glintsieve.llm.common import by_size, fresh_name, only, table, text_buffer, wide, windows_of, words_of, written
 
 WINDOW = 20
-MINIMISER = 5
+MINIMISER = 8
 #: Packed strings of a minimiser that one task sorts.
 BUCKET = 20_000
 MOST_HOT = 1_000_000
 SLICE = 1 << 20
 _ROWS = "bucket long, packed binary, doc long, key long, at int, mask long"
 _NAMES = ["bucket", "packed", "doc", "key", "at", "mask"]
+_COUNTED = ["to", "slot", "key", "own", "n"]
 
 
 def ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -63,9 +66,9 @@ def slices_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ragged(starts, lengths)]))])
 
 
-def cut(words: np.ndarray, first: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every super-k-mer its text, the minimiser, its first word in the text and the number of its windows."""
-    rows, values, at, counts = [], [], [], []
+def cut(words: np.ndarray, first: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every super-k-mer its text, the minimiser, its first word in the text, the number of its windows, and whether it holds the minimiser again."""
+    rows, values, at, counts, again = [], [], [], [], []
     for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         if b - a < window:
             continue
@@ -73,14 +76,20 @@ def cut(words: np.ndarray, first: np.ndarray, window: int, minimiser: int) -> tu
         places = np.lib.stride_tricks.sliding_window_view(hashes, window - minimiser + 1).argmin(axis=1)
         places += np.arange(len(places))
         begins = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        ends = np.append(begins[1:], len(places))
+        order = np.argsort(hashes, kind="stable")
+        following = np.full(len(hashes), len(hashes))  # the next place of the same hash
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        following[order[:-1][same]] = order[1:][same]
         rows.append(np.full(len(begins), k))
         values.append(hashes[places[begins]])
         at.append(begins)
-        counts.append(np.diff(np.append(begins, len(places))))
+        counts.append(ends - begins)
+        again.append(following[places[begins]] + minimiser <= ends - 1 + window)
     if not rows:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    return tuple(map(np.concatenate, (rows, values, at, counts)))
+        return none, none.astype(np.uint64), none, none, none.astype(bool)
+    return tuple(map(np.concatenate, (rows, values, at, counts, again)))
 
 
 def slot(values: np.ndarray) -> np.ndarray:
@@ -88,20 +97,71 @@ def slot(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def hot_slots(docs: DataFrame, window: int, minimiser: int, bucket: int) -> np.ndarray:
-    """Sorted slots with more strings than a bucket holds; MOST_HOT at most."""
+def minimisers(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
+    """The minimisers of each text: slot and key where it occurs once in its batch; for the others own and key, and slot and their number n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            found = []
             for batch in by_size(whole, "text", SLICE):
                 words, _, _, first = words_of(*text_buffer(batch.column("text")), lower=False)
-                slots, n = np.unique(slot(cut(words, first, window, minimiser)[1]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n)], ["slot", "n"])
+                row, value, _, _, again = cut(words, first, window, minimiser)
+                found.append((slot(value), batch.column("key").to_numpy()[row], again))
+            slots, keys, again = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+            kinds, place, number = np.unique(slots, return_inverse=True, return_counts=True)
+            once = (number[place] == 1) & ~again
+            n = int(once.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(slots[once].astype(np.int64)), pa.array(slots[once]), pa.array(keys[once]), pa.nulls(n, pa.int32()), pa.array(np.ones(n, np.int64))], _COUNTED)
+            pairs = np.unique(np.stack([keys[~once], slots[~once].astype(np.int64)], axis=1), axis=0)
+            n = len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.nulls(n, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)), pa.nulls(n, pa.int64())], _COUNTED)
+            many = np.unique(place[~once])
+            n = len(many)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[many].astype(np.int64)), pa.array(kinds[many]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(number[many])], _COUNTED)
+
+    return docs.select("key", "text").mapInArrow(run, "to long, slot int, key long, own int, n long")
+
+
+def recurring(docs: DataFrame, window: int, minimiser: int, bucket: int) -> DataFrame:
+    """key and slot of the minimisers that occur more than once, and without key those of more than `bucket` strings with their number n; a written table."""
+    names = ["key", "slot", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # slot, number and, while it is one, the key of the run that may go on
+
+        def large(slots: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            some = total > bucket
+            return pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(slots[some]), pa.array(total[some])], names)
 
-    counts = written(docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket), "hot-minimisers")
+        for batch in batches:
+            settled = batch.filter(batch.column("slot").is_null())
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([settled.column("key"), settled.column("own"), pa.nulls(settled.num_rows, pa.int64())], names)
+            batch = batch.filter(batch.column("slot").is_valid())
+            if not batch.num_rows:
+                continue
+            slots, n, keys = batch.column("slot").to_numpy(), batch.column("n").to_numpy(), batch.column("key")
+            if held:
+                slots, n = np.append(np.int32(held[0]), slots), np.append(held[1], n)
+                keys = pa.concat_arrays([pa.array([held[2]], pa.int64()), keys])
+            begins = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+            total = np.add.reduceat(n, begins)
+            some = np.repeat(total > 1, np.diff(np.append(begins, len(slots)))) & keys.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(some)), pa.array(slots[some]), pa.nulls(int(some.sum()), pa.int64())], names)
+            yield large(slots[begins[:-1]], total[:-1])
+            held = (slots[-1], total[-1], keys[-1].as_py() if total[-1] == 1 else None)
+        if held:
+            yield large(np.array([held[0]], np.int32), np.array([held[1]]))
+
+    dealt = minimisers(docs, window, minimiser).repartition(wide(docs.sparkSession), "to").sortWithinPartitions("slot")
+    return _settled(dealt.select("slot", "key", "own", "n").mapInArrow(run, "key long, slot int, n long"), "recurring-minimisers")
+
+
+def hot_slots(found: DataFrame, bucket: int) -> np.ndarray:
+    """Sorted slots with more strings than a bucket holds; MOST_HOT at most."""
+    counts = found.filter("key is null")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") > max(bucket, total // MOST_HOT)).select("slot").toPandas()
-    return np.sort(rows["slot"].to_numpy(np.int32))
+    return np.sort(counts.filter(F.col("n") > max(bucket, total // MOST_HOT)).select("slot").toPandas()["slot"].to_numpy(np.int32))
 
 
 class Strings:
@@ -140,7 +200,7 @@ class Strings:
 
 
 def super_kmers(docs: DataFrame, window: int, minimiser: int, hot: np.ndarray) -> DataFrame:
-    """bucket, packed, doc, key, at and mask (of its windows) of the strings that travel; packed is null where all windows are repeats."""
+    """bucket, packed, doc, key, at and mask (of its windows) of the strings whose slots a row lists; packed is null where all windows are repeats."""
     context = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +215,11 @@ def super_kmers(docs: DataFrame, window: int, minimiser: int, hot: np.ndarray) -
             for batch in by_size(whole, "text", SLICE):
                 offsets, data = text_buffer(batch.column("text"))
                 words, starts, ends, first = words_of(offsets, data, lower=False)
-                row, value, at, count = cut(words, first, window, minimiser)
+                row, value, at, count, _ = cut(words, first, window, minimiser)
+                lists = batch.column("slots")
+                wanted = (np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())) << 32) + lists.flatten().to_numpy()
+                some = np.isin((row << 32) + slot(value), wanted)
+                row, value, at, count = row[some], value[some], at[some], count[some]
                 if not len(row):
                     continue
                 data, places = spaced(data, starts, ends)
@@ -275,8 +339,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, b
     """key, at and mask of the windows of doc, key and text that also start earlier; a written table."""
     if not 0 <= window - minimiser < 62:
         raise ValueError("a window holds a minimiser and at most 61 more words")
-    hot = hot_slots(docs, window, minimiser, bucket)
-    return _settled(counted(super_kmers(docs, window, minimiser, hot), window, bucket), "repeated-windows")
+    found = recurring(docs, window, minimiser, bucket)
+    slots = found.filter("key is not null").groupBy("key").agg(F.collect_set("slot").alias("slots"))
+    strings = super_kmers(docs.join(slots, "key"), window, minimiser, hot_slots(found, bucket))
+    return _settled(counted(strings, window, bucket), "repeated-windows")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket: int = BUCKET, n_words: str = "n_words", n_removed: str = "n_removed") -> DataFrame:
