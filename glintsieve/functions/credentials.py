@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,5 +94,48 @@ class SecretAssignment(Predicate):
     def words(self) -> set[tuple[str, str]]:
         return {("flag", "may_assign")}
 
-    def test(self, line) -> bool:  # no sink, so never asked inside a file pass
-        raise NotImplementedError
+    def test(self, line) -> bool:
+        return assigns_secret(line.visible, line.literals)
+
+
+# --- the same on Python strings, for the per-file pass ---------------------------------------------
+
+_HUMP = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
+_SEGMENT = regex.compile(r"[^\p{Alphabetic}\p{N}]")
+_PROVIDERS = re.compile(r"^(?:AKIA[0-9A-Z]{16}$|sk_live_[0-9A-Za-z]{24,}$|xox[abprs]-[0-9A-Za-z-]{20,}$|AIza[0-9A-Za-z_-]{35}$|[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@$<{]+@)", re.ASCII)
+_CHECKSUMMED = re.compile(r"^(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})$")
+_TARGET = re.compile(r"(\S+)\s*$", re.ASCII)
+_ENDS = re.compile(r"\s*(?:$|[;,}])", re.ASCII)
+
+
+def is_secret_name(name: str) -> bool:
+    snake = _HUMP.sub("_", name).lower()
+    return not set(SECRET_NAMES).isdisjoint(_SEGMENT.split(snake)) or snake.endswith("api_key") or snake == "service_role"
+
+
+def is_placeholder(value: str) -> bool:
+    low = value.lower()
+    return low in PLACEHOLDERS or low.startswith("<") or "${" in low or "{{" in low or value.replace(value[:1], "") == "" if value else True
+
+
+def is_provider(value: str) -> bool:
+    m = _CHECKSUMMED.match(value)
+    if m and zlib.crc32(m.group(1).encode()) == sum(BASE62.index(c) * 62 ** (5 - k) for k, c in enumerate(m.group(2))):
+        return True
+    return _PROVIDERS.match(value) is not None
+
+
+def assigns_secret(visible: str, literals: list[str]) -> bool:
+    """secret_assignment of a line."""
+    sign = "=" if "=" in visible else ":"
+    left, found, right = visible.partition(sign)
+    right = right.lstrip(" \t\n\x0b\f\r")
+    target = _TARGET.search(left) if found else None
+    named = target is not None and is_secret_name(target.group(1))
+    for raw in literals:
+        value = raw.strip(QUOTES)
+        if is_provider(value) or ("-----BEGIN " in value and "PRIVATE KEY-----" in value):
+            return True
+        if named and right.startswith(raw) and _ENDS.match(right, len(raw)) and len(value.encode()) >= LEAST_VALUE and not is_placeholder(value):
+            return True
+    return False

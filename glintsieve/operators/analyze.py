@@ -6,30 +6,49 @@ State never crosses files, so this is a map over partitions of whole files; Arro
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glintsieve.functions.credentials import may_assign
-from glintsieve.functions.predicates import any_of, call_pattern, python
+from glintsieve.functions.predicates import call_pattern, python
 from glintsieve.operators import facts as syntax
 from glintsieve.operators import lexer, taint
 from glintsieve.operators.lexer import Line
-from glintsieve.operators.rules import CSHARP_FORMATTERS, CSHARP_REACH, PATH_APIS, RULES, SQL_QUALIFIED
+from glintsieve.operators.rules import BY_ID, CSHARP_FORMATTERS, CSHARP_REACH, PATH_APIS, RULES, SQL_QUALIFIED, Rule
 from glintsieve.sources.components import script_source
 
 _PATH_CALL = re.compile(python(call_pattern(PATH_APIS)))
-_LITERAL_START = re.compile(r"\s*(?:[rb]?['\"]|`|@\")")
-_LETTER = re.compile(r"[^\W\d]|\$")
-
-#: What a line that some rule matches has at least: a word of the rules in its text or in its code without white space, or a flag.
-_NEEDED = {pair for rule in RULES for pair in rule.predicate.words()}
-#: Calls that flows reach beside the rules' own words, and the module whose imported names start commands.
-_FLOW_WORDS = {("text", word) for word in SQL_QUALIFIED}
-_TEXT, _COMPACT = (re.compile(any_of(word for view, word in _NEEDED | _FLOW_WORDS if view == kind)) for kind in ("text", "compact"))
+
+#: Rules by the words, one of which every line that they match has: in the text, in the code without white space, or a flag.
+_WORDS: dict[tuple[str, str], int] = {}
+for _k, _rule in enumerate(RULES):
+    for _pair in _rule.predicate.words():
+        _WORDS[_pair] = _WORDS.get(_pair, 0) | 1 << _k
+_FORMATTER, _ASSIGNS, _OPENS = (_WORDS.get(("flag", name), 0) for name in ("formatter_near", "may_assign", "path_call"))
+#: A line of calls that flows reach beside the rules' own words: no rule by itself.
+_FLOW_ONLY = 1 << len(RULES)
 _COMMAND_MODULE = "child_process"
 
+
+@lru_cache
+def automaton(view: str) -> ahocorasick.Automaton:
+    """All words of the rules over one view, each with the set of rules (a bit each) that it may lead to."""
+    out = ahocorasick.Automaton()
+    words = {word: mask for (kind, word), mask in _WORDS.items() if kind == view}
+    for word in SQL_QUALIFIED if view == "text" else ():
+        words[word] = words.get(word, 0) | _FLOW_ONLY
+    for word, mask in words.items():
+        out.add_word(word, mask)
+    out.make_automaton()
+    return out
+
+
 STEP = pa.struct([("line", pa.int32()), ("kind", pa.string())])
 FLOW = pa.struct([("rule_id", pa.string()), ("steps", pa.list_(STEP)), ("depth", pa.int32()), ("remote", pa.bool_())])
 SCHEMA = pa.schema([
@@ -42,30 +61,19 @@ SQL_SCHEMA = (
     "classes array<string>, reliable boolean, scope_start int, scope_end int, shell boolean, shadowed boolean, flows array<struct<rule_id:string,steps:array<struct<line:int,kind:string>>,depth:int,remote:boolean>>, "
     "parsed boolean, complete boolean, error_nodes int"
 )
+MATCHES = pa.schema([
+    ("path", pa.string()), ("language", pa.string()), ("line", pa.int32()), ("text", pa.string()), ("compact", pa.string()), ("comments", pa.string()), ("reliable", pa.bool_()), ("shell", pa.bool_()),
+    ("emit_ord", pa.int32()), ("rule_id", pa.string()), ("evidence", pa.struct([("steps", pa.list_(STEP)), ("depth", pa.int32()), ("remote", pa.bool_())])),
+])
+MATCHES_SQL = "path string, language string, line int, text string, compact string, comments string, reliable boolean, shell boolean, emit_ord int, rule_id string, evidence struct<steps:array<struct<line:int,kind:string>>,depth:int,remote:boolean>"
 FACTS_SCHEMA = "path string, kind string, name string, qualified string, items array<string>, text string, line int, start int, end int"
 
 
-def path_call(line: Line) -> bool:
-    """Whether a path API gets a first argument that holds a variable."""
-    if not _PATH_CALL.search(line.code):
-        return False
-    masked = syntax._aligned(line)
-    for m in _PATH_CALL.finditer(masked):
-        name = m.group()[:-1].strip()
-        if name == "open" and masked[: m.start()].endswith(".") and not masked[: m.start()].endswith("File."):
-            continue
-        depth, end = 0, len(masked)
-        for k in range(m.end(), len(masked)):
-            c = masked[k]
-            if c in ",)" and depth == 0:
-                end = k
-                break
-            depth += (c in "([{") - (c in ")]}")
-        argument = masked[m.end() : end].strip()
-        literal = bool(_LITERAL_START.match(line.text[m.end() :]))
-        if argument and not (literal and argument in ("r", "b", "@")) and _LETTER.search(argument):
-            return True
-    return False
+def reads_variable_path(call: syntax.Call) -> bool:
+    """Whether a call opens a path that is more than a literal; other objects than File have open methods of their own."""
+    of, dot, name = call.qualified.rpartition(".")
+    known = call.qualified in PATH_APIS or name in PATH_APIS or call.name in PATH_APIS
+    return call.variable and known and not (name == "open" and dot and of.rpartition(".")[2] != "File")
 
 
 def prepared(text: str, language: str) -> tuple[list[Line], bool]:
@@ -73,7 +81,6 @@ def prepared(text: str, language: str) -> tuple[list[Line], bool]:
     lines, complete = lexer.lex(text, language)
     seen = None
     for number, line in enumerate(lines):
-        line.path_call = path_call(line)
         if language == "csharp":
             if any(x in line.code for x in CSHARP_FORMATTERS):
                 seen = number
@@ -81,16 +88,25 @@ def prepared(text: str, language: str) -> tuple[list[Line], bool]:
     return lines, complete
 
 
-def telling(lines: list[Line]) -> set[int]:
-    """The numbers of the lines that a rule may match; of the others none does."""
-    return {
-        number
-        for number, x in enumerate(lines, 1)
-        if x.path_call or x.formatter_near or _TEXT.search(x.text) or _COMPACT.search(x.compact) or may_assign(x.visible, x.literals)
-    }
+def telling(lines: list[Line]) -> dict[int, int]:
+    """By number the lines that a rule may match, with the set of those rules; of the other lines none does.
 
+    Each view of the whole file runs through its automaton once."""
+    found: dict[int, int] = {}
+    for view in ("text", "compact"):
+        parts = [getattr(x, view) for x in lines]
+        starts = [0, *accumulate(len(x) + 1 for x in parts)]
+        for end, mask in automaton(view).iter("\n".join(parts)):
+            number = bisect_right(starts, end)
+            found[number] = found.get(number, 0) | mask
+    for number, x in enumerate(lines, 1):
+        more = (_FORMATTER if x.formatter_near else 0) | (_ASSIGNS if may_assign(x.visible, x.literals) else 0) | (_OPENS if _PATH_CALL.search(x.code) else 0)
+        if more:
+            found[number] = found.get(number, 0) | more
+    return found
 
-def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, set[int]]:
+
+def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, dict[int, int]]:
     """Lines, whether the file ends outside of strings and comments, facts, evidence by line and rule, and the telling lines.
 
     matching: a file without a telling line is not parsed, as nothing can be found in it.
@@ -102,10 +118,76 @@ def analyse_file(path: str, language: str, content: str, between_functions: bool
     if matching and not some and _COMMAND_MODULE not in content:
         return lines, complete, syntax.Facts(parsed=False), {}, some
     facts = syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
-    found = taint.flows(lines, facts, language, between_functions, some) if facts.parsed else {}
+    for call in facts.calls:
+        if call.line <= len(lines) and reads_variable_path(call):
+            lines[call.line - 1].path_call = True
+    found = taint.flows(lines, facts, language, between_functions, set(some)) if facts.parsed else {}
     return lines, complete, facts, found, some
 
 
+def _steps(e: taint.Evidence) -> dict:
+    return {"steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote}
+
+
+def matches(lines: list[Line], facts: syntax.Facts, found: dict, some: dict[int, int], language: str) -> Iterator[tuple[int, int, Rule]]:
+    """(line, place in the order of emission, rule) of what fires: rules by their words, then flows and command bindings; gates applied."""
+    flowing: dict[int, list[str]] = {}
+    for number, rule_id in sorted(found):
+        flowing.setdefault(number, []).append(rule_id)
+    for number in sorted(some.keys() | flowing.keys() | facts.command_calls.keys()):
+        x, mask = lines[number - 1], some.get(number, 0)
+        fired = [rule for k, rule in enumerate(RULES) if mask >> k & 1 and rule.predicate.test(x)]
+        known = {rule.rule_id for rule in fired}
+        more = [*flowing.get(number, ()), *(["SR005"] if number in facts.command_calls else [])]
+        fired += [BY_ID[r] for r in dict.fromkeys(more) if r not in known]
+        reliable = facts.parsed and facts.reliable(number)
+        classes = facts.classes.get(number, set())
+        for place, rule in enumerate(fired):
+            if language == "config" and not rule.config or rule.flow_only and (number, rule.rule_id) not in found:
+                continue
+            if reliable and classes.isdisjoint(rule.gate) or rule.rule_id == "SR005" and number in facts.shadowed:
+                continue
+            yield number, place, rule
+
+
+def match_rows(files: DataFrame, between_functions: bool = False, parse_all: bool = False) -> DataFrame:
+    """A row for each line and rule that fires on it, of files (path, language, content): nothing else leaves the workers."""
+    kinds = {f.name: f.type for f in MATCHES}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*held) if held else [[] for _ in MATCHES]
+            out = pa.RecordBatch.from_arrays([pa.array(v, kinds[f.name]) for v, f in zip(columns, MATCHES)], schema=MATCHES)
+            held.clear()
+            return out
+
+        for rows in batches:
+            for k in range(rows.num_rows):  # one file's text at a time
+                path, language, content = (rows.column(c)[k].as_py() for c in ("path", "language", "content"))
+                held += matches_of(path, language, content, between_functions, parse_all)
+                if len(held) > 20_000:
+                    yield batch()
+        if held:
+            yield batch()
+
+    return files.select("path", "language", "content").mapInArrow(run, MATCHES_SQL)
+
+
+def matches_of(path: str, language: str | None, content: str | None, between_functions: bool = False, parse_all: bool = False) -> list[tuple]:
+    """The rows of match_rows for one file."""
+    if language is None:
+        return []
+    lines, _, facts, found, some = analyse_file(path, language, content or "", between_functions, not parse_all)
+    out = []
+    for number, place, rule in matches(lines, facts, found, some, language):
+        x, evidence = lines[number - 1], found.get((number, rule.rule_id))
+        reliable = facts.parsed and facts.reliable(number)
+        out.append((path, language, number, x.text, x.compact, x.comments, reliable, facts.command_calls.get(number), place, rule.rule_id, _steps(evidence) if evidence else None))
+    return out
+
+
 class Columns:
     """Line rows, gathered by column."""
 
@@ -120,8 +202,8 @@ class Columns:
         lines, complete, facts, found, some = analyse_file(path, language, content, between_functions, matching)
         evidence: dict[int, list[dict]] = {}
         for (number, rule), e in sorted(found.items()):
-            evidence.setdefault(number, []).append({"rule_id": rule, "steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote})
-        wanted = sorted(some.union(evidence, facts.command_calls)) if matching else range(1, len(lines) + 1)
+            evidence.setdefault(number, []).append({"rule_id": rule, **_steps(e)})
+        wanted = sorted(some.keys() | evidence.keys() | facts.command_calls.keys()) if matching else range(1, len(lines) + 1)
         rows = []
         for number in wanted:
             x = lines[number - 1]

@@ -33,17 +33,39 @@ class Function:
     end: int
 
 
+MODULE = (1, 1 << 30)
+
+
 @dataclass
 class Call:
+    """variable: the first argument is more than literals."""
+
     name: str
     qualified: str
     args: list[str]
     first: str
     line: int
-    scope: tuple[int, int] = (1, 1 << 30)
+    variable: bool = False
+    scope: tuple[int, int] = MODULE
 
 
-MODULE = (1, 1 << 30)
+@dataclass
+class Assignment:
+    """A name gets a value; right is the masked text of the right side, with what its strings interpolate."""
+
+    name: str
+    right: str
+    line: int
+    scope: tuple[int, int] = MODULE
+
+
+@dataclass
+class Guard:
+    """A line that returns unless (or if) a value is in a list; the names in it are checked from there on."""
+
+    names: list[str]
+    line: int
+    scope: tuple[int, int] = MODULE
 
 
 @dataclass
@@ -59,6 +81,12 @@ class Facts:
     shadowed: set[int] = field(default_factory=set)
     repairs: list[tuple[int, int]] = field(default_factory=list)
     scopes: list[tuple[int, int]] = field(default_factory=list)
+    assignments: list[Assignment] = field(default_factory=list)
+    guards: list[Guard] = field(default_factory=list)
+
+    def text(self, lines: list[Line], number: int, masked) -> str:
+        """The masked text of a line, and of the code that its strings interpolate."""
+        return " ".join([lines[number - 1].masked, *map(masked, self.interpolations.get(number, ()))])
 
     def mark(self, line: int, kind: str) -> None:
         self.classes.setdefault(line, set()).add(kind)
@@ -87,13 +115,13 @@ def read(path: str, text: str, language: str, lines: list[Line], complete: bool)
     """The facts of a file, or facts that say it was not parsed."""
     reader = READERS.get(extension(path))
     try:
-        facts = _python(text) if reader == "python" else _structure(text, language, lines, complete) if reader else Facts(parsed=False)
+        facts = _python(text, lines) if reader == "python" else _structure(text, language, lines, complete) if reader else Facts(parsed=False)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         facts = Facts(parsed=False)
     if facts.parsed:
         facts.scopes = sorted({(f.start, f.end) for f in facts.functions})
-        for call in facts.calls:
-            call.scope = facts.scope(call.line)
+        for x in (*facts.calls, *facts.assignments, *facts.guards):
+            x.scope = facts.scope(x.line)
         facts.calls.sort(key=lambda c: c.line)
     return facts
 
@@ -111,7 +139,18 @@ def _names(node: ast.AST) -> str:
     return min(found)[2] if found else ""
 
 
-def _python(text: str) -> Facts:
+def _targets(node: ast.AST) -> list[str]:
+    """The names that an assignment to a node defines."""
+    if isinstance(node, ast.Name):
+        return [node.id]
+    if isinstance(node, ast.Attribute):
+        return [node.attr]
+    if isinstance(node, (ast.Subscript, ast.Starred)):
+        return _targets(node.value)
+    return [x for e in node.elts for x in _targets(e)] if isinstance(node, (ast.Tuple, ast.List)) else []
+
+
+def _python(text: str, lines: list[Line]) -> Facts:
     tree = ast.parse(text)
     facts = Facts()
     # lines as the parser counts them; columns are in bytes
@@ -121,6 +160,18 @@ def _python(text: str) -> Facts:
     def segment(node: ast.AST) -> str:
         return data[starts[node.lineno - 1] + node.col_offset : starts[node.end_lineno - 1] + node.end_col_offset].decode()
 
+    def masked(node: ast.AST) -> str:
+        """The masked text of a node, with what its strings interpolate."""
+        out = []
+        for k in range(node.lineno, min(node.end_lineno, len(lines)) + 1):
+            row = lines[k - 1].masked.encode()
+            out.append(row[node.col_offset if k == node.lineno else 0 : node.end_col_offset if k == node.end_lineno else len(row)].decode(errors="replace"))
+        return " ".join(out + [segment(x.value) for x in ast.walk(node) if isinstance(x, ast.FormattedValue)])
+
+    def assign(targets: list[ast.AST], value: ast.AST, line: int, also: str = "") -> None:
+        right = masked(value) + also
+        facts.assignments.extend(Assignment(name, right, line) for target in targets for name in _targets(target))
+
     count = 0
     for node in ast.walk(tree):
         count += 1
@@ -136,7 +187,8 @@ def _python(text: str) -> Facts:
             qualified = node.func.id if isinstance(node.func, ast.Name) else "".join(segment(node.func).split())
             given = [*node.args, *[k.value for k in node.keywords]]
             first = segment(given[0]) if given else ""
-            facts.calls.append(Call(qualified.rsplit(".", 1)[-1], qualified, [_names(x) for x in given], first, line))
+            variable = bool(given) and any(isinstance(x, ast.Name) for x in ast.walk(given[0]))
+            facts.calls.append(Call(qualified.rsplit(".", 1)[-1], qualified, [_names(x) for x in given], first, line, variable))
             for k in node.keywords:
                 facts.mark(k.lineno, "S")
                 if k.arg == "verify" and isinstance(k.value, ast.Constant) and k.value.value is False and qualified in REQUEST_CALLS:
@@ -144,6 +196,13 @@ def _python(text: str) -> Facts:
                     facts.repairs.append((starts[v.lineno - 1] + v.col_offset, starts[v.end_lineno - 1] + v.end_col_offset))
         elif isinstance(node, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.NamedExpr)):
             facts.mark(line, "S")
+            if node.value is not None:
+                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+                assign(targets, node.value, line, " " + masked(node.target) if isinstance(node, ast.AugAssign) else "")
+        elif isinstance(node, ast.If):
+            listed = any(isinstance(x, ast.Compare) and any(isinstance(op, ast.NotIn) for op in x.ops) for x in ast.walk(node.test))
+            if listed and isinstance(node.body[0], ast.Return) and node.body[0].lineno == line:
+                facts.guards.append(Guard([x.id for x in ast.walk(node.test) if isinstance(x, ast.Name)], line))
         elif isinstance(node, ast.Dict):
             for k in node.keys:
                 if k is not None:
@@ -163,6 +222,10 @@ _CALL = re.compile(r"(?<![\w$])(new\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-
 _ASSIGN = re.compile(r"(?<![=!<>+\-*/%&|^:])(?::|[+\-*/%&|^]|<<|>>)?=(?![=>])|=>")
 _PAIR = re.compile(r"(?:[\w$\])]|^\s*|[,{(]\s*)\s*:\s*(?!:)\S")
 _WORD = re.compile(r"[^\W\d][\w$]*|\$[\w$]+")
+_RETURN = re.compile(r"\breturn\b")
+#: A value is looked up in a list, or a lookup fails.
+_LISTED = re.compile(r"\.\s*includes\s*\(|!\s*[\w$.]+\s*\[")
+_PREFIXED = re.compile(r"^[rb@]?$", re.IGNORECASE)
 _ARROW = re.compile(r"([A-Za-z_$][\w$]*)\s*[=:]\s*(?:async\s*)?\(([^()]*)\)\s*(?::[^={]*)?=>\s*\{")
 
 
@@ -228,7 +291,8 @@ def _structure(text: str, language: str, lines: list[Line], complete: bool) -> F
             continue
         facts.mark(line, "C")
         args = [w.group().lstrip("$") if (w := _WORD.search(masked[a:b])) else "" for a, b in inner]
-        facts.calls.append(Call(name, qualified, args, source[inner[0][0] : inner[0][1]].strip() if inner else "", line))
+        first = inner[0] if inner else (0, 0)
+        facts.calls.append(Call(name, qualified, args, source[first[0] : first[1]].strip(), line, _varies(masked[first[0] : first[1]], source[first[0] : first[1]])))
     for m in _ARROW.finditer(masked):
         opening = m.end() - 1
         params = [w for x in m.group(2).split(",") if (w := _parameter(x, language))]
@@ -246,11 +310,25 @@ def _structure(text: str, language: str, lines: list[Line], complete: bool) -> F
         for m in re.finditer(r"\$\{([^{}]*)\}", x.visible):
             if any("`" in lit or "$" in lit for lit in x.literals):
                 facts.interpolations.setdefault(k, []).append("${" + m.group(1) + "}")
+        sign = next((m for m in _ASSIGN.finditer(plain) if not m.group().endswith(">")), None)
+        left = _WORD.findall(plain[: sign.start()]) if sign else []
+        if left:
+            facts.assignments.append(Assignment(left[-1].lstrip("$"), " ".join([plain[sign.end() :], *facts.interpolations.get(k, ())]), k))
+        if _RETURN.search(plain) and _LISTED.search(plain):
+            facts.guards.append(Guard([w.lstrip("$") for w in _WORD.findall(plain)], k))
     if language == "javascript":
         _bindings(facts, lines)
     return facts
 
 
+def _varies(masked: str, text: str) -> bool:
+    """Whether an argument has more than literals: words outside of strings that are no prefix of one, or interpolated ones."""
+    left = masked.strip()
+    if "${" in text or not left:
+        return "${" in text
+    return bool(_WORD.search(left)) and not (_PREFIXED.match(left) and text.strip()[len(left) :][:1] in "'\"`")
+
+
 def _aligned(line: Line) -> str:
     """The masked view with one character for each of the text's."""
     if line.masked is line.text or len(line.masked) == len(line.text):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 CODE, STRING, COMMENT, REGEX = range(4)
 
@@ -36,7 +36,7 @@ class Line:
     path_call: bool = False
     formatter_near: bool = False
 
-    @property
+    @cached_property
     def compact(self) -> str:
         return "".join(self.code.split())
 

@@ -1,11 +1,12 @@
-"""Packages against advisories: an equi-join on ecosystem and name, then the version ranges."""
+"""Packages against advisories: versions in ranges by stabbing, listed versions by equality."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintsieve.functions.versions import in_ranges
+from glintsieve.functions.versions import in_ranges, intervals, key
+from glintsieve.operators.stabbing import stabbed
 
 ADVISORY = (
     "id string, summary string, withdrawn string, affected array<struct<package:struct<ecosystem:string,name:string>,versions:array<string>,"
@@ -31,14 +32,27 @@ def _typed(columns: str) -> str:
     return " ".join(out).replace("id string", "id:string").replace("summary string", "summary:string").replace("withdrawn string", "withdrawn:string").replace("affected array", "affected:array")
 
 
+_KEYS = ["ecosystem", "name"]
+
+
 def vulnerable(packages: DataFrame, records: DataFrame) -> DataFrame:
-    """id, ecosystem, package, version, summary and status (affected or unknown) of every hit; withdrawn records hit nothing."""
-    inventory = packages.filter("error is null").select("ecosystem", "name", "version").distinct()
+    """id, ecosystem, package, version, summary and status (affected or unknown) of every hit; withdrawn records hit nothing.
+
+    Versions and ranges become whole numbers, and versions meet the ranges that hold them by stabbing, so a package with many versions and many
+    advisories costs its hits, not all pairs. Listed versions meet by equality. Only versions and ranges that have no
+    key (other syntax, very large numbers) are compared pair by pair."""
+    inventory = packages.filter("error is null").select(*_KEYS, "version").distinct().withColumn("at", key(F.col("version")))
     items = records.filter("withdrawn is null").select("id", "summary", F.explode("affected").alias("a"))
     items = items.select("id", "summary", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), F.col("a.versions").alias("versions"), F.col("a.ranges").alias("ranges"))
-    x = inventory.join(items, ["ecosystem", "name"])
-    listed = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False))
-    each = F.transform(F.coalesce("ranges", F.expr("array()")), lambda r: F.when(r["type"].isin("SEMVER", "ECOSYSTEM"), in_ranges(F.col("version"), r["events"])))
-    status = F.when(listed | F.exists(each, lambda r: F.coalesce(r, F.lit(False))), "affected").when(F.exists(each, lambda r: r.isNull()), "unknown")
-    found = x.withColumn("status", status).filter("status is not null")
-    return found.select("id", "ecosystem", F.col("name").alias("package"), "version", "summary", "status").distinct()
+    listed = items.select("id", "summary", *_KEYS, F.explode("versions").alias("version")).join(inventory, [*_KEYS, "version"])
+    ranges = items.select("id", "summary", *_KEYS, F.explode("ranges").alias("r")).filter(F.col("r.type").isin("SEMVER", "ECOSYSTEM"))
+    ranges = ranges.select("id", "summary", *_KEYS, F.col("r.events").alias("events")).withColumn("bounds", intervals(F.col("events")))
+    bounds = ranges.filter("bounds is not null").select("id", "summary", *_KEYS, F.explode("bounds").alias("b")).select("id", "summary", *_KEYS, "b.lo", "b.hi")
+    inside = stabbed(inventory.filter("at is not null"), bounds, _KEYS, "at", "lo", "hi")
+    by_pair = inventory.join(ranges.drop("bounds"), _KEYS).filter("at is null")
+    odd = inventory.filter("at is not null").join(ranges.filter("bounds is null").drop("bounds"), _KEYS)
+    judged = by_pair.unionByName(odd).withColumn("hit", in_ranges(F.col("version"), F.col("events"))).filter("hit is null or hit")
+    columns = ["id", *_KEYS, "version", "summary"]
+    found = listed.select(*columns).unionByName(inside.select(*columns)).withColumn("known", F.lit(True)).unionByName(judged.select(*columns, F.col("hit").isNotNull().alias("known")))
+    status = F.when(F.bool_or("known"), "affected").otherwise("unknown").alias("status")
+    return found.groupBy(*columns).agg(status).select("id", "ecosystem", F.col("name").alias("package"), "version", "summary", "status")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from glintsieve.functions import text as T
 from glintsieve.functions.globs import to_regex
-from glintsieve.operators import analyze, rules
+from glintsieve.operators import analyze, prefix, rules
+from glintsieve.sinks.shared import written
 from glintsieve.sources import languages
 
 
@@ -96,19 +97,25 @@ def severity(settings: Settings) -> Column:
 
 
 def judged(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """judged_matches of line rows."""
+    return judged_matches(matched(lines), settings)
+
+
+def judged_matches(matches: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Every match with its ordinal, fingerprint and state: new, disabled, suppressed or truncated.
 
-    Matches are dealt by path once; all windows and the counts for the budget start from that exchange.
+    Matches are dealt by path once, and all windows start from that exchange. With a budget they are written first, as it counts them all.
     """
     settings = settings or Settings()
     state = F.when(~rule_enabled(F.col("rule_id"), F.col("path"), settings), "disabled").when(T.suppressed(F.col("comments"), F.col("rule_id"), settings.keyword), "suppressed").otherwise("new")
-    dealt = matched(lines).select("path", "language", "line", "text", "compact", "reliable", "shell", "emit_ord", "rule_id", "evidence", state.alias("state")).repartition("path")
+    dealt = matches.select("path", "language", "line", "text", "compact", "reliable", "shell", "emit_ord", "rule_id", "evidence", state.alias("state"))
+    dealt = (written(dealt, "matches") if settings.max_findings is not None else dealt).repartition("path").withColumn("_digest", F.sha2("text", 256))
     same = Window.partitionBy("path", "rule_id", "_digest").orderBy("line", "emit_ord")
-    x = dealt.withColumn("_digest", F.sha2("text", 256)).withColumn("ordinal", F.row_number().over(same) - 1)
+    x = dealt.withColumn("ordinal", F.row_number().over(same) - 1)
     x = x.withColumn("fingerprint", T.fingerprint(F.col("rule_id"), F.col("path"), F.col("text"), F.col("ordinal")))
     x = x.withColumn("sensitive", F.max(F.col("rule_id") == "SR007").over(Window.partitionBy("path", "line")))
     if settings.max_findings is not None:
-        x = budgeted(x, settings.max_findings, dealt)
+        x = budgeted(x, settings.max_findings)
     shown = F.when(F.lit(settings.snippets) & ~F.col("sensitive"), T.snippet(F.col("text")))
     confidence = F.when(F.col("evidence").isNull(), "candidate").when(F.col("evidence.remote"), "tainted").otherwise("reachable")
     return x.select(
@@ -118,32 +125,50 @@ def judged(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
     )
 
 
-def budgeted(x: DataFrame, most: int, counted: DataFrame | None = None) -> DataFrame:
+def budgeted(x: DataFrame, most: int) -> DataFrame:
     """The first `most` new matches in discovery order (by path components) stay new, the others are truncated.
 
-    Only counts by path meet in one task: a row's rank is the count of the paths before its own plus its rank in the path.
-    counted: the rows to count, if x has been made of them. All their columns are read, so that both sides have the same exchange, which is run once.
+    A row's rank is the count of the paths before its own, a running total over ranges of paths, plus its rank in the path.
     """
-    counted = x if counted is None else counted
-    counts = counted.groupBy("path").agg(F.count_if(F.col("state") == "new").alias("_n"), F.max(F.hash(*counted.columns)).alias("_all")).filter("_all is not null").select(F.col("path").alias("_path"), "_n")
-    before = Window.orderBy(F.split("_path", "/")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    counts = x.groupBy("path").agg(F.count_if(F.col("state") == "new").alias("_n"))
+    bases = prefix.running(counts, [F.split("path", "/").asc(), F.col("path").asc()], "_n", "_to").select(F.col("path").alias("_path"), (F.col("_to") - F.col("_n")).alias("_base"))
     inside = Window.partitionBy("path", "state").orderBy("line", "emit_ord")
     x = x.withColumn("_rank", F.row_number().over(inside)).join(bases, F.col("path").eqNullSafe(F.col("_path")), "left")
     cut = (F.col("state") == "new") & (F.col("_base") + F.col("_rank") > most)
     return x.withColumn("state", F.when(cut, "truncated").otherwise(F.col("state"))).drop("_rank", "_base", "_path")
 
 
+def files_within(files: DataFrame, size: str, most: int, read: str = "read") -> DataFrame:
+    """Files in discovery order with a flag: whether the bytes up to and with a file stay within a budget."""
+    total = f"_{read}_total"
+    return prefix.running(files, [F.split("path", "/").asc(), F.col("path").asc()], size, total).withColumn(read, F.col(total) <= most).drop(total)
+
+
 def findings(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The new findings."""
     return judged(lines, settings).filter("state = 'new'").drop("state")
 
 
-def scan(files: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Findings of files (path, content); unsupported files have none."""
-    settings = settings or Settings()
+def matches(files: DataFrame, settings: Settings, parse_all: bool = False) -> DataFrame:
+    """Every line and rule that fires on it, of files (path, content); unsupported files have none."""
     known = files.select("path", languages.language(F.col("path")).alias("language"), "content").filter("language is not null")
-    return findings(analyze.line_rows(known, settings.between_functions, matching=True), settings)
+    return analyze.match_rows(known, settings.between_functions, parse_all)
+
+
+def scan(files: DataFrame, settings: Settings | None = None, parse_all: bool = False) -> DataFrame:
+    """Findings of files (path, content). parse_all: parse files without a line that a rule may match, too; the findings are the same."""
+    settings = settings or Settings()
+    return judged_matches(matches(files, settings, parse_all), settings).filter("state = 'new'").drop("state")
+
+
+STATES = ("new", "known", "disabled", "suppressed", "truncated")
+
+
+def coverage(tree: DataFrame, found: DataFrame) -> DataFrame:
+    """The one-row report of a scan of a tree: what was read and left out, matches by state; errors of sources and a spent budget make it incomplete."""
+    counts = found.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+    out = tree.withColumnRenamed("files", "scanned_files").crossJoin(counts)  # one row each
+    return out.withColumn("complete", F.col("complete") & (F.col("truncated") == 0))
 
 
 def report(lines: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:

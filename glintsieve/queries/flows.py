@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from glintsieve.operators import analyze, facts, taint
+from glintsieve.operators import analyze, facts, stabbing, taint
 from glintsieve.plans import scan
-from glintsieve.queries.registry import LABELS, kept, new_findings, query, source_files, source_lines, table, values
+from glintsieve.queries.registry import LABELS, kept, new_findings, query, source_files, source_lines, table
 
 
 def _facts(spark, sf_dir):
@@ -48,13 +48,16 @@ _CHAIN = 'a_@ = {source}["x"]\nb_@ = {step}\ndef helper(p_@):\n    return eval(p
 _CHAINS = [("request.args", "a_@ + '!'", 3, "tainted"), ("request.form", "int(a_@)", 0, "candidate"), ("os.environ", "a_@", 3, "reachable"), ("settings", "a_@", 0, "candidate")]
 
 
-def chains(spark, sf_dir, between: bool = False):
+def _chain_files(spark, sf_dir):
     """A file for each customer: a source, a step, a sink in a function and one outside of it."""
     key = F.col("c_custkey")
     texts = [_CHAIN.replace("{source}", s).replace("{step}", t) for s, t, _, _ in _CHAINS]
     content = F.replace(F.get(F.array(*[F.lit(t) for t in texts]), (key % 4).cast("int")), F.lit("@"), key.cast("string"))
-    f = table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
-    return kept(spark, sf_dir, f"chains-{between}", lambda: analyze.line_rows(f, between))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+
+
+def chains(spark, sf_dir, between: bool = False):
+    return kept(spark, sf_dir, f"chains-{between}", lambda: analyze.line_rows(_chain_files(spark, sf_dir), between))
 
 
 def _chain_flows(spark, sf_dir, between: bool = False):
@@ -81,20 +84,28 @@ def a07(spark, sf_dir):
 
 @query("a08_scopes", f"SELECT {_PATH}, CAST(n AS INTEGER) AS line, CASE WHEN n IN (3, 4) THEN 3 ELSE 1 END AS scope_start FROM customer, range(1, 8) AS t(n)")
 def a08(spark, sf_dir):
-    return chains(spark, sf_dir).select("path", "line", "scope_start")
+    """The innermost function around each line, by stabbing; the module where there is none."""
+    x = chains(spark, sf_dir).select("path", "line")
+    f = analyze.fact_rows(_chain_files(spark, sf_dir)).filter("kind = 'function'").select("path", "start", "end")
+    return stabbing.innermost(x, f, ["path"], "line", "start", "end").select("path", "line", F.coalesce("start", F.lit(1)).cast("int").alias("scope_start"))
+
 
+def _each(name: str, sql: str, extension: str, content: str, pick) -> None:
+    """A query over a file for each customer, @ in its content is the key."""
+    language = {"py": "python"}.get(extension, "javascript")
 
-def _one(name: str, language: str, path: str, content: str, pick) -> None:
-    @query(name)
+    @query(name, f"WITH files AS (SELECT c_custkey AS k, 'c/' || CAST(c_custkey AS VARCHAR) || '.{extension}' AS path FROM customer) {sql}")
     def run(spark, sf_dir):
-        f = values(spark, [(path, language, content)], "path string, language string, content string")
-        return pick(f)
+        key = F.col("c_custkey").cast("string")
+        path, text = F.concat(F.lit("c/"), key, F.lit(f".{extension}")), F.replace(F.lit(content), F.lit("@"), key)
+        return pick(table(spark, sf_dir, "customer").select(path.alias("path"), F.lit(language).alias("language"), text.alias("content")))
 
 
-_one("a09_interpolations", "python", "a.py", "x = f'{name} and {other}'\n", lambda f: analyze.fact_rows(f).filter("kind = 'interpolation'").select("line", "text"))
-_JS = "const {exec: run, spawn} = require('child_process');\nimport * as cp from 'node:child_process';\nrun(a);\nspawn('ls');\ncp.execSync(b);\nfunction f(run) { run(a); }\n"
-_one("a10_command_bindings", "javascript", "a.js", _JS, lambda f: analyze.line_rows(f).filter("shell is not null").select("line", "shell"))
-_one("a11_shadowing", "javascript", "a.js", _JS, lambda f: analyze.line_rows(f).filter("shadowed").select("line"))
+_each("a09_interpolations", "SELECT path, 1 AS line, t AS text FROM files, (VALUES (1), (2)) AS l(n), LATERAL (SELECT CASE n WHEN 1 THEN '{name_' || CAST(k AS VARCHAR) || '}' ELSE '{other}' END AS t)", "py", "x = f'{name_@} and {other}'\n", lambda f: analyze.fact_rows(f).filter("kind = 'interpolation'").select("path", "line", "text"))
+_JS = "const {exec: run@, spawn} = require('child_process');\nimport * as cp from 'node:child_process';\nrun@(a);\nspawn('ls');\ncp.execSync(b);\nfunction f(run@) { run@(a); }\n"
+_each("a10_command_bindings", "SELECT path, line, shell FROM files, (VALUES (3, true), (4, false), (5, true)) AS l(line, shell)", "js", _JS, lambda f: analyze.line_rows(f).filter("shell is not null").select("path", "line", "shell"))
+_each("a11_shadowing", "SELECT path, 6 AS line FROM files", "js", _JS, lambda f: analyze.line_rows(f).filter("shadowed").select("path", "line"))
+_each("a13_components", "SELECT path, 4 AS line, 'SR004' AS rule_id FROM files", "vue", "<template><p>eval(x)</p></template>\n<script>\nconst a@ = req.query.x;\neval(a@);\n</script>\n", lambda f: analyze.match_rows(f).select("path", "line", "rule_id"))
 
 
 @query("a12_repairs", f"{LABELS} SELECT path, line FROM corpus WHERE contains(text, 'requests.put(')")
@@ -106,9 +117,6 @@ def a12(spark, sf_dir):
     return x.select("path", F.size(F.split(head, "\n")).alias("line"))
 
 
-_one("a13_components", "javascript", "a.vue", "<template><p>eval(x)</p></template>\n<script>\nconst a = req.query.x;\neval(a);\n</script>\n", lambda f: scan.matched(analyze.line_rows(f)).select("line", "rule_id"))
-
-
 @query("t01_scope_environment", f"SELECT {_PATH}, line, CASE WHEN line = 6 AND c_custkey % 4 IN (0, 2) THEN 1 ELSE 0 END AS n_flows FROM customer, (VALUES (4), (6)) AS l(line)")
 def t01(spark, sf_dir):
     """A function's parameter hides what the module knows: evidence outside of the function, none inside without following calls."""
@@ -144,7 +152,7 @@ def t05(spark, sf_dir):
     return x.select("path").distinct().join(_chain_flows(spark, sf_dir).filter("line = 6").select("path"), "path", "left_anti")
 
 
-_one("t06_sql_argument", "python", "a.py", "name = request.args['n']\nq = 'SELECT ' + name\ndb.execute(q)\ndb.execute('SELECT 1', (name,))\n", lambda f: scan.matched(analyze.line_rows(f)).filter("rule_id = 'SR011'").select("line"))
+_each("t06_sql_argument", "SELECT path, 3 AS line FROM files", "py", "name_@ = request.args['n']\nq = 'SELECT ' + name_@\ndb.execute(q)\ndb.execute('SELECT 1', (name_@,))\n", lambda f: analyze.match_rows(f).filter("rule_id = 'SR011'").select("path", "line"))
 
 
 @query("t07_sinks", f"{LABELS} SELECT path, line, rule_id FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016', 'SR021')")
@@ -157,12 +165,15 @@ def t08(spark, sf_dir):
     return _chain_flows(spark, sf_dir, True).filter("line = 4").select("path", "line", "depth", "kinds")
 
 
-@query("t09_trace_bounds", "SELECT CAST(14 AS INTEGER) AS depth, CAST(9 AS INTEGER) AS kept, 'source' AS first, 'sink' AS last")
+@query("t09_trace_bounds", f"SELECT {_PATH}, CAST(c_custkey % 20 + 3 AS INTEGER) AS depth, CAST(least(c_custkey % 20 + 2, 8) + 1 AS INTEGER) AS kept, 'source' AS first, 'sink' AS last FROM customer")
 def t09(spark, sf_dir):
-    text = "v0 = request.args['x']\n" + "".join(f"v{k} = v{k - 1}\n" for k in range(1, 13)) + "eval(v12)\n"
-    f = values(spark, [("a.py", "python", text)], "path string, language string, content string")
-    x = analyze.line_rows(f).select(F.explode("flows").alias("f")).select("f.depth", F.size("f.steps").alias("kept"), F.get("f.steps", F.lit(0))["kind"].alias("first"), F.element_at("f.steps", -1)["kind"].alias("last"))
-    return x
+    """Chains of 1 to 20 steps: the depth is counted on where steps are no longer kept."""
+    key = F.col("c_custkey")
+    steps = F.transform(F.sequence(F.lit(1), (key % 20 + 1).cast("int")), lambda k: F.concat(F.lit("v"), k.cast("string"), F.lit(" = v"), (k - 1).cast("string"), F.lit("\n")))
+    content = F.concat(F.lit("v0 = request.args['x']\n"), F.array_join(steps, ""), F.lit("eval(v"), (key % 20 + 1).cast("string"), F.lit(")\n"))
+    f = table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+    e = F.col("evidence")
+    return analyze.match_rows(f).select("path", e["depth"].alias("depth"), F.size(e["steps"]).alias("kept"), F.get(e["steps"], F.lit(0))["kind"].alias("first"), F.element_at(e["steps"], -1)["kind"].alias("last"))
 
 
 @query("t10_confidence", f"{LABELS} SELECT CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END AS confidence, count(*) AS n FROM expected GROUP BY 1")
@@ -175,17 +186,18 @@ def t11(spark, sf_dir):
     return new_findings(spark, sf_dir).select("path", "line", "rule_id", "engine")
 
 
-@query("t12_unreliable_lines")
+@query("t12_unreliable_lines", f"SELECT {_PATH}, CAST(n AS INTEGER) AS line, c_custkey % 2 = 0 AS parsed, c_custkey % 2 = 0 AS reliable, CASE WHEN n = 2 AND c_custkey % 2 = 0 THEN 1 ELSE 0 END AS n_flows FROM customer, range(1, 4) AS t(n)")
 def t12(spark, sf_dir):
-    """A file that does not parse is lexical and has no flows."""
-    f = values(spark, [("a.py", "python", "x = request.args['a']\neval(x)\ndef (:\n")], "path string, language string, content string")
-    return analyze.line_rows(f).select("line", "parsed", "reliable", F.size("flows").alias("n_flows"))
+    """Every other file does not parse: it is lexical and has no flows."""
+    key = F.col("c_custkey")
+    content = F.concat(F.lit("x = request.args['a']\neval(x)\n"), F.when(key % 2 == 0, "y = 1\n").otherwise("def (:\n"))
+    f = table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+    return analyze.line_rows(f).select("path", "line", "parsed", "reliable", F.size("flows").alias("n_flows"))
 
 
-@query("t13_sink_rules", "SELECT unnest(['SR004', 'SR005', 'SR006', 'SR011', 'SR012', 'SR015', 'SR016', 'SR021']) AS rule_id")
+@query("t13_sink_rules", f"{LABELS} SELECT rule_id, count(*) AS n FROM expected WHERE rule_id IN ('SR004', 'SR005', 'SR006', 'SR011', 'SR012', 'SR015', 'SR016', 'SR021') GROUP BY rule_id")
 def t13(spark, sf_dir):
+    """Findings of the rules that are sinks."""
     from glintsieve.operators import rules
 
-    return rules.table(spark).filter(F.col("rule_id").isin(*[r.rule_id for r in rules.SINKS])).select("rule_id")
-
-
+    return new_findings(spark, sf_dir).filter(F.col("rule_id").isin(*[r.rule_id for r in rules.SINKS])).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
-import json
 import os
 import subprocess
 
 from pyspark.sql import functions as F
 
-from glintsieve.plans import dependencies
-from glintsieve.queries.registry import LABELS, PATHS, ROOT, new_findings, paths, query, source_files, table, values
+from glintsieve.functions import patterns
+from glintsieve.plans import dependencies, scan
+from glintsieve.queries.registry import LABELS, PATHS, ROOT, _sql_list, new_findings, paths, query, source_files, table, values
 from glintsieve.sources import gitignore, languages, manifests, results, settings, tree
 from glintsieve.sinks import reports
-
-
-def _tree(spark, path: str, **options):
-    tree.register(spark)
-    reader = spark.read.format("source_tree")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.load(path)
-
-
-@query("s01_tree")
+from glintsieve.sinks.shared import fresh_path
+
+
+#: Folders of the tree that is written from customers; one is never entered.
+_FOLDERS = ["src", "src/deep/er", "node_modules/lib", "docs"]
+_EXTENSIONS = ["py", "c", "tmp"]
+_LIMIT = 64
+_TREE = f"""WITH made AS (
+  SELECT c_custkey, c_custkey % 89 = 0 AS link, c_custkey % 97 = 0 AS large, c_custkey % 3 = 2 AS tmp, c_name AS body,
+         'd' || CAST(c_custkey % 7 AS VARCHAR) || '/' || ({_sql_list(_FOLDERS)})[CAST(1 + c_custkey % {len(_FOLDERS)} AS BIGINT)] || '/f' || CAST(c_custkey AS VARCHAR) || '.' || ({_sql_list(_EXTENSIONS)})[CAST(1 + c_custkey % 3 AS BIGINT)] AS path
+  FROM customer), seen AS (SELECT * FROM made WHERE path NOT LIKE '%/node_modules/%')"""
+
+
+def _tree(spark, sf_dir, **options):
+    """A file for each customer, written by the tasks into the shared folder, as a tree; every 89th is a link, every 97th too large."""
+    top = fresh_path(spark, "tree")
+    key = F.col("c_custkey")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (key % n).cast("int"))
+    path = F.concat(F.lit("d"), (key % 7).cast("string"), F.lit("/"), pick(_FOLDERS, len(_FOLDERS)), F.lit("/f"), key.cast("string"), F.lit("."), pick(_EXTENSIONS, 3))
+    body = F.when(key % 97 == 0, F.repeat(F.lit("x"), _LIMIT + 1)).otherwise(F.col("c_name"))
+    rows = table(spark, sf_dir, "customer").select(path.alias("path"), body.alias("body"), (key % 89 == 0).alias("link"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        root = top.removeprefix("file://")
+        for batch in batches:
+            for x in batch.to_pylist():
+                full = os.path.join(root, x["path"])
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full + ".new", "w", encoding="utf-8") as f:  # moved in place, so that a rerun writes the same file again
+                    f.write(x["body"])
+                os.replace(full + ".new", full)
+                if x["link"]:
+                    os.replace(full, full + ".to")
+                    os.symlink(full + ".to", full + ".new")
+                    os.replace(full + ".new", full)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return top, tree.load(spark, top, **options)
+
+
+@query("s01_tree", f"{_TREE} SELECT path, CASE WHEN link OR tmp THEN NULL WHEN large THEN {_LIMIT + 1} ELSE length(body) END AS size, link AS is_symlink, tmp AND NOT link AS excluded FROM seen UNION ALL SELECT path || '.to', CASE WHEN large THEN {_LIMIT + 1} ELSE length(body) END, false, false FROM seen WHERE link")
 def s01(spark, sf_dir):
-    """The package's own source tree."""
-    return _tree(spark, ROOT).select("path", "size", "excluded", "error")
+    return _tree(spark, sf_dir, excludes="*.tmp")[1].select("path", "size", "is_symlink", "excluded")
 
 
-@query("s02_single_file")
+@query("s02_single_file", "SELECT 'f1.c' AS path, CAST(length(c_name) AS BIGINT) AS size FROM customer WHERE c_custkey = 1")
 def s02(spark, sf_dir):
-    return _tree(spark, os.path.join(ROOT, "__init__.py")).select("path", "size")
-
-
+    top, _ = _tree(spark, sf_dir)
+    return tree.load(spark, f"{top}/d1/src/deep/er/f1.c").select("path", "size")
 
 
 @query("s03_language", PATHS + """, n AS (SELECT o_orderkey, path, string_split(path, '/')[-1] AS name FROM paths), e AS (SELECT *, lower(regexp_extract(name, '^.+[.]([^.]+)$', 1)) AS x FROM n)
@@ -48,39 +79,37 @@ def s04(spark, sf_dir):
 
 @query("s05_excludes", PATHS + " SELECT o_orderkey, path FROM paths WHERE NOT (starts_with(path, 'src/app/') OR path LIKE 'src/app' OR regexp_matches(path, '^docs/[^/]*[.]md$') OR regexp_matches(path, '(^|/)[^/]*[.]png$'))")
 def s05(spark, sf_dir):
-    from glintsieve.functions.globs import to_regex
-
-    name = F.element_at(F.split("path", "/"), -1)
-    hit = F.lit(False)
-    for p in ["src/app", "docs/*.md", "*.png"]:
-        hit = hit | ((F.col("path").rlike(to_regex(p)) | F.col("path").startswith(p + "/")) if "/" in p else name.rlike(to_regex(p)))
-    return paths(spark, sf_dir).filter(~hit).select("o_orderkey", "path")
+    return paths(spark, sf_dir).filter(~patterns.excluded(F.col("path"), ["src/app", "docs/*.md", "*.png"])).select("o_orderkey", "path")
 
 
 _IGNORE = "# comment\n*.py\n!/src/main.py\ndocs/\n/deps/**/x*\n\n!test_*.py\n"
 
 
-@query("s06_ignore_rules", "SELECT * FROM (VALUES ('*.py', false, false, false), ('src/main.py', true, false, true), ('docs', false, true, false), ('deps/**/x*', false, false, true), ('test_*.py', true, false, false)) AS t(pattern, negate, directory, anchored)")
+@query("s06_ignore_rules", "SELECT 'p' || CAST(n_nationkey AS VARCHAR) AS base, pattern, negate, directory, anchored FROM nation, (VALUES ('*.py', false, false, false), ('src/main.py', true, false, true), ('docs', false, true, false), ('deps/**/x*', false, false, true), ('test_*.py', true, false, false)) AS t(pattern, negate, directory, anchored) UNION ALL SELECT 'p' || CAST(n_nationkey AS VARCHAR), 'n' || CAST(n_nationkey AS VARCHAR) || '*', n_nationkey % 2 = 0, false, false FROM nation")
 def s06(spark, sf_dir):
-    found, _ = gitignore.parse("", _IGNORE)
-    return values(spark, [(r.pattern, r.negate, r.directory, r.anchored) for r in found], "pattern string, negate boolean, directory boolean, anchored boolean")
+    """The rules of an ignore file for each nation, parsed by the tasks."""
+    key = F.col("n_nationkey").cast("string")
+    own = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "!").otherwise(""), F.lit("n"), key, F.lit("*\n"))
+    texts = table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), key).alias("base"), F.concat(F.lit(_IGNORE), own).alias("content"))
+    return gitignore.rule_rows(texts).select("base", "pattern", "negate", "directory", "anchored")
 
 
 @query("s07_ignored", PATHS + " SELECT o_orderkey, path, CASE WHEN regexp_matches(path, '(^|/)test_[^/]*[.]py$') THEN false WHEN regexp_matches(path, '^deps/(.*/)?x[^/]*$') THEN true WHEN directory AND regexp_matches(path, '(^|/)docs$') THEN true WHEN path = 'src/main.py' THEN false WHEN regexp_matches(path, '[.]py$') THEN true ELSE false END AS ignored FROM paths")
 def s07(spark, sf_dir):
     found, _ = gitignore.parse("", _IGNORE)
-    return paths(spark, sf_dir).select("o_orderkey", "path", gitignore.ignored(found, F.col("path"), F.col("directory")).alias("ignored"))
+    return paths(spark, sf_dir).select("o_orderkey", "path", patterns.ignored(F.col("path"), F.col("directory"), found).alias("ignored"))
 
 
-@query("s08_bounded_read")
+@query("s08_bounded_read", f"{_TREE}, read AS (SELECT path, large, body FROM seen WHERE NOT link UNION ALL SELECT path || '.to', large, body FROM seen WHERE link) SELECT path, CASE WHEN NOT large THEN body END AS content, CASE WHEN large THEN 'too large' END AS error FROM read")
 def s08(spark, sf_dir):
     """Files over a limit are errors, not content."""
-    return _tree(spark, ROOT, max_file_bytes="4096").select("path", "size", "error")
+    return tree.texts(_tree(spark, sf_dir, max_file_bytes=_LIMIT)[1])
 
 
-@query("s09_confinement")
+@query("s09_confinement", f"{_TREE} SELECT (SELECT count(*) FROM seen WHERE link) AS skipped_symlinks, (SELECT count(*) FROM seen WHERE NOT link AND NOT large) + (SELECT count(*) FROM seen WHERE link AND NOT large) AS files, (SELECT count(*) FROM seen WHERE large) AS n_errors, (SELECT count(*) FROM seen WHERE large) = 0 AS complete")
 def s09(spark, sf_dir):
-    return _tree(spark, ROOT).filter("error is not null or is_symlink").select("path", "is_symlink", "error")
+    """Links are not followed; what could not be read makes a scan incomplete."""
+    return tree.summary(_tree(spark, sf_dir, max_file_bytes=_LIMIT)[1]).select("skipped_symlinks", "files", "n_errors", "complete")
 
 
 @query("s10_decoding", "SELECT doc_id, doc_id % 7 <> 0 AS valid FROM documents")
@@ -91,10 +120,9 @@ def s10(spark, sf_dir):
 
 @query("s11_byte_budget", f"{LABELS}, f AS (SELECT path, sum(octet_length(encode(text)) + 1) - 1 AS n FROM corpus GROUP BY path), r AS (SELECT path, sum(n) OVER (ORDER BY string_split(path, '/')) AS total FROM f) SELECT path, total <= 30000 AS read FROM r")
 def s11(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Files that a budget of bytes lets in, in discovery order."""
     f = source_files(spark, sf_dir).select("path", F.octet_length("content").cast("long").alias("n"))
-    return f.select("path", (F.sum("n").over(Window.orderBy(F.split("path", "/"))) <= 30000).alias("read"))
+    return scan.files_within(f, "n", 30000).select("path", "read")
 
 
 @query("s12_changed_list", PATHS + " SELECT DISTINCT path FROM paths")
@@ -121,7 +149,9 @@ def s14(spark, sf_dir):
 
 @query("s15_baseline", f"{LABELS} SELECT DISTINCT sha256(rule_id || chr(0) || path || chr(0) || sha256(text)) AS fingerprint FROM expected")
 def s15(spark, sf_dir):
-    return reports.baseline(new_findings(spark, sf_dir)).select(F.explode(reports.read_baseline(F.col("body"))).alias("fingerprint"))
+    path = fresh_path(spark, "baseline")
+    reports.write_baseline(new_findings(spark, sf_dir), path)
+    return reports.read_fingerprints(spark, path).select("fingerprint")
 
 
 @query("s16_default_baseline")
@@ -129,24 +159,52 @@ def s16(spark, sf_dir):
     return values(spark, [(settings.find_baseline(os.path.dirname(ROOT)),)], "path string")
 
 
-_RECORDS = [
-    {"id": "ADV-1", "summary": "one", "affected": [{"package": {"ecosystem": "PyPI", "name": "requests"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.20.0"}]}]}]},
-    {"id": "ADV-2", "summary": "two", "affected": [{"package": {"ecosystem": "npm", "name": "lodash"}, "versions": ["4.17.20"], "ranges": [{"type": "SEMVER", "events": [{"introduced": "4.0.0"}, {"last_affected": "4.17.11"}]}]}]},
-    {"id": "ADV-3", "summary": "three", "withdrawn": "2020", "affected": [{"package": {"ecosystem": "npm", "name": "lodash"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0"}]}]}]},
-    {"id": "ADV-4", "summary": "four", "affected": [{"package": {"ecosystem": "Go", "name": "example.org/mod"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "1.0.0"}, {"fixed": "1.4.0"}, {"introduced": "2.0.0"}]}]}]},
-    {"id": "ADV-5", "summary": "five", "affected": [{"package": {"ecosystem": "crates.io", "name": "smallvec"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0.6.0"}, {"limit": "1.6.1"}]}]}]},
-]
-RECORDS_JSON = json.dumps(_RECORDS)
-
-
-def records(spark):
-    kind = dependencies._typed(dependencies.ADVISORY)
-    return spark.range(1).select(F.inline(F.from_json(F.lit(RECORDS_JSON), f"array<struct<{kind}>>")))
-
-
-@query("s17_advisories", "SELECT * FROM (VALUES ('ADV-1', 'PyPI', 'requests'), ('ADV-2', 'npm', 'lodash'), ('ADV-3', 'npm', 'lodash'), ('ADV-4', 'Go', 'example.org/mod'), ('ADV-5', 'crates.io', 'smallvec')) AS t(id, ecosystem, name)")
+#: Advisories are made from parts: a third of them, and a third of the inventory, belong to one package.
+_PACKAGE = "CASE WHEN {k} % 3 = 0 THEN 'hot' ELSE 'pkg' || CAST({k} % 40 AS VARCHAR) END"
+ADVISORIES_SQL = f"""WITH advisories AS (
+  SELECT p_partkey AS k, 'ADV-' || CAST(p_partkey AS VARCHAR) AS id, {_PACKAGE.format(k="p_partkey")} AS package, [p_size % 5, p_partkey % 10, 0] AS lo, [p_size % 5, p_partkey % 10 + p_partkey % 4, p_size % 3] AS hi, p_partkey % 7 AS kind FROM part WHERE p_partkey % 11 <> 0),
+stock AS (SELECT DISTINCT {_PACKAGE.format(k="o_orderkey")} AS package, o_custkey % 6 AS a, o_orderkey % 13 AS b, o_custkey % 4 AS c FROM orders),
+stocked AS (SELECT package, CAST(a AS VARCHAR) || '.' || CAST(b AS VARCHAR) || CASE WHEN c = 3 THEN '' ELSE '.' || CAST(c AS VARCHAR) END AS version, [a, b, CASE WHEN c = 3 THEN 0 ELSE c END] AS v FROM stock),
+hits AS (
+  SELECT DISTINCT id, 'npm' AS ecosystem, s.package, version, CASE WHEN kind = 6 AND NOT version = '1.1' THEN 'unknown' ELSE 'affected' END AS status FROM advisories a JOIN stocked s ON a.package = s.package
+  WHERE CASE kind WHEN 0 THEN v >= lo AND v <= hi WHEN 1 THEN v >= lo WHEN 2 THEN version = '2.3.1' WHEN 3 THEN v < hi OR v >= [5, 0, 0] WHEN 6 THEN true ELSE v >= lo AND v < hi END)"""
+
+
+def records(spark, sf_dir):
+    """An advisory record as JSON for each part, parsed: ranges of all kinds, listed versions, withdrawn ones, and some with a version that can't be read."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    dotted = lambda *n: F.concat_ws(".", *[x.cast("string") for x in n])
+    lo, hi = dotted(size % 5, k % 10, F.lit(0)), dotted(size % 5, k % 10 + k % 4, size % 3)
+    event = lambda name, value: F.concat(F.lit(f'{{"{name}":"'), value, F.lit('"}'))
+    two = lambda a, b: F.concat(a, F.lit(","), b)
+    events = (
+        F.when(k % 7 == 0, two(event("introduced", lo), event("last_affected", hi))).when(k % 7 == 1, event("introduced", lo))
+        .when(k % 7 == 3, two(two(event("introduced", F.lit("0")), event("limit", hi)), event("introduced", F.lit("v5"))))
+        .when(k % 7 == 6, two(event("introduced", F.lit("0")), event("fixed", F.lit("1.0.0-rc1")))).otherwise(two(event("introduced", lo), event("fixed", hi)))
+    )
+    listed = F.when(k % 7 == 2, '["2.3.1"]').when(k % 7 == 6, '["1.1"]').otherwise("[]")
+    ranges = F.when(k % 7 == 2, F.lit("[]")).otherwise(F.concat(F.lit('[{"type":"SEMVER","events":['), events, F.lit("]}]")))
+    name = F.when(k % 3 == 0, "hot").otherwise(F.concat(F.lit("pkg"), (k % 40).cast("string")))
+    body = F.concat(F.lit('{"id":"ADV-'), k.cast("string"), F.lit('","summary":"s"'), F.when(k % 11 == 0, ',"withdrawn":"2020"').otherwise(""), F.lit(',"affected":[{"package":{"ecosystem":"npm","name":"'), name, F.lit('"},"versions":'), listed, F.lit(',"ranges":'), ranges, F.lit("}]}"))
+    kind = f"struct<{dependencies._typed(dependencies.ADVISORY)}>"
+    return table(spark, sf_dir, "part").select(F.from_json(body, kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def inventory(spark, sf_dir):
+    """Packages with versions from orders, as readers of lock files give them, repeats included."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.when(k % 3 == 0, "hot").otherwise(F.concat(F.lit("pkg"), (k % 40).cast("string")))
+    version = F.concat((c % 6).cast("string"), F.lit("."), (k % 13).cast("string"), F.when(c % 4 == 3, "").otherwise(F.concat(F.lit("."), (c % 4).cast("string"))))
+    error = F.when(k % 1000 == 999, "not resolved")
+    return table(spark, sf_dir, "orders").select(F.lit("npm").alias("ecosystem"), name.alias("name"), version.alias("version"), F.lit(None).cast("string").alias("error")).unionByName(
+        table(spark, sf_dir, "orders").filter("o_orderkey % 1000 = 999").select(F.lit(None).cast("string").alias("ecosystem"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), error.alias("error"))
+    )
+
+
+@query("s17_advisories", f"SELECT 'ADV-' || CAST(p_partkey AS VARCHAR) AS id, 'npm' AS ecosystem, {_PACKAGE.format(k='p_partkey')} AS name, p_partkey % 11 = 0 AS withdrawn, CAST(CASE p_partkey % 7 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS INTEGER) AS events FROM part")
 def s17(spark, sf_dir):
-    return records(spark).select("id", F.explode("affected").alias("a")).select("id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"))
+    a = F.get("affected", F.lit(0))
+    return records(spark, sf_dir).select("id", a["package"]["ecosystem"].alias("ecosystem"), a["package"]["name"].alias("name"), F.col("withdrawn").isNotNull().alias("withdrawn"), F.coalesce(F.size(F.get(a["ranges"], F.lit(0))["events"]), F.lit(0)).alias("events"))
 
 
 def _npm(spark, sf_dir):
@@ -195,9 +253,9 @@ def s22(spark, sf_dir):
 
 @query("s24_findings_report", f"{LABELS} SELECT rule_id, path, line FROM expected")
 def s24(spark, sf_dir):
-    x = new_findings(spark, sf_dir).withColumn("snippet", F.lit(None).cast("string"))
-    body = reports.json_report(x, spark.range(1).select(F.lit(True).alias("complete")))
-    return results.findings_report(body, reports.FINDINGS_SCHEMA)
+    path = fresh_path(spark, "findings")
+    reports.write_json(new_findings(spark, sf_dir).withColumn("snippet", F.lit(None).cast("string")), spark.range(1).select(F.lit(True).alias("complete")), path)
+    return results.findings_parts(spark, path, reports.FINDINGS_SCHEMA)
 
 
 @query("s25_csv_labels", "SELECT 'Test' || CAST(c_custkey AS VARCHAR) AS test_name, c_custkey % 2 = 0 AS positive, CAST(c_custkey % 90 AS INTEGER) AS cwe FROM customer")
@@ -218,7 +276,9 @@ def s26(spark, sf_dir):
 def s27(spark, sf_dir):
     from glintsieve.operators import rules
 
-    return results.sarif_results(reports.sarif(new_findings(spark, sf_dir), rules.table(spark))).select("path", "line", "rule_id")
+    path = fresh_path(spark, "sarif")
+    reports.write_sarif(new_findings(spark, sf_dir), rules.table(spark), path)
+    return results.sarif_parts(spark, path).select("path", "line", "rule_id")
 
 
 _URIS = ["src/a%20b.py", "/etc/passwd", "file:///x", "a/../b", "a%2F..%2Fb", "ok.py", "a\\b", "a//b"]
@@ -244,9 +304,6 @@ def s30(spark, sf_dir):
     return results.pinned(f.select("path", "content"), f.select("path", F.sha2("content", 256).alias("sha256")))
 
 
-@query("j08_advisories", "SELECT 'ADV-1' AS id, 'requests' AS package, '2.19.0' AS version UNION ALL SELECT 'ADV-2', 'lodash', '4.17.' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey <= 11 OR n_nationkey = 20")
+@query("j08_advisories", f"{ADVISORIES_SQL} SELECT id, package, version, status FROM hits")
 def j08(spark, sf_dir):
-    packages = manifests.npm(_npm(spark, sf_dir)).unionByName(manifests.requirements(_requirements(spark, sf_dir)))
-    return dependencies.vulnerable(packages, records(spark)).filter("status = 'affected'").select("id", "package", "version")
-
-
+    return dependencies.vulnerable(inventory(spark, sf_dir), records(spark, sf_dir)).select("id", "package", "version", "status")

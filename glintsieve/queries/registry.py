@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from glintsieve.operators import analyze
 from glintsieve.plans import corpus, scan
+from glintsieve.sinks import shared
 from glintsieve.sources import languages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,13 +39,20 @@ _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A frame that several queries of a session start from, on disk after its first use."""
+    """A table that several queries of a session start from, written in the shared folder by the first one."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _KEPT:
-        _KEPT[key] = make().persist(StorageLevel.DISK_ONLY)
+        _KEPT[key] = shared.written(make(), what)
     return _KEPT[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Takes away the shared tables of a session, and all else that its queries have written."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+    shared.clear(spark)
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled corpus: path, language, content."""
     return corpus.files(spark, sf_dir).withColumn("language", languages.language(F.col("path")))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from glintsieve.functions import patterns
 from glintsieve.functions.globs import to_regex
-from glintsieve.plans import corpus, scan, scoring
-from glintsieve.queries.registry import LABELS, PATHS, all_matches, new_findings, paths, query, source_files, source_lines, table, values
+from glintsieve.operators import stabbing
+from glintsieve.plans import baseline, corpus, scan, scoring
+from glintsieve.queries.registry import FOLDERS, LABELS, NAMES, PATHS, all_matches, new_findings, paths, query, source_files, source_lines, table, values
+from glintsieve.sinks import shared
 
 SHA = "sha256(rule_id || chr(0) || path || chr(0) || sha256(text))"
 
@@ -42,6 +45,22 @@ def j03(spark, sf_dir):
     return old.unionByName(x.join(baseline, "fingerprint", "left_anti").withColumn("known", F.lit(False))).select("path", "line", "rule_id", "known")
 
 
+#: What an older scan knew: the findings of some lines, and of lines that are gone.
+_OLD = "line % 3 <> 0"
+
+
+@query("j03a_states", f"""{LABELS}, prints AS (SELECT {SHA} AS fingerprint, line FROM expected), old AS (SELECT DISTINCT fingerprint FROM prints WHERE {_OLD} UNION SELECT sha256('gone' || CAST(c_custkey AS VARCHAR)) FROM customer)
+SELECT fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM old) THEN 'known' ELSE 'new' END AS state FROM prints UNION ALL SELECT fingerprint, 'fixed' FROM old WHERE fingerprint NOT IN (SELECT fingerprint FROM prints)""")
+def j03a(spark, sf_dir):
+    """Findings against a kept baseline: new, known and fixed."""
+    found = new_findings(spark, sf_dir).select("fingerprint", "line", F.lit("new").alias("state"))
+    gone = table(spark, sf_dir, "customer").select(F.sha2(F.concat(F.lit("gone"), F.col("c_custkey").cast("string")), 256).alias("fingerprint"))
+    path = shared.fresh_path(spark, "baseline")
+    baseline.save(found.filter(_OLD).select("fingerprint").unionByName(gone), path)
+    old = baseline.load(spark, path)
+    return baseline.told_apart(found, old).select("fingerprint", "state").unionByName(baseline.fixed(found, old).withColumn("state", F.lit("fixed")))
+
+
 @query("j04_syntax_facts", f"{LABELS} SELECT path, line FROM expected WHERE rule_id = 'SR004' AND path LIKE '%.py'")
 def j04(spark, sf_dir):
     x = source_lines(spark, sf_dir).filter(F.col("path").endswith(".py"))
@@ -51,18 +70,10 @@ def j04(spark, sf_dir):
 
 @query("j05_ranges", "SELECT o.o_orderkey, r.lo FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 25 AS hi FROM customer) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN r.lo AND r.hi")
 def j05(spark, sf_dir):
-    """Lines in ranges: an equi-join on the file and a bucket of lines, with the range as a residual."""
-    r = _bucketed(table(spark, sf_dir, "customer").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 25 as hi"))
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_custkey % 7 as k", f"o_custkey div {BUCKET} as bucket")
-    return o.join(r, ["k", "bucket"]).filter("o_custkey between lo and hi").select("o_orderkey", "lo")
-
-
-#: Lines of a bucket: a range meets the few buckets that it reaches into, not all lines of its file.
-BUCKET = 32
-
-
-def _bucketed(ranges):
-    return ranges.withColumn("bucket", F.explode(F.expr(f"sequence(lo div {BUCKET}, hi div {BUCKET})")))
+    """Lines in ranges."""
+    r = table(spark, sf_dir, "customer").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 25 as hi")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey as at", "o_custkey % 7 as k")
+    return stabbing.stabbed(o, r, ["k"], "at", "lo", "hi").select("o_orderkey", "lo")
 
 
 @query("j06_evidence", f"{LABELS} SELECT path, line, rule_id, CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END AS confidence FROM expected")
@@ -86,8 +97,20 @@ _GLOBS = ["**/*.py", "src/**", "docs/*", "**/test_*", "*/app/[!x]*"]
 
 @query("j10_globs", PATHS + ', globs("glob", pattern) AS (VALUES ' + ", ".join(f"('{g}', '{to_regex(g)}')" for g in _GLOBS) + ') SELECT o_orderkey, path, "glob" FROM paths JOIN globs ON regexp_matches(path, pattern)')
 def j10(spark, sf_dir):
-    globs = values(spark, [(g, to_regex(g)) for g in _GLOBS], "glob string, pattern string")
-    return paths(spark, sf_dir).join(F.broadcast(globs), F.expr("path rlike pattern")).select("o_orderkey", "path", "glob")
+    """Every path with every pattern that it matches."""
+    number = F.explode(patterns.hits(F.col("path"), _GLOBS)).alias("k")
+    return paths(spark, sf_dir).select("o_orderkey", "path", number).select("o_orderkey", "path", F.get(F.array(*[F.lit(g) for g in _GLOBS]), F.col("k")).alias("glob"))
+
+
+#: Patterns of every folder, name and extension of the paths, and as many that match nothing: about 1,000.
+_MANY = [f"{f}/{n}" for f in FOLDERS for n in NAMES] + [f"**/{n}" for n in NAMES] + [f"{f.split('/')[0]}/**" for f in FOLDERS] + [f"**/{f.split('/')[-1]}/*.{n.split('.')[-1]}" for f in FOLDERS for n in NAMES] + [f"none{k}/**/x{k}*" for k in range(500)]
+
+
+@query("j10a_many_globs", PATHS + ', globs(k, pattern) AS (VALUES ' + ", ".join(f"({k}, '{to_regex(g)}')" for k, g in enumerate(_MANY)) + '), names AS (SELECT DISTINCT path FROM paths), found AS (SELECT path, count(*) AS n, max(k) AS last FROM names JOIN globs ON regexp_matches(path, pattern) GROUP BY path) SELECT o_orderkey, n, last FROM paths JOIN found USING (path)')
+def j10a(spark, sf_dir):
+    """How many of some 1,000 patterns match a path, and the last one of them."""
+    x = paths(spark, sf_dir).withColumn("k", patterns.hits(F.col("path"), _MANY)).filter("size(k) > 0")
+    return x.select("o_orderkey", F.size("k").cast("long").alias("n"), F.element_at("k", -1).alias("last"))
 
 
 def _labels(spark, sf_dir):
@@ -218,11 +241,9 @@ def w01(spark, sf_dir):
 
 @query("w02_innermost", "SELECT o_orderkey, lo, hi FROM (SELECT o.o_orderkey, r.lo, r.hi, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY hi - lo, lo) AS k FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 10 + c_custkey % 40 AS hi FROM customer) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN lo AND hi) WHERE k = 1")
 def w02(spark, sf_dir):
-    r = _bucketed(table(spark, sf_dir, "customer").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 10 + c_custkey % 40 as hi"))
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_custkey % 7 as k", f"o_custkey div {BUCKET} as bucket")
-    x = o.join(r, ["k", "bucket"]).filter("o_custkey between lo and hi")
-    inner = F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "lo", "hi")).alias("inner")  # combined before the shuffle
-    return x.groupBy("o_orderkey").agg(inner).select("o_orderkey", "inner.lo", "inner.hi")
+    r = table(spark, sf_dir, "customer").selectExpr("c_custkey % 7 as k", "c_custkey as lo", "c_custkey + 10 + c_custkey % 40 as hi")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey as at", "o_custkey % 7 as k")
+    return stabbing.innermost(o, r, ["k"], "at", "lo", "hi").filter("lo is not null").select("o_orderkey", "lo", "hi")
 
 
 @query("w03_proximity", "SELECT l_orderkey, l_linenumber, coalesce(l_linenumber - max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS UNBOUNDED PRECEDING) <= 2, false) AS near FROM lineitem")
@@ -232,9 +253,9 @@ def w03(spark, sf_dir):
 
 @query("w04_byte_budget", f"{LABELS}, f AS (SELECT path, sum(octet_length(encode(text)) + 1) - 1 AS n FROM corpus GROUP BY path), r AS (SELECT *, sum(n) OVER (ORDER BY string_split(path, '/')) AS total FROM f) SELECT path, CAST(n AS BIGINT) AS n FROM r WHERE total <= 20000")
 def w04(spark, sf_dir):
-    """Files in discovery order up to a budget; one row a file meets in the window."""
+    """Files in discovery order up to a budget."""
     f = source_files(spark, sf_dir).select("path", F.octet_length("content").cast("long").alias("n"))
-    return f.withColumn("total", F.sum("n").over(Window.orderBy(F.split("path", "/")))).filter("total <= 20000").select("path", "n")
+    return scan.files_within(f, "n", 20000).filter("read").select("path", "n")
 
 
 @query("w05_finding_budget", f"{LABELS}, r AS (SELECT path, line, rule_id, row_number() OVER (ORDER BY string_split(path, '/'), line, rule_id) AS k FROM expected) SELECT path, line, rule_id, CASE WHEN k <= 500 THEN 'new' ELSE 'truncated' END AS state FROM r")
@@ -242,11 +263,12 @@ def w05(spark, sf_dir):
     return scan.budgeted(all_matches(spark, sf_dir), 500).select("path", "line", "rule_id", "state")
 
 
-@query("w06_last_match", PATHS + " SELECT o_orderkey, CASE WHEN regexp_matches(path, '[.]py$') THEN 'third' WHEN starts_with(path, 'src/') THEN 'second' WHEN contains(path, 'a') THEN 'first' END AS winner FROM paths WHERE regexp_matches(path, '[.]py$') OR starts_with(path, 'src/') OR contains(path, 'a')")
+@query("w06_last_match", PATHS + " SELECT o_orderkey, CASE WHEN regexp_matches(path, '[.]py$') THEN '**/*.py' WHEN starts_with(path, 'src/') THEN 'src/**' ELSE '**/*a*' END AS winner FROM paths WHERE regexp_matches(path, '[.]py$') OR starts_with(path, 'src/') OR contains(string_split(path, '/')[-1], 'a')")
 def w06(spark, sf_dir):
-    r = values(spark, [(1, "a", "first"), (2, "^src/", "second"), (3, "[.]py$", "third")], "ord int, pattern string, name string")
-    x = paths(spark, sf_dir).join(F.broadcast(r), F.expr("path rlike pattern"))
-    return x.groupBy("o_orderkey").agg(F.max_by("name", "ord").alias("winner"))
+    """The last pattern of a list that matches a path."""
+    ordered = ["**/*a*", "src/**", "**/*.py"]
+    x = paths(spark, sf_dir).withColumn("k", patterns.hits(F.col("path"), ordered)).filter("size(k) > 0")
+    return x.select("o_orderkey", F.get(F.array(*[F.lit(g) for g in ordered]), F.element_at("k", -1)).alias("winner"))
 
 
 @query("w07_block_flag", "WITH f AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS flag FROM lineitem) SELECT l_orderkey, l_linenumber, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS UNBOUNDED PRECEDING), 0) AS inside FROM f")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from glintsieve.functions.globs import matches, to_regex
+from glintsieve.functions.globs import matches
+
+
+_ROWS = pa.schema([("base", pa.string()), ("ord", pa.int32()), ("pattern", pa.string()), ("negate", pa.bool_()), ("directory", pa.bool_()), ("anchored", pa.bool_()), ("note", pa.string()), ("error", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,25 @@ def parse(base: str, text: str) -> tuple[list[Rule], list[str]]:
     return rules, notes
 
 
+def rule_rows(texts: DataFrame) -> DataFrame:
+    """base, ord, pattern, negate, directory and anchored of the rules of ignore files (base, content), with notes and errors as rows of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for base, content in zip(batch.column("base").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rules, notes = parse(base or "", content or "")
+                except ValueError as e:
+                    rows.append({"base": base, "error": str(e)})
+                    continue
+                rows += [{"base": base, "ord": k, "pattern": r.pattern, "negate": r.negate, "directory": r.directory, "anchored": r.anchored} for k, r in enumerate(rules)]
+                rows += [{"base": base, "note": x} for x in notes]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+
+    return texts.select("base", "content").mapInArrow(run, "base string, ord int, pattern string, negate boolean, directory boolean, anchored boolean, note string, error string")
+
+
 def _local(rule: Rule, path: str) -> str | None:
     if not rule.base:
         return path
@@ -55,15 +78,3 @@ def is_ignored(rules: list[Rule], path: str, directory: bool) -> bool:
         if local is not None and matches(rule.pattern, local if rule.anchored or "/" in rule.pattern else local.rsplit("/", 1)[-1]):
             out = not rule.negate
     return out
-
-
-def ignored(rules: list[Rule], path: Column, directory: Column) -> Column:
-    """is_ignored as an expression over a path: nested choices, the last rule outermost."""
-    out = F.lit(False)
-    for rule in rules:
-        inside = path.startswith(rule.base + "/") if rule.base else F.lit(True)
-        local = F.substring(path, F.lit(len(rule.base) + 2), F.length(path)) if rule.base else path
-        where = local if rule.anchored or "/" in rule.pattern else F.element_at(F.split(local, "/"), -1)
-        hit = inside & where.rlike(to_regex(rule.pattern)) & (directory if rule.directory else F.lit(True))
-        out = F.when(hit, F.lit(not rule.negate)).otherwise(out)
-    return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glintsieve.sinks import fragments
+
 SARIF = "struct<version:string,runs:array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>>"
 
 
@@ -31,6 +35,22 @@ def findings_report(documents: DataFrame, schema: str) -> DataFrame:
     return documents.select(F.when(F.coalesce(ok, F.lit(False)), d["findings"]).otherwise(F.raise_error(F.lit("no complete report without snippets"))).alias("f")).select(F.inline("f")).select("rule_id", "path", "line")
 
 
+def findings_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """findings_report for a report in fragments."""
+    head = json.loads(fragments.manifest(path)["header"] + "]}")
+    if head.get("schema") != schema or not head.get("summary", {}).get("complete"):
+        raise ValueError("no complete report of this schema")
+    x = fragments.read(spark, path).select(F.from_json("item", "rule_id string, path string, line int, snippet string", {"mode": "FAILFAST"}).alias("f"))
+    shown = F.col("f.snippet").isNotNull()
+    return x.select(F.when(shown, F.raise_error(F.lit("a report with snippets"))).otherwise(F.col("f.rule_id")).alias("rule_id"), "f.path", "f.line")
+
+
+def sarif_parts(spark: SparkSession, path: str) -> DataFrame:
+    """sarif_results for a report in fragments: each result as a document of its own."""
+    body = F.concat(F.lit('{"version":"2.1.0","runs":[{"results":['), F.col("item"), F.lit("]}]}"))
+    return sarif_results(fragments.read(spark, path).select(body.alias("body")))
+
+
 def csv_labels(spark: SparkSession, path: str) -> DataFrame:
     """test_name, category, positive and cwe of a CSV file with # comments."""
     return spark.read.csv(path, comment="#", schema="test_name string, category string, positive boolean, cwe int", mode="FAILFAST")

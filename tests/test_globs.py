@@ -28,3 +28,25 @@ def test_last_rule_wins_and_exceptions():
     assert not gitignore.is_ignored(rules + nested, "x/nested.py", False)
     with pytest.raises(ValueError):
         gitignore.parse("", "!a\\b")
+
+
+def test_pattern_sets_equal_single_patterns():
+    import random
+
+    from glintsieve.functions import patterns as sets
+    from glintsieve.functions.globs import matches
+    from glintsieve.sources.gitignore import Rule, is_ignored
+
+    rng = random.Random(3)
+    part = lambda: rng.choice(["a", "b", "src", "x.py", "test_a.py", "*", "*.py", "t*", "[ab]", "[!a]*", "?", "**"])
+    globs = ["/".join(part() for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    paths = ["/".join(rng.choice(["a", "b", "src", "x.py", "test_a.py", "c", "tt"]) for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    known = sets.PatternSet(globs)
+    for path in paths:
+        assert known.hits(path) == tuple(k for k, g in enumerate(globs) if matches(g, path)), path
+    rules = [Rule(rng.choice(["", "a", "src/b"]), g, rng.random() < 0.4, rng.random() < 0.3, rng.random() < 0.3) for g in globs[:80]]
+    ordered = sets.ignore_set(rules)
+    for path in paths:
+        for folder in (True, False):
+            last = next((k for k in reversed(ordered.hits(path)) if folder or not rules[k].directory), None)
+            assert (last is not None and not rules[last].negate) == is_ignored(rules, path, folder), path

@@ -76,12 +76,39 @@ def test_ranges(spark, version, hit):
     assert spark.range(1).select(in_ranges(F.lit(version), F.expr(_EVENTS)).alias("x")).first().x is hit
 
 
-def test_withdrawn_advisories_hit_nothing(spark):
-    from glintsieve.queries.inputs import records
+def _advisory(k, events, versions=(), withdrawn=None, name="lodash", kind="SEMVER"):
+    events = [dict.fromkeys(("introduced", "fixed", "last_affected", "limit")) | e for e in events]
+    return (f"ADV-{k}", "s", withdrawn, [{"package": {"ecosystem": "npm", "name": name}, "versions": list(versions), "ranges": [{"type": kind, "events": events}]}])
 
-    packages = spark.createDataFrame([("npm", "lodash", "4.17.20", None), ("npm", "lodash", "4.17.12", None)], "ecosystem string, name string, version string, error string")
-    rows = dependencies.vulnerable(packages, records(spark)).collect()
-    assert [(r.id, r.version) for r in rows] == [("ADV-2", "4.17.20")]
+
+ADVISORIES = [
+    _advisory(1, [{"introduced": "4.0.0"}, {"last_affected": "4.17.11"}], ["4.17.20"]), _advisory(2, [{"introduced": "0"}], withdrawn="2020"), _advisory(3, [{"introduced": "0"}, {"fixed": "1.2"}, {"introduced": "2.0.0"}]),
+    _advisory(4, [{"introduced": "0"}, {"fixed": "1.0.0-rc1"}]), _advisory(5, [{"introduced": "99999999"}]), _advisory(6, [{"introduced": "0"}], kind="GIT"), _advisory(7, [{"fixed": "3"}, {"limit": "4"}]),
+    _advisory(8, [{"introduced": "1"}, {"introduced": "3"}, {"limit": "2"}]), _advisory(9, [{"introduced": "0"}], name="other"),
+]
+VERSIONS = ["4.17.20", "4.17.12", "4.17.11", "0.0.1", "1.2.0", "1.1.99", "2", "v3.0+b", "1.0-beta", "100000000.0", "4.0.0"]
+
+
+def test_advisories_by_stabbing_equal_all_pairs(spark):
+    """Versions in ranges, listed ones, unknown syntax, large numbers, withdrawn records: as each pair by itself says."""
+    from glintsieve.functions.versions import in_ranges
+
+    records = spark.createDataFrame(ADVISORIES, dependencies.ADVISORY)
+    packages = spark.createDataFrame([("npm", "lodash", v, None) for v in VERSIONS * 2] + [(None, None, None, "bad"), ("npm", None, "1", None)], "ecosystem string, name string, version string, error string")
+    found = {(r.id, r.version): r.status for r in dependencies.vulnerable(packages, records).collect()}
+    wanted = {}
+    for key, _, withdrawn, affected in ADVISORIES:
+        for r in affected:
+            one = r["ranges"][0]
+            for v in VERSIONS if withdrawn is None and r["package"]["name"] == "lodash" else []:
+                events = F.array(*[F.struct(*[F.lit(e[n]).cast("string").alias(n) for n in ("introduced", "fixed", "last_affected", "limit")]) for e in one["events"]])
+                hit = spark.range(1).select(in_ranges(F.lit(v), events)).first()[0] if one["type"] != "GIT" else False
+                if v in r["versions"] or hit:
+                    wanted[key, v] = "affected"
+                elif hit is None:
+                    wanted[key, v] = "unknown"
+    assert found == wanted and "unknown" in wanted.values() and ("ADV-1", "4.17.20") in wanted
+    assert dependencies.vulnerable(packages.limit(0), records).count() == 0 == dependencies.vulnerable(packages, records.limit(0)).count()
 
 
 def test_lines_that_are_left_out_match_no_rule(spark):
@@ -98,3 +125,5 @@ def test_lines_that_are_left_out_match_no_rule(spark):
         rows = [sorted(map(str, scan.judged(x).collect())) for x in (every, some)]
         assert rows[0] == rows[1] and len(rows[0]) > 1000
         assert some.count() < every.count()
+        inside = scan.judged_matches(analyze.match_rows(files, between))
+        assert sorted(map(str, inside.collect())) == rows[0]
