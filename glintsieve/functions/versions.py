@@ -48,6 +48,12 @@ def intervals(events: Column) -> Column:
     return F.when(F.forall(events, lambda e: F.coalesce(known(e), F.lit(False))), folded)
 
 
+def readable(events: Column) -> Column:
+    """Whether the versions of all events can be read."""
+    value = lambda e: F.coalesce(e["introduced"], e["fixed"], e["limit"], e["last_affected"])
+    return F.forall(events, lambda e: F.coalesce((value(e) == "0") | parsed(value(e)).isNotNull(), F.lit(False)))
+
+
 def in_ranges(version: Column, events: Column) -> Column:
     """Whether a version is in a range of events (introduced, fixed, limit, last_affected) in their order; null for unknown syntax."""
     current = parsed(version)

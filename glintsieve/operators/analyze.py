@@ -5,6 +5,7 @@ State never crosses files, so this is a map over partitions of whole files; Arro
 
 from __future__ import annotations
 
+import gc
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -106,8 +107,8 @@ def telling(lines: list[Line]) -> dict[int, int]:
     return found
 
 
-def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, dict[int, int]]:
-    """Lines, whether the file ends outside of strings and comments, facts, evidence by line and rule, and the telling lines.
+def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, dict[int, list[Rule]]]:
+    """Lines, whether the file ends outside of strings and comments, facts, evidence by line and rule, and by telling line the rules that match it.
 
     matching: a file without a telling line is not parsed, as nothing can be found in it.
     """
@@ -116,33 +117,33 @@ def analyse_file(path: str, language: str, content: str, between_functions: bool
     lines, complete = prepared(content, language)
     some = telling(lines)
     if matching and not some and _COMMAND_MODULE not in content:
-        return lines, complete, syntax.Facts(parsed=False), {}, some
+        return lines, complete, syntax.Facts(parsed=False), {}, {}
     facts = syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
     for call in facts.calls:
         if call.line <= len(lines) and reads_variable_path(call):
             lines[call.line - 1].path_call = True
-    found = taint.flows(lines, facts, language, between_functions, set(some)) if facts.parsed else {}
-    return lines, complete, facts, found, some
+    fired = {number: [rule for k, rule in enumerate(RULES) if mask >> k & 1 and rule.predicate.test(lines[number - 1])] for number, mask in some.items()}
+    found = taint.flows(lines, facts, language, fired, between_functions) if facts.parsed else {}
+    return lines, complete, facts, found, fired
 
 
 def _steps(e: taint.Evidence) -> dict:
     return {"steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote}
 
 
-def matches(lines: list[Line], facts: syntax.Facts, found: dict, some: dict[int, int], language: str) -> Iterator[tuple[int, int, Rule]]:
+def matches(facts: syntax.Facts, found: dict, fired: dict[int, list[Rule]], language: str) -> Iterator[tuple[int, int, Rule]]:
     """(line, place in the order of emission, rule) of what fires: rules by their words, then flows and command bindings; gates applied."""
     flowing: dict[int, list[str]] = {}
     for number, rule_id in sorted(found):
         flowing.setdefault(number, []).append(rule_id)
-    for number in sorted(some.keys() | flowing.keys() | facts.command_calls.keys()):
-        x, mask = lines[number - 1], some.get(number, 0)
-        fired = [rule for k, rule in enumerate(RULES) if mask >> k & 1 and rule.predicate.test(x)]
-        known = {rule.rule_id for rule in fired}
+    for number in sorted(fired.keys() | flowing.keys() | facts.command_calls.keys()):
+        rules = fired.get(number, [])
+        known = {rule.rule_id for rule in rules}
         more = [*flowing.get(number, ()), *(["SR005"] if number in facts.command_calls else [])]
-        fired += [BY_ID[r] for r in dict.fromkeys(more) if r not in known]
+        rules = [*rules, *(BY_ID[r] for r in dict.fromkeys(more) if r not in known)]
         reliable = facts.parsed and facts.reliable(number)
         classes = facts.classes.get(number, set())
-        for place, rule in enumerate(fired):
+        for place, rule in enumerate(rules):
             if language == "config" and not rule.config or rule.flow_only and (number, rule.rule_id) not in found:
                 continue
             if reliable and classes.isdisjoint(rule.gate) or rule.rule_id == "SR005" and number in facts.shadowed:
@@ -166,7 +167,11 @@ def match_rows(files: DataFrame, between_functions: bool = False, parse_all: boo
         for rows in batches:
             for k in range(rows.num_rows):  # one file's text at a time
                 path, language, content = (rows.column(c)[k].as_py() for c in ("path", "language", "content"))
-                held += matches_of(path, language, content, between_functions, parse_all)
+                gc.disable()  # a syntax tree is many objects without cycles
+                try:
+                    held += matches_of(path, language, content, between_functions, parse_all)
+                finally:
+                    gc.enable()
                 if len(held) > 20_000:
                     yield batch()
         if held:
@@ -179,9 +184,9 @@ def matches_of(path: str, language: str | None, content: str | None, between_fun
     """The rows of match_rows for one file."""
     if language is None:
         return []
-    lines, _, facts, found, some = analyse_file(path, language, content or "", between_functions, not parse_all)
+    lines, _, facts, found, fired = analyse_file(path, language, content or "", between_functions, not parse_all)
     out = []
-    for number, place, rule in matches(lines, facts, found, some, language):
+    for number, place, rule in matches(facts, found, fired, language):
         x, evidence = lines[number - 1], found.get((number, rule.rule_id))
         reliable = facts.parsed and facts.reliable(number)
         out.append((path, language, number, x.text, x.compact, x.comments, reliable, facts.command_calls.get(number), place, rule.rule_id, _steps(evidence) if evidence else None))

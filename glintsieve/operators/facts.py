@@ -89,7 +89,11 @@ class Facts:
         return " ".join([lines[number - 1].masked, *map(masked, self.interpolations.get(number, ()))])
 
     def mark(self, line: int, kind: str) -> None:
-        self.classes.setdefault(line, set()).add(kind)
+        found = self.classes.get(line)
+        if found is None:
+            self.classes[line] = {kind}
+        else:
+            found.add(kind)
 
     inner: list[tuple[int, int]] = field(default_factory=list)
 
@@ -129,8 +133,10 @@ def read(path: str, text: str, language: str, lines: list[Line], complete: bool)
 # --- Python --------------------------------------------------------------------------------------
 
 
-def _names(node: ast.AST) -> str:
+def _first_name(node: ast.AST) -> str:
     """The first identifier in a node, '' if there is none."""
+    while isinstance(node, (ast.Attribute, ast.Subscript, ast.Starred, ast.Await)):
+        node = node.value
     if isinstance(node, ast.Name):
         return node.id
     if isinstance(node, ast.Constant):
@@ -150,70 +156,119 @@ def _targets(node: ast.AST) -> list[str]:
     return [x for e in node.elts for x in _targets(e)] if isinstance(node, (ast.Tuple, ast.List)) else []
 
 
-def _python(text: str, lines: list[Line]) -> Facts:
-    tree = ast.parse(text)
-    facts = Facts()
-    # lines as the parser counts them; columns are in bytes
-    data = text.encode()
-    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
-
-    def segment(node: ast.AST) -> str:
-        return data[starts[node.lineno - 1] + node.col_offset : starts[node.end_lineno - 1] + node.end_col_offset].decode()
-
-    def masked(node: ast.AST) -> str:
-        """The masked text of a node, with what its strings interpolate."""
+#: Nodes without anything below that tells.
+_LEAVES = {ast.Load, ast.Store, ast.Del, ast.Constant, *ast.operator.__subclasses__(), *ast.unaryop.__subclasses__(), *ast.cmpop.__subclasses__(), *ast.boolop.__subclasses__()}
+
+
+class _Python:
+    """Reads the facts of a Python file in one walk over its tree."""
+
+    def __init__(self, text: str, lines: list[Line]) -> None:
+        self.facts, self.lines = Facts(), lines
+        # lines as the parser counts them; columns are in bytes
+        self.data = text.encode()
+        self.starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", self.data))]
+        self.masked_rows: dict[int, bytes] = {}
+        self.values: list[tuple[Assignment, int, int]] = []  # with the lines of the right side
+        self.handlers = {
+            ast.FunctionDef: self.function, ast.AsyncFunctionDef: self.function, ast.Call: self.call, ast.Assign: self.assign, ast.AugAssign: self.assign, ast.AnnAssign: self.assign,
+            ast.NamedExpr: self.assign, ast.If: self.branch, ast.Dict: self.pairs, ast.Name: self.identifier, ast.Attribute: self.identifier, ast.arg: self.identifier, ast.FormattedValue: self.interpolation,
+        }
+
+    def read(self, tree: ast.AST) -> Facts:
+        stack, count, handlers = [tree], 0, self.handlers
+        while stack:
+            node = stack.pop()
+            count += 1
+            handler = handlers.get(node.__class__)
+            if handler:
+                handler(node)
+            below = []
+            for value in node.__dict__.values():
+                if value.__class__ is list:
+                    below += [x for x in value if isinstance(x, ast.AST) and x.__class__ not in _LEAVES]
+                elif isinstance(value, ast.AST) and value.__class__ not in _LEAVES:
+                    below.append(value)
+            below.reverse()
+            stack += below
+            if count > MAX_NODES:
+                raise ValueError("too many nodes")
+        for a, first, last in self.values:
+            inner = [x for k in range(first, last + 1) for x in self.facts.interpolations.get(k, ())]
+            a.right = " ".join([a.right, *inner]) if inner else a.right
+        return self.facts
+
+    def segment(self, node: ast.AST) -> str:
+        return self.data[self.starts[node.lineno - 1] + node.col_offset : self.starts[node.end_lineno - 1] + node.end_col_offset].decode()
+
+    def masked(self, node: ast.AST) -> str:
         out = []
-        for k in range(node.lineno, min(node.end_lineno, len(lines)) + 1):
-            row = lines[k - 1].masked.encode()
+        for k in range(node.lineno, min(node.end_lineno, len(self.lines)) + 1):
+            row = self.masked_rows.get(k)
+            if row is None:
+                row = self.masked_rows[k] = self.lines[k - 1].masked.encode()
             out.append(row[node.col_offset if k == node.lineno else 0 : node.end_col_offset if k == node.end_lineno else len(row)].decode(errors="replace"))
-        return " ".join(out + [segment(x.value) for x in ast.walk(node) if isinstance(x, ast.FormattedValue)])
-
-    def assign(targets: list[ast.AST], value: ast.AST, line: int, also: str = "") -> None:
-        right = masked(value) + also
-        facts.assignments.extend(Assignment(name, right, line) for target in targets for name in _targets(target))
-
-    count = 0
-    for node in ast.walk(tree):
-        count += 1
-        if count > MAX_NODES:
-            raise ValueError("too many nodes")
-        line = getattr(node, "lineno", None)
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            a = node.args
-            params = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
-            facts.functions.append(Function(node.name, params, node.lineno, node.end_lineno))
-        elif isinstance(node, ast.Call):
-            facts.mark(line, "C")
-            qualified = node.func.id if isinstance(node.func, ast.Name) else "".join(segment(node.func).split())
-            given = [*node.args, *[k.value for k in node.keywords]]
-            first = segment(given[0]) if given else ""
-            variable = bool(given) and any(isinstance(x, ast.Name) for x in ast.walk(given[0]))
-            facts.calls.append(Call(qualified.rsplit(".", 1)[-1], qualified, [_names(x) for x in given], first, line, variable))
-            for k in node.keywords:
-                facts.mark(k.lineno, "S")
-                if k.arg == "verify" and isinstance(k.value, ast.Constant) and k.value.value is False and qualified in REQUEST_CALLS:
-                    v = k.value
-                    facts.repairs.append((starts[v.lineno - 1] + v.col_offset, starts[v.end_lineno - 1] + v.end_col_offset))
-        elif isinstance(node, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.NamedExpr)):
-            facts.mark(line, "S")
-            if node.value is not None:
-                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-                assign(targets, node.value, line, " " + masked(node.target) if isinstance(node, ast.AugAssign) else "")
-        elif isinstance(node, ast.If):
-            listed = any(isinstance(x, ast.Compare) and any(isinstance(op, ast.NotIn) for op in x.ops) for x in ast.walk(node.test))
-            if listed and isinstance(node.body[0], ast.Return) and node.body[0].lineno == line:
-                facts.guards.append(Guard([x.id for x in ast.walk(node.test) if isinstance(x, ast.Name)], line))
-        elif isinstance(node, ast.Dict):
-            for k in node.keys:
-                if k is not None:
-                    facts.mark(k.lineno, "S")
-        elif isinstance(node, (ast.Name, ast.Attribute, ast.arg)):
-            facts.mark(node.end_lineno, "I")
-        elif isinstance(node, ast.FormattedValue):
-            inner = segment(node.value)
-            if inner:
-                facts.interpolations.setdefault(node.value.lineno, []).append("{" + inner + "}")
-    return facts
+        return " ".join(out)
+
+    def qualified(self, node: ast.AST) -> str:
+        parts, at = [], node
+        while isinstance(at, ast.Attribute):
+            parts.append(at.attr)
+            at = at.value
+        return ".".join([at.id, *reversed(parts)]) if isinstance(at, ast.Name) else "".join(self.segment(node).split())
+
+    def function(self, node) -> None:
+        a = node.args
+        params = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
+        self.facts.functions.append(Function(node.name, params, node.lineno, node.end_lineno))
+
+    def call(self, node: ast.Call) -> None:
+        facts, line = self.facts, node.lineno
+        facts.mark(line, "C")
+        qualified = self.qualified(node.func)
+        given = [*node.args, *[k.value for k in node.keywords]]
+        first = given[0] if given else None
+        variable = first is not None and not isinstance(first, ast.Constant) and (isinstance(first, ast.Name) or any(isinstance(x, ast.Name) for x in ast.walk(first)))
+        facts.calls.append(Call(qualified.rsplit(".", 1)[-1], qualified, [_first_name(x) for x in given], self.segment(first) if given else "", line, variable))
+        for k in node.keywords:
+            facts.mark(k.lineno, "S")
+            if k.arg == "verify" and isinstance(k.value, ast.Constant) and k.value.value is False and qualified in REQUEST_CALLS:
+                v = k.value
+                facts.repairs.append((self.starts[v.lineno - 1] + v.col_offset, self.starts[v.end_lineno - 1] + v.end_col_offset))
+
+    def assign(self, node) -> None:
+        self.facts.mark(node.lineno, "S")
+        if node.value is None:
+            return
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+        right = self.masked(node.value) + (" " + self.masked(node.target) if isinstance(node, ast.AugAssign) else "")
+        for name in (x for target in targets for x in _targets(target)):
+            a = Assignment(name, right, node.lineno)
+            self.facts.assignments.append(a)
+            self.values.append((a, node.value.lineno, node.value.end_lineno))
+
+    def branch(self, node: ast.If) -> None:
+        """A line that returns unless something is in a list checks the names of its test."""
+        if isinstance(node.body[0], ast.Return) and node.body[0].lineno == node.lineno:
+            if any(isinstance(x, ast.Compare) and any(isinstance(op, ast.NotIn) for op in x.ops) for x in ast.walk(node.test)):
+                self.facts.guards.append(Guard([x.id for x in ast.walk(node.test) if isinstance(x, ast.Name)], node.lineno))
+
+    def pairs(self, node: ast.Dict) -> None:
+        for k in node.keys:
+            if k is not None:
+                self.facts.mark(k.lineno, "S")
+
+    def identifier(self, node) -> None:
+        self.facts.mark(node.end_lineno, "I")
+
+    def interpolation(self, node: ast.FormattedValue) -> None:
+        inner = self.segment(node.value)
+        if inner:
+            self.facts.interpolations.setdefault(node.value.lineno, []).append("{" + inner + "}")
+
+
+def _python(text: str, lines: list[Line]) -> Facts:
+    return _Python(text, lines).read(ast.parse(text))
 
 
 # --- other languages -----------------------------------------------------------------------------

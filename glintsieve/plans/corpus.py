@@ -96,7 +96,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of every file of the corpus."""
     ordered = F.sort_array(F.collect_list(F.struct("o_orderkey", "text")))
-    return rows(spark, sf_dir).groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("content"))
+    dealt = rows(spark, sf_dir).repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "path")  # a scan is work for the processors, not for the disks
+    return dealt.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("content"))
 
 
 def _text(value: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintsieve.functions.versions import in_ranges, intervals, key
+from glintsieve.functions.versions import in_ranges, intervals, key, parsed, readable
 from glintsieve.operators.stabbing import stabbed
 
 ADVISORY = (
@@ -49,9 +49,13 @@ def vulnerable(packages: DataFrame, records: DataFrame) -> DataFrame:
     ranges = ranges.select("id", "summary", *_KEYS, F.col("r.events").alias("events")).withColumn("bounds", intervals(F.col("events")))
     bounds = ranges.filter("bounds is not null").select("id", "summary", *_KEYS, F.explode("bounds").alias("b")).select("id", "summary", *_KEYS, "b.lo", "b.hi")
     inside = stabbed(inventory.filter("at is not null"), bounds, _KEYS, "at", "lo", "hi")
-    by_pair = inventory.join(ranges.drop("bounds"), _KEYS).filter("at is null")
-    odd = inventory.filter("at is not null").join(ranges.filter("bounds is null").drop("bounds"), _KEYS)
-    judged = by_pair.unionByName(odd).withColumn("hit", in_ranges(F.col("version"), F.col("events"))).filter("hit is null or hit")
+    # a version or an event that can't be read leaves open whether it is a hit; only large numbers are compared by pairs
+    versions = inventory.withColumn("readable", parsed(F.col("version")).isNotNull())
+    ranges = ranges.withColumn("clear", readable(F.col("events")))
+    by_pair = versions.filter("at is null").join(ranges.drop("bounds"), _KEYS)
+    odd = versions.filter("at is not null").join(ranges.filter("bounds is null").drop("bounds"), _KEYS)
+    hit = F.when(F.col("readable") & F.col("clear"), in_ranges(F.col("version"), F.col("events")))
+    judged = by_pair.unionByName(odd).withColumn("hit", hit).filter("hit is null or hit")
     columns = ["id", *_KEYS, "version", "summary"]
     found = listed.select(*columns).unionByName(inside.select(*columns)).withColumn("known", F.lit(True)).unionByName(judged.select(*columns, F.col("hit").isNotNull().alias("known")))
     status = F.when(F.bool_or("known"), "affected").otherwise("unknown").alias("status")

@@ -65,7 +65,8 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every judged match of the corpus under the default settings, but for the finding budget, which is lifted."""
-    return kept(spark, sf_dir, "matches", lambda: scan.judged(source_lines(spark, sf_dir), scan.Settings(max_findings=None)))
+    settings = scan.Settings(max_findings=None)
+    return kept(spark, sf_dir, "matches", lambda: scan.judged_matches(scan.matches(corpus.files(spark, sf_dir), settings), settings))
 
 
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
