@@ -1,7 +1,7 @@
 """Syntax facts of a file: functions, calls, node classes by line, scopes, interpolations, command bindings, repair ranges.
 
-Python is parsed by the standard library. Other languages but Ruby go through a structural reader over the lexer's
-masked text (brackets, calls, assignments, function bodies). A file that a reader cannot take is lexical.
+Python is parsed by the standard library, other languages by readers over the lexer's masked text (see structure). All of them go on behind
+what they cannot read: such lines are uncertain, and rules judge them by their text. A file of which nothing can be read is lexical.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from glintsieve.operators.lexer import Line
 #: extension -> reader (fixed values)
 READERS = {
     **dict.fromkeys(["py", "pyw"], "python"),
+    **dict.fromkeys(["rb", "rake"], "ruby"),
     **dict.fromkeys(["c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "cs", "go", "java", "kt", "kts", "js", "jsx", "mjs", "cjs", "ts", "tsx", "php", "phtml", "rs", "swift", "vue", "svelte", "astro"], "structure"),
 }
 MAX_NODES = 1_000_000
@@ -107,7 +108,11 @@ class Facts:
         return self.inner[line] if 0 <= line < len(self.inner) else MODULE
 
     def reliable(self, line: int) -> bool:
-        return not any(a <= line <= b for a, b in self.uncertain)
+        """Whether a line is in no uncertain range; they are sorted and apart."""
+        if not self.uncertain:
+            return True
+        k = bisect_right(self.uncertain, (line, 1 << 30)) - 1
+        return k < 0 or self.uncertain[k][1] < line
 
 
 def extension(path: str) -> str:
@@ -117,9 +122,16 @@ def extension(path: str) -> str:
 
 def read(path: str, text: str, language: str, lines: list[Line], complete: bool) -> Facts:
     """The facts of a file, or facts that say it was not parsed."""
+    from glintsieve.operators import structure
+
     reader = READERS.get(extension(path))
     try:
-        facts = _python(text, lines) if reader == "python" else _structure(text, language, lines, complete) if reader else Facts(parsed=False)
+        if reader == "python":
+            facts = _python(text, lines)
+        elif reader == "ruby":
+            facts = structure.ruby(text, lines, complete)
+        else:
+            facts = structure.read(text, language, lines, complete) if reader else Facts(parsed=False)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         facts = Facts(parsed=False)
     if facts.parsed:
@@ -267,190 +279,35 @@ class _Python:
             self.facts.interpolations.setdefault(node.value.lineno, []).append("{" + inner + "}")
 
 
-def _python(text: str, lines: list[Line]) -> Facts:
-    return _Python(text, lines).read(ast.parse(text))
+#: Lines that go on with the statement before them.
+_GOES_ON = re.compile(r"(?:else|elif|except|finally|case)\b|[)\]}@]")
 
 
-# --- other languages -----------------------------------------------------------------------------
+def _blocks(lines: list[Line]) -> list[tuple[int, int]]:
+    """First and last lines of the statements of a module, by what begins at the left edge outside of strings; decorators belong to what follows."""
+    begins = [k for k, x in enumerate(lines, 1) if x.masked[:1].strip() and not _GOES_ON.match(x.masked)]
+    for k in range(len(begins)):
+        while begins[k] > 1 and lines[begins[k] - 2].masked.startswith("@"):
+            begins[k] -= 1
+    return [(a, b - 1) for a, b in zip(begins, [*begins[1:], len(lines) + 1])]
 
-_CALL = re.compile(r"(?<![\w$])(new\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*|\(\)\.[A-Za-z_$][\w$]*)*)!?\s*\(")
-_ASSIGN = re.compile(r"(?<![=!<>+\-*/%&|^:])(?::|[+\-*/%&|^]|<<|>>)?=(?![=>])|=>")
-_PAIR = re.compile(r"(?:[\w$\])]|^\s*|[,{(]\s*)\s*:\s*(?!:)\S")
-_WORD = re.compile(r"[^\W\d][\w$]*|\$[\w$]+")
-_RETURN = re.compile(r"\breturn\b")
-#: A value is looked up in a list, or a lookup fails.
-_LISTED = re.compile(r"\.\s*includes\s*\(|!\s*[\w$.]+\s*\[")
-_PREFIXED = re.compile(r"^[rb@]?$", re.IGNORECASE)
-_ARROW = re.compile(r"([A-Za-z_$][\w$]*)\s*[=:]\s*(?:async\s*)?\(([^()]*)\)\s*(?::[^={]*)?=>\s*\{")
 
-
-def _match_brackets(text: str) -> dict[int, int]:
-    """Position of each opening bracket's partner."""
-    pairs, stack = {}, []
-    for m in re.finditer(r"[()\[\]{}]", text):
-        c = m.group()
-        if c in "([{":
-            stack.append((c, m.start()))
-        else:
-            if not stack or "([{".index(stack[-1][0]) != ")]}".index(c):
-                raise ValueError("brackets")
-            pairs[stack.pop()[1]] = m.start()
-    if stack:
-        raise ValueError("brackets")
-    return pairs
-
-
-def _split_args(masked: str, start: int, end: int) -> list[tuple[int, int]]:
-    out, depth, at = [], 0, start
-    for k in range(start, end):
-        c = masked[k]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == "," and depth == 0:
-            out.append((at, k))
-            at = k + 1
-    return [*out, (at, end)] if masked[start:end].strip() or out or end > start else []
-
-
-def _structure(text: str, language: str, lines: list[Line], complete: bool) -> Facts:
-    if not complete:
-        raise ValueError("open token")
-    facts = Facts()
-    # same length as the source in characters, so that positions agree
-    source = "\n".join(x.text for x in lines)
-    masked = "\n".join(_aligned(x) for x in lines)
-    pairs = _match_brackets(masked)
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x.text) + 1)
-    line_of = lambda at: bisect_right(starts, at)
-    for m in _CALL.finditer(masked):
-        new, qualified = m.group(1), re.sub(r"\s+", "", m.group(2))
-        name = re.split(r"\.|::|->", qualified)[-1]
-        opening = m.end() - 1
-        closing = pairs.get(opening)
-        if closing is None or name in _KEYWORDS:
-            continue
-        line = line_of(m.start())
-        after = masked[closing + 1 : closing + 200]
-        before = masked[max(0, m.start() - 24) : m.start()]
-        declared = re.search(r"(?:\bfunction\*?|\bfn|\bfunc|\bfun|\bdef)\s+$|\bfunc\s*\([^)]*\)\s*$", before)
-        body = re.match(r"\s*(?:(?:throws|where|->|:|const|noexcept|override)[^;{}()]*)?\{" if not declared else r"[^{};]*\{", after)
-        inner = _split_args(masked, opening + 1, closing)
-        if (declared or (body and not new and "." not in qualified)) and (body or declared):
-            params = [w for a, b in inner if (w := _parameter(masked[a:b], language))]
-            end = pairs.get(closing + body.end()) if body else closing
-            facts.functions.append(Function(name, params, line, line_of(end or closing)))
+def _python(text: str, lines: list[Line]) -> Facts:
+    """The facts of a Python file. Where it does not parse as a whole, its statements are parsed one by one, and those that fail are uncertain."""
+    try:
+        return _Python(text, lines).read(ast.parse(text))
+    except SyntaxError:
+        pass
+    rows, body, wrong = [x.text for x in lines], [], []
+    for first, last in _blocks(lines):
+        try:
+            found = ast.parse("\n".join(rows[first - 1 : last]))
+        except SyntaxError:
+            wrong.append((first, last))
             continue
-        facts.mark(line, "C")
-        args = [w.group().lstrip("$") if (w := _WORD.search(masked[a:b])) else "" for a, b in inner]
-        first = inner[0] if inner else (0, 0)
-        facts.calls.append(Call(name, qualified, args, source[first[0] : first[1]].strip(), line, _varies(masked[first[0] : first[1]], source[first[0] : first[1]])))
-    for m in _ARROW.finditer(masked):
-        opening = m.end() - 1
-        params = [w for x in m.group(2).split(",") if (w := _parameter(x, language))]
-        facts.functions.append(Function(m.group(1), params, line_of(m.start()), line_of(pairs[opening])))
-    for k, x in enumerate(lines, 1):
-        plain = _aligned(x)
-        if _WORD.search(plain):
-            facts.mark(k, "I")
-        if _ASSIGN.search(plain) or _PAIR.search(plain) or re.match(r"\s*[\"'][^\"']+[\"']\s*:", x.visible):
-            facts.mark(k, "S")
-        if language == "rust" and re.search(r"\bunsafe\b", plain):
-            facts.mark(k, "U")
-        if language == "php" and re.search(r"\b(?:eval|include|require)\b", plain):
-            facts.mark(k, "C")
-        for m in re.finditer(r"\$\{([^{}]*)\}", x.visible):
-            if any("`" in lit or "$" in lit for lit in x.literals):
-                facts.interpolations.setdefault(k, []).append("${" + m.group(1) + "}")
-        sign = next((m for m in _ASSIGN.finditer(plain) if not m.group().endswith(">")), None)
-        left = _WORD.findall(plain[: sign.start()]) if sign else []
-        if left:
-            facts.assignments.append(Assignment(left[-1].lstrip("$"), " ".join([plain[sign.end() :], *facts.interpolations.get(k, ())]), k))
-        if _RETURN.search(plain) and _LISTED.search(plain):
-            facts.guards.append(Guard([w.lstrip("$") for w in _WORD.findall(plain)], k))
-    if language == "javascript":
-        _bindings(facts, lines)
+        body += [ast.increment_lineno(node, first - 1) for node in found.body]
+    if not body:
+        raise ValueError("no statement can be read")
+    facts = _Python("\n".join(rows), lines).read(ast.Module(body, []))
+    facts.uncertain, facts.error_nodes = wrong, len(wrong)
     return facts
-
-
-def _varies(masked: str, text: str) -> bool:
-    """Whether an argument has more than literals: words outside of strings that are no prefix of one, or interpolated ones."""
-    left = masked.strip()
-    if "${" in text or not left:
-        return "${" in text
-    return bool(_WORD.search(left)) and not (_PREFIXED.match(left) and text.strip()[len(left) :][:1] in "'\"`")
-
-
-def _aligned(line: Line) -> str:
-    """The masked view with one character for each of the text's."""
-    if line.masked is line.text or len(line.masked) == len(line.text):
-        return line.masked
-    kept, at = [], 0
-    for c in line.text:
-        wide = len(c.encode(errors="surrogatepass"))
-        if line.masked[at : at + 1] == c:
-            kept.append(c)
-            at += 1
-        else:
-            kept.append(" ")
-            at += wide
-    return "".join(kept)
-
-
-def _parameter(text: str, language: str) -> str:
-    text = text.split("=", 1)[0]
-    if language in ("c", "csharp", "jvm") and ":" not in text:
-        found = _WORD.findall(text)
-        return found[-1] if found else ""
-    m = _WORD.search(text.split(":", 1)[0])
-    return m.group().lstrip("$") if m else ""
-
-
-_MODULE = r"['\"](?:node:)?child_process['\"]"
-_NAMED = re.compile(rf"(?:const|let|var)\s*\{{([^}}]*)\}}\s*=\s*require\(\s*{_MODULE}\s*\)|import\s*\{{([^}}]*)\}}\s*from\s*{_MODULE}")
-_WHOLE = re.compile(rf"(?:const|let|var)\s+([\w$]+)\s*=\s*require\(\s*{_MODULE}\s*\)|import\s+(?:\*\s*as\s+)?([\w$]+)\s+from\s*{_MODULE}")
-_DECLARED = re.compile(r"(?:\b(?:const|let|var)\s+|^\s*|;\s*)([A-Za-z_$][\w$]*)\s*=(?![=>])")
-
-
-def _bindings(facts: Facts, lines: list[Line]) -> None:
-    """Calls of child-process functions by their imported names, unless the name is shadowed where it is called."""
-    bound: dict[str, str] = {}
-    declared: list[tuple[str, int, bool]] = []
-    for k, x in enumerate(lines, 1):
-        imported: set[str] = set()
-        for m in _NAMED.finditer(x.visible):
-            for entry in (m.group(1) or m.group(2)).split(","):
-                names = [w for w in re.split(r"\s*:\s*|\s+as\s+|\s+", entry.strip()) if w]
-                if names and names[0] in COMMAND_API:
-                    bound[names[-1]] = names[0]
-        for m in _WHOLE.finditer(x.visible):
-            bound[m.group(1) or m.group(2)] = "*"
-            imported.add(m.group(1) or m.group(2))
-        for m in _DECLARED.finditer(_aligned(x)):
-            declared.append((m.group(1), k, m.group(1) in imported))
-    for call in facts.calls:
-        head, _, tail = call.qualified.partition(".")
-        api = bound.get(head)
-        name = tail if api == "*" else api if api and not tail else None
-        if name not in COMMAND_API:
-            continue
-        scope = call.scope = facts.scope(call.line) if facts.scopes else _innermost(facts, call.line)
-        inner = next((f for f in facts.functions if (f.start, f.end) == scope), None)
-        again = [d for d in declared if d[0] == head and d[1] <= call.line and (_innermost(facts, d[1]) in (scope, MODULE))]
-        if (inner and head in inner.params) or (again and not again[-1][2] and api != head and not _is_import(lines[again[-1][1] - 1])):
-            facts.shadowed.add(call.line)
-        else:
-            facts.command_calls[call.line] = COMMAND_API[name]
-
-
-def _is_import(line: Line) -> bool:
-    return bool(_NAMED.search(line.visible) or _WHOLE.search(line.visible))
-
-
-def _innermost(facts: Facts, line: int) -> tuple[int, int]:
-    if not facts.scopes:
-        facts.scopes = sorted({(f.start, f.end) for f in facts.functions})
-    return facts.scope(line)

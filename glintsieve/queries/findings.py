@@ -151,9 +151,10 @@ def l02(spark, sf_dir):
     return x.select("path", "line", F.octet_length("text").alias("n_bytes"))
 
 
-@query("l03_code_view")
+@query("l03_code_view", f"""{LABELS} SELECT path, line, text AS code FROM corpus WHERE NOT regexp_matches(text, '["''`#]|//|/[*]')""")
 def l03(spark, sf_dir):
-    return source_lines(spark, sf_dir).select("path", "line", "code")
+    """The code view is the text where there is no string and no comment."""
+    return source_lines(spark, sf_dir).filter(~F.col("text").rlike("[\"'`#]|//|/[*]")).select("path", "line", "code")
 
 
 @query("l04_visible_masked", f"{LABELS} SELECT path, line, regexp_replace(text, '#.*$', '') AS visible FROM corpus WHERE path LIKE '%.py'")
@@ -179,20 +180,28 @@ def l07(spark, sf_dir):
     return source_lines(spark, sf_dir).filter(F.col("path").endswith(".c") & (F.col("comments") != "")).select("path", "line")
 
 
-def _lexed(name: str, language: str, text: str) -> None:
-    @query(name)
+def _lexed(name: str, language: str, text: str, expected: list[tuple[str, list[str]]]) -> None:
+    """The visible text and the literals of each line of a file for every nation; @ is its number."""
+    row = lambda k, visible, literals: f"({k}, {_text(visible)}, [{', '.join(map(_text, literals))}]::VARCHAR[])"
+    own = "replace({}, '@', CAST(n_nationkey AS VARCHAR))"
+
+    @query(name, f"SELECT 'f' || CAST(n_nationkey AS VARCHAR) || '.x' AS path, CAST(line AS INTEGER) AS line, {own.format('visible')} AS visible, list_transform(literals, lambda x: {own.format('x')}) AS literals, true AS complete FROM nation, (VALUES {', '.join(row(k, *e) for k, e in enumerate(expected, 1))}) AS t(line, visible, literals)")
     def run(spark, sf_dir):
-        """Tokens of one language, on a fixed file repeated for every nation."""
         from glintsieve.operators import analyze
 
-        n = table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string"), F.lit(".x")).alias("path"), F.lit(language).alias("language"), F.lit(text).alias("content"))
-        return analyze.line_rows(n).select("path", "line", "code", "visible", "masked", "literals", "complete")
+        key = F.col("n_nationkey").cast("string")
+        n = table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), key, F.lit(".x")).alias("path"), F.lit(language).alias("language"), F.replace(F.lit(text), F.lit("@"), key).alias("content"))
+        return analyze.line_rows(n).select("path", "line", "visible", "literals", "complete")
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
-_lexed("l08_quotes", "csharp", 'a = @"x""y"; b = $@"z"; c = "q\\"r";')
-_lexed("l09_triple_quotes", "python", "a = '''x\ny'''\nb = \"\"\"z\"\"\"")
-_lexed("l10_raw_strings", "rust", "let a = r#\"x\"y\"#; fn f<'a>(x: &'a str) { 'c' }")
-_lexed("l11_regex_literals", "javascript", "var r = /a[/]b/g; x = a / b; return /x/;")
+_lexed("l08_quotes", "csharp", 'a = $"x@""y"; c = "q\\"r@";', [('a = $"x@""y"; c = "q\\"r@";', ['"x@""y"', '"q\\"r@"'])])
+_lexed("l09_triple_quotes", "python", "a = \'\'\'x@\ny\'\'\'\nb = \"\"\"z\"\"\"  # no", [("a = \'\'\'x@", ["\'\'\'x@"]), ("y\'\'\'", ["y\'\'\'"]), ("b = \"\"\"z\"\"\"      ", ["\"\"\"z\"\"\""])])
+_lexed("l10_raw_strings", "rust", "let a = r#\"x\"y@\"#; fn f<\'a>(x: &\'a str) { \'c\' }", [("let a = r#\"x\"y@\"#; fn f<\'a>(x: &\'a str) { \'c\' }", ["r#\"x\"y@\"#", "\'c\'"])])
+_lexed("l11_regex_literals", "javascript", "var r = /a[/]b/g; x = a / b; t = \"s@\"; return /x/;", [("var r =         ; x = a / b; t = \"s@\"; return    ;", ["\"s@\""])])
 
 
 @query("l12_complete_files", f"{LABELS} SELECT path, true AS complete FROM corpus GROUP BY path")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glintsieve.functions import credentials as C
+from glintsieve.functions import patch
 from glintsieve.functions import text as T
 from glintsieve.functions import versions as V
 from glintsieve.functions.globs import to_regex
 from glintsieve.functions.predicates import QUOTES, java
-from glintsieve.queries.registry import PATHS, new_findings, paths, query, table
+from glintsieve.queries.registry import LABELS, PATHS, paths, query, repaired_files, table
+from glintsieve.sources import settings
 
 
 def _pick(values: list[str], key: str):
@@ -57,7 +60,7 @@ def f07(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", C.snake_case(F.concat(F.lit("my"), "c_mktsegment", F.lit("KeyID"))).alias("name"))
 
 
-@query("f08_terminal_safe")
+@query("f08_terminal_safe", r"SELECT n_nationkey, n_name || '\u202ea\u001b[0m\u200b' AS shown FROM nation")
 def f08(spark, sf_dir):
     text = F.concat("n_name", F.lit("‮a\x1b[0m​"))
     return table(spark, sf_dir, "nation").select("n_nationkey", T.terminal_safe(text).alias("shown"))
@@ -70,9 +73,11 @@ def f09(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(text).alias("snippet"))
 
 
-@query("f10_json_escape")
+@query("f10_json_escape", "SELECT doc_id, text FROM documents")
 def f10(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("text")).alias("body"))
+    """Every document's text as JSON and back again: the escapes lose nothing."""
+    body = F.to_json(F.struct("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body")).select("doc_id", F.from_json("body", "text string")["text"].alias("text"))
 
 
 @query("f11_uri", "SELECT c_custkey, replace(replace(c_name || ' +*~/a%b', '%', '%25'), ' ', '%20').replace('+', '%2B').replace('*', '%2A').replace('#', '%23') AS uri FROM customer")
@@ -127,18 +132,19 @@ def f17(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(~bad, p).alias("path"))
 
 
-@query("f18_bounded_number")
+@query("f18_bounded_number", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 32 THEN p_size END AS jobs FROM part")
 def f18(spark, sf_dir):
     ok = F.col("p_size").between(1, 32)
     return table(spark, sf_dir, "part").select("p_partkey", F.when(ok, F.col("p_size")).alias("jobs"))
 
 
-@query("f19_settings_text")
+@query("f19_settings_text", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 2 THEN ['SR' || lpad(CAST(1 + n_nationkey % 22 AS VARCHAR), 3, '0')] END AS disabled, CASE n_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS fail_on, CASE WHEN n_nationkey % 3 = 2 THEN 'no severity: huge' END AS error FROM nation")
 def f19(spark, sf_dir):
-    from glintsieve.sources import settings
-
-    s = settings.parse('disabled = ["SR009"]\nfail_on = "high"  # comment\n[severity]\nSR002 = "medium"\n')
-    return spark.createDataFrame([(list(s.disabled), s.fail_on, s.severity)], "disabled array<string>, fail_on string, severity map<string,string>")
+    """Settings texts, with comments and, in every third, an unknown severity."""
+    k = F.col("n_nationkey")
+    level = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("huge")
+    text = F.concat(F.lit('disabled = ["SR'), F.lpad((k % 22 + 1).cast("string"), 3, "0"), F.lit('"]\nfail_on = "'), level, F.lit('"  # comment\n[severity]\nSR002 = "medium"\n'))
+    return settings.rows(table(spark, sf_dir, "nation").select(k.cast("string").alias("path"), text.alias("content"))).select(F.col("path").cast("int").alias("n_nationkey"), "disabled", "fail_on", "error")
 
 
 @query("f20_escapes", "SELECT p_partkey, replace(replace(replace(replace(replace(p_name || '<a>|`&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '&#124;'), '`', '&#96;') AS markdown, replace(replace(replace(p_name || '%:,' || chr(10), '%', '%25'), chr(10), '%0A'), ':', '%3A').replace(',', '%2C') AS annotation FROM part")
@@ -146,15 +152,18 @@ def f20(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.markdown(F.concat("p_name", F.lit("<a>|`&"))).alias("markdown"), T.annotation(F.concat("p_name", F.lit("%:,\n"))).alias("annotation"))
 
 
-@query("f21_patch")
+@query("f21_patch", f"{LABELS}, repaired AS (SELECT path, string_agg(CASE WHEN contains(text, 'requests.put(') THEN replace(text, 'verify=False', 'verify=True') ELSE text END, chr(10) ORDER BY line) AS content, count(*) FILTER (contains(text, 'requests.put(')) AS n FROM corpus GROUP BY path) SELECT path, content, n AS removed, n AS added FROM repaired WHERE n > 0")
 def f21(spark, sf_dir):
-    """Unified diff of the repair of a line, by file."""
-    import difflib
-
-    @F.udf("string")
-    def diff(before: str, after: str, path: str) -> str:
-        return "".join(difflib.unified_diff(before.splitlines(True), after.splitlines(True), path, path))
-
-    x = new_findings(spark, sf_dir).filter("rule_id = 'SR010'").select("path").distinct()
-    text = F.lit("requests.get(a, verify=False)\n")
-    return x.select("path", diff(text, F.replace(text, F.lit("verify=False"), F.lit("verify=True")), F.col("path")).alias("patch"))
+    """The patch of every repaired file, applied to the file again, and the lines that it takes away and puts in."""
+    @F.pandas_udf("string")
+    def patched(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([patch.unified(*x) for x in zip(before, after, path)], dtype=object)
+
+    @F.pandas_udf("string")
+    def again(before: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([patch.applied(*x) for x in zip(before, text)], dtype=object)
+
+    x = repaired_files(spark, sf_dir).withColumn("patch", patched("before", "content", "path"))
+    rows = F.split("patch", "\n")
+    n = lambda sign: F.size(F.filter(rows, lambda x: x.startswith(sign) & ~x.startswith(sign * 3))).cast("long")
+    return x.select("path", again("before", "patch").alias("content"), n("-").alias("removed"), n("+").alias("added"))

@@ -132,19 +132,37 @@ def s12(spark, sf_dir):
     return listed.select(F.when(bad, F.raise_error(F.lit("no relative path"))).otherwise(F.col("path")).alias("path")).distinct()
 
 
-@query("s13_git_diff")
+@query("s13_git_diff", "SELECT 'p' || CAST(n_nationkey AS VARCHAR) || '.py' AS path FROM nation WHERE n_nationkey % 3 <> 0")
 def s13(spark, sf_dir):
-    try:
-        found = settings.changed(os.path.dirname(ROOT), "HEAD")
-    except (OSError, subprocess.CalledProcessError):  # no version control here, or no work tree
-        found = []
-    return values(spark, [(x,) for x in found], "path string")
-
-
-@query("s14_settings")
+    """A work tree with a file for each nation, two thirds of them changed or added since the commit; deleted ones are not told."""
+    root = fresh_path(spark, "work-tree").removeprefix("file://")
+    os.makedirs(root)
+    git = ["git", "-C", root, "-c", "user.name=x", "-c", "user.email=x@localhost", "-c", "commit.gpgsign=false"]
+    keys = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows
+    subprocess.run([*git, "init", "-q"], check=True, capture_output=True)
+
+    def write(name: str, text: str) -> None:
+        with open(os.path.join(root, name), "w", encoding="utf-8") as f:
+            f.write(text)
+
+    for k in [k for k in keys if k % 3 != 2]:
+        write(f"p{k}.py", "x = 1\n")
+    write("gone.py", "x = 1\n")
+    subprocess.run([*git, "add", "-A"], check=True)
+    subprocess.run([*git, "commit", "-q", "-m", "first"], check=True, capture_output=True)
+    for k in [k for k in keys if k % 3]:
+        write(f"p{k}.py", f"x = {k + 2}\n")
+    os.remove(os.path.join(root, "gone.py"))
+    subprocess.run([*git, "add", "-A"], check=True)
+    return values(spark, [(x,) for x in settings.changed(root, "HEAD")], "path string")
+
+
+@query("s14_settings", "SELECT 'p' || CAST(n_nationkey AS VARCHAR) AS path, CASE WHEN n_nationkey > 0 THEN 'medium' END AS fail_on, CASE WHEN n_nationkey > 0 THEN CAST(n_nationkey AS INTEGER) END AS max_findings, CASE WHEN n_nationkey > 0 THEN ['tests/' || CAST(n_nationkey AS VARCHAR) || '/**'] END AS overrides, CASE WHEN n_nationkey = 0 THEN 'max_findings must be between 1 and 1000000' END AS error FROM nation")
 def s14(spark, sf_dir):
-    s = settings.parse('fail_on = "medium"\ndisabled = ["SR002"]\nmax_findings = 50\n[[overrides]]\npath = "tests/**"\ndisabled = ["SR007"]\n')
-    return values(spark, [(s.fail_on, list(s.disabled), s.max_findings, [o.pattern for o in s.overrides])], "fail_on string, disabled array<string>, max_findings int, overrides array<string>")
+    """A settings file for each nation."""
+    k = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit('fail_on = "medium"\ndisabled = ["SR002"]\nmax_findings = '), k, F.lit('\n[[overrides]]\npath = "tests/'), k, F.lit('/**"\ndisabled = ["SR007"]\n'))
+    return settings.rows(table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), k).alias("path"), text.alias("content"))).select("path", "fail_on", "max_findings", "overrides", "error")
 
 
 @query("s15_baseline", f"{LABELS} SELECT DISTINCT sha256(rule_id || chr(0) || path || chr(0) || sha256(text)) AS fingerprint FROM expected")
@@ -154,9 +172,26 @@ def s15(spark, sf_dir):
     return reports.read_fingerprints(spark, path).select("fingerprint")
 
 
-@query("s16_default_baseline")
+@query("s16_default_baseline", "SELECT n_nationkey, n_nationkey % 2 = 0 AS found FROM nation")
 def s16(spark, sf_dir):
-    return values(spark, [(settings.find_baseline(os.path.dirname(ROOT)),)], "path string")
+    """Every other nation's project, written by the tasks, has a baseline beside it."""
+    top = fresh_path(spark, "baselines")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column("n_nationkey").to_pylist()
+            found = []
+            for key in keys:
+                folder = os.path.join(top.removeprefix("file://"), f"p{key}")
+                os.makedirs(folder, exist_ok=True)
+                if key % 2 == 0:
+                    open(os.path.join(folder, "glintsieve.baseline.json"), "w", encoding="utf-8").close()
+                found.append(settings.find_baseline(folder) is not None)
+            yield pa.RecordBatch.from_arrays([batch.column("n_nationkey"), pa.array(found)], ["n_nationkey", "found"])
+
+    return table(spark, sf_dir, "nation").select("n_nationkey").mapInArrow(run, "n_nationkey int, found boolean")
 
 
 #: Advisories are made from parts: a third of them, and a third of the inventory, belong to one package.
@@ -290,7 +325,7 @@ def s28(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", results.safe_uri(uri).alias("path"))
 
 
-@query("s29_case_admission")
+@query("s29_case_admission", f"{LABELS} SELECT 'CASE-' || upper(substr(sha256(rule_id || chr(0) || path || chr(0) || sha256(text)), 1, 16)) AS case_id, rule_id, false AS admitted FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016', 'SR021')")
 def s29(spark, sf_dir):
     from glintsieve.plans import cases
 

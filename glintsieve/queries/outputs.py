@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glintsieve.operators import rules
 from glintsieve.plans import cases, dependencies, scan
 from glintsieve.queries.inputs import ADVISORIES_SQL, inventory, records
-from glintsieve.queries.registry import LABELS, all_matches, new_findings, query, source_files, source_lines, table, values
+from glintsieve.queries.registry import LABELS, all_matches, new_findings, query, repaired_files, source_files, source_lines, table, values
 from glintsieve.queries.relations import _SCORES, _hits, _labels
 from glintsieve.sinks import files, fragments, reports
 from glintsieve.sinks.shared import fresh_path
@@ -24,7 +24,7 @@ def _to(spark, write):
     return path
 
 
-_ENGINE = "CASE WHEN path LIKE '%.rb' OR path LIKE '%/.env.env' THEN 'lexical' ELSE 'ast' END"
+_ENGINE = "CASE WHEN path LIKE '%/.env.env' THEN 'lexical' ELSE 'ast' END"
 _CONFIDENCE = "CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END"
 _PRINT = "sha256(rule_id || chr(0) || path || chr(0) || sha256(text))"
 _PLACED = f"{LABELS}, placed_findings AS (SELECT row_number() OVER (ORDER BY path, line, n) AS position, *, {_ENGINE} AS engine, {_CONFIDENCE} AS confidence, {_PRINT} AS fingerprint FROM expected)"
@@ -160,16 +160,7 @@ def k13(spark, sf_dir):
 @query("k14_repairs", f"{LABELS} SELECT path, string_agg(CASE WHEN contains(text, 'requests.put(') THEN replace(text, 'verify=False', 'verify=True') ELSE text END, chr(10) ORDER BY line) AS content FROM corpus WHERE path IN (SELECT path FROM corpus WHERE contains(text, 'requests.put(')) GROUP BY path")
 def k14(spark, sf_dir):
     """Files with verification switched on where a request switches it off."""
-    from glintsieve.operators import analyze
-
-    f = source_files(spark, sf_dir).filter(F.col("path").endswith(".py"))
-    ranges = analyze.fact_rows(f).filter("kind = 'repair'").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-
-    @F.udf("string")
-    def repair(content: str, spans: list) -> str:
-        return files.repaired(content.encode(), [(s["start"], s["end"]) for s in spans]).decode()
-
-    return f.join(ranges, "path").select("path", repair("content", "ranges").alias("content"))
+    return repaired_files(spark, sf_dir).select("path", "content")
 
 
 _METRICS = ["rule_id", "tp", "fp", "tn", "fn", "precision", "recall", "false_positive_rate"]
@@ -190,7 +181,7 @@ def k16(spark, sf_dir):
     return reports.diagnostics(new_findings(spark, sf_dir)).select("path", "n")
 
 
-@query("x01_watch")
+@query("x01_watch", f"{LABELS} SELECT CAST(k AS INTEGER) AS scan, CAST((SELECT count(*) > 0 FROM expected WHERE severity = 'high') AS INTEGER) AS code FROM range(2) AS t(k)")
 def x01(spark, sf_dir):
     """Two scans of the corpus, one after the other."""
     from glintsieve.streaming.watch import watch

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintsieve.operators import analyze
 from glintsieve.plans import corpus, scan
-from glintsieve.sinks import shared
+from glintsieve.sinks import files, shared
 from glintsieve.sources import languages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,18 @@ def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_matches(spark, sf_dir).filter("state = 'new'").drop("state")
 
 
+def repaired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, before and content of the Python files of the corpus in which a request switches verification off, repaired."""
+    f = source_files(spark, sf_dir).filter(F.col("path").endswith(".py"))
+    ranges = analyze.fact_rows(f).filter("kind = 'repair'").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+
+    @F.pandas_udf("string")
+    def repair(content: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([files.repaired(c.encode(), [(s["start"], s["end"]) for s in own]).decode() for c, own in zip(content, spans)], dtype=object)
+
+    return f.join(ranges, "path").select("path", F.col("content").alias("before"), repair("content", "ranges").alias("content"))
+
+
 #: DuckDB: corpus and expected, as common table expressions.
 LABELS = "WITH " + corpus.labels_sql()
 

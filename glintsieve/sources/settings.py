@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import subprocess
 import tomllib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from glintsieve.operators.rules import BY_ID, RANKS
 from glintsieve.plans.scan import Override, Settings
@@ -52,6 +56,25 @@ def parse(text: str) -> Settings:
     )
 
 
+def rows(texts: DataFrame) -> DataFrame:
+    """The settings of many texts (path, content), or the error of a text that has none."""
+    names = ["path", "fail_on", "enabled", "disabled", "max_findings", "overrides", "error"]
+    schema = pa.schema([(n, pa.int32() if n == "max_findings" else pa.list_(pa.string()) if n in ("enabled", "disabled", "overrides") else pa.string()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    s = parse(content or "")
+                    out.append(dict(zip(names, (path, s.fail_on, list(s.enabled), list(s.disabled), s.max_findings, [o.pattern for o in s.overrides], None))))
+                except ValueError as e:  # TOML's errors are such
+                    out.append({"path": path, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return texts.select("path", "content").mapInArrow(run, "path string, fail_on string, enabled array<string>, disabled array<string>, max_findings int, overrides array<string>, error string")
+
+
 def load(root: str) -> Settings:
     """The settings file of a root, the defaults where there is none."""
     path = os.path.join(root, NAME)
