@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from glintsieve.llm.common import by_size, fresh_path, local_file, only, table, wide, written
 
 LEAST = 1000
+#: Tasks that share the work on one payload.
+SALTS = 16
 FILE_BYTES = 64 << 20
 GAP = 64 << 10
 READ = 8 << 20
@@ -73,14 +75,21 @@ def parse(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def with_responses(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to (the response's page_id for revisits)."""
+    """page_id, url, html, digest and refers_to (the response's page_id for revisits).
+
+    Small payloads are always responses and take no part in the join; the others meet their digest's response by digest and a salt of the page,
+    so the pages that share one payload are many tasks' work."""
     p = only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long")).withColumn("html", F.coalesce("html", F.lit("")))
     p = p.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    light = p.filter(F.col("payload_bytes") >= LEAST).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
-    groups = light.filter("n > 1 and response is not null").select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), "response")
-    joined = p.join(groups, (p.digest == groups.d) & (p.payload_bytes == groups.b), "left")
+    large = p.filter(F.col("payload_bytes") >= LEAST)
+    light = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    groups = light.filter("n > 1 and response is not null").select("digest", "payload_bytes", "response", salts.alias("salt"))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     is_revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return joined.select("page_id", "url", "html", "digest", F.when(is_revisit, F.col("response")).alias("refers_to"))
+    joined = salted.join(groups, ["digest", "payload_bytes", "salt"], "left").select("page_id", "url", "html", "digest", F.when(is_revisit, F.col("response")).alias("refers_to"))
+    small = p.filter(F.col("payload_bytes") < LEAST).select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"))
+    return joined.unionByName(small)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:

@@ -7,7 +7,8 @@ article; inside it a class has to be such a word as a whole, and an id only coun
 
 Every page is then differenced: pages are ordered by host and URL path, and each one is paired with its nearest neighbours of the same host, before and
 after it; lines are aligned by longest common subsequence (one bit-parallel method at every size), and lines shared with a neighbour are deleted. A neighbour
-that shares more than half of a page's text is a copy of the article, not a template, and the next one out is tried, REACH of them at most. Last, a check
+that shares more than half of a page's text is a copy of the article if it also shares more than half of the lines that not all neighbours share;
+the next one out is tried then, REACH of them at most. (Where all neighbours share everything, nothing tells an article from its template, and all stays.) Last, a check
 against the parsed tree: shared lines inside a marked article (article) come back, as neighbours may quote or mirror each other's articles, and where a page
 marks its text (article, main, role=main), lines outside go. main only bounds the text (it also holds share bars and lists of other pages), so what no
 article in it holds is text if the neighbours do not share it; if they share all of it between them, all of it is text.
@@ -26,7 +27,7 @@ import html as entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,9 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An end tag of these closes what was left open inside.
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
+#: What a paragraph cannot reach beyond.
+_BOUNDS = {"p", "div", "article", "main", "section", "td", "li", "body", "nav", "aside", "footer", "header", "form"}
+
 
 def _by_words(name: str, key: str, value: str, inside: bool) -> bool:
     if name in _HEADINGS or key not in ("class", "id"):
@@ -106,6 +110,8 @@ def _lines(page: str, words: bool) -> list[tuple[int, str]]:
     stack: list[tuple[str, bool, int]] = []  # name, unwanted, marks the text as
     skipping = at = 0
     marked = [0, 0, 0]  # open elements by mark
+    opened: dict[str, int] = {}  # open elements by name
+    bounds: list[int] = []  # places in the stack of elements that a paragraph ends at
 
     def flush() -> None:
         if held:
@@ -117,9 +123,12 @@ def _lines(page: str, words: bool) -> list[tuple[int, str]]:
     def leave(to: int) -> None:
         nonlocal skipping
         while len(stack) > to:
-            _, bad, mark = stack.pop()
+            name, bad, mark = stack.pop()
+            opened[name] -= 1
             skipping -= bad
             marked[mark] -= 1
+        while bounds and bounds[-1] >= to:
+            bounds.pop()
 
     while at < len(page):
         start = page.find("<", at)
@@ -141,7 +150,8 @@ def _lines(page: str, words: bool) -> list[tuple[int, str]]:
         name, attributes = m.group(2).lower(), m.group(3)
         block = name not in _INLINE
         if m.group(1):
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            # stray end tags end nothing and are not looked for; those that are found take what they passed with them
+            depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name) if opened.get(name) else None
             if block and not skipping:
                 flush()
             if depth is not None:
@@ -156,15 +166,17 @@ def _lines(page: str, words: bool) -> list[tuple[int, str]]:
         if name in _VOID or attributes.rstrip().endswith("/"):
             continue
         if name in _CLOSES_P and stack:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p", "div", "article", "main", "section", "td", "li", "body", "nav", "aside", "footer", "header", "form")), None)
-            if depth is not None and stack[depth][0] == "p":
-                leave(depth)
+            if bounds and stack[bounds[-1]][0] == "p":
+                leave(bounds[-1])
         elif name == "li" and stack and stack[-1][0] == "li":
             leave(len(stack) - 1)
         inside = marked[MAIN] + marked[ARTICLE] > 0
         bad = _unwanted(name, attributes, inside, words or inside or name == "article")
         mark = 0 if bad or skipping else ARTICLE if name == "article" else MAIN if name == "main" or 'role="main"' in attributes else 0
+        if name in _BOUNDS:
+            bounds.append(len(stack))
         stack.append((name, bad, mark))
+        opened[name] = opened.get(name, 0) + 1
         skipping += bad
         marked[mark] += 1
     flush()
@@ -226,16 +238,30 @@ def unshared(pages: list[list[str]], k: int, hosts: list[str], marks: list[int]
     """The text of page k among its neighbours in URL order: lines that the nearest ones of its host share are deleted; the page's marks are checked then."""
     own = pages[k]
     gone: set[int] = set()
-    total = sum(map(len, own)) or 1
-    for step in (-1, 1):
-        for far in range(1, REACH + 1):
-            other = k + step * far
-            if not 0 <= other < len(pages) or hosts[other] != hosts[k]:
-                break
-            same = shared(own, pages[other])
-            if sum(len(own[i]) for i in same) <= COPY * total:
-                gone |= same
-                break
+    near: dict[int, set[int]] = {}
+
+    def same_as(other: int) -> set[int]:
+        if other not in near:
+            near[other] = shared(own, pages[other])
+        return near[other]
+
+    def length(numbers: set[int]) -> int:
+        return sum(len(own[i]) for i in numbers)
+
+    reach = [[k + step * far for far in range(1, REACH + 1)] for step in (-1, 1)]
+    sides = [list(takewhile(lambda j: 0 <= j < len(pages) and hosts[j] == hosts[k], side)) for side in reach]
+    rare: set[int] | None = None  # lines that not all neighbours share
+    for side in sides:
+        for other in side:
+            same = same_as(other)
+            if length(same) > COPY * (sum(map(len, own)) or 1):
+                # a copy of the article, or another page under a template longer than its text: what is rare around tells
+                if rare is None:
+                    rare = set(range(len(own))) - set.intersection(*(same_as(j) for each in sides for j in each))
+                if not rare or length(same & rare) > COPY * length(rare):
+                    continue
+            gone |= same
+            break
     if marks and any(marks):
         gone = {i for i, mark in enumerate(marks) if mark != ARTICLE and (i in gone or not mark)}
         if len(gone) == len(own):

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintsieve.llm.common import by_size, fresh_path, lean, local_file, only, table, text_buffer, wide, written
 from glintsieve.llm.pretoken import cuts, strung
+from glintsieve.operators import prefix
 
 MAGIC = b"DAC1"
 FILE_IDS = 4_000_000
@@ -316,10 +317,10 @@ _FILES = pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("first_ke
 def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, out of the files.
 
-    Files are ordered by first document, its key, task and number; the window is over one row a file.
+    Files are ordered by first document, its key, task and number; what stands before each is a running total over ranges of files.
     """
-    before = Window.orderBy("first_doc", "first_key", "task", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    order = [F.col(x).asc() for x in ("first_doc", "first_key", "task", "seq")]
+    placed = prefix.running(files, order, "n_ids", "upto").withColumn("base", F.col("upto") - F.col("n_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

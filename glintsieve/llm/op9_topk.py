@@ -1,10 +1,10 @@
 """Operator 9: exact top-k search by exhaustive term-at-a-time accumulation.
 
-A term is a vector's dimension, its weight the integer component. Candidates are dealt into blocks and queries into blocks;
-a task takes one block of each. Of its candidates it builds postings (for each term the rows with a nonzero
-weight). Then, term by term, the sparse query rows with that term scatter their weights times the postings into dense
-score arrays. Partition selection keeps the k best of each array, and a window over (block, query) winners
-merges them. Memory of a task is bounded by the two block sizes; every pair of a query and a row is scored.
+A term is a vector's dimension, its weight the integer component. Queries are written to files of QUERIES rows in the shared folder; candidates stay where
+they are. A task takes CANDIDATES of its rows at a time and builds their postings (for each term the rows with a nonzero weight). It
+reads the query files one after the other and, term by term, the sparse query rows with that term scatter their weights times the postings into dense
+score arrays. Partition selection keeps the k best of each array, and a window over the tasks' winners merges them. Memory of a task is bounded by
+CANDIDATES and QUERIES; every pair of a query and a row is scored, and no row is copied or shuffled for it.
 
 Equal rows (id and vector) are one with a number, so a vector that a third of the rows repeat is scored once a query.
 
@@ -18,18 +18,22 @@ beyond a long is given as the nearest long.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintsieve.llm.common import only, table
+from glintsieve.llm.common import fresh_path, local_file, only, table, written
 
 SCALE = 256
 K = 5
 EVERY = 50
-CANDIDATES = 4096
+CANDIDATES = 16384
 QUERIES = 2048
 #: Integer components under NARROW in vectors of up to LONGEST dimensions have products whose sums fit 64 bits.
 NARROW, LONGEST = 1 << 24, 1 << 14
@@ -48,17 +52,22 @@ def ragged(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[some], dims[some], values[some]
 
 
-def accumulate(queries: pd.Series, candidates: pd.Series) -> np.ndarray:
-    """Scores of all queries and candidates, term at a time; sums must fit 64 bits."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    q, c = ragged(queries), ragged(candidates)
-    q_order, c_order = np.argsort(q[1], kind="stable"), np.argsort(c[1], kind="stable")
-    q, c = [x[q_order] for x in q], [x[c_order] for x in c]
+def postings(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ragged, sorted by dimension."""
+    found = ragged(vectors)
+    order = np.argsort(found[1], kind="stable")
+    return tuple(x[order] for x in found)
+
+
+def accumulate(queries: pd.Series, c: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Scores of all queries and the candidates (rows of them) of the postings, term at a time; sums must fit 64 bits."""
+    scores = np.zeros((len(queries), rows), np.int64)
+    q = postings(queries)
     for term in np.intersect1d(q[1], c[1]):
         qa, qb = np.searchsorted(q[1], [term, term + 1])
         ca, cb = np.searchsorted(c[1], [term, term + 1])
         ids, weights = c[0][ca:cb], c[2][ca:cb]
-        full = len(ids) == len(candidates)
+        full = len(ids) == rows
         for row, weight in zip(q[0][qa:qb], q[2][qa:qb]):
             if full:
                 scores[row] += weight * weights
@@ -119,25 +128,20 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each row whose id is divisible by `every`."""
-    v = usable(vectors, id_col, vector_col).withColumn("key", F.xxhash64("v"))
-    is_query = F.col("vec_id") % every == 0
-    rows, n_queries = v.select(F.count(F.lit(1)), F.count_if(is_query)).first()
-    c_blocks, q_blocks = max(1, -(-rows // CANDIDATES)), max(1, -(-n_queries // QUERIES))
-    slot = lambda blocks: F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int")
-    every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = ["vec_id", "v", "m", "key"]
-    candidates = v.select(*own, F.lit(False).alias("query"), slot(c_blocks).alias("cb"), every_block(q_blocks).alias("qb"))
-    queries = v.filter(is_query).select(*own, F.lit(True).alias("query"), every_block(c_blocks).alias("cb"), slot(q_blocks).alias("qb"))
-
-    def block(frame: pd.DataFrame) -> pd.DataFrame:
-        q, c = frame[frame["query"]], frame[~frame["query"]]
+    spark = vectors.sparkSession
+    v = written(usable(vectors, id_col, vector_col).withColumn("key", F.xxhash64("v")), "vectors")
+    folder = fresh_path(spark, "queries")
+    v.filter(F.col("vec_id") % every == 0).write.option("maxRecordsPerFile", QUERIES).parquet(folder)
+    columns = ["query_id", "key", "m", "vec_id", "score", "beyond"]
+    schema = pa.schema([(n, pa.string() if n == "beyond" else pa.int64()) for n in columns])
+
+    def against(q: pd.DataFrame, c: pd.DataFrame, terms: tuple, large: dict[int, list[int]], narrow: pd.Series) -> Iterator[tuple]:
+        """The k best candidates of each query of a file."""
         ids, keys, numbers = (c[n].to_numpy() for n in ("vec_id", "key", "m"))
-        narrow, large = split(c["v"])
-        out: list[tuple] = []
         for at in range(0, len(q), 128):
             part = q.iloc[at : at + 128]
             own_narrow, own_large = split(part["v"])
-            table_of_scores = accumulate(own_narrow, narrow)
+            table_of_scores = accumulate(own_narrow, terms, len(c))
             for row, (own_id, own_key, m) in enumerate(zip(part["vec_id"], part["key"], part["m"])):
                 scores = table_of_scores[row]
                 if large or row in own_large:
@@ -146,11 +150,35 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec
                     for i in range(len(ids)) if row in own_large else large:
                         scores[i] = exact(mine, large[i] if i in large else [int(x) for x in narrow.iloc[i]])
                 left = numbers - ((ids == own_id) & (keys == own_key))
-                out += [(own_id, own_key, m, ids[i], *as_long(int(scores[i]))) for i in best(scores, ids, left, k)]
-        columns = ["query_id", "key", "m", "vec_id", "score", "beyond"]
-        return pd.DataFrame(out, columns=columns).astype({n: "int64" for n in columns[:-1]})
-
-    partial = candidates.unionByName(queries).groupBy("cb", "qb").applyInPandas(block, "query_id long, key long, m long, vec_id long, score long, beyond string")
+                for i in best(scores, ids, left, k):
+                    yield (own_id, own_key, m, ids[i], *as_long(int(scores[i])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = local_file(folder)
+        files = sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(root)) if x.base_name.startswith("part-"))
+
+        def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = pa.Table.from_batches(held).to_pandas()
+            narrow, large = split(c["v"])
+            terms = postings(narrow)
+            for file in files:
+                with filesystem.open_input_file(file) as f:
+                    q = pq.read_table(f).to_pandas()
+                found = list(against(q, c, terms, large, narrow))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), schema.types)], schema=schema)
+
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, CANDIDATES):
+                held.append(whole.slice(at, CANDIDATES))
+                if sum(x.num_rows for x in held) >= CANDIDATES:
+                    yield from solved(held)
+                    held = []
+        if held:
+            yield from solved(held)
+
+    partial = v.mapInArrow(run, "query_id long, key long, m long, vec_id long, score long, beyond string")
     order = Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     found = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     each = F.explode(F.expr("sequence(1L, m)"))  # equal queries have equal results
