@@ -71,6 +71,7 @@ def main(given: list[str] | None = None) -> int:
     if not os.path.exists(args.path):
         print(f"no such path: {args.path}", file=sys.stderr)
         return 2
+    own = SparkSession.getActiveSession() is None
     spark = session()
     try:
         found, report, settings = scanned(spark, args)
@@ -95,7 +96,9 @@ def main(given: list[str] | None = None) -> int:
         print(str(e), file=sys.stderr)
         return 2
     finally:
-        clear(spark)
+        if own:
+            clear(spark)
+            spark.stop()
 
 
 if __name__ == "__main__":

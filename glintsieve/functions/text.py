@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,16 @@ def suppressed(comments: Column, rule_id: Column, keyword: str) -> Column:
     """Whether a comment holds the keyword alone or with this rule in brackets."""
     found = F.regexp_extract_all(comments, F.lit(rf"(?<![\p{{IsAlphabetic}}\p{{N}}_]){keyword}(\[[^\]]*\])?(?=\s|\*/|$)"), F.lit(1))
     return F.exists(found, lambda x: (x == "") | (x == F.concat(F.lit("["), rule_id, F.lit("]"))))
+
+
+def split_once(text: Column, mark: str) -> tuple[Column, Column]:
+    """What stands before the first mark, and what behind it; null where there is none."""
+    parts = F.split(text, re.escape(mark), 2)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def relative_path(path: Column) -> Column:
+    """A path below the root with forward slashes; null for any other."""
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
+    bad = p.startswith("/") | p.contains(":") | F.array_contains(F.split(p, "/"), "..") | (p == "")
+    return F.when(~bad, p)

@@ -35,22 +35,30 @@ def _typed(columns: str) -> str:
 _KEYS = ["ecosystem", "name"]
 
 
+def inventory(*packages: DataFrame) -> DataFrame:
+    """The distinct packages that readers of several systems found."""
+    out = packages[0]
+    for more in packages[1:]:
+        out = out.unionByName(more)
+    return out.filter("error is null").select(*_KEYS, "version").distinct()
+
+
 def vulnerable(packages: DataFrame, records: DataFrame) -> DataFrame:
     """id, ecosystem, package, version, summary and status (affected or unknown) of every hit; withdrawn records hit nothing.
 
     Versions and ranges become whole numbers, and versions meet the ranges that hold them by stabbing, so a package with many versions and many
     advisories costs its hits, not all pairs. Listed versions meet by equality. Only versions and ranges that have no
     key (other syntax, very large numbers) are compared pair by pair."""
-    inventory = packages.filter("error is null").select(*_KEYS, "version").distinct().withColumn("at", key(F.col("version")))
+    stock = inventory(packages).withColumn("at", key(F.col("version")))
     items = records.filter("withdrawn is null").select("id", "summary", F.explode("affected").alias("a"))
     items = items.select("id", "summary", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), F.col("a.versions").alias("versions"), F.col("a.ranges").alias("ranges"))
-    listed = items.select("id", "summary", *_KEYS, F.explode("versions").alias("version")).join(inventory, [*_KEYS, "version"])
+    listed = items.select("id", "summary", *_KEYS, F.explode("versions").alias("version")).join(stock, [*_KEYS, "version"])
     ranges = items.select("id", "summary", *_KEYS, F.explode("ranges").alias("r")).filter(F.col("r.type").isin("SEMVER", "ECOSYSTEM"))
     ranges = ranges.select("id", "summary", *_KEYS, F.col("r.events").alias("events")).withColumn("bounds", intervals(F.col("events")))
     bounds = ranges.filter("bounds is not null").select("id", "summary", *_KEYS, F.explode("bounds").alias("b")).select("id", "summary", *_KEYS, "b.lo", "b.hi")
-    inside = stabbed(inventory.filter("at is not null"), bounds, _KEYS, "at", "lo", "hi")
+    inside = stabbed(stock.filter("at is not null"), bounds, _KEYS, "at", "lo", "hi")
     # a version or an event that can't be read leaves open whether it is a hit; only large numbers are compared by pairs
-    versions = inventory.withColumn("readable", parsed(F.col("version")).isNotNull())
+    versions = stock.withColumn("readable", parsed(F.col("version")).isNotNull())
     ranges = ranges.withColumn("clear", readable(F.col("events")))
     by_pair = versions.filter("at is null").join(ranges.drop("bounds"), _KEYS)
     odd = versions.filter("at is not null").join(ranges.filter("bounds is null").drop("bounds"), _KEYS)

@@ -8,6 +8,7 @@ import subprocess
 from pyspark.sql import functions as F
 
 from glintsieve.functions import patterns
+from glintsieve.functions import text as T
 from glintsieve.plans import dependencies, scan
 from glintsieve.queries.registry import LABELS, PATHS, ROOT, _sql_list, new_findings, paths, query, source_files, table, values
 from glintsieve.sources import gitignore, languages, manifests, results, settings, tree
@@ -127,9 +128,9 @@ def s11(spark, sf_dir):
 
 @query("s12_changed_list", PATHS + " SELECT DISTINCT path FROM paths")
 def s12(spark, sf_dir):
-    listed = paths(spark, sf_dir).select(F.regexp_replace(F.replace("path", F.lit("/"), F.lit("\\")), r"\\", "/").alias("path"))
-    bad = F.col("path").startswith("/") | F.col("path").contains(":") | F.array_contains(F.split("path", "/"), "..")
-    return listed.select(F.when(bad, F.raise_error(F.lit("no relative path"))).otherwise(F.col("path")).alias("path")).distinct()
+    """A list of changed files as another system writes it."""
+    listed = F.replace("path", F.lit("/"), F.lit("\\"))
+    return paths(spark, sf_dir).select(T.relative_path(F.concat(F.lit(".\\"), listed)).alias("path")).filter("path is not null").distinct()
 
 
 @query("s13_git_diff", "SELECT 'p' || CAST(n_nationkey AS VARCHAR) || '.py' AS path FROM nation WHERE n_nationkey % 3 <> 0")
@@ -295,16 +296,20 @@ def s24(spark, sf_dir):
 
 @query("s25_csv_labels", "SELECT 'Test' || CAST(c_custkey AS VARCHAR) AS test_name, c_custkey % 2 = 0 AS positive, CAST(c_custkey % 90 AS INTEGER) AS cwe FROM customer")
 def s25(spark, sf_dir):
+    """Labels as CSV with comments, written by the tasks and read back."""
     line = F.concat(F.lit("Test"), F.col("c_custkey").cast("string"), F.lit(",kind,"), (F.col("c_custkey") % 2 == 0).cast("string"), F.lit(","), (F.col("c_custkey") % 90).cast("string"))
-    lines = table(spark, sf_dir, "customer").select(F.explode(F.array(F.lit("# test name, category, real, cwe"), line)).alias("value"))
-    rows = lines.filter(~F.col("value").startswith("#")).select(F.from_csv("value", "test_name string, category string, positive boolean, cwe int", {"mode": "FAILFAST"}).alias("r"))
-    return rows.select("r.test_name", "r.positive", "r.cwe")
+    path = fresh_path(spark, "labels")
+    table(spark, sf_dir, "customer").select(F.explode(F.array(F.lit("# test name, category, real, cwe"), line)).alias("value")).write.text(path)
+    return results.csv_labels(spark, path).select("test_name", "positive", "cwe")
 
 
 @query("s26_ground_truth", "SELECT 'SR' || lpad(CAST(1 + c_custkey % 22 AS VARCHAR), 3, '0') AS rule_id, CAST(c_custkey AS INTEGER) AS line, c_custkey % 2 = 0 AS positive FROM customer")
 def s26(spark, sf_dir):
-    body = F.to_json(F.struct(F.concat(F.lit("SR"), F.lpad((1 + F.col("c_custkey") % 22).cast("string"), 3, "0")).alias("rule_id"), F.col("c_custkey").cast("int").alias("line"), (F.col("c_custkey") % 2 == 0).alias("positive")))
-    return table(spark, sf_dir, "customer").select(F.from_json(body, "rule_id string, line int, positive boolean").alias("r")).select("r.*")
+    path = fresh_path(spark, "truth")
+    rule = F.concat(F.lit("SR"), F.lpad((1 + F.col("c_custkey") % 22).cast("string"), 3, "0"))
+    rows = table(spark, sf_dir, "customer").select(rule.alias("rule_id"), F.lit("a.py").alias("path"), F.col("c_custkey").cast("int").alias("line"), (F.col("c_custkey") % 2 == 0).alias("positive"))
+    rows.write.json(path)
+    return results.ground_truth(spark, path).select("rule_id", "line", "positive")
 
 
 @query("s27_sarif", f"{LABELS} SELECT path, line, rule_id FROM expected")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glintsieve.functions import patterns
 from glintsieve.functions.globs import to_regex
-from glintsieve.operators import stabbing
-from glintsieve.plans import baseline, corpus, scan, scoring
+from glintsieve.operators import analyze, stabbing
+from glintsieve.plans import baseline, corpus, dependencies, scan, scoring
+from glintsieve.queries.inputs import _npm, _requirements
 from glintsieve.queries.registry import FOLDERS, LABELS, NAMES, PATHS, all_matches, new_findings, paths, query, source_files, source_lines, table, values
 from glintsieve.sinks import shared
+from glintsieve.sources import manifests, tree
 
 SHA = "sha256(rule_id || chr(0) || path || chr(0) || sha256(text))"
 
@@ -84,12 +85,20 @@ def j06(spark, sf_dir):
     return found.select("path", "line", "rule_id", F.when(F.col("remote").isNull(), "candidate").when(F.col("remote"), "tainted").otherwise("reachable").alias("confidence"))
 
 
-@query("j07_first_function", "SELECT o_orderkey, l_linenumber AS first_line FROM (SELECT o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber DESC) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE k = 1")
+_FILES = "WITH files AS (SELECT c_custkey AS k, 'c/' || CAST(c_custkey AS VARCHAR) AS path FROM customer)"
+
+
+def _made(spark, sf_dir, language: str, content):
+    """A file for each customer; content is an expression over its key k."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), k.cast("string"), F.lit({"python": ".py", "csharp": ".cs", "c": ".c"}[language])).alias("path"), F.lit(language).alias("language"), content(k).alias("content"))
+
+
+@query("j07_first_function", f"{_FILES} SELECT path || '.py' AS path, CAST(2 + k % 5 AS INTEGER) AS line FROM files")
 def j07(spark, sf_dir):
-    """Each call with the first function of its name, by visit order."""
-    x = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    w = Window.partitionBy("o_orderkey").orderBy(F.col("l_linenumber").desc())
-    return x.withColumn("k", F.row_number().over(w)).filter("k = 1").select("o_orderkey", F.col("l_linenumber").alias("first_line"))
+    """A call is followed into the first function of its name."""
+    text = lambda k: F.concat(F.lit("def go(a):\n"), F.repeat(F.lit("    b = 1\n"), (k % 5).cast("int")), F.lit("    eval(a)\ndef go(a):\n    eval(a)\nx = request.args['q']\ngo(x)\n"))
+    return analyze.match_rows(_made(spark, sf_dir, "python", text), True).filter("evidence is not null").select("path", "line")
 
 
 _GLOBS = ["**/*.py", "src/**", "docs/*", "**/test_*", "*/app/[!x]*"]
@@ -144,16 +153,15 @@ def j12(spark, sf_dir):
     return scoring.unscored(_labels(spark, sf_dir), _hits(spark, sf_dir), ["rule_id", "path", "line"])
 
 
-@query("j13_formatter_near", "SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER w IS NOT NULL AND l_linenumber - max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER w <= 2 AS near FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS UNBOUNDED PRECEDING)")
-def j13(spark, sf_dir):
-    """The last constructor before a line, at most so many lines away."""
-    return _near(table(spark, sf_dir, "lineitem"))
+def _formatter(spark, sf_dir):
+    """A constructor, up to 29 lines, and what it is used for."""
+    return _made(spark, sf_dir, "csharp", lambda k: F.concat(F.lit("var f = new BinaryFormatter();\n"), F.repeat(F.lit("x();\n"), (k % 30).cast("int")), F.lit("var o = f.Deserialize(s);\n")))
 
 
-def _near(x):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")), ignorenulls=True).over(w)
-    return x.select("l_orderkey", "l_linenumber", F.coalesce(F.col("l_linenumber") - last <= 2, F.lit(False)).alias("near"))
+@query("j13_formatter_near", f"{_FILES} SELECT path || '.cs' AS path, CAST(k % 30 + 2 AS INTEGER) AS line FROM files WHERE k % 30 + 1 <= 20")
+def j13(spark, sf_dir):
+    """Uses of a formatter at most so many lines after its constructor."""
+    return analyze.match_rows(_formatter(spark, sf_dir)).filter("rule_id = 'SR006'").select("path", "line")
 
 
 @query("j14_pinned", "SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS path, doc_id % 5 <> 0 AS intact FROM documents")
@@ -208,12 +216,17 @@ def g09(spark, sf_dir):
     return new_findings(spark, sf_dir).agg(F.coalesce(F.bool_or(F.col("severity") == "high"), F.lit(False)).alias("met"))
 
 
-@query("g10_error_cap", "SELECT event_id, (SELECT count(*) FROM events WHERE event_type = 'error') - least(1000, (SELECT count(*) FROM events WHERE event_type = 'error')) AS left_out FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE event_type = 'error') WHERE k <= 1000")
+_MESSAGES = "SELECT DISTINCT event_type || ':' || CAST(user_id AS VARCHAR) AS message FROM events WHERE event_type <> 'view'"
+
+
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter("event_type <> 'view'").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("message"))
+
+
+@query("g10_error_cap", f"WITH m AS ({_MESSAGES}) SELECT message, greatest((SELECT count(*) FROM m) - 100, 0) AS left_out FROM (SELECT message, row_number() OVER (ORDER BY message) AS k FROM m) WHERE k <= 100")
 def g10(spark, sf_dir):
-    """The first 1000 errors, and how many are left out: the limit is the feature."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id")
-    total = e.agg(F.count(F.lit(1)).alias("n"))
-    return e.orderBy("event_id").limit(1000).crossJoin(F.broadcast(total)).select("event_id", F.greatest(F.col("n") - 1000, F.lit(0)).alias("left_out"))
+    """The first 100 errors, and how many are left out: the limit is the feature."""
+    return tree.first_errors(_messages(spark, sf_dir), 100)
 
 
 @query("g11_labelled_gate", f"{LABELS} SELECT rule_id, true AS perfect FROM fires GROUP BY rule_id")
@@ -233,10 +246,11 @@ def g12(spark, sf_dir):
 # --- ordinals ------------------------------------------------------------------------------------
 
 
-@query("w01_occurrence", "SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_returnflag, l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS ordinal FROM lineitem")
+@query("w01_occurrence", f"{_FILES} SELECT path || '.py' AS path, CAST(n + 1 AS INTEGER) AS line, 'SR004' AS rule_id, CAST(n AS INTEGER) AS ordinal FROM files, range(12) AS t(n) WHERE n <= k % 12 UNION ALL SELECT path || '.py', CAST(k % 12 + 2 AS INTEGER), 'SR009', 0 FROM files")
 def w01(spark, sf_dir):
-    w = Window.partitionBy("l_returnflag", "l_partkey").orderBy("l_orderkey", "l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(w) - 1).alias("ordinal"))
+    """Equal lines of a file are told apart by how many came before."""
+    x = _made(spark, sf_dir, "python", lambda k: F.concat(F.repeat(F.lit("eval(x)\n"), (k % 12 + 1).cast("int")), F.lit("r = random.random()\n")))
+    return scan.judged_matches(analyze.match_rows(x), scan.Settings(max_findings=None)).select("path", "line", "rule_id", "ordinal")
 
 
 @query("w02_innermost", "SELECT o_orderkey, lo, hi FROM (SELECT o.o_orderkey, r.lo, r.hi, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY hi - lo, lo) AS k FROM orders o JOIN (SELECT c_custkey % 7 AS k, c_custkey AS lo, c_custkey + 10 + c_custkey % 40 AS hi FROM customer) r ON o.o_custkey % 7 = r.k AND o.o_custkey BETWEEN lo AND hi) WHERE k = 1")
@@ -246,9 +260,10 @@ def w02(spark, sf_dir):
     return stabbing.innermost(o, r, ["k"], "at", "lo", "hi").filter("lo is not null").select("o_orderkey", "lo", "hi")
 
 
-@query("w03_proximity", "SELECT l_orderkey, l_linenumber, coalesce(l_linenumber - max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS UNBOUNDED PRECEDING) <= 2, false) AS near FROM lineitem")
+@query("w03_proximity", f"{_FILES} SELECT path || '.cs' AS path, CAST(n AS INTEGER) AS line, n - 1 <= 20 AS near FROM files, range(1, 32) AS t(n) WHERE n <= k % 30 + 2")
 def w03(spark, sf_dir):
-    return _near(table(spark, sf_dir, "lineitem"))
+    """The lines within reach of the last constructor."""
+    return analyze.line_rows(_formatter(spark, sf_dir)).select("path", "line", F.col("formatter_near").alias("near"))
 
 
 @query("w04_byte_budget", f"{LABELS}, f AS (SELECT path, sum(octet_length(encode(text)) + 1) - 1 AS n FROM corpus GROUP BY path), r AS (SELECT *, sum(n) OVER (ORDER BY string_split(path, '/')) AS total FROM f) SELECT path, CAST(n AS BIGINT) AS n FROM r WHERE total <= 20000")
@@ -271,11 +286,11 @@ def w06(spark, sf_dir):
     return x.select("o_orderkey", F.get(F.array(*[F.lit(g) for g in ordered]), F.element_at("k", -1)).alias("winner"))
 
 
-@query("w07_block_flag", "WITH f AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS flag FROM lineitem) SELECT l_orderkey, l_linenumber, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS UNBOUNDED PRECEDING), 0) AS inside FROM f")
+@query("w07_block_flag", f"{_FILES} SELECT path || '.c' AS path, CAST(n AS INTEGER) AS line, n BETWEEN 2 AND k % 7 + 3 AS inside FROM files, range(1, 12) AS t(n) WHERE n <= k % 7 + 4")
 def w07(spark, sf_dir):
-    flag = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0)
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.last(flag, ignorenulls=True).over(w), F.lit(0)).alias("inside"))
+    """Lines inside of a block comment that goes over several of them."""
+    x = _made(spark, sf_dir, "c", lambda k: F.concat(F.lit("a();\n/* b();\n"), F.repeat(F.lit("c();\n"), (k % 7).cast("int")), F.lit("*/\nd();\n")))
+    return analyze.line_rows(x).select("path", "line", (F.col("comments") != "").alias("inside"))
 
 
 # --- order, limit, sets --------------------------------------------------------------------------
@@ -291,9 +306,9 @@ def o02(spark, sf_dir):
     return paths(spark, sf_dir).select("path").distinct().orderBy(F.split("path", "/"))
 
 
-@query("o03_sorted_errors", "SELECT DISTINCT event_type || ':' || CAST(user_id AS VARCHAR) AS message FROM events WHERE event_type = 'error' ORDER BY message")
+@query("o03_sorted_errors", f"{_MESSAGES} ORDER BY message")
 def o03(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("message")).distinct().orderBy("message")
+    return tree.first_errors(_messages(spark, sf_dir), (1 << 31) - 1).select("message").orderBy("message")
 
 
 @query("o04_limit", f"{LABELS} SELECT count(*) AS total, least(count(*), 500) AS kept, greatest(count(*) - 500, 0) AS truncated FROM expected")
@@ -314,19 +329,23 @@ def u01(spark, sf_dir):
     return scan.matched(x).select("path", "line", "rule_id").unionByName(flows).dropDuplicates(["path", "line", "rule_id"])
 
 
-@query("u02_rule_union", "SELECT c_custkey, list_sort(list_distinct(['SR001', 'SR002'] || CASE WHEN c_custkey % 2 = 0 THEN ['SR002', 'SR003'] ELSE ['SR004'] END)) AS rules FROM customer")
+_TWO = scan.Settings(overrides=(scan.Override("src/m1*/**", ("SR004", "SR009")), scan.Override("**/*.py", ("SR009", "SR005"))))
+
+
+@query("u02_rule_union", f"{LABELS} SELECT path, line, rule_id FROM expected WHERE NOT (path LIKE 'src/m1%' AND rule_id IN ('SR004', 'SR009')) AND NOT (path LIKE '%.py' AND rule_id IN ('SR009', 'SR005'))")
 def u02(spark, sf_dir):
-    more = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("SR002"), F.lit("SR003"))).otherwise(F.array(F.lit("SR004")))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_sort(F.array_union(F.array(F.lit("SR001"), F.lit("SR002")), more)).alias("rules"))
+    """Overrides add to what is disabled: what any of them disables is off."""
+    return new_findings(spark, sf_dir).filter(scan.rule_enabled(F.col("rule_id"), F.col("path"), _TWO)).select("path", "line", "rule_id")
 
 
-@query("u03_rule_difference", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ['SR001'] ELSE ['SR001', 'SR002'] END AS rules FROM customer")
+@query("u03_rule_difference", f"{LABELS} SELECT path, line, rule_id FROM expected WHERE rule_id IN ('SR001', 'SR004')")
 def u03(spark, sf_dir):
-    less = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("SR002"), F.lit("SR003"))).otherwise(F.array(F.lit("SR004")))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_except(F.array(F.lit("SR001"), F.lit("SR002")), less).alias("rules"))
+    """What is enabled without what is disabled."""
+    s = scan.Settings(enabled=("SR001", "SR002", "SR004"), disabled=("SR002", "SR007"))
+    return new_findings(spark, sf_dir).filter(scan.rule_enabled(F.col("rule_id"), F.col("path"), s)).select("path", "line", "rule_id")
 
 
-@query("u04_inventory_union", "SELECT DISTINCT p_brand AS name, CAST(p_size AS VARCHAR) AS version FROM part")
+@query("u04_inventory_union", "SELECT DISTINCT e AS ecosystem, n AS name, CASE WHEN n = 'lodash' THEN '4.17.' || CAST(n_nationkey AS VARCHAR) WHEN n = 'requests-x' THEN '2.' || CAST(n_nationkey AS VARCHAR) || '.0' ELSE v END AS version FROM nation, (VALUES ('npm', 'lodash', ''), ('npm', 'b', '2.0.0'), ('npm', 'named', '3.0.0'), ('PyPI', 'requests-x', ''), ('PyPI', 'requests', '2.19.0')) AS t(e, n, v)")
 def u04(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version"))
-    return p.filter("version < '3'").union(p.filter("version >= '2'")).distinct()
+    """The inventory of the lock files of two systems."""
+    return dependencies.inventory(manifests.npm(_npm(spark, sf_dir)), manifests.requirements(_requirements(spark, sf_dir)))

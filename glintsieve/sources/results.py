@@ -56,6 +56,11 @@ def csv_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, comment="#", schema="test_name string, category string, positive boolean, cwe int", mode="FAILFAST")
 
 
+def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """rule_id, path, line and positive of labels, a JSON object a line; others are errors."""
+    return spark.read.json(path, schema="rule_id string, path string, line int, positive boolean", mode="FAILFAST")
+
+
 def pinned(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """path and whether the content has the manifest's SHA-256."""
     return manifest.join(files, "path", "left").select("path", F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False)).alias("intact"))

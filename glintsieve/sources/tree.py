@@ -200,10 +200,17 @@ def texts(tree: DataFrame) -> DataFrame:
     return read.select("path", F.when(valid, F.col("content")).alias("content"), F.coalesce("error", F.when(~valid, F.lit("no UTF-8"))).alias("error"))
 
 
+def first_errors(errors: DataFrame, most: int = 1000) -> DataFrame:
+    """The first distinct messages in their order, and how many are left out: the limit is the feature."""
+    distinct = errors.select("message").distinct()
+    total = distinct.agg(F.count(F.lit(1)).alias("n"))
+    return distinct.orderBy("message").limit(most).crossJoin(F.broadcast(total)).select("message", F.greatest(F.col("n") - most, F.lit(0)).alias("left_out"))  # total is one row
+
+
 def summary(tree: DataFrame, most_errors: int = 1000) -> DataFrame:
     """The one-row account of a tree: files read, links and excluded files left out, bytes, errors (the first ones and their number), notes and whether it is complete."""
     rows = texts(tree)
-    first = rows.filter("error is not null").select(F.concat("path", F.lit(": "), "error").alias("message")).orderBy("message").limit(most_errors)
+    first = first_errors(rows.filter("error is not null").select(F.concat("path", F.lit(": "), "error").alias("message")), most_errors)
     counts = tree.agg(
         F.count("content").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.count_if("is_symlink").alias("skipped_symlinks"),
         F.count_if("excluded").alias("excluded_files"), F.count("note").alias("notes"),
