@@ -34,7 +34,7 @@ from glintsieve.llm.common import only, table, written
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 OVERSAMPLE = 16
-POWER = 4
+POWER = 2
 TOLERANCE = 1e-12
 RANK = 1e-13
 SEED = 11

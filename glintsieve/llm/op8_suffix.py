@@ -4,8 +4,8 @@ Of each text's word sequence (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) onl
 positions are kept: where the hash of the HEAD words that follow is the smallest of a window of MIN_WORDS - HEAD + 1
 positions. Any MIN_WORDS words that two texts share select the same position in both.
 
-1. Suffixes whose head another document has are seeds. Heads are dealt by head and a salt of the document first, so that most of a
-   common head's rows are settled in many tasks; one row of each salt and the rest meet by head.
+1. Suffixes whose head another document has are seeds. The smallest and largest document of a head are combined in the tasks first; what is left of a common
+   head is a row a task. Suffixes then meet the repeated heads by a join, which Spark splits where a head is common.
 2. Each seed gets its context: the words after the head and, backwards, those before it, MIN_WORDS - HEAD of each. Equal contexts of a
    task are one row with its smallest and largest document, so a passage that many documents hold costs one row a task.
 3. The contexts of a head are sorted by the words that follow (its part of the suffix array) and by those before. Lengths of the common
@@ -26,14 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintsieve.llm.common import by_size, mixed, only, table, text_buffer, wide, windows_of, words_of, written
 
 MIN_WORDS = 50
 HEAD = 25
-SALTS = 16
 #: Contexts of a head (400 bytes each) that one task sorts.
 GROUP = 100_000
 
@@ -77,18 +76,10 @@ def owner(within: bool) -> Column:
 
 
 def seeds_of(rows: DataFrame, within: bool) -> DataFrame:
-    """key and at of the suffixes whose head a suffix of another owner has."""
-    rows = rows.withColumn("owner", owner(within)).withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int"))
-    by = Window.partitionBy("head", "salt")
-    first = written(rows.withColumn("lo", F.min("owner").over(by)).withColumn("hi", F.max("owner").over(by)).select("head", "key", "at", "owner", (F.col("lo") != F.col("hi")).alias("settled")), "heads")
-    settled = first.filter("settled").select("key", "at")
-    # of a settled salt one row, for the others of its head
-    marks = first.filter("settled").groupBy("head").agg(F.min("owner").alias("owner")).select("head", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("at"), "owner")
-    by = Window.partitionBy("head")
-    rest = first.filter("not settled").select("head", "key", "at", "owner").unionByName(marks)
-    rest = rest.withColumn("lo", F.min("owner").over(by)).withColumn("hi", F.max("owner").over(by)).withColumn("many", F.max(F.col("key").isNull()).over(by))
-    # a mark stands for two owners, so its head is repeated whatever the others are
-    return settled.unionByName(rest.filter("key is not null and (lo <> hi or many)").select("key", "at"))
+    """key and at of the suffixes whose head a suffix of another owner has: heads are combined in the tasks before they are dealt."""
+    rows = written(rows.select("head", "key", "at", owner(within).alias("owner")), "suffixes")
+    repeated = rows.groupBy("head").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi").select("head")
+    return rows.join(repeated, "head", "left_semi").select("key", "at")
 
 
 def contexts_of(near: DataFrame, min_words: int, head: int, within: bool) -> DataFrame:
