@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 
 from glintsieve.operators import analyze, facts, stabbing, taint
-from glintsieve.plans import scan
 from glintsieve.queries.registry import LABELS, kept, new_findings, query, source_files, source_lines, table
 
 

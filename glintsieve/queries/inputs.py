@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glintsieve.functions import patterns
 from glintsieve.functions import text as T
 from glintsieve.plans import dependencies, scan
-from glintsieve.queries.registry import LABELS, PATHS, ROOT, _sql_list, new_findings, paths, query, source_files, table, values
+from glintsieve.queries.registry import LABELS, PATHS, _sql_list, new_findings, paths, query, source_files, table, values
 from glintsieve.sources import gitignore, languages, manifests, results, settings, tree
 from glintsieve.sinks import reports
 from glintsieve.sinks.shared import fresh_path

@@ -91,8 +91,6 @@ def k08(spark, sf_dir):
 @query("k09_new_file", f"{LABELS} SELECT count(*) AS lines, true AS refused, true AS whole FROM expected")
 def k09(spark, sf_dir):
     """A report is written to a new folder; writing there again is refused, and what it holds is whole."""
-    import hashlib
-
     path = _to(spark, lambda to: reports.write_code_quality(new_findings(spark, sf_dir), to))
     try:
         reports.write_code_quality(new_findings(spark, sf_dir), path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,7 +16,6 @@ from glintsieve.sources import languages
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

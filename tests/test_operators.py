@@ -52,3 +52,16 @@ def test_stabbing_has_no_nested_loop(spark):
     p, i = spark.range(100).selectExpr("id % 3 as key", "id as at"), spark.range(50).selectExpr("id % 3 as key", "id as lo", "id + 5 as hi")
     plan = stabbing.stabbed(p, i, ["key"], "at", "lo", "hi")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_the_shared_folder_is_cleared(spark, monkeypatch):
+    import os
+
+    from glintsieve.sinks import shared
+
+    monkeypatch.setattr(shared, "_GIVEN", {})
+    table = shared.written(spark.range(5), "numbers")
+    assert table.count() == 5
+    path = shared._GIVEN[spark.sparkContext.applicationId][0].removeprefix("file://")
+    assert os.path.isdir(path)
+    assert shared.clear(spark) == 1 and not os.path.exists(path) and shared.clear(spark) == 0
