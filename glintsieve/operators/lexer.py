@@ -1,7 +1,8 @@
 """Views of source lines: what is code, what is a string, a comment or a regular-expression literal.
 
 A file is read once by one scanner pattern per language that jumps from token to token; text between tokens is code. The
-state that crosses lines (open comments, strings, raw strings) is simply the token that is being read.
+state that crosses lines (open comments, strings, raw strings) is simply the token that is being read, so a part of a file
+that begins with a line is read alone, given the token that is open before it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 CODE, STRING, COMMENT, REGEX = range(4)
 
@@ -41,6 +43,14 @@ class Line:
         return "".join(self.code.split())
 
 
+class Open(NamedTuple):
+    """A token that is being read: how it is closed, by what mark, and how deep it is nested."""
+
+    how: str
+    mark: str
+    depth: int = 1
+
+
 @lru_cache
 def _scanner(language: str) -> re.Pattern:
     """Where the next token other than code begins; the group's name is its kind."""
@@ -64,16 +74,32 @@ def _scanner(language: str) -> re.Pattern:
 
 
 @lru_cache
-def _closing(kind: str, mark: str) -> re.Pattern:
-    """The rest of a token up to its end; where that does not come, the rest of the file."""
+def _closing(how: str, mark: str) -> re.Pattern:
+    """The rest of a token up to its end, a group; where that does not come, the rest of the text and no group."""
     end = re.escape(mark)
-    if kind == "plain":  # no escapes
-        return re.compile(rf"[^{end}]*+(?:{end}|\Z)")
-    if kind == "verbatim":
-        return re.compile(r'(?:[^"]|"")*+(?:"|\Z)')
-    if kind == "triple":
-        return re.compile(rf"(?:\\[^\n]?|(?!{end})[^\\])*+(?:{end}|\Z)", re.DOTALL)
-    return re.compile(rf"(?:\\[^\n]?|[^{end}\\])*+(?:{end}|\Z)", re.DOTALL)
+    if how == "plain":  # no escapes
+        return re.compile(rf"[^{end}]*+(?:({end})|\Z)")
+    if how == "verbatim":
+        return re.compile(r'(?:[^"]|"")*+(?:(")|\Z)')
+    if how == "triple":
+        return re.compile(rf"(?:\\[^\n]?|(?!{end})[^\\])*+(?:({end})|\Z)", re.DOTALL)
+    return re.compile(rf"(?:\\[^\n]?|[^{end}\\])*+(?:({end})|\Z)", re.DOTALL)
+
+
+def _closed(text: str, at: int, token: Open, language: str) -> tuple[int, Open | None]:
+    """Where a token that is being read ends, and what is still open at the text's end."""
+    if token.how == "block":
+        depth = token.depth
+        for m in re.compile(r"/\*|\*/" if language in NESTED_COMMENTS else r"\*/").finditer(text, at):
+            depth += 1 if m.group() == "/*" else -1
+            if depth == 0:
+                return m.end(), None
+        return len(text), Open("block", token.mark, depth)
+    if token.how == "raw":
+        end = text.find(token.mark, at)
+        return (end + len(token.mark), None) if end >= 0 else (len(text), token)
+    m = _closing(token.how, token.mark).match(text, at)
+    return m.end(), None if m.group(1) else token
 
 
 _STEPS = {STRING: re.compile(r"\\[^\n]|[^\n]"), COMMENT: re.compile(r"\*/|[^\n]")}
@@ -87,33 +113,28 @@ def split_lines(text: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in lines]
 
 
-def spans(text: str, language: str) -> tuple[list[tuple[int, int, int, int]], bool]:
-    """(start, end, kind, length of the opening mark) of what is not code, and whether the file ends outside of all."""
+def spans(text: str, language: str, before: Open | None = None) -> tuple[list[tuple[int, int, int, int]], bool, Open | None]:
+    """(start, end, kind, length of the opening mark) of what is not code, whether all expressions are closed in their lines, and the token open at the end.
+
+    before: the token that is open where the text begins; its start is -1."""
     out: list[tuple[int, int, int, int]] = []
-    find, at, complete = _scanner(language).search, 0, True
+    find, at, closed, after = _scanner(language).search, 0, True, None
+    if before and text:
+        at, after = _closed(text, 0, before, language)
+        out.append((-1, at, COMMENT if before.how == "block" else STRING, 0))
     while m := find(text, at):
         start, kind = m.start(), m.lastgroup
-        if kind == "hashes":
-            kind = "raw"
         if m.groupdict().get("raw") is not None:
             kind = "raw"
         if kind in ("line", "line2", "bang"):
             at = m.end()
             out.append((start, at, COMMENT, at - start))
         elif kind == "block":
-            at, depth = m.end(), 1
-            for b in re.compile(r"/\*|\*/" if language in NESTED_COMMENTS else r"\*/").finditer(text, at):
-                depth += 1 if b.group() == "/*" else -1
-                at = b.end()
-                if depth == 0:
-                    break
-            if depth:
-                at, complete = len(text), False
+            at, after = _closed(text, m.end(), Open("block", "*/"), language)
             out.append((start, at, COMMENT, 2))
         elif kind == "slash":
             line = text.rfind("\n", 0, start) + 1
-            before = _before(text, line, start, out)
-            if not _REGEX_START.search(before):
+            if not _REGEX_START.search(_before(text, line, start, out)):
                 at = start + 1
                 continue
             literal = _REGEX_LITERAL.match(text, start)
@@ -121,31 +142,21 @@ def spans(text: str, language: str) -> tuple[list[tuple[int, int, int, int]], bo
                 at = literal.end()
             else:
                 end = text.find("\n", start)
-                at, complete = len(text) if end < 0 else end, False
+                at, closed = len(text) if end < 0 else end, False
             out.append((start, at, REGEX, at - start))
         elif kind == "life":
             at = start + 1
         else:
             mark = m.group()
             if kind == "raw":
-                closing = '"' + m.group("hashes")
-                end = text.find(closing, m.end())
-                at, done = (end + len(closing), True) if end >= 0 else (len(text), False)
+                token = Open("raw", '"' + m.group("hashes"))
+            elif kind in ("triple", "verbatim"):
+                token = Open(kind, mark)
             else:
-                how = "triple" if kind == "triple" else "verbatim" if kind == "verbatim" else "plain" if language == "go" and mark == "`" else "escaped"
-                at = _closing(how, mark).match(text, m.end()).end()
-                done = at - m.end() >= len(mark) and text.endswith(mark, m.end(), at) and not (how == "escaped" and _escaped_end(text, m.end(), at))
-            complete &= done
+                token = Open("plain" if language == "go" and mark == "`" else "escaped", mark)
+            at, after = _closed(text, m.end(), token, language)
             out.append((start, at, STRING, m.end() - start))
-    return out, complete
-
-
-def _escaped_end(text: str, start: int, end: int) -> bool:
-    """Whether the last character before end belongs to an escape, so that the string is still open at the file's end."""
-    k = end - 2
-    while k >= start and text[k] == "\\":
-        k -= 1
-    return end == len(text) and (end - 2 - k) % 2 == 1
+    return out, closed, after
 
 
 def _before(text: str, line: int, start: int, found: list[tuple[int, int, int, int]]) -> str:
@@ -178,11 +189,22 @@ def _steps(piece: str, kind: int, opening: int) -> str:
 
 def lex(text: str, language: str) -> tuple[list[Line], bool]:
     """The lines of a file, and whether it ends outside of comments and strings."""
+    lines, closed, after = lex_part(text, language)
+    return lines, closed and after is None
+
+
+def ends(text: str, language: str, before: Open | None = None) -> tuple[bool, Open | None]:
+    """Whether all expressions of a part are closed, and the token open at its end."""
+    return (True, None) if language == "config" else spans(text.replace("\r\n", "\n"), language, before)[1:]
+
+
+def lex_part(text: str, language: str, before: Open | None = None) -> tuple[list[Line], bool, Open | None]:
+    """The lines of a part of a file that begins with a line, given the token open before it; then as spans()."""
     text = text.replace("\r\n", "\n")
     lines = split_lines(text)
     if language == "config":
-        return [config_line(x) for x in lines], True
-    found, complete = spans(text, language)
+        return [config_line(x) for x in lines], True, None
+    found, closed, after = spans(text, language, before)
     out, at, k = [], 0, 0
     for raw in lines:
         end = at + len(raw)
@@ -226,12 +248,12 @@ def lex(text: str, language: str) -> tuple[list[Line], bool]:
         at = end + 1
         while k < len(found) and found[k][1] <= at - 1 and found[k][1] < at:
             k += 1
-    return out, complete
+    return out, closed, after
 
 
 def config_line(raw: str) -> Line:
     """A line of configuration, read on its own: a bare value after = is a literal, a leading export is dropped."""
-    found, _ = spans(raw, "config")
+    found = spans(raw, "config")[0]
     code, visible, masked, literals, comments, pos = [], [], [], [], [], 0
     for a, b, kind, opening in found:
         plain, piece = raw[pos:a], raw[a:b]

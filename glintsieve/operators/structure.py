@@ -100,7 +100,7 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def open_token(text: str, language: str) -> int:
     """The line on which the token begins that a file ends in."""
     text = text.replace("\r\n", "\n")
-    found, _ = lexer.spans(text, language)
+    found = lexer.spans(text, language)[0]
     return text.count("\n", 0, found[-1][0]) + 1 if found else 1
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glintsieve.functions import credentials as C
 from glintsieve.functions import predicates as P
 from glintsieve.functions import text as T
-from glintsieve.operators import rules
+from glintsieve.operators import parts, rules
 from glintsieve.plans import corpus, scan
 from glintsieve.queries.registry import LABELS, PATHS, all_matches, new_findings, paths, query, source_files, source_lines, table
 from glintsieve.sources import languages
@@ -204,6 +204,35 @@ _lexed("l10_raw_strings", "rust", "let a = r#\"x\"y@\"#; fn f<\'a>(x: &\'a str)
 _lexed("l11_regex_literals", "javascript", "var r = /a[/]b/g; x = a / b; t = \"s@\"; return /x/;", [("var r =         ; x = a / b; t = \"s@\"; return    ;", ["\"s@\""])])
 
 
+#: Files whose tokens go on over lines: by extension, the lines that a row adds, with what is visible of them and their literals; @ is the row's key.
+_CROSSING = [
+    ("rs", [('let a_@ = r#"raw @', 'let a_@ = r#"raw @', ['r#"raw @']), ('"still" @"#; /* open /* in */', '"still" @"#; ' + " " * 16, ['"still" @"#']), ("eval */ let b_@ = 1;", " " * 7 + " let b_@ = 1;", [])]),
+    ("py", [("a_@ = \'\'\'open @", "a_@ = \'\'\'open @", ["\'\'\'open @"]), ("# text", "# text", ["# text"]), ("end @\'\'\' # gone", "end @\'\'\'       ", ["end @\'\'\'"])]),
+    ("js", [("a_@ = `open @", "a_@ = `open @", ["`open @"]), ("/* text */ // text", "/* text */ // text", ["/* text */ // text"]), ("` + /x[/]y/; // c", "` +        ;     ", ["`"])]),
+    ("go", [("a_@ := `raw @", "a_@ := `raw @", ["`raw @"]), ('"in" @`; /* note', '"in" @`;' + " " * 8, ['"in" @`']), ('*/ b_@ := "s@"', '   b_@ := "s@"', ['"s@"'])]),
+]
+_CROSSING_SQL = ", ".join(f"({k}, '{e}', {j}, {_text(visible)}, [{', '.join(map(_text, literals))}]::VARCHAR[])" for k, (e, lines) in enumerate(_CROSSING) for j, (_, visible, literals) in enumerate(lines))
+
+
+@query("l02_large_files", f"""
+    WITH placed AS (SELECT o_orderkey, CAST(o_orderkey % {len(_CROSSING)} AS INTEGER) AS kind, o_orderkey // {corpus.KEYS} AS folder FROM orders),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY kind, folder ORDER BY o_orderkey) - 1 AS n FROM placed),
+    crossing(kind, extension, j, visible, literals) AS (VALUES {_CROSSING_SQL})
+    SELECT 'src/m' || CAST(folder AS VARCHAR) || '/large.' || extension AS path, CAST(3 * n + j + 1 AS BIGINT) AS line, replace(visible, '@', CAST(o_orderkey AS VARCHAR)) AS visible,
+           list_transform(literals, lambda x: replace(x, '@', CAST(o_orderkey AS VARCHAR))) AS literals, true AS complete
+    FROM numbered JOIN crossing USING (kind)""")
+def l02_large(spark, sf_dir):
+    """Files lexed by parts of 2,000 characters, most of which begin or end inside of a token."""
+    key = F.col("o_orderkey")
+    own = F.get(F.array(*[F.lit("\n".join(text for text, _, _ in lines)) for _, lines in _CROSSING]), (key % len(_CROSSING)).cast("int"))
+    extension = F.get(F.array(*[F.lit(e) for e, _ in _CROSSING]), (key % len(_CROSSING)).cast("int"))
+    path = F.concat(F.lit("src/m"), F.floor(key / corpus.KEYS).cast("string"), F.lit("/large."), extension)
+    rows = table(spark, sf_dir, "orders").select(path.alias("path"), F.struct(key.alias("k"), F.replace(own, F.lit("@"), key.cast("string")).alias("text")).alias("x"))
+    files = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "\n").alias("content"))
+    views, complete = parts.lexed(files.withColumn("language", languages.language(F.col("path"))), 2000)
+    return views.join(complete, "path").select("path", "line", "visible", "literals", "complete")
+
+
 @query("l12_complete_files", f"{LABELS} SELECT path, true AS complete FROM corpus GROUP BY path")
 def l12(spark, sf_dir):
     return source_lines(spark, sf_dir).groupBy("path").agg(F.bool_and("complete").alias("complete"))
