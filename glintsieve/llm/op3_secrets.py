@@ -3,7 +3,8 @@
 One regular expression finds candidates in every whole text: values assigned to a credential name (in quotes, or bare up to white space or
 a delimiter), private key blocks (with header lines or escaped line ends too), JSON web tokens and long runs with a digit, each of any length. Texts are split at the candidates, which gives each one's offset and
 its neighbouring words. A random forest over the candidate's length, character transitions, dictionary coverage,
-path context and neighbouring words removes false positives. It is grown from labelled findings (FINDINGS, a bounded set
+path context and neighbouring words removes false positives. The dictionary holds the whole words of a public vocabulary file (a parameter of
+whole_words()); coverage is the share of a value in words of it and the share of places where a run of four letters of one begins. It is grown from labelled findings (FINDINGS, a bounded set
 made by rule with a fixed seed) whose features come from the same expressions, and is applied as nested CASE expressions.
 
 Defined results: null and empty texts hold nothing; repeated rows and ids are scanned each; a null doc_id stays null; other columns are
@@ -12,9 +13,11 @@ ignored by the scan and kept by the redaction, where the text of a secret is rep
 
 from __future__ import annotations
 
+import base64
 import json
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +45,37 @@ _VALUE = rf"^{_ASSIGNED}[\"']?([^\"'\s]+)[\"']?$"
 _PROVIDERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{5,}[.][A-Za-z0-9_-]*[.])"
 _HINT = rf"(?i)({_NAMES}|auth|bearer)[^A-Za-z0-9]{{0,6}}$|(?i)({_NAMES}|auth|bearer)[\"' ]{{0,3}}[:=]"
 _HARMLESS = r"(?i)\b(sha-?\d*|md5|checksum|commit|digest|hash|uuid|guid|example|sample|dummy|placeholder|test|integrity|revision|version|build|order|invoice|card|phone|tel|iban|isbn|id)\b"
-#: Word parts that candidates of ordinary text are made of (fixed values).
-_DICTIONARY = "the|and|ing|tion|ment|able|ness|ation|user|name|file|path|data|test|example|config|value|default|index|page|image|style|module|class|function|service|account|number|order|version|build|release|package|placeholder|change|your|here|key|secret|password|token"
-FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "turns", "repeats", "distinct", "dictionary", "hexadecimal", "decimal", "uuid", "provider", "pem", "named", "hint", "harmless", "path", "url", "assigned", "trial", "settings"]
+#: Words of the dictionary: the vocabulary's first whole words by rank, so its size does not depend on the documents.
+WORDS = 4000
+FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "turns", "repeats", "distinct", "dictionary", "familiar", "hexadecimal", "decimal", "uuid", "provider", "pem", "named", "hint", "harmless", "path", "url", "assigned", "trial", "settings"]
+
+
+@lru_cache
+def whole_words(path: str | None = None) -> tuple[str, ...]:
+    """The lower-case words of 4 to 12 letters of a file of ranks (by default that of the vocabulary package), by rank."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in f if line.strip()))
+    found = (re.fullmatch(rb" ([a-z]{4,12})", token) for _, token in ranked)
+    return tuple(m[1].decode() for m in found if m)
+
+
+@lru_cache
+def dictionary() -> tuple[list[str], list[str]]:
+    """The words, and the runs of four letters in them."""
+    words = whole_words()[:WORDS]
+    return list(words), sorted({w[k : k + 4] for w in words for k in range(len(w) - 3)})
+
+
+def _covered(v: Column, n: Column) -> list[Column]:
+    """The share of a value of n characters in words of the dictionary (written apart or in camel case), and of places where a run of one begins."""
+    words, runs = dictionary()
+    apart = F.split(F.lower(F.regexp_replace(v, "(?<=[a-z])(?=[A-Z])", " ")), "[^a-z]+")
+    begun = F.regexp_extract_all(F.lower(v), F.lit("(?=([a-z]{4}))"), F.lit(1))
+    return [F.length(F.array_join(F.filter(apart, lambda w: w.isin(words)), "")) / n, F.size(F.filter(begun, lambda w: w.isin(runs))) / n]
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -69,16 +100,16 @@ def features(hit: Column, left: Column, right: Column, origin: Column) -> list[C
     ]
     return [
         F.length(v).cast("double"), _share(v, "[0-9]"), _share(v, "[A-Z]"), _share(v, "[a-z]"), _share(v, "[^A-Za-z0-9]"), turns / n, _share(v, r"(.)(?=\1)"),
-        F.array_size(F.array_distinct(F.split(v, ""))) / n, _share(v, f"(?i)({_DICTIONARY})"), *[f.cast("double") for f in flags],
+        F.array_size(F.array_distinct(F.split(v, ""))) / n, *_covered(v, n), *[f.cast("double") for f in flags],
     ]
 
 
-def labelled(seed: int = 20240517) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings: candidate, words before, words after, path, and 1 for a secret."""
+def labelled(seed: int = 20240517, odd: bool = False) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings: candidate, words before, words after, path, and 1 for a secret. Words are those of even or of odd places in all of the vocabulary."""
     rng = random.Random(seed)
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexa, alnum, b64, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789"
-    words = _DICTIONARY.split("|") + ["river", "house", "thing", "other", "about", "where", "there", "water", "people", "little"]
+    words = whole_words()[odd::2]
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "API_KEY", "TOKEN", "client_secret", "auth token", "Authorization: Bearer"]
     prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
     case = lambda s: s.upper() if rng.random() < 0.15 else s
@@ -89,6 +120,8 @@ def labelled(seed: int = 20240517) -> list[tuple[str, str, str, str, int]]:
         lambda: (f'{case(rng.choice(["token", "secret", "api_key", "password", "apikey", "access_key"]))}{rng.choice([" = ", "=", ": "])}"{case(pick(hexa, rng.choice([32, 40, 40, 64])))}"', prose() + " ", " " + prose()),
         lambda: (f'{rng.choice(["token", "secret", "api_key", "password", "passwd", "pwd"])}{rng.choice([" = ", "=", ": "])}"{pick(alnum + "!#%&", rng.randint(10, 40))}"', prose() + " ", " " + prose()),
         lambda: (f'{rng.choice(["token", "secret", "api_key", "password", "passwd", "API_KEY", "TOKEN", "client_secret", "DB_PASSWORD"])}{rng.choice(["=", "=", ": "])}{rng.choice([pick(rng.choice([hexa, alnum, alnum + "!#%@$*"]), rng.randint(7, 48)) + pick(digits, 1), chunks()])}', prose() + rng.choice([" ", "\n", "?", "&"]), rng.choice([" ", "\n", "&"]) + prose()),
+        # passwords that people make: words with digits between and behind them
+        lambda: (f'{rng.choice(["password", "passwd", "pwd", "DB_PASSWORD", "secret"])}{rng.choice(["=", ": ", " = "])}{"".join(rng.choice(words) + pick(digits, rng.randint(1, 4)) for _ in range(rng.randint(2, 4)))}', prose() + rng.choice([" ", chr(10)]), rng.choice([" ", chr(10)]) + prose()),
         lambda: (pick(b64, rng.choice([32, 40, 44])) + "1", f"{prose()} {rng.choice(names)}={rng.choice(['', chr(34)])}", " " + prose()),
         lambda: ("AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "7", prose() + " ", " " + prose()),
         lambda: ("ghp_" + pick(alnum, 35) + "3", prose() + " ", " " + prose()),

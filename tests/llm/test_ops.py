@@ -249,7 +249,7 @@ def test_op3_many_candidates_are_found_in_order(spark):
 def test_op3_held_out_findings(spark):
     from glintsieve.llm import forest
 
-    x, y = op3_secrets.examples(spark, op3_secrets.labelled(seed=7))
+    x, y = op3_secrets.examples(spark, op3_secrets.labelled(seed=7, odd=True))  # no word of theirs is in the findings that the forest is grown from
     grown = op3_secrets.trees(spark)
     said = np.array([forest.predict(grown, row) >= op3_secrets.THRESHOLD for row in x])
     precision, recall = (said & (y > 0)).sum() / said.sum(), (said & (y > 0)).sum() / (y > 0).sum()
@@ -257,6 +257,29 @@ def test_op3_held_out_findings(spark):
     assert precision > 0.95 and recall > 0.95
 
 
+def test_op3_dictionary_coverage(spark):
+    values = ["changeGentleStadium", "gentle_stadium_7", "qzxvkwjpqzxv1234", "gentlestadium", "", "0123456789"]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    n = F.greatest(F.length("v"), F.lit(1))
+    got = [tuple(r) for r in frame.select(*op3_secrets._covered(F.col("v"), n)).collect()]
+    words, runs = op3_secrets.dictionary()
+
+    def plain(v):
+        apart = re.split("[^a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", v).lower())
+        begun = [v.lower()[k : k + 4] for k in range(len(v) - 3)]
+        return sum(len(w) for w in apart if w in set(words)) / max(len(v), 1), sum(g in set(runs) for g in begun) / max(len(v), 1)
+
+    assert len(words) == op3_secrets.WORDS and got == [plain(v) for v in values]
+    assert got[0][0] == 1 and got[3][0] == 0 < got[3][1] and got[2] == got[4] == got[5] == (0, 0)
+
+
+def test_op3_repeated_rows_and_null_ids_are_scanned_each(spark):
+    text = 'token = "0123456789abcdef0123456789abcdef01234567"'
+    frame = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
+    assert collections.Counter(r.doc_id for r in op3_secrets.findings(frame).collect()) == {1: 2, None: 1}
+    assert sorted(r.text for r in op3_secrets.redacted(frame).collect() if r.text) == [f'token = "{op3_secrets.MARK}"'] * 3
+
+
 def test_op3_forest_is_the_same_on_the_driver_and_in_sql(spark):
     from glintsieve.llm import forest
 
