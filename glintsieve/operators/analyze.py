@@ -8,7 +8,8 @@ from __future__ import annotations
 import gc
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import accumulate
 
@@ -57,11 +58,15 @@ SCHEMA = pa.schema([
     ("literals", pa.list_(pa.string())), ("comments", pa.string()), ("path_call", pa.bool_()), ("formatter_near", pa.bool_()), ("classes", pa.list_(pa.string())), ("reliable", pa.bool_()),
     ("scope_start", pa.int32()), ("scope_end", pa.int32()), ("shell", pa.bool_()), ("shadowed", pa.bool_()), ("flows", pa.list_(FLOW)), ("parsed", pa.bool_()), ("complete", pa.bool_()), ("error_nodes", pa.int32()),
 ])
-SQL_SCHEMA = (
-    "path string, language string, line int, text string, code string, visible string, masked string, compact string, literals array<string>, comments string, path_call boolean, formatter_near boolean, "
-    "classes array<string>, reliable boolean, scope_start int, scope_end int, shell boolean, shadowed boolean, flows array<struct<rule_id:string,steps:array<struct<line:int,kind:string>>,depth:int,remote:boolean>>, "
-    "parsed boolean, complete boolean, error_nodes int"
-)
+KINDS = {
+    "path": "string", "language": "string", "line": "int", "text": "string", "code": "string", "visible": "string", "masked": "string", "compact": "string",
+    "literals": "array<string>", "comments": "string", "path_call": "boolean", "formatter_near": "boolean", "classes": "array<string>", "reliable": "boolean",
+    "scope_start": "int", "scope_end": "int", "shell": "boolean", "shadowed": "boolean", "flows": "array<struct<rule_id:string,steps:array<struct<line:int,kind:string>>,depth:int,remote:boolean>>",
+    "parsed": "boolean", "complete": "boolean", "error_nodes": "int",
+}
+#: What the lexer tells of a line, and what takes flows; the other columns take the syntax facts.
+LEXED = {"path", "language", "line", "text", "code", "visible", "masked", "compact", "literals", "comments", "formatter_near", "complete"}
+FLOWING = {"flows"}
 MATCHES = pa.schema([
     ("path", pa.string()), ("language", pa.string()), ("line", pa.int32()), ("text", pa.string()), ("compact", pa.string()), ("comments", pa.string()), ("reliable", pa.bool_()), ("shell", pa.bool_()),
     ("emit_ord", pa.int32()), ("rule_id", pa.string()), ("evidence", pa.struct([("steps", pa.list_(STEP)), ("depth", pa.int32()), ("remote", pa.bool_())])),
@@ -107,26 +112,50 @@ def telling(lines: list[Line]) -> dict[int, int]:
     return found
 
 
+def lexed_file(path: str, language: str, content: str) -> tuple[str, list[Line], bool]:
+    """What of a file is read (its script, if it is a page), its lines, and whether it ends outside of strings and comments."""
+    script = script_source(path, content)
+    content = content if script is None else script
+    return content, *prepared(content, language)
+
+
+def read_facts(path: str, language: str, content: str, lines: list[Line], complete: bool) -> syntax.Facts:
+    return syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
+
+
+def mark_paths(lines: list[Line], facts: syntax.Facts) -> None:
+    """Marks the lines with a call that opens a path which is more than a literal."""
+    for call in facts.calls:
+        if call.line <= len(lines) and reads_variable_path(call):
+            lines[call.line - 1].path_call = True
+
+
 def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, dict[int, list[Rule]]]:
     """Lines, whether the file ends outside of strings and comments, facts, evidence by line and rule, and by telling line the rules that match it.
 
     matching: a file without a telling line is not parsed, as nothing can be found in it.
     """
-    script = script_source(path, content)
-    content = content if script is None else script
-    lines, complete = prepared(content, language)
+    content, lines, complete = lexed_file(path, language, content)
     some = telling(lines)
     if matching and not some and _COMMAND_MODULE not in content:
         return lines, complete, syntax.Facts(parsed=False), {}, {}
-    facts = syntax.read(path, content, language, lines, complete) if language != "config" else syntax.Facts(parsed=False)
-    for call in facts.calls:
-        if call.line <= len(lines) and reads_variable_path(call):
-            lines[call.line - 1].path_call = True
+    facts = read_facts(path, language, content, lines, complete)
+    mark_paths(lines, facts)
     fired = {number: [rule for k, rule in enumerate(RULES) if mask >> k & 1 and rule.predicate.test(lines[number - 1])] for number, mask in some.items()}
     found = taint.flows(lines, facts, language, fired, between_functions) if facts.parsed else {}
     return lines, complete, facts, found, fired
 
 
+@contextmanager
+def _without_collector() -> Iterator[None]:
+    """A syntax tree is many objects without cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _steps(e: taint.Evidence) -> dict:
     return {"steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote}
 
@@ -167,11 +196,8 @@ def match_rows(files: DataFrame, between_functions: bool = False, parse_all: boo
         for rows in batches:
             for k in range(rows.num_rows):  # one file's text at a time
                 path, language, content = (rows.column(c)[k].as_py() for c in ("path", "language", "content"))
-                gc.disable()  # a syntax tree is many objects without cycles
-                try:
+                with _without_collector():
                     held += matches_of(path, language, content, between_functions, parse_all)
-                finally:
-                    gc.enable()
                 if len(held) > 20_000:
                     yield batch()
         if held:
@@ -194,54 +220,81 @@ def matches_of(path: str, language: str | None, content: str | None, between_fun
 
 
 class Columns:
-    """Line rows, gathered by column."""
+    """Line rows, gathered by column; what no column asks for is not worked out."""
 
-    def __init__(self) -> None:
-        self.values: list[list] = [[] for _ in SCHEMA]
+    def __init__(self, names: Sequence[str] = tuple(KINDS)) -> None:
+        self.schema = pa.schema([SCHEMA.field(n) for n in names])
+        self.values: dict[str, list] = {n: [] for n in names}
+        self.flowing = not FLOWING.isdisjoint(names)
+        self.reading = not LEXED.issuperset(names)
 
     def __len__(self) -> int:
-        return len(self.values[0])
+        return len(next(iter(self.values.values())))
 
     def add(self, path: str, language: str, content: str, between_functions: bool, matching: bool) -> None:
         """The rows of a file; matching: only those of lines that a rule may match."""
-        lines, complete, facts, found, some = analyse_file(path, language, content, between_functions, matching)
+        facts, found = syntax.Facts(parsed=False), {}
+        if matching or self.flowing:
+            lines, complete, facts, found, some = analyse_file(path, language, content, between_functions, matching)
+        else:
+            content, lines, complete = lexed_file(path, language, content)
+            if self.reading:
+                facts = read_facts(path, language, content, lines, complete)
+            if "path_call" in self.values:
+                mark_paths(lines, facts)
         evidence: dict[int, list[dict]] = {}
         for (number, rule), e in sorted(found.items()):
             evidence.setdefault(number, []).append({"rule_id": rule, **_steps(e)})
         wanted = sorted(some.keys() | evidence.keys() | facts.command_calls.keys()) if matching else range(1, len(lines) + 1)
-        rows = []
-        for number in wanted:
-            x = lines[number - 1]
-            scope = facts.scope(number) if facts.parsed else syntax.MODULE
-            rows.append((
-                path, language, number, x.text, x.code, x.visible, x.masked, x.compact, x.literals, x.comments, x.path_call, x.formatter_near, sorted(facts.classes.get(number, ())),
-                facts.parsed and facts.reliable(number), scope[0], scope[1], facts.command_calls.get(number), number in facts.shadowed, evidence.get(number, []), facts.parsed, complete, facts.error_nodes,
-            ))
-        for column, values in zip(self.values, zip(*rows)):
-            column.extend(values)
+        rows = [lines[number - 1] for number in wanted] if matching else lines
+        scope = facts.scope if facts.parsed else lambda _: syntax.MODULE
+        for name, values in self.values.items():
+            match name:
+                case "path" | "language" | "parsed" | "complete" | "error_nodes":
+                    values += [{"path": path, "language": language, "parsed": facts.parsed, "complete": complete, "error_nodes": facts.error_nodes}[name]] * len(rows)
+                case "line":
+                    values += wanted
+                case "classes":
+                    values += [sorted(facts.classes.get(k, ())) for k in wanted]
+                case "reliable":
+                    values += [facts.parsed and facts.reliable(k) for k in wanted]
+                case "scope_start" | "scope_end":
+                    values += [scope(k)[name == "scope_end"] for k in wanted]
+                case "shell":
+                    values += [facts.command_calls.get(k) for k in wanted]
+                case "shadowed":
+                    values += [k in facts.shadowed for k in wanted]
+                case "flows":
+                    values += [evidence.get(k, []) for k in wanted]
+                case _:
+                    values += [getattr(x, name) for x in rows]
 
     def batch(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(self.values, SCHEMA)], schema=SCHEMA)
-        self.values = [[] for _ in SCHEMA]
+        out = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(self.values.values(), self.schema)], schema=self.schema)
+        self.values = {n: [] for n in self.values}
         return out
 
 
-def line_rows(files: DataFrame, between_functions: bool = False, matching: bool = False) -> DataFrame:
-    """One row a line of the files (path, language, content); matching: only the lines that a rule may match, which leaves the findings as they are."""
+def line_rows(files: DataFrame, between_functions: bool = False, matching: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row a line of the files (path, language, content); matching: only the lines that a rule may match, which leaves the findings as they are.
+
+    columns: those that are asked for, all by default. Files are parsed, and flows looked for, only if one of them takes it."""
+    names = tuple(columns or KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Columns()
+        held = Columns(names)
         for batch in batches:
             for k in range(batch.num_rows):  # one file's text at a time
                 path, language, content = (batch.column(c)[k].as_py() for c in ("path", "language", "content"))
                 if language is not None:
-                    held.add(path, language, content or "", between_functions, matching)
+                    with _without_collector():
+                        held.add(path, language, content or "", between_functions, matching)
                 if len(held) > 20_000:
                     yield held.batch()
         if len(held):
             yield held.batch()
 
-    return files.select("path", "language", "content").mapInArrow(run, SQL_SCHEMA)
+    return files.select("path", "language", "content").mapInArrow(run, ", ".join(f"{n} {KINDS[n]}" for n in names))
 
 
 def fact_rows(files: DataFrame) -> DataFrame:
@@ -249,18 +302,30 @@ def fact_rows(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "kind", "name", "qualified", "items", "text", "line", "start", "end"]
-        schema = pa.schema([(n, pa.list_(pa.string()) if n == "items" else pa.int32() if n in ("line", "start", "end") else pa.string()) for n in names])
+        kinds = [pa.list_(pa.string()) if n == "items" else pa.int32() if n in ("line", "start", "end") else pa.string() for n in names]
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[] for _ in names]
+            out = pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, kinds)], names=names)
+            rows.clear()
+            return out
+
         for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                if x["language"] in (None, "config"):
+            for k in range(batch.num_rows):  # one file's text at a time
+                path, language, content = (batch.column(c)[k].as_py() for c in ("path", "language", "content"))
+                if language in (None, "config"):
                     continue
-                _, _, facts, _, _ = analyse_file(x["path"], x["language"], x["content"] or "", False)
-                rows += [dict(zip(names, (x["path"], "function", f.name, f.name, f.params, None, f.start, f.start, f.end))) for f in facts.functions]
-                rows += [dict(zip(names, (x["path"], "call", c.name, c.qualified, c.args, c.first, c.line, min(c.scope[0], 1 << 30), min(c.scope[1], 1 << 30)))) for c in facts.calls]
-                rows += [dict(zip(names, (x["path"], "interpolation", None, None, [], t, k, k, k))) for k, texts in sorted(facts.interpolations.items()) for t in texts]
-                rows += [dict(zip(names, (x["path"], "repair", None, None, [], None, None, a, b))) for a, b in facts.repairs]
-                rows += [dict(zip(names, (x["path"], "uncertain", None, None, [], None, a, a, b))) for a, b in facts.uncertain]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                with _without_collector():
+                    facts = read_facts(path, language, *lexed_file(path, language, content or ""))
+                rows += [(path, "function", f.name, f.name, f.params, None, f.start, f.start, f.end) for f in facts.functions]
+                rows += [(path, "call", c.name, c.qualified, c.args, c.first, c.line, min(c.scope[0], 1 << 30), min(c.scope[1], 1 << 30)) for c in facts.calls]
+                rows += [(path, "interpolation", None, None, [], t, k, k, k) for k, texts in sorted(facts.interpolations.items()) for t in texts]
+                rows += [(path, "repair", None, None, [], None, None, a, b) for a, b in facts.repairs]
+                rows += [(path, "uncertain", None, None, [], None, a, a, b) for a, b in facts.uncertain]
+                if len(rows) > 20_000:
+                    yield made()
+        if rows:
+            yield made()
 
     return files.select("path", "language", "content").mapInArrow(run, FACTS_SCHEMA)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintsieve.sinks.shared import written
+
 
 def _level(lo: str, hi: str) -> str:
     """The binary logarithm of the interval's length, rounded up."""
@@ -23,6 +25,7 @@ def _level(lo: str, hi: str) -> str:
 def stabbed(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, lo: str, hi: str) -> DataFrame:
     """Every pair of a point and an interval of its keys that holds it: the columns of both. Column names beside the keys must differ."""
     i = intervals.filter(f"`{lo}` <= `{hi}`").withColumns({lo: F.col(lo).cast("long"), hi: F.col(hi).cast("long")}).withColumn("_level", F.expr(_level(lo, hi)))
+    i = written(i, "intervals")  # read twice, and what makes them may be work
     levels = sorted(r[0] for r in i.select("_level").distinct().collect())  # 64 at most
     i = i.withColumn("_cell", F.explode(F.expr(f"array_distinct(array(shiftright(`{lo}`, _level), shiftright(`{hi}`, _level)))")))
     asked = F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))

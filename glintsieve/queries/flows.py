@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 from glintsieve.operators import analyze, facts, stabbing, taint
-from glintsieve.queries.registry import LABELS, kept, new_findings, query, source_files, source_lines, table
+from glintsieve.queries.registry import LABELS, customers, kept, new_findings, query, source_files, source_lines
 
 
 def _facts(spark, sf_dir):
@@ -57,7 +57,7 @@ def _sample_files(spark, sf_dir):
     key = F.col("c_custkey")
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (key % len(SAMPLES)).cast("int"))
     path = F.concat(F.lit("g/"), key.cast("string"), F.lit("."), pick([x.extension for x in SAMPLES]))
-    return table(spark, sf_dir, "customer").select(path.alias("path"), pick([x.language for x in SAMPLES]).alias("language"), F.replace(pick([x.text for x in SAMPLES]), F.lit("@"), key.cast("string")).alias("content"))
+    return customers(spark, sf_dir).select(path.alias("path"), pick([x.language for x in SAMPLES]).alias("language"), F.replace(pick([x.text for x in SAMPLES]), F.lit("@"), key.cast("string")).alias("content"))
 
 
 def _rows(values: list[tuple]) -> str:
@@ -110,11 +110,11 @@ def _chain_files(spark, sf_dir):
     key = F.col("c_custkey")
     texts = [_CHAIN.replace("{source}", s).replace("{step}", t) for s, t, _, _ in _CHAINS]
     content = F.replace(F.get(F.array(*[F.lit(t) for t in texts]), (key % 4).cast("int")), F.lit("@"), key.cast("string"))
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+    return customers(spark, sf_dir).select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
 
 
 def chains(spark, sf_dir, between: bool = False):
-    return kept(spark, sf_dir, f"chains-{between}", lambda: analyze.line_rows(_chain_files(spark, sf_dir), between))
+    return kept(spark, sf_dir, f"chains-{between}", lambda: analyze.line_rows(_chain_files(spark, sf_dir), between, columns=["path", "line", "flows"]))
 
 
 def _chain_flows(spark, sf_dir, between: bool = False):
@@ -129,7 +129,7 @@ _PATH = "'c/' || CAST(c_custkey AS VARCHAR) || '.py' AS path"
 def a06(spark, sf_dir):
     key = F.col("c_custkey")
     content = F.replace(F.lit(_CHAIN.replace("{source}", "x").replace("{step}", "1")), F.lit("@"), key.cast("string"))
-    f = table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+    f = customers(spark, sf_dir).select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
     return analyze.fact_rows(f).filter("kind = 'function'").select("path", "name", F.col("items").alias("params"), F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
@@ -142,7 +142,7 @@ def a07(spark, sf_dir):
 @query("a08_scopes", f"SELECT {_PATH}, CAST(n AS INTEGER) AS line, CASE WHEN n IN (3, 4) THEN 3 ELSE 1 END AS scope_start FROM customer, range(1, 8) AS t(n)")
 def a08(spark, sf_dir):
     """The innermost function around each line, by stabbing; the module where there is none."""
-    x = chains(spark, sf_dir).select("path", "line")
+    x = analyze.line_rows(_chain_files(spark, sf_dir), columns=["path", "line"])
     f = analyze.fact_rows(_chain_files(spark, sf_dir)).filter("kind = 'function'").select("path", "start", "end")
     return stabbing.innermost(x, f, ["path"], "line", "start", "end").select("path", "line", F.coalesce("start", F.lit(1)).cast("int").alias("scope_start"))
 
@@ -155,7 +155,7 @@ def _each(name: str, sql: str, extension: str, content: str, pick) -> None:
     def run(spark, sf_dir):
         key = F.col("c_custkey").cast("string")
         path, text = F.concat(F.lit("c/"), key, F.lit(f".{extension}")), F.replace(F.lit(content), F.lit("@"), key)
-        return pick(table(spark, sf_dir, "customer").select(path.alias("path"), F.lit(language).alias("language"), text.alias("content")))
+        return pick(customers(spark, sf_dir).select(path.alias("path"), F.lit(language).alias("language"), text.alias("content")))
 
 
 _each("a09_interpolations", "SELECT path, 1 AS line, t AS text FROM files, (VALUES (1), (2)) AS l(n), LATERAL (SELECT CASE n WHEN 1 THEN '{name_' || CAST(k AS VARCHAR) || '}' ELSE '{other}' END AS t)", "py", "x = f'{name_@} and {other}'\n", lambda f: analyze.fact_rows(f).filter("kind = 'interpolation'").select("path", "line", "text"))
@@ -228,7 +228,7 @@ def t09(spark, sf_dir):
     key = F.col("c_custkey")
     steps = F.transform(F.sequence(F.lit(1), (key % 20 + 1).cast("int")), lambda k: F.concat(F.lit("v"), k.cast("string"), F.lit(" = v"), (k - 1).cast("string"), F.lit("\n")))
     content = F.concat(F.lit("v0 = request.args['x']\n"), F.array_join(steps, ""), F.lit("eval(v"), (key % 20 + 1).cast("string"), F.lit(")\n"))
-    f = table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+    f = customers(spark, sf_dir).select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
     e = F.col("evidence")
     return analyze.match_rows(f).select("path", e["depth"].alias("depth"), F.size(e["steps"]).alias("kept"), F.get(e["steps"], F.lit(0))["kind"].alias("first"), F.element_at(e["steps"], -1)["kind"].alias("last"))
 
@@ -248,7 +248,7 @@ def t12(spark, sf_dir):
     """Every other file has a line that can't be read: what was known before it is known no longer."""
     key = F.col("c_custkey")
     content = F.concat(F.lit("x = request.args['a']\neval(x)\ny = x\n"), F.when(key % 2 == 0, "z = 1\n").otherwise("def (:\n"), F.lit("eval(y)\n"))
-    f = table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+    f = customers(spark, sf_dir).select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
     return analyze.line_rows(f).select("path", "line", "reliable", F.size("flows").alias("n_flows"))
 
 

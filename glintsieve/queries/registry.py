@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of customer, dealt out: the table is narrow and comes as few tasks, but the file that a query makes of a row is work."""
+    return table(spark, sf_dir, "customer").select("c_custkey").repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -9,7 +9,7 @@ from glintsieve.functions.globs import to_regex
 from glintsieve.operators import analyze, stabbing
 from glintsieve.plans import baseline, corpus, dependencies, scan, scoring
 from glintsieve.queries.inputs import _npm, _requirements
-from glintsieve.queries.registry import FOLDERS, LABELS, NAMES, PATHS, all_matches, new_findings, paths, query, source_files, source_lines, table, values
+from glintsieve.queries.registry import FOLDERS, LABELS, NAMES, PATHS, all_matches, customers, new_findings, paths, query, source_files, source_lines, table, values
 from glintsieve.sinks import shared
 from glintsieve.sources import manifests, tree
 
@@ -91,7 +91,7 @@ _FILES = "WITH files AS (SELECT c_custkey AS k, 'c/' || CAST(c_custkey AS VARCHA
 def _made(spark, sf_dir, language: str, content):
     """A file for each customer; content is an expression over its key k."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), k.cast("string"), F.lit({"python": ".py", "csharp": ".cs", "c": ".c"}[language])).alias("path"), F.lit(language).alias("language"), content(k).alias("content"))
+    return customers(spark, sf_dir).select(F.concat(F.lit("c/"), k.cast("string"), F.lit({"python": ".py", "csharp": ".cs", "c": ".c"}[language])).alias("path"), F.lit(language).alias("language"), content(k).alias("content"))
 
 
 @query("j07_first_function", f"{_FILES} SELECT path || '.py' AS path, CAST(2 + k % 5 AS INTEGER) AS line FROM files")

@@ -65,3 +65,18 @@ def test_the_shared_folder_is_cleared(spark, monkeypatch):
     path = shared._GIVEN[spark.sparkContext.applicationId][0].removeprefix("file://")
     assert os.path.isdir(path)
     assert shared.clear(spark) == 1 and not os.path.exists(path) and shared.clear(spark) == 0
+
+
+def test_intervals_are_worked_out_once(spark):
+    """What makes the intervals may be a pass over files: it does not run for the levels and again for the join."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    i = spark.range(0, 50, 1, 2).selectExpr("id % 3 as key", "id as lo", "id + 5 as hi").mapInArrow(counted, "key long, lo long, hi long")
+    p = spark.range(100).selectExpr("id % 3 as key", "id as at")
+    assert stabbing.stabbed(p, i, ["key"], "at", "lo", "hi").count() == 100
+    assert runs.value == 50

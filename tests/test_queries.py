@@ -59,3 +59,13 @@ def test_findings_are_not_cut_at_larger_sizes(spark):
         order = [[d[0] for d in result.description].index(c) for c in columns]
         expected = sorted(tuple(norm(r[k]) for k in order) for r in result.fetchall())
         assert sorted(tuple(norm(r[c]) for c in columns) for r in frame.collect()) == expected
+
+
+def test_files_made_of_a_narrow_table_are_dealt_out(spark):
+    """customer is read by one task; the files that are made of its rows are analysed by many."""
+    from glintsieve.queries import registry
+
+    keys = registry.customers(spark, SMALL)
+    assert registry.table(spark, SMALL, "customer").rdd.getNumPartitions() == 1
+    sizes = keys.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == registry.table(spark, SMALL, "customer").count() and len(sizes) == 8 and max(sizes) < sum(sizes) / 3
