@@ -20,6 +20,12 @@ def metrics(labels: DataFrame, predictions: DataFrame, unit: list[str], by: list
     return out.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("false_positive_rate"))
 
 
-def unscored(labels: DataFrame, predictions: DataFrame, unit: list[str]) -> DataFrame:
-    """Predictions that no label speaks of."""
-    return predictions.select(*unit).distinct().join(labels.select(*unit).distinct(), unit, "left_anti")
+def unscored(labels: DataFrame, predictions: DataFrame, place: list[str], rule: str, rules: str) -> DataFrame:
+    """Predictions (place, rule) that no label speaks of. labels: rows of a place with the array of the rules that it was judged for.
+
+    Labels are many and look small before they are read (an array of fixed values counts for nothing in Spark's estimate), so both sides
+    are dealt and sorted; they never go to the driver or to one task as a whole."""
+    judged = labels.select(*place, F.col(rules).alias("_rules")).hint("merge")
+    own = predictions.select(*place, rule).distinct()
+    met = [own[c] == judged[c] for c in place]
+    return own.join(judged, [*met, F.array_contains(judged["_rules"], own[rule])], "left_anti")

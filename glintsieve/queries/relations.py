@@ -150,7 +150,8 @@ def j11(spark, sf_dir):
 
 @query("j12_unscored", f"{_SCORES} SELECT rule_id, path, line FROM hits WHERE (rule_id, path, line) NOT IN (SELECT (rule_id, path, line) FROM labels)")
 def j12(spark, sf_dir):
-    return scoring.unscored(_labels(spark, sf_dir), _hits(spark, sf_dir), ["rule_id", "path", "line"])
+    labels = corpus.rows(spark, sf_dir).select("path", "line", F.array(*[F.lit(r) for r in LABELLED]).alias("rules"))  # every line is judged for every one of them
+    return scoring.unscored(labels, _hits(spark, sf_dir), ["path", "line"], "rule_id", "rules").select("rule_id", "path", "line")
 
 
 def _formatter(spark, sf_dir):

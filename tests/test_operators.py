@@ -80,3 +80,14 @@ def test_intervals_are_worked_out_once(spark):
     p = spark.range(100).selectExpr("id % 3 as key", "id as at")
     assert stabbing.stabbed(p, i, ["key"], "at", "lo", "hi").count() == 100
     assert runs.value == 50
+
+
+def test_labels_are_not_broadcast(spark):
+    """However small the labels look, what is unscored is found by dealing both sides."""
+    from glintsieve.plans import scoring
+
+    labels = spark.createDataFrame([("a", 1, ["X", "Y"]), ("a", 2, []), ("b", 1, None), (None, 1, ["X"])], "path string, line int, rules array<string>")
+    found = spark.createDataFrame([("a", 1, "X"), ("a", 1, "Z"), ("a", 1, "Z"), ("a", 2, "X"), ("b", 1, "X"), ("c", 1, "Y"), (None, 1, "X")], "path string, line int, rule_id string")
+    out = scoring.unscored(labels, found, ["path", "line"], "rule_id", "rules")
+    assert sorted(((r.path or "", r.line, r.rule_id) for r in out.collect())) == [("", 1, "X"), ("a", 1, "Z"), ("a", 2, "X"), ("b", 1, "X"), ("c", 1, "Y")]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
