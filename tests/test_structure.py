@@ -54,3 +54,22 @@ def test_long_files_are_linear():
         seconds.append(time.time() - start)
         assert len(facts.functions) == n
     assert seconds[1] < 10 * seconds[0]
+
+
+def test_only_what_is_asked_for_is_worked_out(monkeypatch):
+    """Columns of the lexer do not parse, columns of facts look for no flows, and each is what it is in the whole row."""
+    text = "x = request.args['a']\nif x:\n    open(x)  # y\neval(x)\n"
+    whole = analyze.Columns()
+    whole.add("a.py", "python", text, False, False)
+    assert [len(v) for v in whole.values["flows"]] == [0, 0, 1, 1]
+
+    def not_asked(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(analyze.taint, "flows", not_asked)
+    for names in (sorted(set(analyze.KINDS) - analyze.FLOWING), ["path", "path_call"], ["line", "classes"], sorted(analyze.LEXED), ["complete"]):
+        if analyze.LEXED.issuperset(names):
+            monkeypatch.setattr(analyze, "read_facts", not_asked)
+        part = analyze.Columns(names)
+        part.add("a.py", "python", text, False, False)
+        assert part.values == {n: whole.values[n] for n in names} and part.batch().num_rows == 4
