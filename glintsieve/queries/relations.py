@@ -264,7 +264,7 @@ def w02(spark, sf_dir):
 @query("w03_proximity", f"{_FILES} SELECT path || '.cs' AS path, CAST(n AS INTEGER) AS line, n - 1 <= 20 AS near FROM files, range(1, 32) AS t(n) WHERE n <= k % 30 + 2")
 def w03(spark, sf_dir):
     """The lines within reach of the last constructor."""
-    return analyze.line_rows(_formatter(spark, sf_dir)).select("path", "line", F.col("formatter_near").alias("near"))
+    return analyze.line_rows(_formatter(spark, sf_dir), columns=["path", "line", "formatter_near"]).select("path", "line", F.col("formatter_near").alias("near"))
 
 
 @query("w04_byte_budget", f"{LABELS}, f AS (SELECT path, sum(octet_length(encode(text)) + 1) - 1 AS n FROM corpus GROUP BY path), r AS (SELECT *, sum(n) OVER (ORDER BY string_split(path, '/')) AS total FROM f) SELECT path, CAST(n AS BIGINT) AS n FROM r WHERE total <= 20000")
@@ -291,7 +291,7 @@ def w06(spark, sf_dir):
 def w07(spark, sf_dir):
     """Lines inside of a block comment that goes over several of them."""
     x = _made(spark, sf_dir, "c", lambda k: F.concat(F.lit("a();\n/* b();\n"), F.repeat(F.lit("c();\n"), (k % 7).cast("int")), F.lit("*/\nd();\n")))
-    return analyze.line_rows(x).select("path", "line", (F.col("comments") != "").alias("inside"))
+    return analyze.line_rows(x, columns=["path", "line", "comments"]).select("path", "line", (F.col("comments") != "").alias("inside"))
 
 
 # --- order, limit, sets --------------------------------------------------------------------------
