@@ -89,7 +89,7 @@ def a03(spark, sf_dir):
 @query("a04_allowed", f"{_SAMPLES_SQL} SELECT DISTINCT path, line FROM files JOIN calls USING (n)")
 def a04(spark, sf_dir):
     """The lines on which rules for calls may fire, by the calls that the grammars find."""
-    x = analyze.line_rows(_sample_files(spark, sf_dir)).filter("parsed and array_contains(classes, 'C')")
+    x = analyze.line_rows(_sample_files(spark, sf_dir), columns=["path", "language", "line", "text", "parsed", "classes"]).filter("parsed and array_contains(classes, 'C')")
     # the line that is only a member access counts as a call in Ruby
     return x.filter("not (language = 'ruby' and text like '%items.each%')").select("path", "line")
 
@@ -97,7 +97,7 @@ def a04(spark, sf_dir):
 @query("a05_uncertain", f"{_SAMPLES_SQL} SELECT path, n_lines, coalesce(sum(last - first + 1), 0) AS unreliable, true AS parsed FROM files JOIN sizes USING (n) LEFT JOIN uncertain USING (n) GROUP BY path, n_lines")
 def a05(spark, sf_dir):
     """Lines in uncertain ranges; the rest of each file is read."""
-    return analyze.line_rows(_sample_files(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("reliable")).alias("unreliable"), F.bool_and("parsed").alias("parsed"))
+    return analyze.line_rows(_sample_files(spark, sf_dir), columns=["path", "reliable", "parsed"]).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("reliable")).alias("unreliable"), F.bool_and("parsed").alias("parsed"))
 
 
 _CHAIN = 'a_@ = {source}["x"]\nb_@ = {step}\ndef helper(p_@):\n    return eval(p_@)\nif True:\n    eval(b_@)\nhelper(a_@)'
@@ -160,8 +160,8 @@ def _each(name: str, sql: str, extension: str, content: str, pick) -> None:
 
 _each("a09_interpolations", "SELECT path, 1 AS line, t AS text FROM files, (VALUES (1), (2)) AS l(n), LATERAL (SELECT CASE n WHEN 1 THEN '{name_' || CAST(k AS VARCHAR) || '}' ELSE '{other}' END AS t)", "py", "x = f'{name_@} and {other}'\n", lambda f: analyze.fact_rows(f).filter("kind = 'interpolation'").select("path", "line", "text"))
 _JS = "const {exec: run@, spawn} = require('child_process');\nimport * as cp from 'node:child_process';\nrun@(a);\nspawn('ls');\ncp.execSync(b);\nfunction f(run@) { run@(a); }\n"
-_each("a10_command_bindings", "SELECT path, line, shell FROM files, (VALUES (3, true), (4, false), (5, true)) AS l(line, shell)", "js", _JS, lambda f: analyze.line_rows(f).filter("shell is not null").select("path", "line", "shell"))
-_each("a11_shadowing", "SELECT path, 6 AS line FROM files", "js", _JS, lambda f: analyze.line_rows(f).filter("shadowed").select("path", "line"))
+_each("a10_command_bindings", "SELECT path, line, shell FROM files, (VALUES (3, true), (4, false), (5, true)) AS l(line, shell)", "js", _JS, lambda f: analyze.line_rows(f, columns=["path", "line", "shell"]).filter("shell is not null").select("path", "line", "shell"))
+_each("a11_shadowing", "SELECT path, 6 AS line FROM files", "js", _JS, lambda f: analyze.line_rows(f, columns=["path", "line", "shadowed"]).filter("shadowed").select("path", "line"))
 _each("a13_components", "SELECT path, 4 AS line, 'SR004' AS rule_id FROM files", "vue", "<template><p>eval(x)</p></template>\n<script>\nconst a@ = req.query.x;\neval(a@);\n</script>\n", lambda f: analyze.match_rows(f).select("path", "line", "rule_id"))
 
 
@@ -249,7 +249,7 @@ def t12(spark, sf_dir):
     key = F.col("c_custkey")
     content = F.concat(F.lit("x = request.args['a']\neval(x)\ny = x\n"), F.when(key % 2 == 0, "z = 1\n").otherwise("def (:\n"), F.lit("eval(y)\n"))
     f = customers(spark, sf_dir).select(F.concat(F.lit("c/"), key.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
-    return analyze.line_rows(f).select("path", "line", "reliable", F.size("flows").alias("n_flows"))
+    return analyze.line_rows(f, columns=["path", "line", "reliable", "flows"]).select("path", "line", "reliable", F.size("flows").alias("n_flows"))
 
 
 @query("t13_sink_rules", f"{LABELS} SELECT rule_id, count(*) AS n FROM expected WHERE rule_id IN ('SR004', 'SR005', 'SR006', 'SR011', 'SR012', 'SR015', 'SR016', 'SR021') GROUP BY rule_id")
