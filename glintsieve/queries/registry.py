@@ -62,8 +62,10 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.files(spark, sf_dir).withColumn("language", languages.language(F.col("path")))
 
 
-def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus after the per-file pass."""
+def source_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The corpus after the per-file pass. With columns, only these are worked out, and nothing is written."""
+    if columns:
+        return analyze.line_rows(source_files(spark, sf_dir), columns=columns)
     return kept(spark, sf_dir, "lines", lambda: analyze.line_rows(source_files(spark, sf_dir)))
 
 

@@ -184,7 +184,7 @@ def g01(spark, sf_dir):
 
 @query("g03_complete", "SELECT true AS complete")
 def g03(spark, sf_dir):
-    return source_lines(spark, sf_dir).agg((F.count_if(~F.col("complete")) == 0).alias("complete"))
+    return source_lines(spark, sf_dir, "complete").agg((F.count_if(~F.col("complete")) == 0).alias("complete"))
 
 
 @query("g04_by_rule", f"{LABELS} SELECT rule_id, count(*) AS n FROM expected GROUP BY rule_id")
