@@ -82,7 +82,7 @@ def a02(spark, sf_dir):
 
 @query("a03_node_classes", f"{LABELS} SELECT path, line FROM corpus WHERE path LIKE '%.py' AND contains(regexp_replace(text, '#.*$', ''), '(')")
 def a03(spark, sf_dir):
-    x = source_lines(spark, sf_dir).filter(F.col("path").endswith(".py"))
+    x = source_lines(spark, sf_dir, "path", "line", "classes").filter(F.col("path").endswith(".py"))
     return x.filter(F.array_contains("classes", "C")).select("path", "line")
 
 
@@ -186,7 +186,7 @@ _SOURCES = [*taint.REMOTE, *taint.LOCAL]
 @query("t02_sources", f"{LABELS} SELECT path, line FROM corpus WHERE " + " OR ".join(f"contains(CASE WHEN contains(text, '=') THEN substr(text, strpos(text, '=') + 1) ELSE text END, '{s}')" for s in _SOURCES))
 def t02(spark, sf_dir):
     right = F.when(F.instr("text", "=") > 0, F.substring("text", F.instr("text", "=") + 1, F.length("text"))).otherwise(F.col("text"))
-    return source_lines(spark, sf_dir).filter(right.rlike(taint.SOURCE_PATTERN)).select("path", "line")
+    return source_lines(spark, sf_dir, "path", "line", "text").filter(right.rlike(taint.SOURCE_PATTERN)).select("path", "line")
 
 
 _FLOWS = f"SELECT {_PATH}, 6 AS line, 'SR004' AS rule_id, 3 + CASE WHEN true THEN 1 ELSE 0 END - 1 AS depth, c_custkey % 4 = 0 AS remote FROM customer WHERE c_custkey % 4 IN (0, 2)"
@@ -214,7 +214,7 @@ _each("t06_sql_argument", "SELECT path, 3 AS line FROM files", "py", "name_@ = r
 
 @query("t07_sinks", f"{LABELS} SELECT path, line, rule_id FROM expected WHERE rule_id IN ('SR012', 'SR015', 'SR016', 'SR021')")
 def t07(spark, sf_dir):
-    return source_lines(spark, sf_dir).select("path", "line", F.explode("flows").alias("f")).select("path", "line", F.col("f.rule_id").alias("rule_id"))
+    return source_lines(spark, sf_dir, "path", "line", "flows").select("path", "line", F.explode("flows").alias("f")).select("path", "line", F.col("f.rule_id").alias("rule_id"))
 
 
 @query("t08_one_call", f"SELECT {_PATH}, 4 AS line, 3 AS depth, ['source', 'call', 'sink'] AS kinds FROM customer WHERE c_custkey % 4 IN (0, 1, 2)")
