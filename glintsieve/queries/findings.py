@@ -78,13 +78,13 @@ def p06(spark, sf_dir):
 
 @query("p07_secret_assignment", f"{LABELS} SELECT DISTINCT path, line FROM expected WHERE rule_id IN ('SR007', 'SR013')")
 def p07(spark, sf_dir):
-    x = source_lines(spark, sf_dir)
+    x = source_lines(spark, sf_dir, "path", "line", "visible", "literals")
     return x.filter(C.secret_assignment(F.col("visible"), F.col("literals"))).select("path", "line")
 
 
 @query("p09_variable_path", f"{LABELS} SELECT path, line FROM corpus WHERE starts_with(text, 'open(')")
 def p09(spark, sf_dir):
-    return source_lines(spark, sf_dir).filter("path_call").select("path", "line")
+    return source_lines(spark, sf_dir, "path", "line", "path_call").filter("path_call").select("path", "line")
 
 
 _SUPPRESS = ["x  # scan:skip", "x  # scan:skip[SR004]", "x  # scan:skip[SR005]", "x  # noscan:skip", "x  # scan:skipped", "'scan:skip'", "x  # scan:skip */"]
@@ -147,19 +147,19 @@ def l01(spark, sf_dir):
 @query("l02_masks", f"{LABELS} SELECT path, line, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes FROM corpus")
 def l02(spark, sf_dir):
     """Views keep a line's width in bytes."""
-    x = source_lines(spark, sf_dir).filter("octet_length(visible) = octet_length(text) and octet_length(masked) = octet_length(text) or language = 'config'")
+    x = source_lines(spark, sf_dir, "path", "language", "line", "text", "visible", "masked").filter("octet_length(visible) = octet_length(text) and octet_length(masked) = octet_length(text) or language = 'config'")
     return x.select("path", "line", F.octet_length("text").alias("n_bytes"))
 
 
 @query("l03_code_view", f"""{LABELS} SELECT path, line, text AS code FROM corpus WHERE NOT regexp_matches(text, '["''`#]|//|/[*]')""")
 def l03(spark, sf_dir):
     """The code view is the text where there is no string and no comment."""
-    return source_lines(spark, sf_dir).filter(~F.col("text").rlike("[\"'`#]|//|/[*]")).select("path", "line", "code")
+    return source_lines(spark, sf_dir, "path", "line", "text", "code").filter(~F.col("text").rlike("[\"'`#]|//|/[*]")).select("path", "line", "code")
 
 
 @query("l04_visible_masked", f"{LABELS} SELECT path, line, regexp_replace(text, '#.*$', '') AS visible FROM corpus WHERE path LIKE '%.py'")
 def l04(spark, sf_dir):
-    return source_lines(spark, sf_dir).filter(F.col("path").endswith(".py")).select("path", "line", F.when(F.col("comments") == "", F.col("visible")).otherwise(F.substring("visible", F.lit(1), F.instr("text", "#") - 1)).alias("visible"))
+    return source_lines(spark, sf_dir, "path", "line", "text", "visible", "comments").filter(F.col("path").endswith(".py")).select("path", "line", F.when(F.col("comments") == "", F.col("visible")).otherwise(F.substring("visible", F.lit(1), F.instr("text", "#") - 1)).alias("visible"))
 
 
 _QUOTED = '"[^"]*"'
@@ -167,17 +167,17 @@ _QUOTED = '"[^"]*"'
 
 @query("l05_literals", f"{LABELS} SELECT path, line, regexp_extract_all(text, '{_QUOTED}') AS literals FROM corpus WHERE path LIKE '%.py'")
 def l05(spark, sf_dir):
-    return source_lines(spark, sf_dir).filter(F.col("path").endswith(".py")).select("path", "line", "literals")
+    return source_lines(spark, sf_dir, "path", "line", "literals").filter(F.col("path").endswith(".py")).select("path", "line", "literals")
 
 
 @query("l06_comments", f"{LABELS} SELECT path, line, regexp_extract(text, '#.*$') || ' ' AS comments FROM corpus WHERE path LIKE '%.py' AND contains(text, '#')")
 def l06(spark, sf_dir):
-    return source_lines(spark, sf_dir).filter(F.col("path").endswith(".py") & (F.col("comments") != "")).select("path", "line", "comments")
+    return source_lines(spark, sf_dir, "path", "line", "comments").filter(F.col("path").endswith(".py") & (F.col("comments") != "")).select("path", "line", "comments")
 
 
 @query("l07_block_comments", f"{LABELS} SELECT path, line FROM corpus WHERE path LIKE '%.c' AND contains(text, '/*')")
 def l07(spark, sf_dir):
-    return source_lines(spark, sf_dir).filter(F.col("path").endswith(".c") & (F.col("comments") != "")).select("path", "line")
+    return source_lines(spark, sf_dir, "path", "line", "comments").filter(F.col("path").endswith(".c") & (F.col("comments") != "")).select("path", "line")
 
 
 def _lexed(name: str, language: str, text: str, expected: list[tuple[str, list[str]]]) -> None:
@@ -235,7 +235,7 @@ def l02_large(spark, sf_dir):
 
 @query("l12_complete_files", f"{LABELS} SELECT path, true AS complete FROM corpus GROUP BY path")
 def l12(spark, sf_dir):
-    return source_lines(spark, sf_dir).groupBy("path").agg(F.bool_and("complete").alias("complete"))
+    return source_lines(spark, sf_dir, "path", "complete").groupBy("path").agg(F.bool_and("complete").alias("complete"))
 
 
 @query("l13_identifiers", "SELECT p_partkey, len(regexp_extract_all(p_name || '$x_1 ' || p_brand, '[A-Za-z0-9_]')) AS n FROM part")
@@ -246,7 +246,7 @@ def l13(spark, sf_dir):
 
 @query("s23_config_lines", f"{LABELS} SELECT path, line, [string_split(text, '=')[2]] AS literals FROM corpus WHERE path LIKE '%/.env.env'")
 def s23(spark, sf_dir):
-    return source_lines(spark, sf_dir).filter("language = 'config'").select("path", "line", "literals")
+    return source_lines(spark, sf_dir, "path", "language", "line", "literals").filter("language = 'config'").select("path", "line", "literals")
 
 
 @query("j09_rule_dimension", f"{LABELS} SELECT path, line, rule_id, CASE severity_of WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS sarif_level FROM (SELECT path, line, rule_id, CASE WHEN rule_id = 'SR005' THEN 'medium' ELSE severity END AS severity_of FROM expected)")
