@@ -8,7 +8,7 @@ from __future__ import annotations
 import gc
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import accumulate
@@ -112,6 +112,14 @@ def telling(lines: list[Line]) -> dict[int, int]:
     return found
 
 
+@lru_cache
+def _wanted(only: frozenset[str] | None) -> int:
+    """The set of the rules (a bit each) that are looked for; flows alone lead to SR011."""
+    if only is None:
+        return -1
+    return sum(1 << k for k, rule in enumerate(RULES) if rule.rule_id in only) | (_FLOW_ONLY if "SR011" in only else 0)
+
+
 def lexed_file(path: str, language: str, content: str) -> tuple[str, list[Line], bool]:
     """What of a file is read (its script, if it is a page), its lines, and whether it ends outside of strings and comments."""
     script = script_source(path, content)
@@ -130,14 +138,16 @@ def mark_paths(lines: list[Line], facts: syntax.Facts) -> None:
             lines[call.line - 1].path_call = True
 
 
-def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False) -> tuple[list[Line], bool, syntax.Facts, dict, dict[int, list[Rule]]]:
+def analyse_file(path: str, language: str, content: str, between_functions: bool, matching: bool = False, only: frozenset[str] | None = None) -> tuple[list[Line], bool, syntax.Facts, dict, dict[int, list[Rule]]]:
     """Lines, whether the file ends outside of strings and comments, facts, evidence by line and rule, and by telling line the rules that match it.
 
-    matching: a file without a telling line is not parsed, as nothing can be found in it.
+    matching: a file without a telling line is not parsed, as nothing can be found in it. only: the rules that are looked for, all by default.
     """
     content, lines, complete = lexed_file(path, language, content)
     some = telling(lines)
-    if matching and not some and _COMMAND_MODULE not in content:
+    if only is not None:
+        some = {number: mask for number, m in some.items() if (mask := m & _wanted(only))}
+    if matching and not some and not (_COMMAND_MODULE in content and (only is None or "SR005" in only)):
         return lines, complete, syntax.Facts(parsed=False), {}, {}
     facts = read_facts(path, language, content, lines, complete)
     mark_paths(lines, facts)
@@ -160,15 +170,17 @@ def _steps(e: taint.Evidence) -> dict:
     return {"steps": [{"line": s.line, "kind": s.kind} for s in e.steps], "depth": e.depth, "remote": e.remote}
 
 
-def matches(facts: syntax.Facts, found: dict, fired: dict[int, list[Rule]], language: str) -> Iterator[tuple[int, int, Rule]]:
+def matches(facts: syntax.Facts, found: dict, fired: dict[int, list[Rule]], language: str, only: frozenset[str] | None = None) -> Iterator[tuple[int, int, Rule]]:
     """(line, place in the order of emission, rule) of what fires: rules by their words, then flows and command bindings; gates applied."""
     flowing: dict[int, list[str]] = {}
     for number, rule_id in sorted(found):
-        flowing.setdefault(number, []).append(rule_id)
-    for number in sorted(fired.keys() | flowing.keys() | facts.command_calls.keys()):
+        if only is None or rule_id in only:
+            flowing.setdefault(number, []).append(rule_id)
+    commands = facts.command_calls if only is None or "SR005" in only else {}
+    for number in sorted(fired.keys() | flowing.keys() | commands.keys()):
         rules = fired.get(number, [])
         known = {rule.rule_id for rule in rules}
-        more = [*flowing.get(number, ()), *(["SR005"] if number in facts.command_calls else [])]
+        more = [*flowing.get(number, ()), *(["SR005"] if number in commands else [])]
         rules = [*rules, *(BY_ID[r] for r in dict.fromkeys(more) if r not in known)]
         reliable = facts.parsed and facts.reliable(number)
         classes = facts.classes.get(number, set())
@@ -180,8 +192,11 @@ def matches(facts: syntax.Facts, found: dict, fired: dict[int, list[Rule]], lang
             yield number, place, rule
 
 
-def match_rows(files: DataFrame, between_functions: bool = False, parse_all: bool = False) -> DataFrame:
-    """A row for each line and rule that fires on it, of files (path, language, content): nothing else leaves the workers."""
+def match_rows(files: DataFrame, between_functions: bool = False, parse_all: bool = False, only: Iterable[str] | None = None) -> DataFrame:
+    """A row for each line and rule that fires on it, of files (path, language, content): nothing else leaves the workers.
+
+    only: the rules that are looked for, all by default; rules fire by themselves, but places in the order of emission count these only."""
+    asked = None if only is None else frozenset(only)
     kinds = {f.name: f.type for f in MATCHES}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +212,7 @@ def match_rows(files: DataFrame, between_functions: bool = False, parse_all: boo
             for k in range(rows.num_rows):  # one file's text at a time
                 path, language, content = (rows.column(c)[k].as_py() for c in ("path", "language", "content"))
                 with _without_collector():
-                    held += matches_of(path, language, content, between_functions, parse_all)
+                    held += matches_of(path, language, content, between_functions, parse_all, asked)
                 if len(held) > 20_000:
                     yield batch()
         if held:
@@ -206,13 +221,13 @@ def match_rows(files: DataFrame, between_functions: bool = False, parse_all: boo
     return files.select("path", "language", "content").mapInArrow(run, MATCHES_SQL)
 
 
-def matches_of(path: str, language: str | None, content: str | None, between_functions: bool = False, parse_all: bool = False) -> list[tuple]:
+def matches_of(path: str, language: str | None, content: str | None, between_functions: bool = False, parse_all: bool = False, only: frozenset[str] | None = None) -> list[tuple]:
     """The rows of match_rows for one file."""
     if language is None:
         return []
-    lines, _, facts, found, fired = analyse_file(path, language, content or "", between_functions, not parse_all)
+    lines, _, facts, found, fired = analyse_file(path, language, content or "", between_functions, not parse_all, only)
     out = []
-    for number, place, rule in matches(facts, found, fired, language):
+    for number, place, rule in matches(facts, found, fired, language, only):
         x, evidence = lines[number - 1], found.get((number, rule.rule_id))
         reliable = facts.parsed and facts.reliable(number)
         out.append((path, language, number, x.text, x.compact, x.comments, reliable, facts.command_calls.get(number), place, rule.rule_id, _steps(evidence) if evidence else None))

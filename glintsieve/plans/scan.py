@@ -171,14 +171,22 @@ def coverage(tree: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("complete", F.col("complete") & (F.col("truncated") == 0))
 
 
+def sizes(files: DataFrame) -> DataFrame:
+    """The part of the report on what was to be read."""
+    return files.agg(F.count(F.lit(1)).alias("supported_files"), F.sum(F.octet_length("content")).alias("total_bytes"))
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """The part of the report on all judged matches."""
+    return found.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in ("new", "disabled", "suppressed", "truncated")])
+
+
 def report(lines: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
     """The one-row coverage report. found: all judged matches."""
     by_file = lines.groupBy("path").agg(F.first("parsed").alias("parsed"), F.first("complete").alias("complete"), F.first("error_nodes").alias("error_nodes"), F.first("language").alias("language"))
-    a = files.agg(F.count(F.lit(1)).alias("supported_files"), F.sum(F.octet_length("content")).alias("total_bytes"))
     b = by_file.agg(
         F.count(F.lit(1)).alias("scanned_files"), F.count_if("parsed").alias("ast_files"), F.count_if(~F.col("parsed")).alias("lexical_files"),
         F.count_if(~F.col("parsed") & (F.col("language") != "config")).alias("parse_fallback_files"), F.sum("error_nodes").alias("error_nodes"), (F.count_if(~F.col("complete")) == 0).alias("lexed"),
     )
-    c = found.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in ("new", "disabled", "suppressed", "truncated")])
-    out = a.crossJoin(b).crossJoin(c)  # one row each
+    out = sizes(files).crossJoin(b).crossJoin(counts(found))  # one row each
     return out.withColumn("complete", F.col("lexed") & (F.col("truncated") == 0)).drop("lexed")

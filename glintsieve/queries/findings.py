@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glintsieve.functions import credentials as C
 from glintsieve.functions import predicates as P
 from glintsieve.functions import text as T
-from glintsieve.operators import parts, rules
+from glintsieve.operators import analyze, parts, rules
 from glintsieve.plans import corpus, scan
 from glintsieve.queries.registry import LABELS, PATHS, all_matches, new_findings, paths, query, source_files, source_lines, table
 from glintsieve.sources import languages
@@ -28,7 +28,7 @@ def _rule_query(rule: rules.Rule) -> None:
 
     @query(f"r{n:02d}_{rule.name.replace('-', '_')}", sql)
     def run(spark, sf_dir):
-        x = scan.matched(source_lines(spark, sf_dir)).filter(F.col("rule_id") == rule.rule_id)
+        x = analyze.match_rows(source_files(spark, sf_dir), only=[rule.rule_id])
         return x.select("path", "line", scan.severity(scan.Settings()).alias("severity"))
 
 
@@ -187,8 +187,6 @@ def _lexed(name: str, language: str, text: str, expected: list[tuple[str, list[s
 
     @query(name, f"SELECT 'f' || CAST(n_nationkey AS VARCHAR) || '.x' AS path, CAST(line AS INTEGER) AS line, {own.format('visible')} AS visible, list_transform(literals, lambda x: {own.format('x')}) AS literals, true AS complete FROM nation, (VALUES {', '.join(row(k, *e) for k, e in enumerate(expected, 1))}) AS t(line, visible, literals)")
     def run(spark, sf_dir):
-        from glintsieve.operators import analyze
-
         key = F.col("n_nationkey").cast("string")
         n = table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), key, F.lit(".x")).alias("path"), F.lit(language).alias("language"), F.replace(F.lit(text), F.lit("@"), key).alias("content"))
         return analyze.line_rows(n).select("path", "line", "visible", "literals", "complete")
@@ -257,8 +255,6 @@ def j09(spark, sf_dir):
 @query("x03_parallel_scan", f"{LABELS} SELECT path, line, rule_id FROM expected")
 def x03(spark, sf_dir):
     """The same findings, whatever the number of partitions."""
-    from glintsieve.operators import analyze
-
     return scan.matched(analyze.line_rows(source_files(spark, sf_dir).repartition(7))).select("path", "line", "rule_id")
 
 
@@ -278,4 +274,4 @@ def r07a(spark, sf_dir):
 
 @query("g02_coverage", f"{LABELS} SELECT (SELECT count(DISTINCT path) FROM corpus) AS supported_files, CAST((SELECT sum(n) FROM (SELECT sum(octet_length(encode(text)) + 1) - 1 AS n FROM corpus GROUP BY path)) AS BIGINT) AS total_bytes, (SELECT count(*) FROM expected) AS total")
 def g02(spark, sf_dir):
-    return scan.report(source_lines(spark, sf_dir), all_matches(spark, sf_dir), source_files(spark, sf_dir)).select("supported_files", "total_bytes", "total")
+    return scan.sizes(source_files(spark, sf_dir)).crossJoin(scan.counts(all_matches(spark, sf_dir))).select("supported_files", "total_bytes", "total")  # one row each

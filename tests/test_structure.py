@@ -73,3 +73,19 @@ def test_only_what_is_asked_for_is_worked_out(monkeypatch):
         part = analyze.Columns(names)
         part.add("a.py", "python", text, False, False)
         assert part.values == {n: whole.values[n] for n in names} and part.batch().num_rows == 4
+
+
+def test_one_rule_by_itself(monkeypatch):
+    """A rule that is looked for alone fires where it does among all; a file without one of its lines is not parsed."""
+    text = "x = request.args['a']\neval(x)\nopen(x)\nos.system(x)\ncursor.execute('SELECT ' + x)\n"
+    whole = analyze.matches_of("a.py", "python", text)
+    for rule in {r[9] for r in whole}:
+        own = analyze.matches_of("a.py", "python", text, only=frozenset([rule]))
+        assert [r[:8] + r[9:] for r in own] == [r[:8] + r[9:] for r in whole if r[9] == rule]
+    assert len({r[9] for r in whole}) >= 4
+
+    def not_asked(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(analyze, "read_facts", not_asked)
+    assert analyze.matches_of("a.py", "python", text, only=frozenset(["SR002"])) == []
