@@ -9,7 +9,7 @@ from glintsieve.functions.globs import to_regex
 from glintsieve.operators import analyze, stabbing
 from glintsieve.plans import baseline, corpus, dependencies, scan, scoring
 from glintsieve.queries.inputs import _npm, _requirements
-from glintsieve.queries.registry import FOLDERS, LABELS, NAMES, PATHS, all_matches, customers, new_findings, paths, query, source_files, source_lines, table, values
+from glintsieve.queries.registry import FOLDERS, LABELS, NAMES, PATHS, all_matches, customers, new_findings, paths, query, raw_matches, source_files, source_lines, table, values
 from glintsieve.sinks import shared
 from glintsieve.sources import manifests, tree
 
@@ -79,9 +79,9 @@ def j05(spark, sf_dir):
 
 @query("j06_evidence", f"{LABELS} SELECT path, line, rule_id, CASE WHEN rule_id IN ('SR012', 'SR015', 'SR016', 'SR021') THEN 'tainted' ELSE 'candidate' END AS confidence FROM expected")
 def j06(spark, sf_dir):
-    x = source_lines(spark, sf_dir)
-    evidence = x.select("path", "line", F.explode("flows").alias("f")).select("path", "line", F.col("f.rule_id").alias("rule_id"), F.col("f.remote").alias("remote"))
-    found = scan.matched(x).select("path", "line", "rule_id").join(evidence, ["path", "line", "rule_id"], "left")
+    x = raw_matches(spark, sf_dir)
+    evidence = x.filter("evidence is not null").select("path", "line", "rule_id", "evidence.remote")
+    found = x.select("path", "line", "rule_id").join(evidence, ["path", "line", "rule_id"], "left")
     return found.select("path", "line", "rule_id", F.when(F.col("remote").isNull(), "candidate").when(F.col("remote"), "tainted").otherwise("reachable").alias("confidence"))
 
 
